@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing
+from quillspark.llm import lines, mixing, warc
 
 QUERIES = {
+    "op7_dedup_lines": lines.op7,
     "op8_mix_sources": mixing.op8,
+    "op9_arc_to_warc": warc.op9,
 }
 ORACLES = {
+    "op7_dedup_lines": lines.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op9_arc_to_warc": warc.OP9_SQL,
 }
