@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.llm import lines, mixing, quality, warc
+from quillspark.llm import lines, mixing, pii, quality, warc
 
 QUERIES = {
+    "op1_find_pii": pii.op1,
     "op4_quality_rules": quality.op4,
     "op7_dedup_lines": lines.op7,
     "op8_mix_sources": mixing.op8,
