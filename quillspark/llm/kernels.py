@@ -94,7 +94,8 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, fold: bool = True, hashed: bool = True) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, fold: bool = True, hashed: bool = True, breaks: np.ndarray = WHITE) -> Words:
+    """Words of rows ``first`` to ``last``; ``breaks``: the bytes that part them."""
     lo = int(offsets[first])
     b = data[lo : int(offsets[last])]
     at = offsets[first : last + 1] - lo
@@ -102,7 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, fold: bo
     if not n:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), empty, empty, empty, np.zeros(rows + 1, np.int64))
-    white = WHITE[b]
+    white = breaks[b]
     edge = np.ones(n + 1, bool)
     edge[1:n] = white[:-1]
     edge[at[:-1]] = True

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quillspark.llm import lines, mixing, pii, quality, warc
+from quillspark.llm import html_text, jaccard, lines, mixing, pii, quality, tiling, urls, warc
 
 QUERIES = {
     "op1_find_pii": pii.op1,
+    "op2_judge_urls": urls.op2,
+    "op3_link_documents": jaccard.op3,
     "op4_quality_rules": quality.op4,
+    "op5_extract_text": html_text.op5,
+    "op10_find_leaks": tiling.op10,
     "op7_dedup_lines": lines.op7,
     "op8_mix_sources": mixing.op8,
     "op9_arc_to_warc": warc.op9,
