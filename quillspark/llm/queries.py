@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import html_text, jaccard, lines, mixing, pii, quality, tiling, urls, warc
+from quillspark.llm import html_text, jaccard, lines, mixing, pii, quality, suffixes, tiling, urls, warc
 
 QUERIES = {
     "op1_find_pii": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_link_documents": jaccard.op3,
     "op4_quality_rules": quality.op4,
     "op5_extract_text": html_text.op5,
+    "op6_remove_repeats": suffixes.op6,
     "op10_find_leaks": tiling.op10,
     "op7_dedup_lines": lines.op7,
     "op8_mix_sources": mixing.op8,
