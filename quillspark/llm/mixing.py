@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     last; ``share`` of all words is divided by weight, at most ``most`` times its size to a source, the excess reshared.
 
     Sources in order of size by weight are the order in which they reach their limit as the water level rises, so running
-    sums over that order give the level. One row for each source; no documents pass here.
+    sums over that order give the level: the first source that stays below its limit fixes it (later ones compute less). One row for
+    each source; no documents pass here.
     """
     named = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     named = named.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
@@ -42,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     named = named.withColumns({"all_words": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything)})
     named = named.withColumns({"gone": F.coalesce(F.sum("limit").over(before), F.lit(0)), "gone_weight": F.coalesce(F.sum("weight").over(before), F.lit(0))})
     named = named.withColumn("level", (F.col("all_words") * share[0] / share[1] - F.col("gone")) / (F.col("all_weight") - F.col("gone_weight")))
-    named = named.withColumn("open", F.min(F.when(F.col("limit") / F.col("weight") > F.col("level"), F.col("level"))).over(everything))
+    named = named.withColumn("open", F.max(F.when(F.col("limit") / F.col("weight") > F.col("level"), F.col("level"))).over(everything))
     target = F.when(F.col("open").isNull() | (F.col("limit") <= F.col("open") * F.col("weight")), F.col("limit").cast("double")).otherwise(F.col("open") * F.col("weight"))
     return named.select("source", "source_size", "weight", target.alias("target"))
 
@@ -104,7 +105,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same queue in plain SQL: running sums over whole sources and over the whole corpus.
 OP8_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
          md5('0:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS h FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes),
@@ -112,7 +114,7 @@ weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGI
 levels AS (
   SELECT *, (sum(source_size) OVER () * 3 / 2.0::DOUBLE - coalesce(sum(lim) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM weighed WINDOW w AS (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-opened AS (SELECT *, min(CASE WHEN lim / weight > level THEN level END) OVER () AS open FROM levels),
+opened AS (SELECT *, max(CASE WHEN lim / weight > level THEN level END) OVER () AS open FROM levels),
 targets AS (SELECT source, source_size, CASE WHEN open IS NULL OR lim <= open * weight THEN lim::DOUBLE ELSE open * weight END AS target FROM opened),
 queued AS (
   SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
