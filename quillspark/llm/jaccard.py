@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
 from quillspark.llm.components import components
-from quillspark.llm.workspace import Workspace
+from quillspark.llm.workspace import Workspace, broadcast_if_small
 
 SPARE = 2
 LEVEL_RATIO = 1.4
@@ -40,8 +40,6 @@ BLOCK_SETS = 2000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 8
 LEAF = 8
-#: Rows of (id, group) that may be broadcast, 32 bytes each, as counted before; beyond it texts are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -266,9 +264,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     cut = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     members = work.keep(members.join(sizes, "group").withColumn("blocks", F.greatest(cut, F.lit(1))), "members")
-    wanted = members.select("set_id", "first", "group", "blocks", "n")
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if_small(members.select("set_id", "first", "group", "blocks", "n"))
     # A row of the id with another text is dropped in the block, where its set is known.
     texts = work.keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "group", "blocks", "n", "text"), "texts")
 
@@ -326,9 +322,7 @@ def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     """The rows of ``docs`` whose doc_id is their component's."""
     found = link_components(docs, size, num, den)
     gone = Workspace(docs.sparkSession, "copies").keep(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace
+from quillspark.llm.workspace import Workspace, broadcast_if_small
 
 SEED = 5
 #: Share of an item that tiles must cover. One-sided containment, not a similarity of two texts.
@@ -178,9 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """The rows of ``docs`` that hold no benchmark item."""
     leaks = Workspace(docs.sparkSession, "leaks").keep(find_leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_id"), "_key").distinct(), "leaks")
     keyed = docs.withColumn("_own_key", F.xxhash64("text"))
-    if leaks.count() <= 1_000_000:  # 16 bytes each
-        leaks = F.broadcast(leaks)
-    return keyed.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").drop("_own_key")
+    return keyed.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").drop("_own_key")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

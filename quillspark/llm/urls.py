@@ -120,9 +120,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, th
     weighed = work.keep(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "weights")
     score = propagate(seeds, weighed, counted, work)
     wide = score.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")))
-    nodes = counted.select("host").union(links.select("dst")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
-    hosts = ruled.join(wide, "host", "left").crossJoin(F.broadcast(nodes))
-    scaled = {k: F.coalesce(F.col(k), F.lit(0.0)) * F.col("nodes") for k in ("trust", "distrust")}
+    nodes = counted.select("host").union(links.select("dst")).distinct().count()
+    hosts = ruled.join(wide, "host", "left")
+    scaled = {k: F.coalesce(F.col(k), F.lit(0.0)) * nodes for k in ("trust", "distrust")}
     hosts = work.keep(hosts.select("host", "rules", *(v.alias(k) for k, v in scaled.items())), "scored")
     fit = first_fit(F.col("path"))
     own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")

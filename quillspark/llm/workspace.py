@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few numbers that may be broadcast, about 100 bytes each in an executor's hash table.
+BROADCAST_ROWS = 300_000
 SETTING = "spark.checkpoint.dir"
 
 
@@ -40,3 +43,9 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``kept`` (narrow, and materialised, so that counting is cheap) marked for broadcast if it has so few rows; else the planner
+    joins it by a shuffle."""
+    return F.broadcast(kept) if kept.count() <= rows else kept
