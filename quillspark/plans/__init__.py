@@ -1 +1 @@
-"""Registered queries. Importing ``quillspark.plans.registry`` is enough; the modules below fill it."""
+"""Registered queries, see ``catalogue``."""

@@ -6,28 +6,17 @@ Catalyst like any other SQL; DuckDB's is the oracle.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.functions.folding import accent_table
 from quillspark.plans import registry
 from quillspark.tables import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
-def accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, by canonical decomposition; case is kept."""
-    source, target = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if base != chr(code) and base.isascii():
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
-
-
 class Spark:
     name = "spark"
 
@@ -53,7 +42,8 @@ class Spark:
         return f"CAST(size({a}) AS BIGINT)"
 
     def split(self, x: str, sep: str) -> str:
-        return f"split({x}, {self.lit(sep)}, -1)"
+        """Parts between occurrences of a literal separator."""
+        return f"split({x}, {self.lit(chr(92) + 'Q' + sep + chr(92) + 'E')}, -1)"
 
     def fold(self, x: str) -> str:
         source, target = accent_table()
@@ -71,6 +61,9 @@ class Spark:
     def distinct(self, a: str) -> str:
         return f"array_sort(array_distinct({a}))"
 
+    def sorted(self, a: str) -> str:
+        return f"array_sort({a})"
+
     def join(self, a: str, sep: str) -> str:
         return f"array_join({a}, {self.lit(sep)})"
 
@@ -161,6 +154,9 @@ class Duck(Spark):
     def distinct(self, a: str) -> str:
         return f"list_sort(list_distinct({a}))"
 
+    def sorted(self, a: str) -> str:
+        return f"list_sort({a})"
+
     def join(self, a: str, sep: str) -> str:
         return f"coalesce(array_to_string({a}, {self.lit(sep)}), '')"
 

@@ -21,9 +21,3 @@ def query(name: str, oracle: str | None = None):
 
     return keep
 
-
-def _load() -> None:
-    from quillspark.plans import relations, scalars, search, sequences, udf_queries  # noqa: F401
-
-
-_load()

@@ -53,8 +53,7 @@ operator(
 operator(
     "join_08_positional_zip",
     lambda d: with_(pairs(d)) + f""", s AS ({d.explode('pairs', 'conv_id, turn', d.split('src', '. '), 'i', 'x')}), o AS ({d.explode('pairs', 'conv_id, turn', d.split('out', '. '), 'i', 'y')})
-    SELECT s.conv_id, s.turn, s.i, CAST(length(s.x) AS BIGINT) AS source_len, CAST(length(o.y) AS BIGINT) AS out_len FROM s JOIN o ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.i = o.i""".replace("split('", "split('"),
-    oracle=False,
+    SELECT s.conv_id, s.turn, s.i, CAST(length(s.x) AS BIGINT) AS source_len, CAST(length(o.y) AS BIGINT) AS out_len FROM s JOIN o ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.i = o.i""",
 )
 # JOIN-09: four-gram index probe: places of a passage's first four words in texts.
 operator(
@@ -136,7 +135,8 @@ LANGUAGES = {"en": "the of and to that in is was for it with as his on be at by"
 
 def vote(d, language: str) -> str:
     words = LANGUAGES[language]
-    return " + ".join(f"{d.n('t', ' ' + w + '(?= )') if False else '(length(t) - length(replace(t, ' + d.lit(' ' + w + ' ') + ', ' + d.lit('') + '))) / ' + str(len(w) + 2)}" for w in words)
+    times = lambda w: f"(length(t) - length(replace(t, {d.lit(f' {w} ')}, ''))) / {len(w) + 2}"
+    return " + ".join(map(times, words))
 
 
 # AGG-07: stop words between single spaces, counted as substrings that do not overlap; the first language wins ties.

@@ -1,6 +1,6 @@
 """Scalar text functions (S) as SQL operators over whole tables."""
 
-from quillspark.plans.dialect import accent_table, draft, items, lines, operator, pairs, with_
+from quillspark.plans.dialect import draft, items, lines, operator, pairs, with_
 from quillspark.plans.search import MARK
 
 operator("s_01_fold", lambda d: f"SELECT doc_id, {d.fold('text')} AS folded FROM documents")
@@ -88,7 +88,7 @@ operator(
       SELECT conv_id, turn, 2, 'size, same language', src <> '' AND NOT (r BETWEEN 0.85 AND 1.15) AND (NOT short OR abs(length(out) - length(src)) > 12) FROM m UNION ALL
       SELECT conv_id, turn, 3, CASE WHEN r > 2 THEN 'size: invented' ELSE 'size' END, src <> '' AND CASE WHEN short THEN abs(length(out) - length(src)) > 40 ELSE NOT (r BETWEEN 0.85 AND 1.4) END FROM m UNION ALL
       SELECT conv_id, turn, 4, 'number missing', src <> '' AND {d.size(d.without(d.distinct(d.all(d.rx('src', MARK), '[0-9]+')), d.distinct(d.all(d.rx('out', MARK), '[0-9]+'))))} > 0 FROM m UNION ALL
-      SELECT conv_id, turn, 5, 'marks differ', src <> '' AND {d.join(d.map(d.all('src', MARK), 'x', 'x'), ' ')} <> {d.join(d.map(d.all('out', MARK), 'x', 'x'), ' ')} FROM m UNION ALL
+      SELECT conv_id, turn, 5, 'marks differ', src <> '' AND {d.join(d.sorted(d.all('src', MARK)), ' ')} <> {d.join(d.sorted(d.all('out', MARK)), ' ')} FROM m UNION ALL
       SELECT conv_id, turn, 7, 'emphasis', src <> '' AND {d.n('src', '[*]')} <> {d.n('out', '[*]')} FROM m UNION ALL
       SELECT conv_id, turn, 10, 'fewer sentences', src <> '' AND {d.n('src', '[.!?][ \n]')} >= 1 AND {d.n('out', '[.!?][ \n]')} < {d.n('src', '[.!?][ \n]')} FROM m UNION ALL
       SELECT conv_id, turn, 12, 'negation lost', {d.n('src', NEGATION_EN)} > {d.n('out', NEGATION_EN)} FROM m UNION ALL
@@ -115,7 +115,13 @@ operator(
     lambda d: f"""WITH w AS (SELECT DISTINCT word FROM ({d.explode('documents', 'doc_id', d.all('lower(text)', '[a-zß-öø-ÿ]+'), 'i', 'word')})), f AS (SELECT word, {d.fold('word')} AS base FROM w)
     SELECT base, max(word) AS accented FROM f GROUP BY base HAVING count(*) = 1 AND max(word) <> base""",
 )
-operator("s_25_md_escape", lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.rx(d.rx('line', '([*_{}<>#$@^~|])', chr(92) * 2 + '$1' if d.name == 'spark' else chr(92) * 2 + '$1'), '^([-+])( )', '$1 $2')} AS escaped FROM lines", oracle=False)
+def escaped(d, x: str) -> str:
+    for c in "\\`*_{}[]<>#$@^~|":
+        x = f"replace({x}, {d.lit(c)}, {d.lit(chr(92) + c)})"
+    return x
+
+
+operator("s_25_md_escape", lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {escaped(d, 'line')} AS escaped FROM lines")
 # S-27: votes of a judge, a line each; the first vote of an item counts, items without one are upheld.
 operator(
     "s_27_votes",
@@ -137,7 +143,7 @@ operator("s_34_sha256", lambda d: f"SELECT doc_id, {d.sha('''coalesce(text, '')'
 operator("s_35_last_version", lambda d: with_(items(d)) + "SELECT job, k, coalesce(judged, revised, proposal) AS version FROM items")
 operator(
     "s_36_effective_problems",
-    lambda d: with_(items(d)) + f"""SELECT job, k, {d.join(d.keep(d.split("CASE WHEN judged IS NOT NULL THEN 'judge' WHEN revised IS NOT NULL THEN concat(checks2, '|style: x') ELSE concat(coalesce(checks, '[]'), '|style: y') END", '|') if d.name == 'duck' else d.split("CASE WHEN judged IS NOT NULL THEN 'judge' WHEN revised IS NOT NULL THEN concat(checks2, '|style: x') ELSE concat(coalesce(checks, '[]'), '|style: y') END", '[|]'), 'x', "NOT x LIKE 'style: %'"), '; ')} AS problems FROM items""",
+    lambda d: with_(items(d)) + f"""SELECT job, k, {d.join(d.keep(d.split("CASE WHEN judged IS NOT NULL THEN 'judge' WHEN revised IS NOT NULL THEN concat(checks2, '|style: x') ELSE concat(coalesce(checks, '[]'), '|style: y') END", '|'), 'x', "NOT x LIKE 'style: %'"), '; ')} AS problems FROM items""",
 )
 operator("s_37_citation", lambda d: "SELECT c_custkey, concat(c_name, ', ', c_mktsegment, ', p. ', CAST(c_custkey % 300 + 1 AS STRING), '.') AS simple, concat(upper(c_name), '. ', c_mktsegment, '. p. ', CAST(c_custkey % 300 + 1 AS STRING), '.') AS formal FROM customer")
 operator("s_38_url_allowed", lambda d: f"SELECT page_id, url, {d.has('url', '^https://([^/?#]*[.])?(example[.]com|example[.]org)(/|[?#]|$)')} AS allowed FROM pages")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import align, prose
+from quillspark.functions import align, checks, prose
+from quillspark.operators import editions, joins, structure
 from quillspark.plans.dialect import SPARK, blocks, lines, operator, pairs, run_sql, with_
 from quillspark.plans.registry import query
 from quillspark.sources import epub
@@ -321,4 +322,38 @@ def atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sha2(F.array_join(body, "\n\n"), 256).alias("sha"))
 
 
-__all__ = ["operator"]
+@query("s_18_checks_messages")
+def checks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules with their messages, over planted errors; the glossary holds two terms."""
+    found = planted(spark, sf_dir)
+    alerts = checks.checks(F.col("src"), F.col("out"), "translate", (("the", "anly"), ("tion", "shst")))
+    return found.select("conv_id", "turn", "type", F.posexplode(alerts).alias("nth", "message")).withColumn("locked", checks.locked(F.col("message")))
+
+
+@query("s_18_checks_same_language")
+def checks_same_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of spelling tasks, and whether more than spelling changed."""
+    found = planted(spark, sf_dir)
+    alerts = checks.checks(F.col("src"), F.col("out"), "modernise")
+    return found.select("conv_id", "turn", "type", F.array_join(alerts, "; ").alias("alerts"), editions.beyond_spelling(F.col("src"), F.col("out")).alias("beyond_spelling"))
+
+
+@query("aln_01_edition_summary")
+def edition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its own text with one line in seven gone."""
+    own = _blocks(spark, sf_dir).withColumnRenamed("doc_id", "book")
+    copies = own.where("ord % 7 != 3").groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), "\n").alias("text"))
+    return editions.summary(editions.compare_editions(own, copies))
+
+
+@query("blk_07_continuation_api")
+def continuation_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = structure.continuations(_blocks(spark, sf_dir))
+    return merged.select("doc_id", "block", "kind", F.size("pages").cast("long").alias("pages"), F.sha2("text", 256).alias("sha"))
+
+
+@query("join_03_asof_api")
+def asof_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    commits = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("commit"))
+    return joins.as_of_following(events.where("event_type = 'view'"), commits, "user_id", "ts", "commit")

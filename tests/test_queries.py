@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspark.plans import registry
+from quillspark.plans import catalogue as registry
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
