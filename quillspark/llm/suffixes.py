@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace
+from quillspark.llm.workspace import Workspace, broadcast_if_small
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM  # an anchor lies at most so far into its string
 GROUP_CONTEXTS = 10_000
 #: Bytes of contexts that a task sorts at once, a group at least.
-SORT_BYTES = 2 << 20
-BROADCAST_ROWS = 1_000_000
+SORT_BYTES = 768 << 10
+#: Rows of contexts looked at together; a group is closed at the first slice that ends it.
+SLICE_ROWS = 2000
 
 
 def slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -200,7 +201,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
         return pa.RecordBatch.from_arrays([c(doc.take(take)), c(key.take(take)), gather(lows), gather(highs)], ["doc", "key", "lo", "hi"])
 
-    for batch in batches:
+    for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
         at = 0
         if size >= SORT_BYTES and held:  # the group that is open may go on in this batch
             last = held[-1].column("group")[-1].as_py()
@@ -271,7 +272,7 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     whole = slim.where(F.col("n") >= LENGTH).select("doc", "key", "key2", "n").distinct()
     least = whole.groupBy("key", "key2").agg(F.min(F.struct(F.col("doc").isNotNull(), "doc")).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = work.keep(whole.join(least, ["key", "key2"]).where(~F.col("doc").eqNullSafe(F.col("least.doc"))).select("doc", "key", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")), "copies")
-    out = F.broadcast(copies.select("doc", "key")) if copies.count() <= BROADCAST_ROWS else copies.select("doc", "key")
+    out = broadcast_if_small(copies.select("doc", "key"))
     left = slim.select("doc", "key", "text").alias("d").join(out.alias("c"), F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.key") == F.col("c.key")), "left_anti")
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +295,8 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     alone = work.keep(docs.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
     if not alone.isEmpty():
         met = work.keep(_without_own_copies(found, alone, kind), "met2")
+    del ordered
+    work.release()
     first = met.where(~F.col("later"))
     crowd = first.groupBy("group").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > group_contexts).select("group")
     crowd = work.keep(crowd, "crowd")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,11 +38,17 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark's context cleaner delete the shuffle files of frames that nothing refers to any more. They go with the driver's
+        garbage, which may take longer than the disks have room; called after a table is kept whose making shuffled much."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more; without names, the whole workspace."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for place in map(self.path, names) if names else [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
