@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.workspace import Workspace
+
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a slice of a running total should hold.
@@ -71,6 +73,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("_h"))
     slim = slim.withColumn("_u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48))
+    work = Workspace(docs.sparkSession, "mixing")
+    slim = work.keep(slim, "sizes")  # texts are read once; a few numbers a document are kept
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     targets = targets.alias("t").join(sizes.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "s._rows")
@@ -82,10 +86,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     copies = copies.withColumns({"_end": end, "_served": F.greatest(F.lit(0), served)}).where((F.col("_served") > 0) | (F.col("_pass") == 0))
     copies = copies.withColumn("_finish", F.coalesce(F.try_divide(F.col("_end").cast("double"), F.col("target")), F.lit(0.0)))
     # Every served copy starts before virtual time 1. What ends later is served to time 1 only, and comes last.
-    total = sizes.agg(F.sum("_rows").alias("_all"), F.floor(F.sum("source_size") * share[0] / share[1]).alias("_budget"))
-    copies = copies.crossJoin(F.broadcast(total)).withColumns({"_place": F.least(F.col("_finish"), F.lit(1.0 - 2.0**-40)), "_one": F.lit(1)})
-    copies = _running(copies, ["_one"], "_place", ["_finish", "_h", "_pass", "doc_id", "size"], "_served", "_total", F.ceil(F.col("_all") * most / SLICE_ROWS))
-    kept = F.greatest(F.lit(0), F.least(F.col("_served"), F.col("_budget") - (F.col("_total") - F.col("_served"))))
+    rows, words = sizes.agg(F.sum("_rows"), F.sum("source_size")).first()
+    budget = (words or 0) * share[0] // share[1]
+    copies = copies.withColumns({"_place": F.least(F.col("_finish"), F.lit(1.0 - 2.0**-40)), "_one": F.lit(1)})
+    copies = _running(copies, ["_one"], "_place", ["_finish", "_h", "_pass", "doc_id", "size"], "_served", "_total", F.lit(-(-(rows or 0) * most // SLICE_ROWS)))
+    kept = F.greatest(F.lit(0), F.least(F.col("_served"), F.lit(budget) - (F.col("_total") - F.col("_served"))))
     first = F.col("_pass") == 0
     rows = copies.groupBy("doc_id", "source", "size", "source_size", "target", "_cum", "_h").agg(
         F.sum(kept).cast("long").alias("taken"),
