@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import html_text, jaccard, lines, mixing, pii, quality, suffixes, tiling, urls, warc
+from quillspark.llm import html_text, jaccard, lines, mixing, oracles, pii, quality, suffixes, tiling, urls, warc
 
 QUERIES = {
     "op1_find_pii": pii.op1,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_arc_to_warc": warc.op9,
 }
 ORACLES = {
+    "op3_link_documents": oracles.OP3_SQL,
+    "op6_remove_repeats": oracles.OP6_SQL,
     "op7_dedup_lines": lines.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_arc_to_warc": warc.OP9_SQL,
