@@ -16,8 +16,8 @@ SELECT r.a AS doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.b
 
 OP6_SQL = r"""
 WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-starts AS (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM docs WHERE n >= 100),
-ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY hash(b[i : i + 99]) ORDER BY doc_id, i) AS nth FROM starts),
+starts AS (SELECT doc_id, unnest(list_transform(range(1, n - 98), lambda i: {'i': i, 'h': hash(b[i : i + 99])})) AS s FROM docs WHERE n >= 100),
+ranked AS (SELECT doc_id, s.i AS i, row_number() OVER (PARTITION BY s.h ORDER BY doc_id, s.i) AS nth FROM starts),
 later AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM ranked WHERE nth > 1),
 islands AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM later),
 runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM islands GROUP BY doc_id, run),
