@@ -4,11 +4,14 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 document's component under links.
 
 1. Equal sets are one from here on (64-bit set hash).
+   Of shingles of ``RARE_SIZE`` words or more, a set needs ``num / den`` of its own in other sets to have a partner at all; sets
+   with fewer (as of documents that merely share a passage) have none, and leave.
 2. Partition, without loss: sets that link differ in at most d shingles, d by their size, so of k > d hash ranges of the shingle space
    at least k - d hold the same shingles in both. Each set has one signature for each range (ranges are scaled by size level; a set
    also signs for the level below if a smaller partner may be there). Sets that share a signature fall into one group, by
-   components over (set, least set of the signature): no pairs are made, and groups are supersets of components.
-   With ``SPARE`` ranges more than needed, empty ranges need no signature, unless a set has more than ``SPARE`` of them.
+   components over (set, least set of the signature): no pairs are made, and groups are supersets of components. Signatures are combined
+   in each task before their one shuffle, and read as a sorted stream after it.
+   Empty ranges need no signature, unless a set has no more than d that are not empty; ``ranges`` makes that rare.
 3. In a group a signature tree is built: its leaves hold sets, nodes the OR of their token bitmaps, the range of sizes and the
    least number of bits. Dual traversal of the tree with itself leaves out node pairs whose largest possible overlap is too small,
    and those already connected; what remains at the leaves is verified on the shingle hashes.
@@ -23,6 +26,7 @@ columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,10 @@ BLOCK_SETS = 2000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 8
 LEAF = 8
+#: Signatures (or shingles) that a task looks at together before they are shuffled.
+CHUNK_ROWS = 500_000
+#: From this many words on, shingles are rare by themselves, and counting the shared ones pays.
+RARE_SIZE = 5
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -69,6 +77,19 @@ def level_bounds(most: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
+def ranges(least: int, differ: int) -> int:
+    """How many ranges a level has: so many that a set of ``least`` shingles has more than ``differ`` that are not empty, but for
+    about four standard deviations; at most four a shingle."""
+    k = differ + 1 + SPARE
+    while k < 4 * least:
+        x = least / k
+        mean, variance = k * (1 - math.exp(-x)), k * (math.exp(-x) - (1 + x) * math.exp(-2 * x))
+        if mean - 4 * math.sqrt(max(variance, 0.0)) >= differ + 1:
+            break
+        k += max(1, k // 50)
+    return k
+
+
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of a set of shingle hashes (sorted)."""
     n = len(s)
@@ -82,7 +103,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     while level >= 0:
         differ = (int(bounds[level + 1]) - 1) * (den - num) // num
         if differ:
-            k = differ + 1 + SPARE
+            k = ranges(int(bounds[level]), differ)
             seg = (high * np.uint64(k)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             if sums is None:
@@ -90,7 +111,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             part = sums[np.append(starts[1:], n)] - sums[starts]
             salt = np.uint64((level + 1) * int(_LEVEL) & 0xFFFFFFFFFFFFFFFF)
             out.append(kernels.mix(part + seg[starts] * _SEG + salt))
-            if k - len(starts) > SPARE:
+            if len(starts) <= differ:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[starts])
                 out.append(kernels.mix(empty * _SEG + salt))
         level -= 1
@@ -223,9 +244,109 @@ def join_group(ids: list[int], known: list[int], side: list[int], sets: list[np.
 # --- Spark ---
 
 
-def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SETS) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, set_id, counted) in order of (hash, set_id), to (set_id, n): how many hashes of a set, not yet counted, another set
+    has too. Of the open hash only its first row is held, until a second set comes."""
+    open_hash = last = waiting = None
+    for batch in batches:
+        h, own = (batch.column(c).to_numpy() for c in ("hash", "set_id"))
+        if not len(h):
+            continue
+        counted = batch.column("counted").to_numpy(zero_copy_only=False)
+        opens = np.concatenate([[h[0] != open_hash], h[1:] != h[:-1]])
+        new = opens | np.concatenate([[own[0] != last], own[1:] != own[:-1]])
+        number = np.cumsum(opens)  # 0: the hash that was open before
+        distinct = np.bincount(number, new, minlength=int(number[-1]) + 1).astype(int)
+        take = new & ~counted & ((number == 0) | (distinct[number] > 1))
+        sets = own[take]
+        if distinct[0] and waiting is not None:
+            sets = np.append(sets, waiting)
+            waiting = None
+        starts = np.flatnonzero(opens)
+        if len(starts):
+            k = int(starts[-1])
+            waiting = own[k] if distinct[-1] < 2 and not counted[k] else None
+        open_hash, last = h[-1], own[-1]
+        if len(sets):
+            ids, n = np.unique(sets, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["set_id", "n"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of shingles, 48 bits (a collision weakens the filter and loses nothing). Sets that share one within a chunk are counted
+    here, as rows without hash; one of them goes on for all."""
+
+    def out(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h = (np.concatenate([p for _, p in parts]) >> np.uint64(16)).view(np.int64)
+        own = np.repeat(np.array([x for x, _ in parts], np.int64), [len(p) for _, p in parts])
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        opens = np.concatenate([[True], h[1:] != h[:-1]])
+        new = opens | np.concatenate([[True], own[1:] != own[:-1]])
+        number = np.cumsum(opens) - 1
+        many = np.bincount(number, new) > 1
+        sets, n = np.unique(own[new & many[number]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h[opens]), pa.array(own[opens]), pa.array(many), pa.nulls(int(opens.sum()), pa.int64())], ["hash", "set_id", "counted", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(sets), pa.array(np.ones(len(sets), bool)), pa.array(n.astype(np.int64))], ["hash", "set_id", "counted", "n"])
+
+    parts, rows = [], 0
+    for batch in batches:
+        for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
+            if len(s):
+                parts.append((set_hash(s), s))
+                rows += len(s)
+            if rows > CHUNK_ROWS:
+                yield from out(parts)
+                parts, rows = [], 0
+    if parts:
+        yield from out(parts)
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that a chunk counted pass; the others are read by ``_shared``."""
+
+    def others() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ready = batch.filter(batch.column("n").is_valid())
+            if ready.num_rows:
+                done.append(ready.select(["set_id", "n"]))
+            yield batch.filter(batch.column("n").is_null())
+
+    done: list[pa.RecordBatch] = []
+    for found in _shared(others()):
+        yield from done
+        done.clear()
+        yield found
+    yield from done
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (sig, set_id) to links of each set with the least that shares its signature; ready links pass. Only the
+    open signature and its least set are held."""
+    sig = least = None
+    for batch in batches:
+        other = batch.column("other")
+        ready = batch.filter(other.is_valid())
+        if ready.num_rows:
+            yield pa.RecordBatch.from_arrays([ready.column("set_id"), ready.column("other")], ["a", "b"])
+        rows = batch.filter(other.is_null())
+        if not rows.num_rows:
+            continue
+        g, own = rows.column("sig").to_numpy(), rows.column("set_id").to_numpy()
+        opens = np.concatenate([[g[0] != sig], g[1:] != g[:-1]])
+        first = own[opens] if opens[0] else np.concatenate([[least], own[opens]])
+        pivot = first[np.cumsum(opens) - int(opens[0])]
+        far = own != pivot
+        if far.any():
+            pairs = np.unique(np.stack([own[far], pivot[far]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        sig, least = g[-1], pivot[-1]
+
+
+
+def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SETS, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    work = Workspace(docs.sparkSession, "jaccard")
+    work = work or Workspace(docs.sparkSession, "jaccard")
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", "text")
 
@@ -235,31 +356,53 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["doc_id", "n", "set_id"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        """Signatures (sig, set_id), one a chunk: of sets that share one within a chunk, the least goes on for all, and the others
+        become links to it here. So a hot signature reaches the shuffle once a chunk."""
+
+        def out(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             sig = np.concatenate([p for _, p in parts]).view(np.int64)
             own = np.repeat(np.array([h for h, _ in parts], np.int64), [len(p) for _, p in parts])
-            return pa.RecordBatch.from_pydict({"sig": pa.array(sig), "set_id": pa.array(own)})
-
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
+            opens = np.concatenate([[True], sig[1:] != sig[:-1]])
+            least = own[opens][np.cumsum(opens) - 1]
+            pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
+            none = pa.nulls(int(opens.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sig[opens]), pa.array(own[opens]), none], ["sig", "set_id", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["sig", "set_id", "other"])
+
+        parts, rows = [], 0
         for batch in batches:
-            parts, rows = [], 0
             for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
                 own = signatures(s, num, den)
                 if len(own):
                     parts.append((set_hash(s), own))
                     rows += len(own)
-                if rows > 200_000:
-                    yield out(parts)
+                if rows > CHUNK_ROWS:
+                    yield from out(parts)
                     parts, rows = [], 0
-            if parts:
-                yield out(parts)
+        if parts:
+            yield from out(parts)
 
     described = work.keep(slim.mapInArrow(describe, f"doc_id {kind}, n long, set_id long"), "sets")
-    signed = slim.mapInArrow(sign, "sig long, set_id long")
-    shared = signed.groupBy("sig").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most").select("sig", "least")
-    near = signed.join(shared, "sig").where("set_id != least").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
-    groups = components(near, work, "groups").select(F.col("node").alias("set_id"), F.col("comp").alias("group"))
-
     firsts = described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    signing = slim
+    if size >= RARE_SIZE:
+        counted = slim.mapInArrow(lambda b: _tokens(b, size), "hash long, set_id long, counted boolean, n long")
+        counted = counted.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_count_shared, "set_id long, n long")
+        shared = work.keep(counted.groupBy("set_id").agg(F.sum("n").alias("shared")), "shared")
+        del counted
+        work.release()
+        able = firsts.join(shared, "set_id").where(F.col("shared") * den >= F.col("n") * num).select("set_id")
+        able = work.keep(described.join(able, "set_id").select(F.col("doc_id").alias("_id")).distinct(), "able")
+        signing = slim.join(broadcast_if_small(able), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    signed = signing.mapInArrow(sign, "sig long, set_id long, other long")
+    near = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_near, "a long, b long")
+    groups = components(near, work, "groups")
+    del signed, near
+    work.release()
+    groups = groups.select(F.col("node").alias("set_id"), F.col("comp").alias("group"))
+
     members = groups.join(firsts, "set_id")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     cut = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
@@ -267,6 +410,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     wanted = broadcast_if_small(members.select("set_id", "first", "group", "blocks", "n"))
     # A row of the id with another text is dropped in the block, where its set is known.
     texts = work.keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "group", "blocks", "n", "text"), "texts")
+    work.release()
 
     def join(table: pa.Table) -> pa.Table:
         ids, known, side, sets, seen = [], [], [], [], set()
@@ -292,6 +436,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.unionByName(pivots.select("group", "block", "set_id", F.col("set_id").alias("known"), F.lit(0).alias("side"), "text"))
     links = work.keep(rows.groupBy("group", "block").applyInArrow(join, "a long, b long"), "links1")
+    work.release()
     known = components(links, work, "known")
     state = large.join(known, F.col("set_id") == F.col("node"), "left").select("set_id", "group", "blocks", "n", F.coalesce("comp", "set_id").alias("known"), "text")
     weight = state.groupBy("group", "known").agg(F.count(F.lit(1)).alias("sets"))
@@ -320,8 +465,10 @@ def _result(described: DataFrame, firsts: DataFrame, links: DataFrame, work: Wor
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's."""
-    found = link_components(docs, size, num, den)
+    work = Workspace(docs.sparkSession, "jaccard")
+    found = link_components(docs, size, num, den, work=work)
     gone = Workspace(docs.sparkSession, "copies").keep(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    work.drop()
     return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
