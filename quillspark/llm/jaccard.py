@@ -469,6 +469,7 @@ def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     found = link_components(docs, size, num, den, work=work)
     gone = Workspace(docs.sparkSession, "copies").keep(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     work.drop()
+    work.release()
     return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
 
 

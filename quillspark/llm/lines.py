@@ -56,6 +56,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, columns: tuple[str, str, st
     """``docs`` with repeated lines gone from ``text``, and the number of lines, of removed ones and of their runs."""
     work = Workspace(docs.sparkSession, "lines")
     covered = work.keep(repeated_lines(docs, size), "covered")
+    work.release()
     rows, places = covered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()
     if 24 * rows + 4 * places <= BROADCAST_BYTES:
         covered = F.broadcast(covered)

@@ -75,6 +75,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     slim = slim.withColumn("_u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48))
     work = Workspace(docs.sparkSession, "mixing")
     slim = work.keep(slim, "sizes")  # texts are read once; a few numbers a document are kept
+    work.release()
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     targets = targets.alias("t").join(sizes.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "s._rows")
