@@ -1,9 +1,10 @@
 """Quality rules and n-gram perplexity bands.
 
 The base features are counts over whole texts. The method is a modified Kneser-Ney model of character 4-grams, counted by
-Spark over all documents, kept as sorted arrays of n-gram keys. A document's mean negative log probability, shrunk towards its
-language's mean as short texts vary more, has to lie in the band of its language: quartiles of all documents of the language, widened
-by ``WIDTH`` times their distance. Documents below are too repetitive, documents above are not prose of that language.
+Spark over all distinct texts, kept as sorted arrays of n-gram keys. A document's mean negative log probability, shrunk towards its
+language's mean as short texts vary more, has to lie in the band of its language: quartiles of all distinct texts of the language, widened
+by ``WIDTH`` times their distance (``FLOOR`` at least). Documents below are too repetitive, documents above are not prose of that language.
+Every row is judged; copies of a text count once in the model, the mean and the quartiles.
 
 Characters are folded to ``CLASSES`` classes (letters by case and accent, digits, separators, symbols), so keys have a
 proven bound, ``CLASSES ** 4``; what tasks send is a partial count table each, and their number follows the input.
@@ -29,6 +30,8 @@ ORDER = 4
 CLASSES = 48
 #: Band half-width beyond the quartiles, as a multiple of their distance.
 WIDTH = 4.0
+#: Least distance of the quartiles, in nats a character: a language whose texts are all alike still has a band.
+FLOOR = 0.02
 #: Characters of the language's mean that are mixed into a document's mean.
 PRIOR = 400.0
 SYMBOLS = "#*$%&|<>"
@@ -81,14 +84,16 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, first: int, last: int) ->
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES**ORDER, np.int64)
+    """Each n-gram counts ``1 / copies`` in a row, so that all rows of one text add up to one text."""
+    total = np.zeros(CLASSES**ORDER)
     for batch in batches:
         data, offsets = kernels.text_buffers(batch.column("text"))
+        share = 1.0 / batch.column("copies").to_numpy(zero_copy_only=False)
         for first, last in kernels.runs(offsets, 8 << 20):
-            keys, _ = gram_codes(data, offsets, first, last)
-            total += np.bincount(keys, minlength=len(total))
+            keys, bounds = gram_codes(data, offsets, first, last)
+            total += np.bincount(keys, np.repeat(share[first:last], np.diff(bounds)), len(total))
     seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"key": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+    yield pa.RecordBatch.from_pydict({"key": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.float64())})
 
 
 class KneserNey:
@@ -151,8 +156,12 @@ class KneserNey:
 
 
 def fit(docs: DataFrame) -> KneserNey:
-    """Counts all documents. The driver gets at most CLASSES ** ORDER counts."""
-    rows = docs.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    """Counts all distinct texts, each once. The driver gets at most CLASSES ** ORDER counts."""
+    texts = docs.select("text", F.xxhash64("text").alias("_text"))
+    copied = texts.groupBy("_text").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    copied = broadcast_if_small(Workspace(docs.sparkSession, "copies").keep(copied, "copied"))
+    counted = texts.join(copied, "_text", "left").select("text", F.coalesce("_n", F.lit(1)).alias("copies"))
+    rows = counted.mapInArrow(_count, "key long, n double").groupBy("key").agg(F.round(F.sum("n")).cast("long").alias("n")).toArrow()
     keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
     if not len(keys):
         keys, n = np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -240,14 +249,22 @@ def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     measured = work.keep(measured, "features")
     table.destroy()  # the features are kept: nothing scores again
     work.release()
-    mean = measured.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("_mean")).alias("m")
-    scored = measured.alias("d").join(mean, F.col("d.lang").eqNullSafe(F.col("m.lang"))).select("d.*", ((F.col("nll") + PRIOR * F.col("_mean")) / (F.col("n_chars") + PRIOR)).alias("perplexity"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
+    measured = measured.withColumn("base_failed", failed)
+    # One row for each text of a language: copies move neither the mean nor the quartiles.
+    once = measured.groupBy("lang", "_key").agg(*(F.first(c).alias(c) for c in ("nll", "n_chars", "base_failed")))
+    once = work.keep(once, "once")
+    work.release()
+    mean = once.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("_mean")).alias("m")
+
+    def with_perplexity(rows: DataFrame) -> DataFrame:
+        value = (F.col("nll") + PRIOR * F.col("_mean")) / (F.col("n_chars") + PRIOR)
+        return rows.alias("d").join(mean, F.col("d.lang").eqNullSafe(F.col("m.lang"))).select("d.*", value.alias("perplexity"))
+
     quarter = F.percentile_approx("perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000))
-    bands = scored.where(~F.col("base_failed")).groupBy("lang").agg(quarter.alias("_q")).alias("b")
-    joined = scored.alias("d").join(bands, F.col("d.lang").eqNullSafe(F.col("b.lang")), "left").select("d.*", "b._q")
-    margin = width * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))
+    bands = with_perplexity(once).where(~F.col("base_failed")).groupBy("lang").agg(quarter.alias("_q")).alias("b")
+    joined = with_perplexity(measured).alias("d").join(bands, F.col("d.lang").eqNullSafe(F.col("b.lang")), "left").select("d.*", "b._q")
+    margin = width * F.greatest(F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)), F.lit(FLOOR))
     inside = F.col("perplexity").between(F.get("_q", F.lit(0)) - margin, F.get("_q", F.lit(1)) + margin)
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_q")
 

@@ -152,6 +152,16 @@ def test_op4_bands_against_labels(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.6
 
 
+@pytest.mark.parametrize("copies", [40, 400])
+def test_op4_copies_move_no_verdict(spark, copies):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").dropDuplicates(["text"])
+    hot = docs.orderBy(docs.n_chars.desc(), "doc_id").limit(1).selectExpr(f"explode(sequence(1000, {999 + copies})) doc_id", "text", "lang", "source", "n_chars")
+    own = {r["doc_id"]: (r["kept"], round(r["perplexity"], 6)) for r in quality.judge(docs).collect()}
+    got = {r["doc_id"]: (r["kept"], round(r["perplexity"], 6)) for r in quality.judge(docs.unionByName(hot)).collect()}
+    assert {d: v for d, v in got.items() if d < 1000} == own and len(got) == len(own) + copies
+    assert sum(kept for kept, _ in own.values()) > 0.7 * len(own)
+
+
 def test_op5_rows(spark):
     rows = [(1, "u", "<article><p>a  b</p></article>"), (2, None, None), (3, "u", ""), (3, "u", "")]
     got = sorted(map(tuple, html_text.extract_text(spark.createDataFrame([(*r, 5) for r in rows], PAGES + ", text long")).collect()), key=str)
