@@ -152,6 +152,15 @@ def test_op4_bands_against_labels(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.6
 
 
+def test_op4_bands_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = docs.where("crc32(encode(text, 'utf-8')) % 2 = 1").select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    judged = quality.judge(docs).join(held, "doc_id").where("NOT base_failed").toPandas()
+    assert judged[judged.quality == 1].kept.mean() > 0.99
+    assert judged[judged.quality == 0].kept.mean() < 0.25
+
+
 @pytest.mark.parametrize("copies", [40, 400])
 def test_op4_copies_move_no_verdict(spark, copies):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").dropDuplicates(["text"])
