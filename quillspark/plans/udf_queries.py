@@ -216,8 +216,8 @@ def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_01_page_text")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts as rows: a document's lines in pages of five, clipped to the first ten pages."""
-    return run_sql(spark, sf_dir, with_(blocks(SPARK)) + "SELECT doc_id, page, array_join(transform(array_sort(collect_list(struct(ord, text))), x -> x.text), '\\n') AS text FROM blocks WHERE page BETWEEN 1 AND 10 GROUP BY doc_id, page")
+    """Page texts as rows: all of a document's lines, in pages of five."""
+    return run_sql(spark, sf_dir, with_(blocks(SPARK)) + "SELECT doc_id, page, array_join(transform(array_sort(collect_list(struct(ord, text))), x -> x.text), '\\n') AS text FROM blocks GROUP BY doc_id, page")
 
 
 @query("src_02_digital_formats")
@@ -231,13 +231,13 @@ def digital_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_03_epub_order")
 def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters in spine order from EPUB archives that are made of a document's lines."""
+    """Chapters in spine order from EPUB archives that are made of all of a document's lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                chapters = (text or "").split("\n")[:20]
+                chapters = (text or "").split("\n")
                 rows += [(doc, k, name, body) for k, (name, body) in enumerate(epub.chapters(epub.pack(chapters)))]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "name", "body"])
 
@@ -254,7 +254,7 @@ def fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_08_mobi_titles")
 def mobi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit('<p><font size="'), (F.col("ord") % 4 + 4).cast("string"), F.lit('"><b>'), F.substring("text", 1, 100), F.lit("</b></font></p>"))
+    page = F.concat(F.lit('<p><font size="'), (F.col("ord") % 4 + 4).cast("string"), F.lit('"><b>'), F.col("text"), F.lit("</b></font></p>"))
     return _blocks(spark, sf_dir).select("doc_id", "ord", _column("string", prose.mobi_titles)(page).alias("html"))
 
 

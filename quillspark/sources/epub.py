@@ -24,7 +24,7 @@ def pack(chapters: list[str]) -> bytes:
 
 def chapters(data: bytes) -> list[tuple[str, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
+        names = dict.fromkeys(z.namelist())
         ordered: list[str] = []
         package = next((n for n in names if n.endswith(".opf")), None)
         if package:

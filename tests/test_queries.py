@@ -24,6 +24,23 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def long_documents(tmp_path, spark):
+    rows = [(1, "\n".join(f"line {k} {'w' * (k % 250)}" for k in range(260))), (2, "a\nb")]
+    spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return {d: t.split("\n") for d, t in rows}
+
+
+def test_sources_take_whole_documents(spark, tmp_path):
+    own = long_documents(tmp_path, spark)
+    chapters = sorted(map(tuple, registry.QUERIES["src_03_epub_order"](spark, str(tmp_path)).select("doc_id", "place", "body").collect()))
+    assert chapters == [(d, k, f"<p>{t}</p>") for d, texts in own.items() for k, t in enumerate(texts)]
+    pages = sorted(map(tuple, registry.QUERIES["src_01_page_text"](spark, str(tmp_path)).select("doc_id", "page", "text").collect()))
+    assert ["\n".join(t for d, _, t in pages if d == doc).split("\n") for doc in own] == list(own.values())
+    titles = {(r["doc_id"], r["ord"]): r["html"] for r in registry.QUERIES["src_08_mobi_titles"](spark, str(tmp_path)).collect()}
+    assert len(titles) == 262 and all(any(t in html for t in own[d]) for (d, _), html in titles.items())
+    assert {html[:2] == "<h" for html in titles.values() if len(html) > 260} == {False} and sum(t in html for t in own[1] for html in titles.values()) >= 260
+
+
 def test_entry(spark):
     import __spark_entry__
 
