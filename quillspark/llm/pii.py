@@ -117,24 +117,31 @@ _CUES = (
 _AT = r"[\x20]?(?:\[at\]|\(at\)|\{at\}|<at>)[\x20]?|[\x20]at[\x20]"
 _DOT = r"[\x20]?(?:\[dot\]|\(dot\)|\{dot\})[\x20]?|[\x20]dot[\x20]|\."
 _VEILED = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9][a-z0-9._+-]{{1,63}}(?:{_AT})[a-z0-9-]{{2,63}}(?:(?:{_DOT})[a-z0-9-]{{2,63}}){{1,4}}")
+_VEIL_HINT = re.compile(r"(?i)[\[({< ]at[\])}> ]\s?[a-z0-9-]+(?:\.| ?[\[({ ]dot)")
 _SSN = re.compile(r"(?<![0-9.-])[0-9]{3}([\x20-])[0-9]{2}\1[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9.+-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){0,2}(?![0-9-])")
-_KEYED = re.compile(
-    r"(?i)(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|bearer|authorization|private[_-]?key)"
-    r"[\"']?[\x20]{0,3}[:=]?[\x20]{0,3}[\"']?([A-Za-z0-9_+/=.$!@#%&*~-]{6,200})"
-)
+_KEY_CUE = r"(?i)(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|bearer|authorization|private[_-]?key)"
+_CUE_WORD = re.compile(_KEY_CUE)
+_KEYED = re.compile(_KEY_CUE + r"[\"']?[\x20]{0,3}[:=]?[\x20]{0,3}[\"']?([A-Za-z0-9_+/=.$!@#%&*~-]{6,})")
 _KEY_HINT = re.compile(r"(?i)pass|pwd|token|secret|key|bearer|authorization")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{18,200}={0,2}(?![A-Za-z0-9_/+=-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{18,}+={0,2}(?![A-Za-z0-9_/+=-])")
 _IPV6 = re.compile(r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{1,4}(?![0-9a-z:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
+def _keyed(text: str) -> Iterator[Span]:
+    """What follows a cue word. If that is itself a cue (``Authorization: Bearer ...``), also what follows it."""
+    m = _KEYED.search(text)
+    while m:
+        yield Span(m.start(1), 6, m.end(1))
+        m = _KEYED.search(text, m.start(1) if _CUE_WORD.fullmatch(m[1]) else m.end(1))
+
+
 def candidates(text: str, zones: list[tuple[int, int]]) -> list[Span]:
     """Spans that may be personal data, whatever their overlaps."""
     out = []
-    lower = None
-    if "(at)" in text or "[at]" in text or " dot " in text or "(dot)" in text or "[dot]" in text or "{at}" in text or "<at>" in text or " at " in text and "." in text:
-        out += [Span(m.start(), 0, m.end()) for m in _VEILED.finditer(text)] if re.search(r"(?i)[\[({< ]at[\])}> ]\s?[a-z0-9-]+(?:\.| ?[\[({ ]dot)", text) else []
+    if _VEIL_HINT.search(text):
+        out += [Span(m.start(), 0, m.end()) for m in _VEILED.finditer(text)]
     for lo, hi in zones:
         if hi - lo >= 9:
             near = max(0, lo - 1), hi
@@ -142,15 +149,15 @@ def candidates(text: str, zones: list[tuple[int, int]]) -> list[Span]:
             out += [Span(m.start(), 3, m.end()) for m in _NATIONAL.finditer(text, *near)]
     if zones or "=" in text or ":" in text:
         if _KEY_HINT.search(text):
-            out += [Span(m.start(1), 6, m.end(1)) for m in _KEYED.finditer(text)]
+            out += _keyed(text)
     seen = -1
     for lo, hi in zones:  # opaque tokens, IBAN and IPv6 hold digits: look at the word around each
         if lo < seen:
             continue
         start, end = lo, hi
-        while start > 0 and lo - start < 220 and not text[start - 1].isspace():
+        while start > 0 and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and end - hi < 220 and not text[end].isspace():
+        while end < len(text) and not text[end].isspace():
             end += 1
         seen = end
         if end - start >= 15:
@@ -296,7 +303,9 @@ def find(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
         base = base_spans(text, zones)
         bases.append(base)
         for span in candidates(text, zones):
-            if not any(b.start < span.end and span.start < b.end for b in base):
+            met = [b for b in base if b.start < span.end and span.start < b.end]
+            # A long token may hold digits that look like a card: as a whole it is still a secret.
+            if not met or span.kind == 6 and all(span.start <= b.start and b.end <= span.end and b.end - b.start < span.end - span.start for b in met):
                 proposed.append(span)
                 rows.append(describe(text, span))
                 owner.append(k)

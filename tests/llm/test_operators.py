@@ -47,6 +47,19 @@ def test_op1_edges(spark):
     assert clean["text"] == "[EMAIL] x" and clean["key"] == "clash"
 
 
+def test_op1_long_tokens_and_capitals(spark):
+    rng = random.Random(1)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    own = [token(n) for n in (200, 201, 300, 600, 5000)]
+    rows = [(k, f"the file {t} was here") for k, t in enumerate(own)] + [(10 + k, f"use token = {t} for now") for k, t in enumerate(own)]
+    rows += [(20, f"Authorization: Bearer {token(40)} ok"), (21, f"Authorization: Bearer {own[3]} ok"), (30, "JOHN [AT] EXAMPLE [DOT] COM"), (31, "see john at example {dot} com")]
+    for doc, text in rows:
+        found = {(x.kind, text[x.start : x.end]) for x in pii.candidates(text, pii.number_zones(text))}
+        assert any(kind == (6 if doc < 30 else 0) and len(x) >= (40 if doc < 30 else 19) and not re.search("[0-9a-f]{30}", text.replace(x, "")) for kind, x in found), doc
+    clean = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in clean if re.search("[0-9a-f]{20}|EXAMPLE", r["text"])] == []
+
+
 def test_op2_rules_and_propagation(spark):
     page = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
     rows = [(1, "http://A.com/en/1?q", page("b.org")), (2, "https://x.example.com/en/77", None), (3, "ftp://n.net/de/8", ""), (4, "http://example.net/de/80#f", ""), (5, "http://o.org/es/", ""), (6, None, None), (7, "nothing", ""), (8, "http://spam.xyz", page("a.com")), (8, "http://spam.xyz", page("a.com")), (9, "http://good.xyz/a", page("n.net")), (10, "http://n.net/de/", page("good.xyz"))]
