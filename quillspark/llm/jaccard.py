@@ -4,8 +4,9 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 document's component under links.
 
 1. Equal sets are one from here on (64-bit set hash).
-   Of shingles of ``RARE_SIZE`` words or more, a set needs ``num / den`` of its own in other sets to have a partner at all; sets
-   with fewer (as of documents that merely share a passage) have none, and leave.
+   Of shingles of ``RARE_SIZE`` words or more, sets that link share the least of their common hashes within the first of each (its
+   prefix, ``1 - num / den`` of its shingles and as many again). A set with fewer of them in other sets' prefixes than any partner
+   would share has none, and leaves, as most documents that merely share a passage do. Only prefixes are shuffled for that.
 2. Partition, without loss: sets that link differ in at most d shingles, d by their size, so of k > d hash ranges of the shingle space
    at least k - d hold the same shingles in both. Each set has one signature for each range (ranges are scaled by size level; a set
    also signs for the level below if a smaller partner may be there). Sets that share a signature fall into one group, by
@@ -21,7 +22,8 @@ document's component under links.
 
 Cases: a document of fewer words than a shingle is one shingle as a whole; without words or text it has none, links with nothing and
 is its own component; null ids and repeated rows are kept, each with its own row; an empty table gives an empty result; other
-columns are left alone.
+columns are left alone. Sets of very many documents (``HOT_SETS`` of them at most) are joined with their rows by a broadcast of those sets, so
+that no task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
 from quillspark.llm.components import components
-from quillspark.llm.workspace import Workspace, broadcast_if_small
+from quillspark.llm.workspace import Workspace, small_side
 
 SPARE = 2
 LEVEL_RATIO = 1.4
@@ -48,6 +50,8 @@ LEAF = 8
 CHUNK_ROWS = 500_000
 #: From this many words on, shingles are rare by themselves, and counting the shared ones pays.
 RARE_SIZE = 5
+#: Sets of more than one in so many rows (and of 1000 rows) are hot; so there are fewer than that.
+HOT_SETS = 100_000
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -120,6 +124,18 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spare(n: int, num: int, den: int) -> int:
+    """Common shingles that the prefixes of linked sets show, if the smaller has ``n`` shingles."""
+    return max(1, -(-n * (den - num) // den))
+
+
+def prefix(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least hashes of a set: those that a partner may lack, and ``spare`` more. Of linked sets a and b with o shingles in common,
+    the k-th least common one is at place |a| - o + k of a at most; o is at least num / den of either size."""
+    n = len(s)
+    return s[: n - -(-n * num // den) + spare(n, num, den)]
+
+
 # --- signature tree ---
 
 
@@ -272,8 +288,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["set_id", "n"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of shingles, 48 bits (a collision weakens the filter and loses nothing). Sets that share one within a chunk are counted
+def _tokens(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the prefixes' shingles, 48 bits (a collision weakens the filter and loses nothing). Sets that share one within a chunk are counted
     here, as rows without hash; one of them goes on for all."""
 
     def out(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +309,8 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for batch in batches:
         for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
             if len(s):
-                parts.append((set_hash(s), s))
-                rows += len(s)
+                parts.append((set_hash(s), prefix(s, num, den)))
+                rows += len(parts[-1][1])
             if rows > CHUNK_ROWS:
                 yield from out(parts)
                 parts, rows = [], 0
@@ -344,16 +360,25 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SETS, work: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    work = work or Workspace(docs.sparkSession, "jaccard")
+def _with_hot(described: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows of ``described`` joined with a table of one row for each set; rows of hot sets stay where they are."""
+    if hot is None:
+        return described.join(table, "set_id")
+    own = described.join(F.broadcast(table.join(hot, "set_id")), "set_id")
+    return own.unionByName(described.join(F.broadcast(hot), "set_id", "left_anti").join(table, "set_id"))
+
+
+def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Workspace) -> DataFrame:
+    """doc_id, text_key, n, set_id, component (least doc_id) and group (a set of the component) for each row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), set_hash(s)) for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["doc_id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["doc_id", "text_key", "n", "set_id"]
+            )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signatures (sig, set_id), one a chunk: of sets that share one within a chunk, the least goes on for all, and the others
@@ -384,33 +409,35 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         if parts:
             yield from out(parts)
 
-    described = work.keep(slim.mapInArrow(describe, f"doc_id {kind}, n long, set_id long"), "sets")
-    firsts = described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    keyed = slim.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    described = work.keep(keyed.mapInArrow(describe, f"doc_id {kind}, text_key long, n long, set_id long"), "sets")
+    firsts = described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    firsts = work.keep(firsts, "firsts")
+    many = max(1000, (described.count() + HOT_SETS - 1) // HOT_SETS)
+    hot = work.keep(firsts.where(F.col("rows") > many).select("set_id"), "hot")
+    hot = None if hot.isEmpty() else hot
     signing = slim
     if size >= RARE_SIZE:
-        counted = slim.mapInArrow(lambda b: _tokens(b, size), "hash long, set_id long, counted boolean, n long")
+        counted = slim.mapInArrow(lambda b: _tokens(b, size, num, den), "hash long, set_id long, counted boolean, n long")
         counted = counted.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_count_shared, "set_id long, n long")
         shared = work.keep(counted.groupBy("set_id").agg(F.sum("n").alias("shared")), "shared")
-        del counted
-        work.release()
-        able = firsts.join(shared, "set_id").where(F.col("shared") * den >= F.col("n") * num).select("set_id")
-        able = work.keep(described.join(able, "set_id").select(F.col("doc_id").alias("_id")).distinct(), "able")
-        signing = slim.join(broadcast_if_small(able), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        least = F.ceil(F.ceil(F.col("n") * num / den) * (den - num) / den)
+        # Equal texts of different rows are one set: a set of several rows needs no partner, and one without may leave.
+        able = firsts.join(shared, "set_id").where(F.col("shared") >= F.greatest(least, F.lit(1))).select("set_id")
+        able = work.keep(_with_hot(described, able, hot).select(F.col("doc_id").alias("_id")).distinct(), "able")
+        signing = work.keep(slim.join(small_side(able), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "candidates")
     signed = signing.mapInArrow(sign, "sig long, set_id long, other long")
     near = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_near, "a long, b long")
     groups = components(near, work, "groups")
-    del signed, near
-    work.release()
     groups = groups.select(F.col("node").alias("set_id"), F.col("comp").alias("group"))
 
-    members = groups.join(firsts, "set_id")
+    members = groups.join(firsts.select("set_id", "first", "n"), "set_id")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     cut = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     members = work.keep(members.join(sizes, "group").withColumn("blocks", F.greatest(cut, F.lit(1))), "members")
-    wanted = broadcast_if_small(members.select("set_id", "first", "group", "blocks", "n"))
+    wanted = small_side(work.keep(members.select("set_id", "first", "group", "blocks", "n"), "wanted"))
     # A row of the id with another text is dropped in the block, where its set is known.
-    texts = work.keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "group", "blocks", "n", "text"), "texts")
-    work.release()
+    texts = work.keep(signing.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "group", "blocks", "n", "text"), "texts")
 
     def join(table: pa.Table) -> pa.Table:
         ids, known, side, sets, seen = [], [], [], [], set()
@@ -428,7 +455,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = texts.select("group", own_block.alias("block"), "set_id", F.col("set_id").alias("known"), F.lit(0).alias("side"), "text")
     large = texts.where("blocks > 1")
     if large.isEmpty():
-        return _result(described, firsts, work.keep(rows.groupBy("group", "block").applyInArrow(join, "a long, b long"), "links"), work, kind)
+        return _result(described, firsts, hot, work.keep(rows.groupBy("group", "block").applyInArrow(join, "a long, b long"), "links"), work)
     # Groups of several blocks: pivots go to every block of their group.
     picked = members.where("blocks > 1").where(F.pmod(F.xxhash64("set_id"), F.col("sets")) < 4 * PIVOTS)
     ranked = picked.groupBy("group").agg(F.slice(F.array_sort(F.collect_set("set_id")), 1, PIVOTS).alias("pivots"))
@@ -436,7 +463,6 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.unionByName(pivots.select("group", "block", "set_id", F.col("set_id").alias("known"), F.lit(0).alias("side"), "text"))
     links = work.keep(rows.groupBy("group", "block").applyInArrow(join, "a long, b long"), "links1")
-    work.release()
     known = components(links, work, "known")
     state = large.join(known, F.col("set_id") == F.col("node"), "left").select("set_id", "group", "blocks", "n", F.coalesce("comp", "set_id").alias("known"), "text")
     weight = state.groupBy("group", "known").agg(F.count(F.lit(1)).alias("sets"))
@@ -450,27 +476,49 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # A set that is on both sides of a task counts once, as one that is held against all.
     both = outer.unionByName(inner.join(rest.select("set_id", "chunk"), ["set_id", "chunk"], "left_anti").select(*outer.columns))
     more = work.keep(both.groupBy("group", "block", "chunk").applyInArrow(join, "a long, b long"), "links2")
-    return _result(described, firsts, links.unionAll(more), work, kind)
+    return _result(described, firsts, hot, links.unionAll(more), work)
 
 
-def _result(described: DataFrame, firsts: DataFrame, links: DataFrame, work: Workspace, kind: str) -> DataFrame:
+def _result(described: DataFrame, firsts: DataFrame, hot: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
     linked = components(links, work, "linked").join(firsts.select(F.col("set_id").alias("node"), "first"), "node")
     least = linked.groupBy("comp").agg(F.min("first").alias("component"))
-    linked = linked.join(least, "comp").select(F.col("node").alias("set_id"), "component")
-    owners = work.keep(firsts.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "first").alias("component")), "owners")
-    found = described.join(owners, "set_id", "left")
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.cast(kind).alias("component_id"))
+    linked = linked.join(least, "comp").select(F.col("node").alias("set_id"), "component", F.col("comp").alias("group"))
+    owners = firsts.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "first").alias("component"), F.coalesce("group", "set_id").alias("group"))
+    owners = work.keep(owners, "owners")
+    alone = described.where("n = 0").withColumns({"component": F.col("doc_id"), "group": F.lit(None).cast("long")})
+    return _with_hot(described.where("n > 0"), owners, hot).unionByName(alone)
+
+
+def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SETS, work: Workspace | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    found = _linked(docs, size, num, den, block, work or Workspace(docs.sparkSession, "jaccard"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's."""
-    work = Workspace(docs.sparkSession, "jaccard")
-    found = link_components(docs, size, num, den, work=work)
-    gone = Workspace(docs.sparkSession, "copies").keep(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    """One row of ``docs`` for each component: that whose doc_id is the component's. Of several such rows, the one of the least set and text
+    hash; of rows with equal id and text, the one that comes first as JSON."""
+    work, kept = Workspace(docs.sparkSession, "jaccard"), Workspace(docs.sparkSession, "copies")
+    found = kept.keep(_linked(docs, size, num, den, BLOCK_SETS, work).where("n > 0"), "found")
     work.drop()
-    work.release()
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    heads = F.col("doc_id").eqNullSafe(F.col("component"))
+    own = found.where(heads).groupBy("group").agg(F.min(F.struct("set_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("rows"))
+    own = kept.keep(own.where("rows > 1").select("group", "least"), "several")
+    gone = found.where(~heads).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    again = None
+    if not own.isEmpty():
+        same = found.where(heads).join(small_side(own), "group").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), (F.struct("set_id", "text_key") == F.col("least")).alias("first"))
+        gone = gone.unionAll(same.where("NOT first").select("_id", "_text"))
+        again = same.where("first").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        again = small_side(kept.keep(again.select("_id", "_text"), "again"))
+    gone = small_side(kept.keep(gone.distinct(), "gone"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_key"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
+    out = keyed.join(gone, same, "left_anti")
+    if again is not None:
+        once = out.join(again, same, "left_semi").groupBy("_own", "_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        out = out.join(again, same, "left_anti").select("_row").unionAll(once.select("_row"))
+    return out.select("_row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Cases: null and empty texts pass unchanged, as does a text that loses nothing; r
 and share a result; an empty table gives an empty result; further columns pass (names used here start with an underscore, to keep clear of them).
 
 Work that moves: one slim row a window. Counts are pre-aggregated before the shuffle, and only rows of repeated
-windows are joined (a join that adaptive execution splits where one window is hot). Texts move only for the documents that lose lines.
+windows are joined (a join that adaptive execution splits where one window is hot). The covered places meet the texts by a broadcast while
+they are measured to be small; beyond that by one shuffle of the texts, by id and text hash, which are not sorted.
 """
 
 from __future__ import annotations
@@ -17,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.workspace import Workspace
+from quillspark.llm.workspace import BROADCAST_BYTES, Workspace
 
 WINDOW = 3
 #: A line with at least one word.
 SOLID = r"[^\x20\x09-\x0D]"
-#: Covered places are broadcast while they take no more than this, as counted before; beyond it texts are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 def _text_key() -> Column:
@@ -56,17 +55,15 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, columns: tuple[str, str, st
     """``docs`` with repeated lines gone from ``text``, and the number of lines, of removed ones and of their runs."""
     work = Workspace(docs.sparkSession, "lines")
     covered = work.keep(repeated_lines(docs, size), "covered")
-    work.release()
     rows, places = covered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()
-    if 24 * rows + 4 * places <= BROADCAST_BYTES:
-        covered = F.broadcast(covered)
+    covered = F.broadcast(covered) if 48 * rows + 8 * places <= BROADCAST_BYTES else covered.hint("shuffle_hash")
     keyed = docs.withColumn("_own_key", _text_key())
     joined = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left")
     split = F.split("text", "\n", -1)
     gone = F.coalesce("_lines", F.array().cast("array<int>"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone), lambda i: F.get(split, i)), "\n")
     text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
-    runs = F.size(F.filter(gone, lambda i: ~F.array_contains(gone, i - 1)))
+    runs = F.size(F.filter(F.transform(gone, lambda x, i: F.coalesce(x - F.get(gone, i - 1), F.lit(0))), lambda step: step != 1))
     counts = (F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), F.size(gone).cast("long"), runs.cast("long"))
     out = joined.withColumns(dict(zip(columns, counts)))
     return out.withColumn("text", text).drop("_own_key", "_doc", "_key", "_lines")

@@ -6,7 +6,9 @@ over the whole corpus, and the order is cut where its running total reaches the
 its target at virtual time 1, so the copy that it is serving then is taken up to that time.
 
 Both running totals (within a source and over the corpus) are taken in two levels: totals of equal slices of a uniform
-key, and rows within a slice. So a source with a third of all rows is spread over as many tasks as any others.
+key, and rows within a slice. So a source with a third of all rows is spread over as many tasks as any others. Copies that are not
+served take no part in the second total. Targets are windows over one row for each source, in one task: sources are named
+collections (some millions at most), not documents.
 
 Cases: null text has size 0; null source is a source of its own, the last; a source without words has target 0; rows
 with equal id and text are copies with places of their own; an empty table gives an empty result. Other columns pass.
@@ -21,8 +23,8 @@ from quillspark.llm.workspace import Workspace
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a slice of a running total should hold.
-SLICE_ROWS = 20_000
+#: Rows that a slice of a running total should hold, at least; beyond its square a slice grows with the root of the rows, as their number does.
+SLICE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,6 +52,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return named.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _slices(rows: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / F.greatest(F.lit(SLICE_ROWS), F.sqrt(rows))))
+
+
 def _running(df: DataFrame, keys: list[str], place: str, order: list[str], amount: str, out: str, slices: Column) -> DataFrame:
     """Adds the running total of ``amount`` by ``order`` within ``keys``; ``place`` in [0, 1) rises with the order."""
     df = df.withColumn("_slice", F.floor(F.col(place) * slices).cast("long"))
@@ -75,23 +81,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     slim = slim.withColumn("_u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48))
     work = Workspace(docs.sparkSession, "mixing")
     slim = work.keep(slim, "sizes")  # texts are read once; a few numbers a document are kept
-    work.release()
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     targets = targets.alias("t").join(sizes.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "s._rows")
     slim = slim.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t._rows")
-    slim = _running(slim, ["source"], "_u", ["_h", "doc_id", "size"], "size", "_cum", F.ceil(F.col("_rows") / SLICE_ROWS))
+    slim = _running(slim, ["source"], "_u", ["_h", "doc_id", "size"], "size", "_cum", _slices(F.col("_rows")))
     copies = slim.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     end = F.col("_cum") + F.col("_pass") * F.col("source_size")
     served = F.least(F.col("size"), F.floor(F.col("target")).cast("long") - (end - F.col("size")))
     copies = copies.withColumns({"_end": end, "_served": F.greatest(F.lit(0), served)}).where((F.col("_served") > 0) | (F.col("_pass") == 0))
     copies = copies.withColumn("_finish", F.coalesce(F.try_divide(F.col("_end").cast("double"), F.col("target")), F.lit(0.0)))
-    # Every served copy starts before virtual time 1. What ends later is served to time 1 only, and comes last.
+    # Every served copy starts before virtual time 1. What ends later (one copy of a source) is served to time 1 only, and comes last.
     rows, words = sizes.agg(F.sum("_rows"), F.sum("source_size")).first()
     budget = (words or 0) * share[0] // share[1]
     copies = copies.withColumns({"_place": F.least(F.col("_finish"), F.lit(1.0 - 2.0**-40)), "_one": F.lit(1)})
-    copies = _running(copies, ["_one"], "_place", ["_finish", "_h", "_pass", "doc_id", "size"], "_served", "_total", F.lit(-(-(rows or 0) * most // SLICE_ROWS)))
-    kept = F.greatest(F.lit(0), F.least(F.col("_served"), F.lit(budget) - (F.col("_total") - F.col("_served"))))
+    served = _running(copies.where("_served > 0"), ["_one"], "_place", ["_finish", "_h", "_pass", "doc_id", "size"], "_served", "_total", _slices(F.lit((rows or 0) * most)))
+    copies = served.unionByName(copies.where("_served = 0").withColumn("_total", F.lit(None).cast("long")))
+    kept = F.when(F.col("_total").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("_served"), F.lit(budget) - (F.col("_total") - F.col("_served")))))
     first = F.col("_pass") == 0
     rows = copies.groupBy("doc_id", "source", "size", "source_size", "target", "_cum", "_h").agg(
         F.sum(kept).cast("long").alias("taken"),

@@ -1,17 +1,21 @@
 """Quality rules and n-gram perplexity bands.
 
-The base features are counts over whole texts. The method is a modified Kneser-Ney model of character 4-grams, counted by
-Spark over all distinct texts, kept as sorted arrays of n-gram keys. A document's mean negative log probability, shrunk towards its
-language's mean as short texts vary more, has to lie in the band of its language: quartiles of all distinct texts of the language, widened
-by ``LOWER`` and ``UPPER`` times their distance (``FLOOR`` at least). Documents below are too repetitive, documents above are not prose of that language.
-Every row is judged; copies of a text count once in the model, the mean and the quartiles.
+The base features are counts over whole texts. The method is a modified Kneser-Ney model of n-grams of ``ORDER`` characters (code points:
+case, accents and scripts stay apart; ASCII digits are one, and ASCII symbols but punctuation), counted by Spark over all distinct texts. Probabilities of all orders are joins and sums
+over tables of distinct n-grams; the model is the log probability of each n-gram of full order, in sorted arrays of 64-bit hashes. All that
+is scored was counted, so one lookup by binary search from a table of the leading bits tells a character's probability.
 
-Characters are folded to ``CLASSES`` classes (letters by case and accent, digits, separators, symbols), so keys have a
-proven bound, ``CLASSES ** 4``; what tasks send is a partial count table each, and their number follows the input.
+A document's mean negative log probability, shrunk towards its language's mean as short texts vary more, has to lie in the band of its language:
+quartiles of all distinct texts of the language, widened by ``LOWER`` and ``UPPER`` times their distance (``FLOOR`` at least).
+Documents below are too repetitive, documents above are not prose of that language. Every row is judged; copies of a text (under
+different ids) count once in the model, the mean and the quartiles. Sums are over integers, so that verdicts do not depend on the order of rows.
+
+The model grows with the corpus. It is sent to the tasks in blocks of at most ``BLOCK_GRAMS`` n-grams (12 bytes each), one block after
+the other, with a pass over the texts for each; a task holds one block, whatever the model's size.
 
 Cases: null text has no words and fails; null lang is a language of its own; rows that repeat are judged alike; a language of
-few documents has the quartiles of those; an empty table gives an empty result; other columns pass (names used here start
-with an underscore).
+few documents has the quartiles of those; very long texts are scored in runs; an empty table gives an empty result; other columns pass (names used
+here start with an underscore).
 """
 
 from __future__ import annotations
@@ -20,153 +24,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace, broadcast_if_small
+from quillspark.llm.workspace import Workspace, small_side
 
 ORDER = 4
-CLASSES = 48
 #: How far the band goes below and above the quartiles, as multiples of their distance. Each is the width at which 0.25 % of the good
 #: documents are lost on its side, on the labelled rows of sf0.1 whose text has an even CRC-32; the others are held out for the test.
-LOWER, UPPER = 2.1, 1.6
+LOWER, UPPER = 1.5, 1.2
 #: Least distance of the quartiles, in nats a character: a language whose texts are all alike still has a band.
 FLOOR = 0.02
 #: Characters of the language's mean that are mixed into a document's mean.
-PRIOR = 400.0
+PRIOR = 1000
+#: n-grams of the model that are broadcast at once.
+BLOCK_GRAMS = 4_000_000
+#: Distinct n-grams that a counting task holds before it sends them.
+HELD_GRAMS = 1_000_000
+#: Steps of a nat in which negative log probabilities are summed and perplexities are counted.
+STEPS, BINS = 1_000_000, 1_000
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
+#: What stands before a text's first character; no code point.
+PAD = 0x110000
+_POINT_BITS = 21
+PUNCTUATION = ".,;:!?'\"-()/"
+_SAME = np.arange(128, dtype=np.uint32)
+_SAME[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in PUNCTUATION]] = ord("#")
+_SAME[ord("0") : ord("9") + 1] = ord("0")
+
 
+def points(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes that end at a code point, digits and symbols taken for one."""
+    found = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    return np.where(found < 128, _SAME[np.minimum(found, 127)], found)
 
-def char_classes() -> np.ndarray:
-    """Class of each code point below 0x250; all others are of class 1, a letter outside these alphabets."""
-    table = np.ones(0x250, np.uint8)
-    table[:0x21] = 2
-    table[[9, 32]] = 3
-    table[10] = 4
-    for k, symbol in enumerate(".,;:!?'\"-()/"):
-        table[ord(symbol)] = 5 + min(k, 8)
-    rest = [c for c in range(0x21, 0x7F) if not chr(c).isalnum() and table[c] == 1]
-    table[rest] = 14
-    table[ord("0") : ord("9") + 1] = 15
-    for k in range(26):
-        table[[ord("a") + k, ord("A") + k]] = 16 + k
-    for c in range(0xC0, 0x250):
-        table[c] = 42 + c % 6
-    return table
-
-
-def class_codes(data: np.ndarray) -> np.ndarray:
-    """Classes of the code points of UTF-8 bytes that end at a code point; one for each code point."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    table = char_classes()
-    return table[np.minimum(points, len(table) - 1)]
-
-
-def gram_codes(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams of each text, which is padded on the left by ORDER - 1 marks (class 0), and the texts' bounds."""
+
+def grams(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all characters of each text, the n-gram that ends there: hash, first two and last two code points packed; and the texts' bounds."""
     b = data[int(offsets[first]) : int(offsets[last])]
     chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[offsets[first : last + 1] - offsets[first]]
-    lengths = np.diff(chars)
     pad = ORDER - 1
-    bounds = np.concatenate([[0], np.cumsum(lengths + pad)])
-    padded = np.zeros(int(bounds[-1]), np.int32)
+    bounds = chars + pad * np.arange(len(chars))
+    padded = np.full(int(bounds[-1]), PAD, np.uint64)
     inside = np.ones(len(padded), bool)
     for k in range(pad):
         inside[bounds[:-1] + k] = False
-    padded[inside] = class_codes(b)
-    key = np.zeros(max(len(padded) - pad, 0), np.int32)
-    for k in range(ORDER):
-        key *= CLASSES
-        key += padded[k : k + len(key)]
+    padded[inside] = points(b)
+    n = max(len(padded) - pad, 0)
+    shift = np.uint64(_POINT_BITS)
+    high = (padded[:n] << shift) | padded[1 : 1 + n]
+    low = (padded[2 : 2 + n] << shift) | padded[3 : 3 + n]
     keep = inside[pad:]
-    return key[keep], np.concatenate([[0], np.cumsum(lengths)])
+    high, low = high[keep], low[keep]
+    return kernels.mix(kernels.mix(low) + high), high, low, chars
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each n-gram counts ``1 / copies`` in a row, so that all rows of one text add up to one text."""
-    total = np.zeros(CLASSES**ORDER)
+    """Distinct n-grams of a task's texts with their counts, combined as far as ``HELD_GRAMS`` allows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def combine() -> tuple[np.ndarray, ...]:
+        key, high, low, n = (np.concatenate(c) for c in zip(*held))
+        key, at, where = np.unique(key, return_index=True, return_inverse=True)
+        return key, high[at], low[at], np.bincount(where, n).astype(np.int64)
+
+    def out(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], ["key", "high", "low", "n"])
+
     for batch in batches:
         data, offsets = kernels.text_buffers(batch.column("text"))
-        share = 1.0 / batch.column("copies").to_numpy(zero_copy_only=False)
-        for first, last in kernels.runs(offsets, 8 << 20):
-            keys, bounds = gram_codes(data, offsets, first, last)
-            total += np.bincount(keys, np.repeat(share[first:last], np.diff(bounds)), len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"key": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.float64())})
+        for first, last in kernels.runs(offsets, 4 << 20):
+            key, high, low, _ = grams(data, offsets, first, last)
+            if not len(key):
+                continue
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            held.append((key, high[at], low[at], n))
+            size += len(key)
+            if size > HELD_GRAMS:
+                held = [combine()]
+                size = len(held[0][0])
+                if 2 * size > HELD_GRAMS:
+                    yield out(held[0])
+                    held, size = [], 0
+    if held:
+        yield out(combine())
+
+
+class Lookup:
+    """Sorted hashes with values. A table of the leading bits of each hash tells where its search starts."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of hashes (0 where there is none), and which are there."""
+        slot = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            found[left[hit]] = True
+            at += 1
+            more = ~hit & (at < end)
+            left, at, end = left[more], at[more], end[more]
+        return out, found
 
-class KneserNey:
-    """A modified Kneser-Ney model. For each order k: sorted keys and the log probabilities of the k-grams seen.
 
-    ``keys[k-1]``, ``logp[k-1]``: k-grams; ``back[k-1]``: log back-off weight of each (k-1)-gram context of the k-grams, by
-    ``contexts[k-1]``. All arrays are sorted by key, and looked up by binary search.
-    """
+# --- the model, in Spark ---
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        grams, n = [keys[order]], [counts[order].astype(np.float64)]
-        for _ in range(ORDER - 1):  # continuation counts: distinct left extensions
-            size = CLASSES ** (ORDER - len(grams))
-            lower, tally = np.unique(grams[0] % size, return_counts=True)
-            grams.insert(0, lower)
-            n.insert(0, tally.astype(np.float64))
-        self.keys, self.logp, self.contexts, self.back = grams, [], [], []
-        probability = np.zeros(0)
-        for k, (key, tally) in enumerate(zip(grams, n)):
-            context, where = np.unique(key // CLASSES, return_inverse=True)
-            total = np.bincount(where, tally)
-            c = [float(np.count_nonzero(tally == j)) for j in (1, 2, 3, 4)]
-            y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
-            d = np.array([0.0] + [min(max(j - (j + 1) * y * c[j] / c[j - 1], 0.05), j - 0.05) if c[j - 1] and c[j] else 0.5 * j**0.5 for j in (1, 2, 3)])
-            discount = d[np.minimum(tally, 3).astype(int)]
-            gamma = np.bincount(where, discount) / total
-            if k:
-                lower = probability[np.searchsorted(grams[k - 1], key % CLASSES**k)]
-            else:
-                lower = np.full(len(key), 1.0 / CLASSES)
-            probability = (tally - discount) / total[where] + gamma[where] * lower
-            self.logp.append(np.log(probability).astype(np.float32))
-            self.contexts.append(context)
-            self.back.append(np.log(np.maximum(gamma, 1e-12)).astype(np.float32))
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of each n-gram, given the others."""
-        out = np.zeros(len(key), np.float32)
-        left = np.ones(len(key), bool)
-        for k in range(ORDER - 1, -1, -1):
-            own = key[left] % CLASSES ** (k + 1)
-            at = np.minimum(np.searchsorted(self.keys[k], own), len(self.keys[k]) - 1)
-            hit = self.keys[k][at] == own
-            spots = np.flatnonzero(left)
-            out[spots[hit]] += self.logp[k][at[hit]]
-            miss = own[~hit] // CLASSES
-            ctx = np.minimum(np.searchsorted(self.contexts[k], miss), len(self.contexts[k]) - 1)
-            out[spots[~hit]] += np.where(self.contexts[k][ctx] == miss, self.back[k][ctx], np.float32(0))
-            left[spots[hit]] = False
-        out[left] += np.float32(-np.log(CLASSES))
-        return out
 
-    def direct(self) -> np.ndarray:
-        """The same for every possible key, as one table (the key space is bounded), filled in slices."""
-        out = np.empty(CLASSES**ORDER, np.float32)
-        for lo in range(0, len(out), 1 << 16):
-            out[lo : lo + (1 << 16)] = self.score(np.arange(lo, min(lo + (1 << 16), len(out))))
-        return out
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def later_copies(docs: DataFrame, work: Workspace) -> DataFrame:
+    """Rows (_id, _text) of texts that a document of smaller id has too."""
+    keys = work.keep(docs.select(F.col("doc_id").alias("_id"), _text_key().alias("_text")), "keys")
+    least = keys.groupBy("_text").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return work.keep(keys.join(least, "_text").where(~F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_text").distinct(), "copies")
 
 
-def fit(docs: DataFrame) -> KneserNey:
-    """Counts all distinct texts, each once. The driver gets at most CLASSES ** ORDER counts."""
-    texts = docs.select("text", F.xxhash64("text").alias("_text"))
-    copied = texts.groupBy("_text").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copied = broadcast_if_small(Workspace(docs.sparkSession, "copies").keep(copied, "copied"))
-    counted = texts.join(copied, "_text", "left").select("text", F.coalesce("_n", F.lit(1)).alias("copies"))
-    rows = counted.mapInArrow(_count, "key long, n double").groupBy("key").agg(F.round(F.sum("n")).cast("long").alias("n")).toArrow()
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    if not len(keys):
-        keys, n = np.zeros(1, np.int64), np.ones(1, np.int64)
-    return KneserNey(keys, n)
+def _probabilities(counted: DataFrame, work: Workspace) -> DataFrame:
+    """Distinct n-grams (key, high, low, n) to (key, logp): interpolated modified Kneser-Ney probability of the last character.
+
+    Lower orders count distinct left extensions. Each order needs the totals of its contexts and the probabilities of the order below.
+    """
+    point = lambda c, k: F.shiftrightunsigned(c, k * _POINT_BITS).bitwiseAND(F.lit((1 << _POINT_BITS) - 1))
+    names = [f"c{k}" for k in range(ORDER)]
+    unpacked = [point("high", 1), point("high", 0), point("low", 1), point("low", 0)]
+    level = work.keep(counted.select("key", *(c.cast("int").alias(x) for c, x in zip(unpacked, names)), "n"), f"order{ORDER}")
+    levels = {ORDER: level}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = work.keep(levels[k + 1].groupBy(*names[ORDER - k :]).agg(F.count(F.lit(1)).alias("n")), f"order{k}")
+    below = None
+    for k in range(1, ORDER + 1):
+        seen = levels[k].agg(*(F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).first()
+        c = [0, seen["n1"], seen["n2"], seen["n3"], seen["n4"]]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+        d = [min(max(j - (j + 1) * y * c[j + 1] / c[j], 0.05), j - 0.05) if c[j] and c[j + 1] else 0.5 * j**0.5 for j in (1, 2, 3)]
+        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        own, context = names[ORDER - k :], names[ORDER - k : -1]
+        kept = ["key"] if k == ORDER else own
+        if k == 1:
+            gamma = (d[0] * c[1] + d[1] * c[2] + d[2] * (seen["kinds"] - c[1] - c[2])) / max(seen["all"] or 0, 1)
+            below = levels[1].select(*own, ((F.col("n") - discount) / (seen["all"] or 1) + F.lit(gamma / max(seen["kinds"], 1))).alias("p"))
+            continue
+        parts = [F.count_if(F.col("n") == 1) * d[0], F.count_if(F.col("n") == 2) * d[1], F.count_if(F.col("n") > 2) * d[2]]
+        totals = levels[k].groupBy(*context).agg(F.sum("n").alias("total"), sum(parts, F.lit(0.0)).alias("spared"))
+        joined = levels[k].join(totals, context).join(below, own[1:])
+        below = joined.select(*kept, ((F.col("n") - discount + F.col("spared") * F.col("p")) / F.col("total")).alias("p"))
+    return work.keep(below.select("key", F.log("p").cast("float").alias("logp")), "model")
+
+
+def fit(docs: DataFrame, work: Workspace) -> DataFrame:
+    """The model (key, logp) of all distinct texts of ``docs`` (doc_id, text)."""
+    copies = later_copies(docs, work)
+    texts = docs.select("doc_id", _text_key().alias("_own"), "text")
+    texts = texts.join(small_side(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")), "left_anti")
+    counted = texts.select("text").mapInArrow(_count, "key long, high long, low long, n long")
+    return _probabilities(counted.groupBy("key", "high", "low").agg(F.sum("n").alias("n")), work)
+
+
+def model_blocks(model: DataFrame, block: int = BLOCK_GRAMS) -> Iterator[Lookup]:
+    """The model in ranges of hashes of about ``block`` n-grams."""
+    rows = model.count()
+    parts = max(1, -(-rows // block))
+    place = (F.shiftrightunsigned("key", 32) * parts).cast("long")
+    for k in range(parts):
+        table = model.where(F.shiftright(place, 32) == k).toArrow()
+        yield Lookup(table.column("key").to_numpy().view(np.uint64), table.column("logp").to_numpy())
+
+
+# --- features ---
 
 
 def _repeats(found: kernels.Words) -> np.ndarray:
@@ -204,77 +244,119 @@ def _dup_lines(text: str) -> int:
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(x) for x in SYMBOLS]] = True
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_dup_lines", "n_chars")
 
 
-def features(texts: pa.Array, logp: np.ndarray) -> pa.RecordBatch:
+def features(texts: pa.Array) -> dict[str, np.ndarray]:
+    """The base counts of each text, and its characters."""
     data, offsets = kernels.text_buffers(texts)
     rows = len(offsets) - 1
-    names = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_chars")
-    out = {k: np.zeros(rows, np.int64) for k in names}
-    nll = np.zeros(rows, np.float64)
+    out = {k: np.zeros(rows, np.int64) for k in COUNTS}
     for first, last in kernels.runs(offsets):
         found = kernels.words(data, offsets, first, last, fold=False)
         b = data[int(offsets[first]) : int(offsets[last])]
         at = offsets[first : last + 1] - offsets[first]
         sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])  # noqa: E731, B023
         place = slice(first, last)
+        starts = (b & 0xC0) != 0x80
         out["n_words"][place] = np.diff(found.bounds)
-        out["word_chars"][place] = sums(((b & 0xC0) != 0x80) & ~kernels.WHITE[b])
+        out["word_chars"][place] = sums(starts & ~kernels.WHITE[b])
         out["n_symbols"][place] = sums(_SYMBOL[b])
         out["n_repeat_words"][place] = _repeats(found)
-        keys, bounds = gram_codes(data, offsets, first, last)
-        out["n_chars"][place] = np.diff(bounds)
-        nll[place] = -np.diff(np.concatenate([[0.0], np.cumsum(logp[keys], dtype=np.float64)])[bounds])
+        out["n_chars"][place] = sums(starts)
     out["n_dup_lines"] = np.fromiter((_dup_lines(t.as_py() or "") for t in texts), np.int64, rows)
-    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()} | {"nll": pa.array(nll)})
+    return out
 
 
-FEATURES = "n_words long, word_chars long, n_symbols long, n_repeat_words long, n_chars long, n_dup_lines long, nll double"
+def surprise(texts: pa.Array, model: Lookup) -> np.ndarray:
+    """Negative log probability of each text's characters that ``model`` has, in steps of 1 / STEPS nat."""
+    data, offsets = kernels.text_buffers(texts)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for first, last in kernels.runs(offsets):
+        key, _, _, bounds = grams(data, offsets, first, last)
+        steps = np.rint(model(key)[0].astype(np.float64) * -STEPS).astype(np.int64)
+        out[first:last] = np.diff(np.concatenate([[0], np.cumsum(steps)])[bounds])
+    return out
 
 
-def judge(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """doc_id, lang, the features, base_failed, perplexity (shrunk mean negative log probability) and kept for each row of docs."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(fit(docs).direct())  # CLASSES ** ORDER floats, whatever the input
+def _scored(docs: DataFrame, sent: Broadcast[Lookup], counts: bool) -> DataFrame:
+    """``docs`` with ``_key``, ``_nll`` and, where asked, the base counts (an underscore before their names)."""
+    names = [f"_{c}" for c in COUNTS] if counts else []
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = features(batch.column("text"), table.value)
-            names = ["doc_id", "lang", "_key", *own.schema.names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("_key"), *own.columns], names)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    slim = docs.select("doc_id", "lang", F.xxhash64("text", "lang").alias("_key"), "text")
-    measured = slim.mapInArrow(measure, f"doc_id {kind}, lang string, _key long, {FEATURES}")
-    work = Workspace(spark, "quality")
-    measured = work.keep(measured, "features")
-    table.destroy()  # the features are kept: nothing scores again
-    work.release()
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
+            own = features(batch.column("text")) if counts else {}
+            new = [pa.array(own[c]) for c in COUNTS if counts] + [pa.array(surprise(batch.column("text"), sent.value))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names, "_nll"])
+
+    keyed = docs.withColumn("_key", F.xxhash64("text", "lang"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in [*keyed.dtypes, *((n, "long") for n in [*names, "_nll"])])
+    return keyed.mapInArrow(measure, fields)
+
+
+def measure(docs: DataFrame, work: Workspace, text: bool = False, block: int = BLOCK_GRAMS) -> DataFrame:
+    """``docs`` (without their text, if not asked for) with ``_key``, the base counts and ``_nll``, kept."""
+    spark = docs.sparkSession
+    found: DataFrame | None = None
+    parts = []
+    for k, lookup in enumerate(model_blocks(fit(docs, work), block)):
+        sent = spark.sparkContext.broadcast(lookup)
+        if found is None:
+            scored = _scored(docs, sent, counts=True)
+            found = work.keep(scored if text else scored.drop("text"), "features")
+        else:
+            more = _scored(docs.select("doc_id", "lang", "text"), sent, counts=False)
+            parts.append(work.keep(more.groupBy("doc_id", "_key").agg(F.max("_nll").alias("_nll")), f"features{k}"))
+        sent.destroy()
+    if parts:
+        rest = parts[0]
+        for p in parts[1:]:
+            rest = rest.unionAll(p)
+        rest = rest.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.sum("_nll").alias("_more"))
+        rest = small_side(work.keep(rest, "more"))
+        columns = found.columns
+        found = found.join(rest, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).withColumn("_nll", F.col("_nll") + F.col("_more")).select(*columns)
+    return found
+
+
+def with_verdict(measured: DataFrame, work: Workspace, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
+    """Adds ``_base_failed``, ``_perplexity`` (shrunk mean negative log probability) and ``_kept`` to what ``measure`` gave."""
+    failed = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
+    measured = measured.withColumn("_base_failed", failed)
     # One row for each text of a language: copies move neither the mean nor the quartiles.
-    once = measured.groupBy("lang", "_key").agg(*(F.first(c).alias(c) for c in ("nll", "n_chars", "base_failed")))
+    once = measured.groupBy("lang", "_key").agg(*(F.first(c).alias(c) for c in ("_nll", "_n_chars", "_base_failed")))
     once = work.keep(once, "once")
-    work.release()
-    mean = once.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("_mean")).alias("m")
+    mean = once.groupBy("lang").agg((F.sum("_nll") / F.greatest(F.sum("_n_chars"), F.lit(1)) / STEPS).alias("_mean"))
+    mean = work.keep(mean.select(F.col("lang").alias("_own_lang"), "_mean"), "means")
 
     def with_perplexity(rows: DataFrame) -> DataFrame:
-        value = (F.col("nll") + PRIOR * F.col("_mean")) / (F.col("n_chars") + PRIOR)
-        return rows.alias("d").join(mean, F.col("d.lang").eqNullSafe(F.col("m.lang"))).select("d.*", value.alias("perplexity"))
+        value = (F.col("_nll") / STEPS + PRIOR * F.col("_mean")) / (F.col("_n_chars") + PRIOR)
+        return rows.join(mean, F.col("lang").eqNullSafe(F.col("_own_lang"))).withColumn("_perplexity", value).drop("_own_lang", "_mean")
+
+    # Quartiles of the counts by bin: exact to a bin, and the same whatever the order of rows.
+    counted = with_perplexity(once).where(~F.col("_base_failed")).groupBy("lang", F.floor(F.col("_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("lang").orderBy("bin")
+    ranked = counted.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("lang"))})
+    quarter = lambda k: (F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bin"))) / BINS).alias(f"_q{k}")
+    bands = work.keep(ranked.groupBy(F.col("lang").alias("_band_lang")).agg(quarter(1), quarter(3)), "bands")
+    joined = with_perplexity(measured).join(bands, F.col("lang").eqNullSafe(F.col("_band_lang")), "left")
+    apart = F.greatest(F.col("_q3") - F.col("_q1"), F.lit(FLOOR))
+    inside = F.col("_perplexity").between(F.col("_q1") - lower * apart, F.col("_q3") + upper * apart)
+    return joined.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(inside, F.lit(True))).drop("_band_lang", "_q1", "_q3")
+
 
-    quarter = F.percentile_approx("perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000))
-    bands = with_perplexity(once).where(~F.col("base_failed")).groupBy("lang").agg(quarter.alias("_q")).alias("b")
-    joined = with_perplexity(measured).alias("d").join(bands, F.col("d.lang").eqNullSafe(F.col("b.lang")), "left").select("d.*", "b._q")
-    apart = F.greatest(F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)), F.lit(FLOOR))
-    inside = F.col("perplexity").between(F.get("_q", F.lit(0)) - lower * apart, F.get("_q", F.lit(1)) + upper * apart)
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_q")
+def judge(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, block: int = BLOCK_GRAMS) -> DataFrame:
+    """doc_id, lang, the base counts, base_failed, perplexity and kept for each row of docs."""
+    work = Workspace(docs.sparkSession, "quality")
+    found = with_verdict(measure(docs.select("doc_id", "lang", "text"), work, block=block), work, lower, upper)
+    names = [*COUNTS, "base_failed", "perplexity", "kept"]
+    return found.select("doc_id", "lang", *(F.col(f"_{c}").alias(c) for c in names))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    verdict = Workspace(docs.sparkSession, "verdict").keep(judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_key").distinct(), "rejected")
-    keyed = docs.withColumn("_own_key", F.xxhash64("text", "lang"))
-    return keyed.join(broadcast_if_small(verdict), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").drop("_own_key")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. The texts are kept with their scores, so no join moves them."""
+    work = Workspace(docs.sparkSession, "quality")
+    return with_verdict(measure(docs, work, text=True), work).where("_kept").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

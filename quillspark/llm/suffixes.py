@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace, broadcast_if_small
+from quillspark.llm.workspace import Workspace, small_side
 
 LENGTH = 100
 GRAM = 32
@@ -272,7 +272,7 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     whole = slim.where(F.col("n") >= LENGTH).select("doc", "key", "key2", "n").distinct()
     least = whole.groupBy("key", "key2").agg(F.min(F.struct(F.col("doc").isNotNull(), "doc")).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = work.keep(whole.join(least, ["key", "key2"]).where(~F.col("doc").eqNullSafe(F.col("least.doc"))).select("doc", "key", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")), "copies")
-    out = broadcast_if_small(copies.select("doc", "key"))
+    out = small_side(copies.select("doc", "key"))
     left = slim.select("doc", "key", "text").alias("d").join(out.alias("c"), F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.key") == F.col("c.key")), "left_anti")
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +295,6 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     alone = work.keep(docs.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
     if not alone.isEmpty():
         met = work.keep(_without_own_copies(found, alone, kind), "met2")
-    del ordered
-    work.release()
     first = met.where(~F.col("later"))
     crowd = first.groupBy("group").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > group_contexts).select("group")
     crowd = work.keep(crowd, "crowd")

@@ -1,15 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are words split at white space and ASCII punctuation, A-Z lower-cased. A benchmark item and a document that share a seed (five
-tokens in a row) are tiled: the longest common run of unmarked tokens, found by running Karp-Rabin hashes of five tokens and
-extended, is marked in both, again and again, until none of five tokens is left. Tiles may lie in any order, so
-reordered passages are caught. A pair counts where tiles cover at least ``COVERAGE`` of the item's tokens.
+tokens in a row) are tiled: running Karp-Rabin hashes of windows of unmarked tokens, at lengths that close in on the longest at which
+both sides have an equal window, give the longest matches; they are marked in both, again and again, until none of five tokens is left.
+Tiles may lie in any order, so reordered passages are caught. A pair counts where tiles cover at least ``COVERAGE`` of the item's tokens.
 
-The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens (an item at least), each sent to all tasks and held against
-all documents; the corpus itself does not move.
+The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens (an item at least), each sent to all tasks. A pass over the documents
+holds them against ``PASS_BLOCKS`` blocks; the corpus itself does not move.
 
 Cases: null or empty texts match nothing; items of fewer than five tokens are too short to be evidence and match nothing; repeated
-rows get equal results; equal items match alike; an empty table on either side gives no pairs; other columns pass.
+rows get equal results; equal items match alike; ids of any type; an empty table on either side gives no pairs; other columns pass.
 """
 
 from __future__ import annotations
@@ -19,16 +19,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace, broadcast_if_small
+from quillspark.llm.workspace import Workspace
 
 SEED = 5
 #: Share of an item that tiles must cover. One-sided containment, not a similarity of two texts.
 COVERAGE = 0.6
 BLOCK_TOKENS = 500_000
+PASS_BLOCKS = 4
 
 BREAKS = kernels.WHITE.copy()
 BREAKS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
@@ -37,14 +39,14 @@ BREAKS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 class Index(NamedTuple):
     """A block of items: ids, token hashes, and all seeds in order of hash with the item and place of each."""
 
-    ids: list[int]
+    ids: list[str | None]
     tokens: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
 
 
-def build(ids: list[int], texts: list[str]) -> Index:
+def build(ids: list[str | None], texts: list[str]) -> Index:
     data, offsets = kernels.text_buffers(pa.array(texts, pa.string()))
     found = kernels.words(data, offsets, 0, len(texts), breaks=BREAKS)
     value, bounds = kernels.shingles(found, SEED)
@@ -58,34 +60,51 @@ def build(ids: list[int], texts: list[str]) -> Index:
     return Index(ids, tokens, value[order], item[order], place[order])
 
 
-def tile(pattern: np.ndarray, text: np.ndarray, spots: dict[int, list[int]], least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling. ``spots``: for places of the pattern, the places of the text where ``least`` tokens agree.
-    Returns tiles (place in pattern, place in text, length), the longest first, earliest on ties."""
-    used_p, used_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
+class Side:
+    """One of the two token sequences, with running hashes of its windows and with its marks."""
+
+    def __init__(self, tokens: np.ndarray):
+        up, self.down = kernels.powers(len(tokens) + 1)
+        self.sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * up[: len(tokens)], out=self.sums[1:])
+        self.used = np.zeros(len(tokens), bool)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all windows of ``size`` unmarked tokens."""
+        marks = np.concatenate([[0], np.cumsum(self.used)])
+        at = np.flatnonzero(marks[size:] == marks[:-size]) if size < len(marks) else np.zeros(0, np.int64)
+        return at, (self.sums[at + size] - self.sums[at]) * self.down[at]
+
+
+def tile(pattern: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy string tiling. Returns tiles (place in pattern, place in text, length), the longest first, earliest on ties."""
+    a, b = Side(pattern), Side(text)
     tiles: list[tuple[int, int, int]] = []
-    while True:
-        best, matches = least, []
-        for p, places in spots.items():
-            if used_p[p]:
+
+    def shared(size: int) -> np.ndarray:
+        """Places of the pattern whose window of ``size`` tokens the text has too."""
+        at, h = a.windows(size)
+        return at[np.isin(h, b.windows(size)[1])]
+
+    most = min(len(pattern), len(text))
+    while most >= least and len(shared(least)):
+        low, high = least, most  # a run of ``low`` tokens is shared; none above ``high``
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)) else (low, middle - 1)
+        most = low
+        own = shared(most)
+        value = (a.sums[own + most] - a.sums[own]) * a.down[own]
+        for p, h in zip(own.tolist(), value):
+            if a.used[p : p + most].any():
                 continue
-            for t in places:
-                if used_t[t]:
-                    continue
-                if matches and (p + best > len(pattern) or t + best > len(text) or pattern[p + best - 1] != text[t + best - 1]):
-                    continue  # cannot be as long as the best so far
-                k, most = 0, min(len(pattern) - p, len(text) - t)
-                while k < most and pattern[p + k] == text[t + k] and not used_p[p + k] and not used_t[t + k]:
-                    k += 1
-                if k > best:
-                    best, matches = k, [(p, t)]
-                elif k == best:
-                    matches.append((p, t))
-        if not matches:
-            return tiles
-        for p, t in sorted(matches):
-            if not used_p[p : p + best].any() and not used_t[t : t + best].any():
-                used_p[p : p + best] = used_t[t : t + best] = True
-                tiles.append((p, t, best))
+            places, hashes = b.windows(most)
+            met = np.flatnonzero(hashes == h)
+            if len(met):
+                t = int(places[met[0]])
+                a.used[p : p + most] = b.used[t : t + most] = True
+                tiles.append((p, t, most))
+    return tiles
 
 
 def match(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: float = COVERAGE) -> Iterator[tuple[int, int, int, int]]:
@@ -103,11 +122,10 @@ def match(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: float =
             own = found.hash[found.bounds[row] : found.bounds[row + 1]]
             if len(own) < SEED:
                 continue
-            spots: dict[int, dict[int, list[int]]] = {}
-            for h in hits[lo:hi]:
-                k, place = int(at[h]), int(h - bounds[row])
-                while k < len(index.seeds) and index.seeds[k] == value[h]:
-                    spots.setdefault(int(index.item[k]), {}).setdefault(int(index.place[k]), []).append(place)
+            spots: dict[int, set[int]] = {}
+            for k, h in zip(*(x.tolist() for x in np.unique(at[hits[lo:hi]], return_index=True))):
+                while k < len(index.seeds) and index.seeds[k] == value[hits[lo + h]]:
+                    spots.setdefault(int(index.item[k]), set()).add(int(index.place[k]))
                     k += 1
             for item, places in sorted(spots.items()):
                 pattern = index.tokens[item]
@@ -116,7 +134,7 @@ def match(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: float =
                     reach[p : p + SEED] = True
                 if reach.sum() < coverage * len(pattern):  # tiles consist of seeds
                     continue
-                tiles = tile(pattern, own, places)
+                tiles = tile(pattern, own)
                 covered = sum(k for _, _, k in tiles)
                 if covered >= coverage * len(pattern):
                     yield first + row, item, covered, len(tiles)
@@ -127,9 +145,9 @@ def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([[0], edges]), np.concatenate([edges, [len(rows)]])) if len(rows) else (edges, edges)
 
 
-def _blocks(benchmark: DataFrame, tokens: int) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(benchmark: DataFrame, tokens: int) -> Iterator[tuple[list[str | None], list[str]]]:
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1] or "")
         size += len(texts[-1].split())
@@ -140,47 +158,66 @@ def _blocks(benchmark: DataFrame, tokens: int) -> Iterator[tuple[list[int], list
         yield ids, texts
 
 
+def _passes(benchmark: DataFrame, tokens: int) -> Iterator[list[Broadcast]]:
+    """The benchmark's blocks as broadcasts, those of one pass together."""
+    context = benchmark.sparkSession.sparkContext
+    held: list[Broadcast] = []
+    for block in _blocks(benchmark, tokens):
+        held.append(context.broadcast(block))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Pairs (doc_id, _key, item_id, item_tokens, covered, tiles, coverage) of documents that hold benchmark items; _key: the text's hash."""
+    """Pairs (doc_id, item_id, item_tokens, covered, tiles, coverage) of documents that hold benchmark items."""
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    slim = docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")
-    schema = f"doc_id {kind}, _key long, item_id {item_kind}, item_tokens long, covered long, tiles long, coverage double"
+    schema = f"doc_id {kind}, item_id string, item_tokens long, covered long, tiles long, coverage double"
     out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(benchmark, block_tokens):
-        sent = spark.sparkContext.broadcast((ids, texts))
+    for sent in _passes(benchmark, block_tokens):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = build(*sent.value)
+            indexes = [build(*block.value) for block in sent]
             for batch in batches:
                 data, offsets = kernels.text_buffers(batch.column("text"))
-                found = list(match(index, data, offsets, coverage))
-                take = pa.array([f[0] for f in found], pa.int64())
-                size = [len(index.tokens[f[1]]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(take),
-                        batch.column("_key").take(take),
-                        pa.array([index.ids[f[1]] for f in found], pa.int64()),
-                        pa.array(size, pa.int64()),
-                        pa.array([f[2] for f in found], pa.int64()),
-                        pa.array([f[3] for f in found], pa.int64()),
-                        pa.array([f[2] / n for f, n in zip(found, size)], pa.float64()),
-                    ],
-                    ["doc_id", "_key", "item_id", "item_tokens", "covered", "tiles", "coverage"],
-                )
-
-        out = out.unionAll(slim.mapInArrow(search, schema))
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    leaks = Workspace(docs.sparkSession, "leaks").keep(find_leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_id"), "_key").distinct(), "leaks")
-    keyed = docs.withColumn("_own_key", F.xxhash64("text"))
-    return keyed.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").drop("_own_key")
+                for index in indexes:
+                    found = list(match(index, data, offsets, coverage))
+                    take = pa.array([f[0] for f in found], pa.int64())
+                    size = [len(index.tokens[f[1]]) for f in found]
+                    ids = pa.array([index.ids[f[1]] for f in found], pa.string())
+                    counts = [pa.array(x, pa.int64()) for x in (size, [f[2] for f in found], [f[3] for f in found])]
+                    share = pa.array([f[2] / n for f, n in zip(found, size)], pa.float64())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), ids, *counts, share], ["doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage"])
+
+        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(search, schema))
+    return out.withColumn("item_id", F.col("item_id").cast(item_kind))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item. Each pass drops what its blocks cover, so nothing is joined or shuffled; where the
+    benchmark takes several passes, what a pass leaves is written before the next."""
+    work = Workspace(docs.sparkSession, "leaks")
+    kept = docs
+    for k, sent in enumerate(_passes(benchmark, block_tokens)):
+        if k:
+            kept = work.keep(kept, f"pass{k}")
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            indexes = [build(*block.value) for block in sent]
+            for batch in batches:
+                data, offsets = kernels.text_buffers(batch.column("text"))
+                stays = np.ones(batch.num_rows, bool)
+                for index in indexes:
+                    stays[[f[0] for f in match(index, data, offsets, coverage)]] = False
+                yield batch.filter(pa.array(stays))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return find_leaks(docs, benchmark).drop("_key")
+    return find_leaks(docs, benchmark)

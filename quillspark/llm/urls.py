@@ -1,8 +1,9 @@
 """URL rules, and host trust by propagation over the link graph.
 
 A rule is a host with a path prefix, and fits that host and its subdomains; the longest fitting rule decides. For urls
-that no rule fits, the host decides: hosts most of whose pages are allowed (or blocked) by rules are the seeds of a personalised
-PageRank over host-to-host links: trust flows from allowed seeds along links, distrust from blocked seeds against them.
+that no rule fits, the host decides, by personalised PageRank over host-to-host links: trust flows along links from hosts of which
+rules allow more pages than they block (weighted by the difference of the shares), distrust against links from hosts most of whose pages
+are blocked (weighted by that share).
 A host is blocked if its share of distrust, as a multiple of the mean over hosts, reaches ``THRESHOLD`` and is above its trust.
 
 Nodes are all hosts of pages and of absolute links; edges are counted by host pair before they move, and each step is a join and
@@ -10,7 +11,7 @@ a sum of one row per edge. Steps are written to the shared folder, so lineage st
 
 Cases: a null url, or one without ``://``, has empty host and path; no rule fits it and it is allowed. Repeated rows get
 equal results; null html has no links; without links or seeds scores stay at the seeds' (or zero); an empty table gives an
-empty result; other columns pass.
+empty result; other columns pass, but those named like a result (host, path, rule, verdict, trust, distrust) give way to it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Share of a host's pages that rules must allow (block) to make it a seed.
+#: Share of a host's pages that rules must block to make it a seed of distrust.
 SEED_SHARE = 0.5
 DAMPING = 0.85
 STEPS = 20
@@ -72,7 +73,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return target.where("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, hosts: DataFrame, work: Workspace, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, work: Workspace, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """Rows (kind, host, score): personalised PageRank from seeds (kind, host, weight) along links (kind, src, dst, w), where the
     weights of a source sum to 1. What hosts without links hold flows back to the seeds."""
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
@@ -101,6 +102,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, th
     work = Workspace(spark, "urls")
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, rule_host string, path string")
+    results = ("host", "path", "rule", "verdict", "trust", "distrust")
+    rest = [c for c in pages.columns if c not in results]
+    pages = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_page"), "url", "html")
     parsed = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     counted = work.keep(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     ruled = work.keep(rules_of_hosts(counted.select("host"), rules), "rules")
@@ -112,13 +116,13 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, th
     shares = decided.groupBy("host").agg(
         (F.count_if(F.col("verdict") == "allow") / F.count(F.lit(1))).alias("allowed"), (F.count_if(F.col("verdict") == "block") / F.count(F.lit(1))).alias("blocked")
     )
-    kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("weight")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("weight")))).alias("s")
-    seeds = shares.where("host != ''").select("host", kinds).select("s.kind", "host", "s.weight").where(F.col("weight") > SEED_SHARE)
+    kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allowed") - F.col("blocked")).alias("weight")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("weight")))).alias("s")
+    seeds = shares.where("host != ''").select("host", kinds).select("s.kind", "host", "s.weight").where(F.col("weight") > F.when(F.col("kind") == "trust", 0.0).otherwise(SEED_SHARE))
     links = work.keep(host_links(parsed.select("host", "html")), "links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionAll(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     weighed = work.keep(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "weights")
-    score = propagate(seeds, weighed, counted, work)
+    score = propagate(seeds, weighed, work)
     wide = score.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")))
     nodes = counted.select("host").union(links.select("dst")).distinct().count()
     hosts = ruled.join(wide, "host", "left")
@@ -127,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, th
     fit = first_fit(F.col("path"))
     own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     joined = parsed.join(hosts, "host").withColumn("_fit", fit)
-    return joined.withColumns({"rule": F.col("_fit")["rule"], "verdict": F.coalesce(F.col("_fit")["verdict"], own)}).drop("_fit", "rules")
+    return joined.select("_page.*", "host", "path", F.col("_fit")["rule"].alias("rule"), F.coalesce(F.col("_fit")["verdict"], own).alias("verdict"), "trust", "distrust")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

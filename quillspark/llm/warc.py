@@ -5,10 +5,11 @@ lines have five fields (URL, IP address, date, content type, length), version 2
 either is a record itself and names the version and the fields. The converter walks a file by declared lengths only, so bodies
 may hold anything, also what looks like a header; and gives each record the WARC header with the same content: an identifier made
 from the record's content and place, the ISO timestamp, the type, block and payload digests. A payload seen before
-becomes a ``revisit`` without body, which names the first.
+becomes a ``revisit`` without body, which names the first's record, target and date. A ``warcinfo`` record opens each WARC file.
 
-Files here are gzip streams of whole records. Pages are packed in archives of about ``PACK_BYTES`` (one record at least), so a
-file is bounded by that or by its largest record.
+ARC and WARC files are gzip streams of whole records (one stream a file: Spark's writers compress files, not records). Both are cut by bytes:
+records are packed to about ``PACK_BYTES`` (one record at least), so a file, and the row that holds it, is bounded by that or by its largest
+record. Which record a revisit refers to is joined by page and digest, so that copies of one payload do not meet in one task.
 
 Cases: null html is an empty payload; null or blank urls are written as ``-`` and white space in them as %XX; a null id is
 written as such and reads back null; rows with equal id and payload share their verdict; pages of which all ids are null
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.workspace import Workspace
+from quillspark.llm.workspace import Workspace, small_side
 
 PACK_BYTES = 4 << 20
 FIELDS_1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -112,8 +113,23 @@ def iso_date(date: bytes) -> bytes:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z".encode()
 
 
-def warc_record(arc: ArcRecord, page: bytes, first: bytes | None) -> bytes:
-    """The WARC record equivalent to an ARC record; ``first``: the page that has the same payload, if this one is a revisit."""
+class First(NamedTuple):
+    """The response that a revisit refers to."""
+
+    page: bytes
+    url: bytes
+    date: bytes
+
+
+def warcinfo(name: bytes) -> bytes:
+    """The record that opens a WARC file."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: " + record_id(b"warcinfo", name), b"WARC-Date: " + iso_date(DATE), b"Content-Type: application/warc-fields"]
+    return b"\r\n".join([*head, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_record(arc: ArcRecord, page: bytes, first: First | None) -> bytes:
+    """The WARC record equivalent to an ARC record; ``first``: the response that has the same payload, if this one is a revisit."""
     http, payload = split_http(arc.body)
     digest = base32_sha1(payload).encode()
     block = http if first is not None else arc.body
@@ -131,7 +147,13 @@ def warc_record(arc: ArcRecord, page: bytes, first: bytes | None) -> bytes:
         b"X-Payload-Length: %d" % len(payload),
     ]
     if first is not None:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To-Date: " + iso_date(arc.date), b"X-Refers-To-Page: " + first]
+        lines += [
+            b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            b"WARC-Refers-To: " + record_id(first.url, first.date, first.page, digest),
+            b"WARC-Refers-To-Target-URI: " + first.url,
+            b"WARC-Refers-To-Date: " + iso_date(first.date),
+            b"X-Refers-To-Page: " + first.page,
+        ]
     lines.append(b"Content-Length: %d" % len(block))
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -199,9 +221,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, ArcReco
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int | None, str]] = []
+    rows: list[tuple] = []
     for page, arc in _records(batches):
-        rows.append((None if page == b"-" else int(page), base32_sha1(split_http(arc.body)[1])))
+        rows.append((None if page == b"-" else int(page), base32_sha1(split_http(arc.body)[1]), arc.url, arc.date))
         if len(rows) >= 10_000:
             yield _table(rows)
             rows = []
@@ -209,19 +231,31 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows)
 
 
-def _table(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in rows], pa.int64()), "digest": pa.array([r[1] for r in rows], pa.string())})
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "digest", "url", "date"])
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ARC records that joined ``first``, to WARC text lines: a record without its last line feed, which the writer adds."""
+    """ARC records that joined their first, to WARC files without their last line feed, which the writer adds."""
+    parts: list[bytes] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        whole = b"".join([warcinfo(hashlib.sha256(parts[0]).digest()), *parts])
+        return pa.RecordBatch.from_pydict({"archive": pa.array([whole[:-1]], pa.binary())})
+
     for batch in batches:
-        out = []
-        for url, address, date, media, body, page, first in zip(*(c.to_pylist() for c in batch.columns)):
-            own = b"-" if page is None else b"%d" % page
-            refers = b"%d" % first if first is not None and page != first else None
-            out.append(warc_record(ArcRecord(url, address, date, media, body), own, refers)[:-1])
-        yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
+        for url, address, date, media, body, page, first, first_url, first_date in zip(*batch.columns):
+            own = b"-" if page.as_py() is None else b"%d" % page.as_py()
+            refers = None if first.as_py() is None else First(b"%d" % first.as_py(), first_url.as_py(), first_date.as_py())
+            parts.append(warc_record(ArcRecord(url.as_py(), address.as_py(), date.as_py(), media.as_py(), body.as_py()), own, refers))
+            size += len(parts[-1])
+            if size >= PACK_BYTES:
+                yield out()
+                parts, size = [], 0
+    if parts:
+        yield out()
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +286,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for f, block in read_warc(gzip.decompress(content.as_py())):
                 kind = f[b"warc-type"].decode()
+                if kind == "warcinfo":
+                    continue
                 digest = f[b"warc-payload-digest"].decode().partition(":")[2]
                 if kind == "response" and base32_sha1(split_http(block)[1]) != digest:
                     raise ValueError(f"payload of {f[b'warc-record-id']!r} does not fit its digest")
@@ -270,13 +306,15 @@ def write_arc(pages: DataFrame, path: str) -> None:
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, work: Workspace) -> None:
     """Converts all ARC files under a path. Payloads met twice or more are found first, by digest and smallest page."""
     arcs = spark.read.format("binaryFile").load(arc_path).select("content")
-    seen = arcs.mapInArrow(_digests, "page_id long, digest string").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # Read back, the planner knows this table's size: broadcast below its threshold, else a sort-merge join.
-    firsts = work.keep(seen.where("n > 1").select("digest", "first"), "firsts")
+    seen = work.keep(arcs.mapInArrow(_digests, "page_id long, digest string, url binary, date binary"), "seen")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first")
+    firsts = seen.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    later = seen.join(firsts, "digest").where("page_id != first.page_id").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
+    later = small_side(work.keep(later.distinct(), "later"))
     records = arcs.mapInArrow(_explode, "url binary, address binary, date binary, media binary, body binary, page_id long, digest string")
-    joined = records.join(firsts, "digest", "left").select("url", "address", "date", "media", "body", "page_id", "first")
-    lines = joined.mapInArrow(_convert, "record binary")
-    lines.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", 4000).text(warc_path)
+    joined = records.join(later, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    packed = joined.select("url", "address", "date", "media", "body", "page_id", "first", "first_url", "first_date").mapInArrow(_convert, "archive binary")
+    packed.select(F.col("archive").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(warc_path)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
@@ -290,7 +328,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     work = Workspace(spark, "warc")
     write_arc(pages, work.path("arc"))
     arc_to_warc(spark, work.path("arc"), work.path("warc"), work)
-    work.drop("arc", "firsts")
+    work.drop("arc", "seen", "later")
     return read_warc_files(spark, work.path("warc"))
 
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers that may be broadcast, about 100 bytes each in an executor's hash table.
-BROADCAST_ROWS = 300_000
+#: What a side of a join may take in memory to be broadcast: its rows' fields and lengths of strings, as measured.
+BROADCAST_BYTES = 32 << 20
 SETTING = "spark.checkpoint.dir"
+#: Deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests, one machine)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``. Where it is unset on a single machine (tests), a folder of our own; a cluster
+    has to name one, as its executors do not see each other's disks."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set(SETTING, found)
     return found
@@ -34,16 +38,15 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and returns it as read back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Writes ``df`` once and returns it as read back. Its shuffle files go when it is written."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Lets Spark's context cleaner delete the shuffle files of frames that nothing refers to any more. They go with the driver's
-        garbage, which may take longer than the disks have room; called after a table is kept whose making shuffled much."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more; without names, the whole workspace."""
         jvm = self.spark._jvm
@@ -52,7 +55,10 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``kept`` (narrow, and materialised, so that counting is cheap) marked for broadcast if it has so few rows; else the planner
-    joins it by a shuffle."""
-    return F.broadcast(kept) if kept.count() <= rows else kept
+def small_side(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``kept`` (materialised, so that measuring is cheap) as the smaller side of a join: broadcast if its measured size is below ``limit``,
+    else shuffled and hashed, so that the larger side is dealt by key once and never sorted."""
+    strings = [F.octet_length(F.col(f"`{c}`")) for c, t in kept.dtypes if t in ("string", "binary")]
+    rows, held = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(map(lambda s: F.coalesce(s, F.lit(0)), strings), F.lit(0))), F.lit(0))).first()
+    size = rows * (16 + 8 * len(kept.columns)) + held
+    return F.broadcast(kept) if size <= limit else kept.hint("shuffle_hash")

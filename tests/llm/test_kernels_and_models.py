@@ -62,8 +62,36 @@ def test_linked_sets_share_a_signature(base, data):
 def test_greedy_tiling_takes_the_longest_first():
     p = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], np.uint64)
     t = np.array([7, 8, 9, 10, 11, 12, 0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 6], np.uint64)
-    spots = {int(i): [int(j) for j in range(len(t) - 4) if (p[i : i + 5] == t[j : j + 5]).all()] for i in range(len(p) - 4)}
-    assert tiling.tile(p, t, {k: v for k, v in spots.items() if v}) == [(0, 13, 6), (6, 0, 6)]
+    assert tiling.tile(p, t) == [(0, 13, 6), (6, 0, 6)]
+
+
+def brute_tiles(p, t, least):
+    used, tiles = (set(), set()), []
+    while True:
+        best, found = least, []
+        for i in range(len(p)):
+            for j in range(len(t)):
+                k = 0
+                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and i + k not in used[0] and j + k not in used[1]:
+                    k += 1
+                if k > best:
+                    best, found = k, [(i, j)]
+                elif k == best:
+                    found.append((i, j))
+        if not found:
+            return tiles
+        for i, j in found:
+            own, other = set(range(i, i + best)), set(range(j, j + best))
+            if not own & used[0] and not other & used[1]:
+                used[0].update(own)
+                used[1].update(other)
+                tiles.append((i, j, best))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=30), st.lists(st.integers(1, 4), max_size=40))
+def test_tiling_against_brute_force(p, t):
+    assert tiling.tile(np.array(p, np.uint64), np.array(t, np.uint64), 3) == brute_tiles(p, t, 3)
 
 
 def test_reordered_passage_is_found():
@@ -74,16 +102,16 @@ def test_reordered_passage_is_found():
     assert list(tiling.match(index, data, offsets)) == [(0, 0, 18, 3)]
 
 
-def test_kneser_ney_sums_to_one():
-    text = "abracadabra alakazam abra " * 20
-    data, offsets = kernels.text_buffers(pa.array([text]))
-    keys, _ = quality.gram_codes(data, offsets, 0, 1)
-    seen, n = np.unique(keys, return_counts=True)
-    model = quality.KneserNey(seen.astype(np.int64), n)
-    for context in (seen[3] // quality.CLASSES, seen[-1] // quality.CLASSES):
-        total = np.exp(model.score(context * quality.CLASSES + np.arange(quality.CLASSES))).sum()
-        assert 0.8 < total < 1.2
-    assert model.score(seen.astype(np.int64)).mean() > model.score(np.array([37 * 48**3 + 12345])).mean()
+def test_lookup_finds_all_and_only_what_it_has():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
+    near = np.array([5, 6, 7, 8], np.uint64)  # many in one bucket
+    keys = np.unique(np.concatenate([keys, near]))
+    values = np.arange(len(keys), dtype=np.float32)
+    found, there = quality.Lookup(keys, values)(np.concatenate([keys, keys + np.uint64(1)]))
+    assert there[: len(keys)].all() and (found[: len(keys)] == values).all()
+    assert (there[len(keys) :] == np.isin(keys + np.uint64(1), keys)).all()
+    assert not quality.Lookup(keys[:0], values[:0])(near)[1].any()
 
 
 def brute_spans(text):
