@@ -1,4 +1,8 @@
-"""Comparing a source's blocks with another edition, as a grouped map: one book and copy a group."""
+"""Comparing a source's blocks with another edition.
+
+Two stages: a grouped map of one book and copy finds the blocks' places, which depend on each other; what changed in a located block is a
+function of that block alone, and runs over all blocks wherever they are.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,59 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import align
 
-SCHEMA = "id string, outcome string, changes array<struct<kind:string,ours:string,theirs:string>>"
+PLACED = "place long, id string, outcome string, ours array<string>, theirs array<string>, words long, before string, excerpt string"
+CHANGES = "array<struct<kind:string,ours:string,theirs:string,before:string>>"
+#: Changes that a row shows; ``total`` counts all.
+SHOWN = 12
 
 
-def compare_editions(blocks: DataFrame, copies: DataFrame, key: str = "book") -> DataFrame:
-    """blocks (key, id, ord, text) against copies (key, text): a row a block, and one for each run that only the copy has."""
+def place_editions(blocks: DataFrame, copies: DataFrame, key: str = "book") -> DataFrame:
+    """blocks (key, id, ord, text) in copies (key, text): a row for each block with its words and the copy's, and one for each run that only
+    the copy has (id: the block before it, ``before``: the one after, ``words``: its length)."""
     kind = dict(blocks.dtypes)[key]
+    names = [c.split()[0] for c in PLACED.split(", ")]
 
     def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if ours.empty or theirs.empty:
-            return pd.DataFrame({key: [], "id": [], "outcome": [], "changes": []})
+            return pd.DataFrame({c: [] for c in (key, *names)})
         ours = ours.sort_values("ord")
-        rows = align.compare(list(zip(ours["id"], ours["text"])), "\n\n".join(theirs["text"]))
-        made = [[{"kind": k, "ours": a, "theirs": b} for k, a, b in r["changes"]] for r in rows]
-        return pd.DataFrame({key: ours[key].iloc[0], "id": [r["id"] for r in rows], "outcome": [r["outcome"] for r in rows], "changes": made})
+        ids = list(ours["id"])
+        copy = align.words("\n\n".join(theirs["text"]))
+        placed = align.place_blocks([align.words(align.strip_markdown(t or "")) for t in ours["text"]], copy)
+        rows = [(k, i, p.outcome, p.ours, p.theirs, len(p.theirs), None, " ".join((t or "").split())[:240]) for k, (i, p, t) in enumerate(zip(ids, placed, ours["text"]))]
+        rows += [(len(ids), x.after, "only in copy", None, None, x.words, x.before, x.excerpt) for x in align.leftovers(ids, placed, copy)]
+        out = pd.DataFrame(rows, columns=names)
+        out.insert(0, key, ours[key].iloc[0])
+        return out
+
+    return blocks.select(key, "id", "ord", "text").groupBy(key).cogroup(copies.groupBy(key)).applyInPandas(run, f"{key} {kind}, {PLACED}")
+
+
+def compare_editions(blocks: DataFrame, copies: DataFrame, key: str = "book") -> DataFrame:
+    """A row for each block: outcome (equal, different, absent, not compared), its first changes and how many there are; and one for each run
+    that only the copy has. ``place`` is the row's place in the book, ``excerpt`` the text of what is missing on either side."""
+
+    @F.pandas_udf(CHANGES)
+    def differences(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        fields = ("kind", "ours", "theirs", "before")
+        return pd.Series([[dict(zip(fields, c)) for c in align.differences(list(a), list(b))] for a, b in zip(ours, theirs)])
 
-    return blocks.groupBy(key).cogroup(copies.groupBy(key)).applyInPandas(run, f"{key} {kind}, {SCHEMA}")
+    none = F.lit(None).cast(CHANGES)
+    placed = place_editions(blocks, copies, key)
+    found = placed.where("outcome = 'located'").withColumn("changes", differences("ours", "theirs"))
+    found = found.withColumn("outcome", F.when(F.size("changes") > 0, "different").otherwise("equal"))
+    rest = placed.where("outcome <> 'located'").withColumn("changes", none)
+    excerpt = F.when(F.col("outcome").isin("absent", "only in copy"), F.col("excerpt")).alias("excerpt")
+    total = F.coalesce(F.size("changes"), F.lit(0))
+    return found.unionByName(rest).select(key, "place", "id", "outcome", F.slice("changes", 1, SHOWN).alias("changes"), F.greatest(total, F.lit(0)).cast("long").alias("total"), "words", "before", excerpt)
 
 
 def summary(compared: DataFrame, key: str = "book") -> DataFrame:
+    """Blocks by outcome, blocks compared, and what only the copy has."""
     names = ("equal", "different", "absent", "not compared", "only in copy")
-    return compared.groupBy(key).agg(*(F.count_if(F.col("outcome") == n).alias(n.replace(" ", "_")) for n in names))
+    counts = [F.count_if(F.col("outcome") == n).alias(n.replace(" ", "_")) for n in names]
+    own = F.col("outcome") != "only in copy"
+    return compared.groupBy(key).agg(*counts, F.count_if(own).alias("blocks"), F.count_if(own & (F.col("outcome") != "not compared")).alias("compared"))
 
 
 def beyond_spelling(source: Column, out: Column) -> Column:

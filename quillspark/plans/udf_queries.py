@@ -45,15 +45,14 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("aln_01_edition_compare")
 def edition_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines against another edition of it (lines dropped, changed and added by number), block by block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        other = "\n".join(t + (" inserted words here" if k % 6 == 5 else "") for k, t in zip(pdf["ord"], pdf["text"]) if k % 7 != 3)
-        found = align.compare(list(zip(pdf["id"], pdf["text"])), other)
-        return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "id": [r["id"] for r in found], "outcome": [r["outcome"] for r in found], "changes": [len(r["changes"]) for r in found]})
-
-    return _blocks(spark, sf_dir).groupBy("doc_id").applyInPandas(run, "doc_id long, id string, outcome string, changes long")
+    """Each document's lines against another edition of it: lines dropped and added to by number, and a passage that only the copy has."""
+    own = _blocks(spark, sf_dir).withColumnRenamed("doc_id", "book")
+    more = F.when(F.col("ord") % 6 == 5, F.concat("text", F.lit(" inserted words here"))).when(F.col("ord") == 4, F.concat("text", F.lit("\n" + "only the other edition has this " * 8))).otherwise(F.col("text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", more.alias("text")))), lambda s: s.text)
+    copies = own.where("ord % 7 != 3").groupBy("book").agg(F.array_join(lines, "\n").alias("text"))
+    found = editions.compare_editions(own, copies)
+    shown = F.array_join(F.transform("changes", lambda c: F.concat_ws("/", c.kind, c.ours, c.theirs, c.before)), "|")
+    return found.select(F.col("book").alias("doc_id"), "place", "id", "outcome", "total", "words", "before", F.sha2(shown, 256).alias("sha"))
 
 
 @query("aln_02_words")

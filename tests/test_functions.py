@@ -31,18 +31,45 @@ def test_cut_repetition():
     assert align.cut_repetition(body) == body
 
 
-def test_compare():
+def edition(blocks, copy_text):
+    """Outcomes and differences by block, and what only the copy has."""
+    copy = align.words(copy_text)
+    placed = align.place_blocks([align.words(align.strip_markdown(t)) for _, t in blocks], copy)
+    ids = [b for b, _ in blocks]
+    changed = {b: align.differences(p.ours, p.theirs) for b, p in zip(ids, placed) if p.outcome == "located"}
+    outcomes = {b: ("different" if changed[b] else "equal") if b in changed else p.outcome for b, p in zip(ids, placed)}
+    return outcomes, changed, align.leftovers(ids, placed, copy)
+
+
+def test_editions_word_changed_block_cut_and_passage_added():
     rng = random.Random(3)
-    blocks = [(f"b{k}", " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30))) for k in range(30)]
-    same = align.compare(blocks, "\n\n".join(t for _, t in blocks))
-    assert [r["outcome"] for r in same] == ["equal"] * 30
-    texts = [t for _, t in blocks]
-    texts[4] = texts[4].replace(texts[4].split()[10], "other", 1)
-    del texts[9]
-    found = {r["id"]: r for r in align.compare(blocks, "\n\n".join(texts))}
-    assert found["b4"]["outcome"] == "different" and found["b9"]["outcome"] == "absent" and found["b5"]["outcome"] == "equal"
-    extra = align.compare(blocks, "\n\n".join([*[t for _, t in blocks[:10]], "new word " * 60, *[t for _, t in blocks[10:]]]))
-    assert [r["id"] for r in extra if r["outcome"] == "only in copy"] == ["b9"]
+    vocabulary = ["".join(rng.choice("abcdefghijlmnoprstuv") for _ in range(rng.randint(4, 9))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base = [f"{say(40)} coisa bem específica {say(20)}." for _ in range(30)]
+    blocks = [(f"b{n}", t) for n, t in enumerate(base, 1)]
+    outcomes, _, extra = edition(blocks, "\n\n".join(base))
+    assert set(outcomes.values()) == {"equal"} and not extra
+    other = list(base)
+    other[4] = other[4].replace("bem específica", "muito vaga")
+    del other[9]
+    other.insert(20, "Este trecho inteiro só existe na outra edição. " * 12)
+    outcomes, changed, extra = edition(blocks, "\n\n".join(other))
+    assert {b: o for b, o in outcomes.items() if o != "equal"} == {"b5": "different", "b10": "absent"}
+    assert changed["b5"][0][:3] == ("replace", "bem específica", "muito vaga") and len(changed["b5"][0][3].split()) == 6
+    assert [(x.after, x.before, x.words) for x in extra] == [("b21", "b22", 96)]
+    # Short blocks between located ones: equal, one word changed, cut; without words not compared.
+    titled = [*blocks[:3], ("t1", "## Capítulo dois"), *blocks[3:6], ("t2", "Maio de 1925"), *blocks[6:9], ("t3", "Uma linha curta"), ("t4", "* * *"), *blocks[9:]]
+    outcomes, changed, _ = edition(titled, "\n\n".join([*base[:3], "Capítulo dois", *base[3:6], "Junho de 1925", *base[6:]]))
+    assert {b: o for b, o in outcomes.items() if o != "equal"} == {"t2": "different", "t3": "absent", "t4": "not compared"}
+    assert changed["t2"] == [("replace", "maio de 1925", "junho de 1925", "")]
+    assert edition(blocks[:2], "") == ({"b1": "absent", "b2": "absent"}, {}, []) and edition([], "a b c")[0] == {}
+
+
+def test_words_and_markdown():
+    assert align.words("suffe-\nring “Aspas” — fim.") == ["suffering", "aspas", "fim"] and align.words("‘hbd’ don't ' x") == ["hbd", "don't", "x"]
+    plain = align.words(align.strip_markdown("1.  Um item. 2.  Outro, de 1930. 3.0 fica."))
+    assert plain == ["um", "item", "outro", "de", "1930", "3", "0", "fica"]
+    assert align.words(align.strip_markdown("a [b c](http://x.y/(z)) *d*[^1] <br> # e")) == ["a", "b", "c", "d", "e"]
 
 
 def test_join_lines():
