@@ -1,12 +1,13 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block is described by its word count, link density and punctuation, by
-those of its neighbours, by its tag, and by what the open containers (tag, class, id, role) say. A decision tree, trained on
-``TRAIN_PAGES`` small labelled pages made from a fixed seed, tells article from boilerplate. Article blocks are joined in page order.
+those of the two blocks before and after it, by its tag, and by what the open containers (tag, class, id, role) say. A decision tree,
+trained on ``TRAIN_PAGES`` small labelled pages made from a fixed seed, tells article from boilerplate. ``ANONYMOUS`` of those pages have plain
+``div`` containers with random names, so that there only counts, density and neighbours tell. Article blocks are joined in page order.
 
 Cases: null html is empty text; broken markup (unclosed tags, comments and scripts, stray ``<``) is read to the end; texts of any
-length are read whole, in linear time; repeated rows get equal results; an empty table gives an empty result; other columns
-are left alone.
+length and depth are read whole, in linear time (sums of what containers say are kept with each open one, and a closing tag that is not
+there is looked for once); repeated rows get equal results; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.trees import Tree, fit_tree
 
-TRAIN_PAGES = 400
-DEPTH = 12
+TRAIN_PAGES = 2000
+#: Share of the training pages whose containers have random names.
+ANONYMOUS = 0.4
+DEPTH = 14
+#: Least blocks of a leaf.
+LEAF = 10.0
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^<>\"'])*+[\"']?)(?:>|(?=<)|\Z)")
 _NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -65,10 +70,26 @@ def _hints(tag: str, attributes: str) -> tuple[int, int, int, int]:
     return int(bad), int(bool(names & _COMMENT)), int(bool(names & _GOOD) or tag == "main"), int(tag == "article")
 
 
+class Open(NamedTuple):
+    """An open container, with the sums of what it and those around it say; ``bad``: within the innermost article, if there is one."""
+
+    name: str
+    bad: int
+    comment: int
+    good: int
+    article: int
+
+    def inside(self, name: str, hints: tuple[int, int, int, int]) -> Open:
+        bad, comment, good, article = hints
+        return Open(name, 0 if article else self.bad + bad, self.comment + comment, self.good + good, self.article + article)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, scripts, styles and the like left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, int, int, int]]] = []
+    stack = [Open("", 0, 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of each name, where it is open
+    absent: set[str] = set()  # closing tags that do not come any more
     parts: list[str] = []
     linked_parts: list[str] = []
     anchors, tag, at, n = 0, "body", 0, len(page)
@@ -78,11 +99,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 linked = len("".join(linked_parts).split())
-                sums = [sum(x) for x in zip(*(h for _, h in stack))] if stack else [0, 0, 0, 0]
-                last = max((k for k, (_, h) in enumerate(stack) if h[3]), default=-1)
-                inner_bad = sum(h[0] for _, h in stack[last + 1 :])
-                bad = inner_bad if last >= 0 else sums[0]
-                out.append(Block(text, len(text.split()), linked, tag, bad, sums[1], sums[2], sums[3]))
+                out.append(Block(text, len(text.split()), linked, tag, *stack[-1][1:]))
         parts.clear()
         linked_parts.clear()
 
@@ -92,6 +109,12 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 linked_parts.append(text)
 
+    def closing_of(name: str, ending: str) -> re.Match | None:
+        found = None if name in absent else re.compile(rf"(?i)</{name}{ending}").search(page, at)
+        if found is None:
+            absent.add(name)
+        return found
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -114,7 +137,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         closing, name = bool(m[1]), m[2].lower()
         if name in _RAW and not closing:
-            end = re.compile(rf"(?i)</{name}\b").search(page, at)
+            end = closing_of(name, r"\b")
             if end is None and name in ("script", "style", "textarea", "iframe", "noscript", "template"):
                 at = n
             elif end is not None:
@@ -130,18 +153,19 @@ def blocks(page: str) -> list[Block]:
         flush()
         anchors = 0
         if name in _SILENT and name not in _RAW and not closing and name != "head":
-            end = re.compile(rf"(?i)</{name}\s*>").search(page, at)
+            end = closing_of(name, r"\s*>")
             if end is not None:
                 at = end.end()
             continue
         if name in _CONTAINERS:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if places.get(name):
+                    first = places[name][-1]
+                    while len(stack) > first:
+                        places[stack.pop().name].pop()
             elif name not in _VOID:
-                stack.append((name, _hints(name, m[3])))
+                places.setdefault(name, []).append(len(stack))
+                stack.append(stack[-1].inside(name, _hints(name, m[3])))
         tag = "body" if closing else name
     flush()
     return out
@@ -150,48 +174,69 @@ def blocks(page: str) -> list[Block]:
 _TAGS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "td": 4, "div": 5, "blockquote": 6, "pre": 6, "dd": 6}
 
 
+FEATURES = ("words", "link density", "letters a word", "tag", "boilerplate", "comment", "content", "article", "sentence ends a word")
+#: Places of the features of neighbours.
+NEAR = range(len(FEATURES), len(FEATURES) + 12)
+
+
 def describe(found: list[Block]) -> np.ndarray:
-    """Features of each block: its own, and word count and link density of the blocks before and after."""
+    """Features of each block: its own (``FEATURES``), and word count, link density and container hints of two blocks before and after."""
     own = np.array([[b.words, b.linked / max(b.words, 1), len(b.text) / max(b.words, 1), _TAGS.get(b.tag, 0), b.bad, b.comment, b.good, b.article, sum(b.text.count(c) for c in ".!?") / max(b.words, 1)] for b in found], float).reshape(len(found), 9)
-    none = np.zeros((1, 3))
-    near = own[:, [0, 1, 4]]
-    before, after = np.vstack([none, near])[:-1], np.vstack([near, none])[1:]
-    page = np.full((len(found), 2), [own[:, 7].any(), own[:, 6].any()]) if len(found) else np.zeros((0, 2))
-    return np.hstack([own, before, after, page])
+    none = np.zeros((2, 3))
+    near = np.vstack([none, own[:, [0, 1, 4]], none])
+    n = len(found)
+    page = np.full((n, 2), [own[:, 7].any(), own[:, 6].any()]) if n else np.zeros((0, 2))
+    return np.hstack([own, near[1 : n + 1], near[3 : n + 3], near[:n], near[4:], page])
+
 
+_ROLE_TAGS = re.compile(r"<(/?)(?:nav|header|footer|aside|form|article|main|section)\b")
+_NAMES = re.compile(r"(class|id)=\"[^\"]*\"")
 
-def training_pages(pages: int = TRAIN_PAGES, seed: int = 3) -> list[tuple[str, list[bool]]]:
+
+def training_pages(pages: int = TRAIN_PAGES, seed: int = 3, anonymous: float = ANONYMOUS) -> list[tuple[str, list[bool]]]:
     """Pages of several layouts made from a seed, with a label (article or not) for each of their blocks."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
-    say = lambda lo, hi: " ".join(word() + rng.choice(("", "", "", "", ",", ".")) for _ in range(rng.randint(lo, hi))).capitalize() + "."
-    link = lambda: f'<a href="/{word()}">{word()}</a>'
+    pick = rng.choice
+    word = lambda: "".join(pick("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    say = lambda lo, hi: " ".join(word() + pick(("", "", "", "", ",", ".")) for _ in range(rng.randint(lo, hi))).capitalize() + "."
+    link = lambda lo=1, hi=2: f'<a href="/{word()}">{" ".join(word() for _ in range(rng.randint(lo, hi)))}</a>'
+    maybe_link = lambda share: f" {link(1, 3)}" if rng.random() < share else ""
+
+    def menu(n: int) -> str:
+        return pick(("<nav><ul>{}</ul></nav>", '<ul class="menu">{}</ul>', '<div id="navbar"><ul>{}</ul></div>', "<ul>{}</ul>")).format("".join(f"<li>{link()}</li>" for _ in range(n)))
+
+    def paragraph() -> str:
+        lo, hi = pick(((1, 4), (5, 30), (20, 120), (20, 120)))
+        return say(lo, hi) + (maybe_link(0.2) if hi > 30 else "")
+
+    notices = (
+        lambda: (f'<div class="{pick(("ad", "ads banner", "advert", "sponsored-box", "promo"))}">{say(4, 25)}{maybe_link(0.5)}</div>', 1),
+        lambda: (f'<div class="{pick(("cookie-notice", "consent", "notice", "popup"))}"><p>{say(6, 30)}{maybe_link(0.7)}</p></div>', 1),
+        lambda: (f'<aside>{pick(("<p>", "<div>"))}{say(5, 40)}{maybe_link(0.5)}</aside>', 1),
+        lambda: (f'<div class="{pick(("sidebar", "side-bar", "widget", "related"))}"><p>{link(2, 7)}</p><p>{link(2, 7)} {word()}</p><p>{link(2, 7)}</p></div>', 3),
+        lambda: (f'<div class="{pick(("sidebar", "side-bar", "widget", "related"))}"><p>{say(5, 40)}</p></div>', 1),
+        lambda: (f"<form><p>{say(2, 12)}</p></form>", 1),
+    )
     out = []
     for _ in range(pages):
         parts: list[tuple[str, list[bool]]] = []
-        off = lambda markup, n=1: parts.append((markup, [False] * n))  # noqa: E731, B023
-        k = rng.randint(3, 8)
-        menu = "".join(f"<li>{link()}</li>" for _ in range(k))
+
+        def off(markup: str, n: int = 1) -> None:
+            parts.append((markup, [False] * n))  # noqa: B023
+
         if rng.random() < 0.8:
-            plain = (f"<ul>{menu}</ul>", f'<div class="{word()}"><ul>{menu}</ul></div>')  # told by link density alone
-            off(rng.choice((f"<nav><ul>{menu}</ul></nav>", f'<ul class="menu">{menu}</ul>', f'<div id="navbar"><ul>{menu}</ul></div>', *plain)), k)
+            k = rng.randint(3, 8)
+            off(menu(k), k)
         if rng.random() < 0.4:
-            off(rng.choice((f"<header><h1>{say(1, 4)}</h1></header>", f'<div class="header">{say(1, 8)}</div>', f'<div id="masthead"><p>{say(2, 9)}</p></div>')))
-        notices = (
-            lambda: f'<div class="{rng.choice(("ad", "ads banner", "advert", "sponsored-box", "promo"))}">{say(4, 25)}</div>',
-            lambda: f'<div class="{rng.choice(("cookie-notice", "consent", "notice", "popup"))}"><p>{say(6, 30)}</p></div>',
-            lambda: f'<aside>{rng.choice(("<p>", "<div>"))}{say(5, 40)}</aside>',
-            lambda: f'<div class="{rng.choice(("sidebar", "side-bar", "widget", "related"))}"><p>{say(5, 40)}</p></div>',
-            lambda: f"<form><p>{say(2, 12)}</p></form>",
-        )
+            off(pick((f"<header><h1>{say(1, 4)}</h1></header>", f'<div class="header">{say(1, 8)}</div>', f'<div id="masthead"><p>{say(2, 9)}</p></div>')))
         for _ in range(rng.randint(0, 2)):
-            off(rng.choice(notices)())
-        opening, closing = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-text">', "</div>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), ("", "")))
+            off(*pick(notices)())
+        opening, closing = pick((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-text">', "</div>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), ("", "")))
         inner: list[tuple[str, list[bool]]] = [(f"<h1>{say(2, 12)}</h1>", [True])] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.75:
-                inner.append((f"<p>{say(*rng.choice(((1, 4), (5, 30), (20, 120))))}</p>", [True]))
+                inner.append((f"<p>{paragraph()}</p>", [True]))
             elif kind < 0.85:
                 inner.append((f"<p><b>{say(3, 20)}<br><p>{say(8, 60)}</p>", [True, True]))
             elif kind < 0.92:
@@ -199,17 +244,22 @@ def training_pages(pages: int = TRAIN_PAGES, seed: int = 3) -> list[tuple[str, l
             else:
                 inner.append((f"<ul><li>{say(3, 12)}</li><li>{say(3, 12)}</li></ul>", [True, True]))
             if rng.random() < 0.08:
-                inner.append((rng.choice(notices)(), [False]))
+                markup, n = pick(notices)()
+                inner.append((markup, [False] * n))
         parts.append((opening + "".join(m for m, _ in inner) + closing, [x for _, f in inner for x in f]))
         for _ in range(rng.randint(0, 2)):
-            off(rng.choice(notices)())
+            off(*pick(notices)())
         if rng.random() < 0.35:
             n = rng.randint(1, 5)
             said = [say(3, 50) for _ in range(n)]
-            off(rng.choice((f'<section id="comments">{"".join(f"<p>{x}</p>" for x in said)}</section>', f'<ol class="commentlist">{"".join(f"<li>{x}</li>" for x in said)}</ol>', "".join(f'<div class="comment"><p>{x}</p></div>' for x in said))), n)
+            off(pick((f'<section id="comments">{"".join(f"<p>{x}</p>" for x in said)}</section>', f'<ol class="commentlist">{"".join(f"<li>{x}</li>" for x in said)}</ol>', "".join(f'<div class="comment"><p>{x}</p></div>' for x in said))), n)
         if rng.random() < 0.8:
-            off(rng.choice((f"<footer>&copy; {word()}.example.org &middot; {say(3, 20)}</footer>", f'<div class="footer">{say(3, 20)}</div>')))
-        out.append(("<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(m for m, _ in parts) + "</body></html>", [x for _, f in parts for x in f]))
+            tail = f"{say(3, 20)}" + "".join(f" {link()}" for _ in range(rng.randint(0, 4)))
+            off(pick((f"<footer>&copy; {word()}.example.org &middot; {tail}</footer>", f'<div class="footer">{tail}</div>')))
+        body = "".join(m for m, _ in parts)
+        if rng.random() < anonymous:
+            body = _NAMES.sub(lambda m: f'{m[1]}="{word()}"', _ROLE_TAGS.sub(r"<\1div", body))
+        out.append((f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>", [x for _, f in parts for x in f]))
     return out
 
 
@@ -221,7 +271,7 @@ def train(pages: int = TRAIN_PAGES, depth: int = DEPTH, seed: int = 3) -> Tree:
             xs.append(describe(found))
             ys += labels
     y = np.array(ys, float)
-    return fit_tree(np.vstack(xs), 0.5 - y, np.ones(len(y)), depth, least=2.0, ridge=0.1)
+    return fit_tree(np.vstack(xs), 0.5 - y, np.ones(len(y)), depth, least=LEAF, ridge=0.1)
 
 
 def main_text(page: str, tree: Tree) -> str:
