@@ -6,8 +6,10 @@ removed. Strings are judged on the input.
 1. Whole copies of an earlier text are covered whole, and leave.
 2. Partition, without loss: a string of LENGTH bytes has an anchor, its leftmost ``GRAM`` bytes of least hash. Equal strings
    have equal anchors at equal places. So an anchor with the bytes around it that strings over it may span (its context) meets all
-   it can equal in the group of its hash. Anchors are sorted by group and context; a context met earlier is covered whole;
-   groups of one distinct context are done. This sort moves slim rows only, and is read as a stream.
+   it can equal in the group of its hash. A context met earlier (anchor and context hash, 128 bits) is covered whole. That is seen within
+   a batch before anything moves: of equal contexts the first goes on, what the others cover goes on as runs. So a passage that a
+   third of all documents share reaches the shuffle once a batch. Then anchors are sorted by group and context; groups of one
+   distinct context are done. This sort moves slim rows only, and is read as a stream.
 3. The first contexts of groups of two or more go, with their bytes, to the suffix sort, many groups to a task, groups never
    split: difference cover modulo 3. Positions 1 and 2 modulo 3 are sorted by triples of packed 8-byte characters, their names by
    triples of names, and so on until names stand for LENGTH bytes; the rest is sorted by its first byte and the
@@ -15,6 +17,9 @@ removed. Strings are judged on the input.
 4. Groups of more than ``GROUP_CONTEXTS`` distinct contexts don't go to one task: their strings are counted by 128-bit hashes, with
    partial sums before the shuffle, which is the same result by another way.
 
+The suffix sort is distributed by groups, not by ranges of suffixes: sorting the sampled triples of all bytes by Spark would move some 20 bytes
+for each of two thirds of the positions and for each level of names, several times what the disks may take (README).
+
 Cases: null text is empty; texts shorter than LENGTH lose nothing; texts are taken as UTF-8 bytes and may be cut within a
 character; rows of equal id and text are one document and share a result, rows of equal id and other texts are ordered by the
 text's hash, null ids come first; an empty table gives an empty result; other columns are left alone.
@@ -40,6 +45,8 @@ SPAN = LENGTH - GRAM  # an anchor lies at most so far into its string
 GROUP_CONTEXTS = 10_000
 #: Bytes of contexts that a task sorts at once, a group at least.
 SORT_BYTES = 768 << 10
+#: Anchors that are compared within a task before the shuffle.
+HELD_ANCHORS = 2_000_000
 #: Rows of contexts looked at together; a group is closed at the first slice that ends it.
 SLICE_ROWS = 2000
 
@@ -221,19 +228,74 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hash_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts to their strings' hashes: (a, b, doc, key, at)."""
+    """Contexts to their strings' hashes: (a, b, doc, key, at), by two running hashes over different values of the bytes."""
+    values = kernels._letters(False), kernels.mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED2701))
     for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            batch = whole.slice(lo, 500)
-            a, rows, places = [], [], []
-            for r, (x, left) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("left").to_pylist())):
-                for k in range(len(x) - LENGTH + 1):
-                    a.append(hashlib.blake2b(x[k : k + LENGTH], digest_size=16).digest())
-                    rows.append(r)
-                    places.append(left + k)
-            pair = np.frombuffer(b"".join(a), np.int64).reshape(-1, 2)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), batch.column("doc").take(take), batch.column("key").take(take), pa.array(places, pa.int64())], ["a", "b", "doc", "key", "at"])
+        for first in range(0, whole.num_rows, 2000):
+            batch = whole.slice(first, 2000)
+            data, offsets = kernels.text_buffers(batch.column("bytes"))
+            text, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            count = np.maximum(np.diff(at) - LENGTH + 1, 0)
+            row = np.repeat(np.arange(len(count)), count)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = at[row] + inner
+            up, down = kernels.powers(len(text) + 1)
+            pair = []
+            for value in values:
+                sums = np.zeros(len(text) + 1, np.uint64)
+                np.cumsum(value[text] * up[: len(text)], out=sums[1:])
+                pair.append(kernels.mix((sums[start + LENGTH] - sums[start]) * down[start]).view(np.int64))
+            take = pa.array(row)
+            places = batch.column("left").to_numpy()[row] + inner
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), batch.column("doc").take(take), batch.column("key").take(take), pa.array(places)], ["a", "b", "doc", "key", "at"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc, key, text) to anchors (group, context, doc, key, place, hi). Of equal contexts within a batch the first goes on (hi
+    is null); what the others cover goes on as runs from place to hi, dealt by document."""
+    for batch in batches:
+        order = pc.sort_indices(batch.select(["doc", "key"]), sort_keys=[("doc", "ascending"), ("key", "ascending")], null_placement="at_start")
+        batch = batch.take(order)
+        if batch.num_rows > 1:  # rows of equal id and text are one document
+            doc, key = batch.column("doc"), batch.column("key")
+            same = pc.or_(pc.fill_null(pc.equal(doc[1:], doc[:-1]), False), pc.and_(pc.is_null(doc[1:]), pc.is_null(doc[:-1])))
+            same = pc.and_(same, pc.equal(key[1:], key[:-1])).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(np.concatenate([[True], ~same])))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            row, place, group, context = (np.concatenate(c) for c in zip(*held))  # noqa: B023
+            order = np.argsort(kernels.mix(group) + context, kind="stable")
+            g, c = group[order], context[order]
+            again = np.zeros(len(row), bool)
+            again[order[1:]] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+            first = np.flatnonzero(~again)
+            late, at = row[again], place[again]
+            lo, hi = np.maximum(at - SPAN, 0), at + LENGTH
+            opens = np.ones(len(lo), bool)
+            opens[1:] = (late[1:] != late[:-1]) | (lo[1:] > hi[:-1])
+            starts = np.flatnonzero(opens)
+            ends = np.append(starts[1:], len(lo)) - 1 if len(starts) else starts
+            for rows, columns in (
+                (row[first], (group[first].view(np.int64), context[first].view(np.int64), place[first].astype(np.int32), pa.nulls(len(first), pa.int32()))),
+                (late[starts], (None, np.zeros(len(starts), np.int64), lo[starts].astype(np.int32), pa.array(hi[ends].astype(np.int32)))),
+            ):
+                take = pa.array(rows)
+                key = batch.column("key").take(take)  # noqa: B023
+                own, ctx, start, end = columns
+                yield pa.RecordBatch.from_arrays([key if own is None else pa.array(own), pa.array(ctx), batch.column("doc").take(take), key, pa.array(start), end], ["group", "context", "doc", "key", "place", "hi"])  # noqa: B023
+
+        data, offsets = kernels.text_buffers(batch.column("text"))
+        for first, last in kernels.runs(offsets):
+            for row, place, group, context in anchors(data, offsets, first, last):
+                held.append((np.full(len(place), row), place, group, context))
+                size += len(place)
+            if size > HELD_ANCHORS:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +304,11 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None  # first row of the open group, until it is sent
     group = context = None
     for batch in batches:
+        known = batch.column("hi").is_valid()
+        ready = batch.filter(known)
+        if ready.num_rows:
+            yield ready.append_column("later", pa.array(np.ones(ready.num_rows, bool))).select(_MET)
+        batch = batch.filter(pc.invert(known))
         g, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("group", "context"))
         if not len(g):
             continue
@@ -262,7 +329,10 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, context = g[-1], c[-1]
         for o in out:
             if o.num_rows:
-                yield o.select(["group", "doc", "key", "place", "later"])
+                yield o.select(_MET)
+
+
+_MET = ["group", "doc", "key", "place", "hi", "later"]
 
 
 def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
@@ -275,22 +345,9 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     out = small_side(copies.select("doc", "key"))
     left = slim.select("doc", "key", "text").alias("d").join(out.alias("c"), F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.key") == F.col("c.key")), "left_anti")
 
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = kernels.text_buffers(batch.column("text"))
-            for first, last in kernels.runs(offsets):
-                rows, parts = [], []
-                for row, *found in anchors(data, offsets, first, last):
-                    rows.append(np.full(len(found[0]), row))
-                    parts.append(found)
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    place, group, context = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc").take(take), batch.column("key").take(take), pa.array(place.astype(np.int32))], ["group", "context", "doc", "key", "place"])
-
-    found = left.select("doc", "key", "text").mapInArrow(anchor, f"group long, context long, doc {kind}, key long, place int")
+    found = left.select("doc", "key", "text").mapInArrow(_anchor_rows, f"group long, context long, doc {kind}, key long, place int, hi int")
     ordered = found.repartition("group").sortWithinPartitions("group", "context", "doc", "key", "place")
-    met = work.keep(ordered.mapInArrow(_stream, f"group long, doc {kind}, key long, place int, later boolean"), "met")
+    met = work.keep(ordered.mapInArrow(_stream, f"group long, doc {kind}, key long, place int, hi int, later boolean"), "met")
     # Rows of repeated rows of the table meet themselves as later ones, at the same place: those are no repeats.
     alone = work.keep(docs.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
     if not alone.isEmpty():
@@ -332,14 +389,15 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
         again = strings.groupBy("a", "b").agg(F.min("p").alias("least"), F.max("p").alias("most")).where("least != most").select("a", "b", "least")
         hot = strings.join(again, ["a", "b"]).where("p > least").select("p.doc", "p.key", F.col("p.at").alias("lo"), (F.col("p.at") + LENGTH).alias("hi")).distinct()
         runs = work.keep(cool.unionAll(hot), "runs")
-    wide = met.where("later").select("doc", "key", F.greatest(F.col("place").cast("long") - SPAN, F.lit(0).cast("long")).alias("lo"), (F.col("place") + LENGTH).cast("long").alias("hi"))
+    start = F.when(F.col("hi").isNotNull(), F.col("place").cast("long")).otherwise(F.greatest(F.col("place").cast("long") - SPAN, F.lit(0)))
+    wide = met.where("later").select("doc", "key", start.alias("lo"), F.coalesce(F.col("hi"), F.col("place") + LENGTH).cast("long").alias("hi"))
     return copies.unionAll(wide).unionAll(runs)
 
 
 def _without_own_copies(found: DataFrame, alone: DataFrame, kind: str) -> DataFrame:
     """The stream's result for tables in which rows repeat: equal rows count once."""
-    once = found.dropDuplicates(["group", "context", "doc", "key", "place"])
-    return once.repartition("group").sortWithinPartitions("group", "context", "doc", "key", "place").mapInArrow(_stream, f"group long, doc {kind}, key long, place int, later boolean")
+    once = found.dropDuplicates(["group", "context", "doc", "key", "place", "hi"])
+    return once.repartition("group").sortWithinPartitions("group", "context", "doc", "key", "place").mapInArrow(_stream, f"group long, doc {kind}, key long, place int, hi int, later boolean")
 
 
 def _apply(batches: Iterator[pa.RecordBatch], text_out: bool) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 """Kernels against regular expressions; trees, language model, tiling and suffix order against brute force."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -105,13 +107,13 @@ def test_reordered_passage_is_found():
 def test_lookup_finds_all_and_only_what_it_has():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
-    near = np.array([5, 6, 7, 8], np.uint64)  # many in one bucket
+    near = np.array([0, 5, 6, 7, 8], np.uint64)
     keys = np.unique(np.concatenate([keys, near]))
-    values = np.arange(len(keys), dtype=np.float32)
-    found, there = quality.Lookup(keys, values)(np.concatenate([keys, keys + np.uint64(1)]))
-    assert there[: len(keys)].all() and (found[: len(keys)] == values).all()
-    assert (there[len(keys) :] == np.isin(keys + np.uint64(1), keys)).all()
-    assert not quality.Lookup(keys[:0], values[:0])(near)[1].any()
+    values = np.arange(1, len(keys) + 1, dtype=np.int32)
+    found = quality.Lookup(keys, values)(np.concatenate([keys, keys + np.uint64(1)]))
+    assert (found[: len(keys)] == values).all()
+    assert ((found[len(keys) :] > 0) == np.isin(keys + np.uint64(1), keys)).all()
+    assert not quality.Lookup(keys[:0], values[:0])(near).any()
 
 
 def brute_spans(text):
@@ -139,14 +141,33 @@ def test_candidates_on_held_out_rows():
 
 def test_html_blocks():
     tree = html_text.train()
-    for page, labels in html_text.training_pages(60, seed=77):
-        kept = tree(html_text.describe(html_text.blocks(page))) > 0
-        assert list(kept) == labels
+    used = set(tree.feature.tolist())
+    assert {0, 1} <= used and len(used & set(html_text.NEAR)) >= 6  # words, link density, and those of neighbours decide
+    # Precision and recall in words on held-out pages, with telling containers and with random ones.
+    for anonymous, precision, recall in ((0.0, 0.99, 0.98), (1.0, 0.87, 0.95)):
+        right = wrong = lost = 0
+        for page, labels in html_text.training_pages(300, seed=77, anonymous=anonymous):
+            found = html_text.blocks(page)
+            assert len(found) == len(labels)
+            for block, keep, label in zip(found, tree(html_text.describe(found)) > 0, labels):
+                right, wrong, lost = right + block.words * (keep and label), wrong + block.words * (keep and not label), lost + block.words * (label and not keep)
+        assert right / (right + wrong) > precision and right / (right + lost) > recall
     text = html_text.main_text('<nav><a href=x>m</a></nav><article><h1>T &amp; U</h1><p>one <b>two<br>three<p>four</article><div class="ad">x y z</div><script>"</p>"', tree)
     assert text == "T & U one two three four"
     assert html_text.main_text("", tree) == "" and html_text.main_text("<p", tree) == "" and html_text.main_text("<!-- x", tree) == ""
 
 
+@pytest.mark.parametrize("part", ["<div>", "<p>a", "<option>", "<svg>", "<title>", "<div>x</section>", "</nav><nav>", "<!--", '<a b="', "<ul><li>&amp;"])
+def test_html_is_read_in_linear_time(part):
+    tree = html_text.train(pages=200)
+    seconds = []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        html_text.main_text(part * n, tree)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * max(seconds[0], 0.05)
+
+
 def test_arc_versions():
     one = warc.arc_version_block(1) + warc.arc_record(1, b"http://a/", b"text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\nhttp://fake 1 2 3 4\n", 0)
     two = warc.arc_version_block(2) + warc.arc_record(2, b"http://a/", b"text/html", b"", 0)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pytest
@@ -198,7 +199,7 @@ def test_op4_base_features(spark):
 
 def brute_kneser_ney(texts, order):
     """p(last | rest) of all n-grams of ``texts``, by the definition, with dictionaries."""
-    counts = {order: Counter(t[k : k + order] for t in ((chr(quality.PAD - 1) * (order - 1)) + x for x in texts) for k in range(len(t) - order + 1))}
+    counts = {order: Counter(t[k : k + order] for t in texts for k in range(len(t) - order + 1))}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     p = {}
@@ -221,12 +222,13 @@ def test_op4_model_against_definition(spark, block):
     texts = ["abracadabra alakazam", "Abra Kadabra, simsalabim!", "ünïcödé \U0001F600 Кириллица", "abracadabra again and again", "", "aa", "12 345 $%& <b> a_b"]
     rows = [(k, x, "en" if k % 2 else "de", None, 1) for k, x in enumerate([*texts, texts[0]])]
     normal = lambda x: re.sub(r"[#$%&*+<=>@\[\]\\^_`{|}~]", "#", re.sub("[0-9]", "0", x))
-    p = brute_kneser_ney([normal(x) for x in texts if x], quality.ORDER)
+    units = lambda x: (quality.PAD,) * (quality.ORDER - 1) + tuple(np.frombuffer(normal(x).encode("utf-16-le"), np.uint16).tolist())
+    p = brute_kneser_ney([units(x) for x in texts if x], quality.ORDER)
     docs = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: r["_nll"] for r in quality.measure(docs, quality.Workspace(spark, "test"), block=block).collect()}
     for k, x, *_ in rows:
-        padded = chr(quality.PAD - 1) * (quality.ORDER - 1) + normal(x)
-        want = -sum(np.log(p[padded[i : i + quality.ORDER]]) for i in range(len(x)))
+        padded = units(x)
+        want = -sum(np.log(p[padded[i : i + quality.ORDER]]) for i in range(len(padded) - quality.ORDER + 1))
         assert abs(got[k] / quality.STEPS - want) < 1e-4
 
 
@@ -272,6 +274,27 @@ def test_op5_rows(spark):
     assert html_text.extract_text(empty(spark, PAGES)).count() == 0
 
 
+def plain_article(page):
+    """The text of the one article element, cut at its paragraphs and headings, by regular expressions."""
+    found = re.search(r"<article>(.*)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:p|h1)>", found[1].replace("<br>", " ").replace("<b>", "")) if found else []
+    return " ".join(filter(None, (" ".join(unescape(x).split()) for x in parts)))
+
+
+def test_op5_against_plain_articles(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: plain_article(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op5(spark, sf).collect()}
+    assert got == {k: (v, len(v)) for k, v in pages.items()}
+
+
+def test_op5_very_long_pages(spark):
+    text = " ".join(f"word{k % 977}" for k in range(300_000))
+    rows = [(1, "u", f"<nav><a href=x>m</a></nav><article><p>{text}</p></article>"), (2, "u", "<div>" * 50_000 + "<p>" + "deep words in here. " * 40)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: text, 2: ("deep words in here. " * 40).strip()}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
