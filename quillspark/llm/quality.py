@@ -1,16 +1,17 @@
 """Quality rules and n-gram perplexity bands.
 
-The base features are counts over whole texts. The method is a modified Kneser-Ney model of n-grams of ``ORDER`` characters (code points:
-case, accents and scripts stay apart; ASCII digits are one, and ASCII symbols but punctuation), counted by Spark over all distinct texts. Probabilities of all orders are joins and sums
+The base features are counts over whole texts. The method is a modified Kneser-Ney model of n-grams of ``ORDER`` characters (UTF-16 units:
+case, accents and scripts stay apart; ASCII digits are one, and ASCII symbols but punctuation), counted by Spark over all distinct texts.
+An n-gram is one 64-bit number. Probabilities of all orders are joins and sums
 over tables of distinct n-grams; the model is the log probability of each n-gram of full order, in sorted arrays of 64-bit hashes. All that
-is scored was counted, so one lookup by binary search from a table of the leading bits tells a character's probability.
+is scored was counted, so one lookup, from a table of the leading bits, tells a character's probability.
 
 A document's mean negative log probability, shrunk towards its language's mean as short texts vary more, has to lie in the band of its language:
 quartiles of all distinct texts of the language, widened by ``LOWER`` and ``UPPER`` times their distance (``FLOOR`` at least).
 Documents below are too repetitive, documents above are not prose of that language. Every row is judged; copies of a text (under
 different ids) count once in the model, the mean and the quartiles. Sums are over integers, so that verdicts do not depend on the order of rows.
 
-The model grows with the corpus. It is sent to the tasks in blocks of at most ``BLOCK_GRAMS`` n-grams (12 bytes each), one block after
+The model grows with the corpus. It is sent to the tasks in blocks of about ``BLOCK_GRAMS`` n-grams (12 bytes each), one block after
 the other, with a pass over the texts for each; a task holds one block, whatever the model's size.
 
 Cases: null text has no words and fails; null lang is a language of its own; rows that repeat are judged alike; a language of
@@ -32,9 +33,9 @@ from quillspark.llm import kernels
 from quillspark.llm.workspace import Workspace, small_side
 
 ORDER = 4
-#: How far the band goes below and above the quartiles, as multiples of their distance. Each is the width at which 0.25 % of the good
-#: documents are lost on its side, on the labelled rows of sf0.1 whose text has an even CRC-32; the others are held out for the test.
-LOWER, UPPER = 1.5, 1.2
+#: How far the band goes below and above the quartiles, as multiples of their distance. Each is a fifth above the width at which 0.25 % of the
+#: good documents are lost on its side, on the labelled rows of sf0.1 whose text has an even CRC-32; the others are held out for the test.
+LOWER, UPPER = 1.8, 1.4
 #: Least distance of the quartiles, in nats a character: a language whose texts are all alike still has a band.
 FLOOR = 0.02
 #: Characters of the language's mean that are mixed into a document's mean.
@@ -42,44 +43,40 @@ PRIOR = 1000
 #: n-grams of the model that are broadcast at once.
 BLOCK_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it sends them.
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 400_000
 #: Steps of a nat in which negative log probabilities are summed and perplexities are counted.
 STEPS, BINS = 1_000_000, 1_000
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
-#: What stands before a text's first character; no code point.
-PAD = 0x110000
-_POINT_BITS = 21
+#: What stands before a text's first character; no character.
+PAD = 0xFFFF
+_UNIT_BITS = 16
 PUNCTUATION = ".,;:!?'\"-()/"
-_SAME = np.arange(128, dtype=np.uint32)
+_SAME = np.arange(1 << _UNIT_BITS, dtype=np.uint16)
 _SAME[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in PUNCTUATION]] = ord("#")
 _SAME[ord("0") : ord("9") + 1] = ord("0")
 
 
-def points(data: np.ndarray) -> np.ndarray:
-    """Code points of UTF-8 bytes that end at a code point, digits and symbols taken for one."""
-    found = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    return np.where(found < 128, _SAME[np.minimum(found, 127)], found)
+def units(data: np.ndarray) -> np.ndarray:
+    """UTF-16 units of UTF-8 bytes that end at a code point, digits and symbols taken for one."""
+    return _SAME[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-16-le", "replace"), np.uint16)]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters of each text, the n-gram that ends there: hash, first two and last two code points packed; and the texts' bounds."""
+def grams(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all characters of each text, the n-gram that ends there, as a number; and the texts' bounds."""
     b = data[int(offsets[first]) : int(offsets[last])]
-    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[offsets[first : last + 1] - offsets[first]]
+    size = ((b & 0xC0) != 0x80).astype(np.int8) + (b >= 0xF0)
+    bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[offsets[first : last + 1] - offsets[first]]
     pad = ORDER - 1
-    bounds = chars + pad * np.arange(len(chars))
-    padded = np.full(int(bounds[-1]), PAD, np.uint64)
+    starts = bounds + pad * np.arange(len(bounds))
+    padded = np.full(int(starts[-1]), PAD, np.uint64)
     inside = np.ones(len(padded), bool)
     for k in range(pad):
-        inside[bounds[:-1] + k] = False
-    padded[inside] = points(b)
-    n = max(len(padded) - pad, 0)
-    shift = np.uint64(_POINT_BITS)
-    high = (padded[:n] << shift) | padded[1 : 1 + n]
-    low = (padded[2 : 2 + n] << shift) | padded[3 : 3 + n]
-    keep = inside[pad:]
-    high, low = high[keep], low[keep]
-    return kernels.mix(kernels.mix(low) + high), high, low, chars
+        inside[starts[:-1] + k] = False
+    padded[inside] = units(b)
+    pairs = (padded[:-1] << np.uint64(_UNIT_BITS)) | padded[1:]
+    key = (pairs[:-2] << np.uint64(2 * _UNIT_BITS)) | pairs[2:]
+    return key[inside[pad:]], bounds
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,23 +84,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
-    def combine() -> tuple[np.ndarray, ...]:
-        key, high, low, n = (np.concatenate(c) for c in zip(*held))
-        key, at, where = np.unique(key, return_index=True, return_inverse=True)
-        return key, high[at], low[at], np.bincount(where, n).astype(np.int64)
+    def combine() -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(c) for c in zip(*held))
+        key, where = np.unique(key, return_inverse=True)
+        return key, np.bincount(where, n).astype(np.int64)
 
-    def out(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], ["key", "high", "low", "n"])
+    def out(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], ["key", "n"])
 
     for batch in batches:
         data, offsets = kernels.text_buffers(batch.column("text"))
-        for first, last in kernels.runs(offsets, 4 << 20):
-            key, high, low, _ = grams(data, offsets, first, last)
-            if not len(key):
-                continue
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            held.append((key, high[at], low[at], n))
-            size += len(key)
+        for first, last in kernels.runs(offsets):
+            held.append(np.unique(grams(data, offsets, first, last)[0], return_counts=True))
+            size += len(held[-1][0])
             if size > HELD_GRAMS:
                 held = [combine()]
                 size = len(held[0][0])
@@ -115,30 +108,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lookup:
-    """Sorted hashes with values. A table of the leading bits of each hash tells where its search starts."""
+    """n-grams with values, in the order of their hashes. A table of the leading bits of each hash tells where its search starts."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        bits = max(1, len(keys).bit_length())
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        key = kernels.mix(grams)
+        order = np.argsort(key)
+        bits = max(1, 1 + len(key).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of hashes (0 where there is none), and which are there."""
-        slot = (keys >> self.shift).astype(np.int64)
-        at, end = self.starts[slot], self.starts[slot + 1]
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        left = np.flatnonzero(at < end)
-        at, end = at[left], end[left]
-        while len(left):
-            hit = self.keys[at] == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            found[left[hit]] = True
-            at += 1
-            more = ~hit & (at < end)
+        self.keys, self.values = np.append(key[order], np.uint64(0)), np.append(values[order], np.int32(0))
+        self.starts = np.searchsorted(self.keys[:-1] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """Values of n-grams, 0 where there is none."""
+        key = kernels.mix(grams)
+        slot = (key >> self.shift).astype(np.int64)
+        at = self.starts[slot]
+        miss = self.keys[at] != key
+        out = self.values[at]
+        out[miss] = 0
+        left = np.flatnonzero(miss)
+        at, end = at[left] + 1, self.starts[slot[left] + 1]
+        while True:
+            more = at < end
             left, at, end = left[more], at[more], end[more]
-        return out, found
+            if not len(left):
+                return out
+            hit = self.keys[at] == key[left]
+            out[left[hit]] = self.values[at[hit]]
+            at, end = np.where(hit, end, at + 1), end
 
 
 # --- the model, in Spark ---
@@ -156,14 +153,13 @@ def later_copies(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _probabilities(counted: DataFrame, work: Workspace) -> DataFrame:
-    """Distinct n-grams (key, high, low, n) to (key, logp): interpolated modified Kneser-Ney probability of the last character.
+    """Distinct n-grams (key, n) to (key, steps): negative log of the interpolated modified Kneser-Ney probability of the last character.
 
     Lower orders count distinct left extensions. Each order needs the totals of its contexts and the probabilities of the order below.
     """
-    point = lambda c, k: F.shiftrightunsigned(c, k * _POINT_BITS).bitwiseAND(F.lit((1 << _POINT_BITS) - 1))
     names = [f"c{k}" for k in range(ORDER)]
-    unpacked = [point("high", 1), point("high", 0), point("low", 1), point("low", 0)]
-    level = work.keep(counted.select("key", *(c.cast("int").alias(x) for c, x in zip(unpacked, names)), "n"), f"order{ORDER}")
+    unit = lambda k: F.shiftrightunsigned("key", (ORDER - 1 - k) * _UNIT_BITS).bitwiseAND(F.lit((1 << _UNIT_BITS) - 1)).cast("int")
+    level = work.keep(counted.select("key", *(unit(k).alias(x) for k, x in enumerate(names)), "n"), f"order{ORDER}")
     levels = {ORDER: level}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = work.keep(levels[k + 1].groupBy(*names[ORDER - k :]).agg(F.count(F.lit(1)).alias("n")), f"order{k}")
@@ -184,26 +180,24 @@ def _probabilities(counted: DataFrame, work: Workspace) -> DataFrame:
         totals = levels[k].groupBy(*context).agg(F.sum("n").alias("total"), sum(parts, F.lit(0.0)).alias("spared"))
         joined = levels[k].join(totals, context).join(below, own[1:])
         below = joined.select(*kept, ((F.col("n") - discount + F.col("spared") * F.col("p")) / F.col("total")).alias("p"))
-    return work.keep(below.select("key", F.log("p").cast("float").alias("logp")), "model")
+    return work.keep(below.select("key", F.round(F.log("p") * -STEPS).cast("int").alias("steps")), "model")
 
 
 def fit(docs: DataFrame, work: Workspace) -> DataFrame:
-    """The model (key, logp) of all distinct texts of ``docs`` (doc_id, text)."""
+    """The model (key, steps) of all distinct texts of ``docs`` (doc_id, text)."""
     copies = later_copies(docs, work)
     texts = docs.select("doc_id", _text_key().alias("_own"), "text")
     texts = texts.join(small_side(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")), "left_anti")
-    counted = texts.select("text").mapInArrow(_count, "key long, high long, low long, n long")
-    return _probabilities(counted.groupBy("key", "high", "low").agg(F.sum("n").alias("n")), work)
+    counted = texts.select("text").mapInArrow(_count, "key long, n long")
+    return _probabilities(counted.groupBy("key").agg(F.sum("n").alias("n")), work)
 
 
 def model_blocks(model: DataFrame, block: int = BLOCK_GRAMS) -> Iterator[Lookup]:
-    """The model in ranges of hashes of about ``block`` n-grams."""
-    rows = model.count()
-    parts = max(1, -(-rows // block))
-    place = (F.shiftrightunsigned("key", 32) * parts).cast("long")
+    """The model in parts of about ``block`` n-grams, by hash."""
+    parts = max(1, -(-model.count() // block))
     for k in range(parts):
-        table = model.where(F.shiftright(place, 32) == k).toArrow()
-        yield Lookup(table.column("key").to_numpy().view(np.uint64), table.column("logp").to_numpy())
+        table = model.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
+        yield Lookup(table.column("key").to_numpy().view(np.uint64), table.column("steps").to_numpy())
 
 
 # --- features ---
@@ -273,9 +267,10 @@ def surprise(texts: pa.Array, model: Lookup) -> np.ndarray:
     data, offsets = kernels.text_buffers(texts)
     out = np.zeros(len(offsets) - 1, np.int64)
     for first, last in kernels.runs(offsets):
-        key, _, _, bounds = grams(data, offsets, first, last)
-        steps = np.rint(model(key)[0].astype(np.float64) * -STEPS).astype(np.int64)
-        out[first:last] = np.diff(np.concatenate([[0], np.cumsum(steps)])[bounds])
+        key, bounds = grams(data, offsets, first, last)
+        sums = np.zeros(len(key) + 1, np.int64)
+        np.cumsum(model(key), out=sums[1:])
+        out[first:last] = np.diff(sums[bounds])
     return out
 
 
