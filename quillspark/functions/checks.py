@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons
+from quillspark.operators import spelling
 
 MARK = r"</?[aib]\d+>|<n\d+/>|<br>"
-BOUNDARY = r"(?U)(?<=[.!?])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])"
+BOUNDARY = r"(?U)(?<=[.!?…])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])"
 #: Tasks that translate, and from which language.
 ORIGIN = {"translate": "en", "translate_de": "de"}
 SAME_LANGUAGE = ("clean_ocr", "modernise")
@@ -104,7 +105,7 @@ def checks(source: Column, out: Column, task: str = "translate", terms: Sequence
     rules.append(F.when(has_source & (hollow != ""), F.concat(F.lit("marks differ; no text in "), hollow)))
     rules.append(F.when(has_source & (count(source, r"\*") != count(out, r"\*")), F.lit("emphasis differs from the source")))
     if task == "modernise":
-        old = F.array_sort(F.array_distinct(F.regexp_extract_all(out, F.lit(lexicons.ANTIQUE), F.lit(0))))
+        old = spelling.leftovers(out)
         rules.append(F.when(has_source & (F.size(old) > 0), F.concat(F.lit("old spelling: "), F.array_join(F.slice(old, 1, 8), ", "))))
     if language:
         fs, fo = sentences(source), sentences(out)

@@ -232,6 +232,16 @@ def lines(d: Spark) -> str:
     return "lines AS (" + d.explode("documents", "doc_id, lang, source", d.split("coalesce(text, '')", "\n"), "ord", "line") + ")"
 
 
+def page_lines(d: Spark) -> str:
+    """Documents as pages of a book (their source): two of three begin with the book's running head, all end with their number. Lines that are
+    not blank, with their place from the page's top and from its end (from 1)."""
+    return (
+        """paged AS (SELECT doc_id, lang, source, concat(CASE WHEN doc_id % 3 > 0 THEN concat('The Book of ', source, ', ', CAST(doc_id AS STRING)) ELSE 'Of another thing' END, chr(10), coalesce(text, ''), chr(10), CAST(doc_id AS STRING)) AS text FROM documents), all_lines AS ("""
+        + d.explode("paged", "doc_id, lang, source", d.split("text", "\n"), "ord", "line")
+        + "), page_lines AS (SELECT doc_id, source, ord, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS up, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) AS down FROM all_lines WHERE trim(line) <> '')"
+    )
+
+
 def pairs(d: Spark) -> str:
     """Source and output texts: each turn of a conversation and its answer."""
     return "pairs AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS out FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
@@ -269,3 +279,10 @@ def draft(d: Spark) -> str:
 
 def with_(*relations: str) -> str:
     return "WITH " + ", ".join(relations) + " "
+
+
+def roman(d, n: str) -> str:
+    """A Roman numeral by decimal places; empty outside 1 to 3999."""
+    place = lambda k, one, five, ten: f"CASE {k} WHEN 1 THEN '{one}' WHEN 2 THEN '{one * 2}' WHEN 3 THEN '{one * 3}' WHEN 4 THEN '{one}{five}' WHEN 5 THEN '{five}' WHEN 6 THEN '{five}{one}' WHEN 7 THEN '{five}{one * 2}' WHEN 8 THEN '{five}{one * 3}' WHEN 9 THEN '{one}{ten}' ELSE '' END"
+    digit = lambda unit: f"CAST(floor({n} / {unit}) AS BIGINT) % 10"
+    return f"CASE WHEN {n} BETWEEN 1 AND 3999 THEN concat(repeat('M', CAST(floor({n} / 1000) AS INT)), {place(digit(100), 'C', 'D', 'M')}, {place(digit(10), 'X', 'L', 'C')}, {place(digit(1), 'I', 'V', 'X')}) ELSE '' END"

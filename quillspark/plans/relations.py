@@ -1,6 +1,7 @@
 """Joins, aggregations, sorts and set operations (JOIN, AGG, SRT, SET)."""
 
-from quillspark.plans.dialect import blocks, draft, items, lines, operator, pairs, with_
+from quillspark.functions import lexicons
+from quillspark.plans.dialect import blocks, draft, items, lines, operator, page_lines, pairs, roman, with_
 
 # --- joins ---
 operator(
@@ -55,14 +56,18 @@ operator(
     lambda d: with_(pairs(d)) + f""", s AS ({d.explode('pairs', 'conv_id, turn', d.split('src', '. '), 'i', 'x')}), o AS ({d.explode('pairs', 'conv_id, turn', d.split('out', '. '), 'i', 'y')})
     SELECT s.conv_id, s.turn, s.i, CAST(length(s.x) AS BIGINT) AS source_len, CAST(length(o.y) AS BIGINT) AS out_len FROM s JOIN o ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.i = o.i""",
 )
-# JOIN-09: four-gram index probe: places of a passage's first four words in texts.
+# JOIN-09: four-gram index probe: where a passage's four-grams occur in texts, first of all and at or after a place; shingles are made within a
+# row's array and meet the passages' by a join before anything is shuffled.
+def four_grams(d, table: str, key: str, name: str) -> str:
+    words = d.split("trim(lower(" + d.rx("coalesce(text, '')", "[ \t\n]+", " ") + "))", " ")
+    gram = d.map(d.range("0", f"{d.size('ws')} - 3"), "i", d.join(d.slice("ws", "i + 1", "4"), " "))
+    return f"{name}_words AS (SELECT {key}, {words} AS ws FROM {table}), {name} AS (" + d.explode(f"(SELECT {key}, {gram} AS gs FROM {name}_words) {name}_grams", key, "gs", "p", "g") + ")"
+
+
 operator(
     "join_09_four_gram_probe",
-    lambda d: f"""WITH q AS (SELECT item_id, concat_ws(' ', {', '.join(d.at(d.split('lower(text)', ' '), str(k)) for k in range(1, 5))}) AS g FROM benchmark),
-    w AS (SELECT doc_id, {d.split("lower(" + d.rx("text", "[ \t\n]+", " ") + ")", " ")} AS ws FROM documents),
-    k AS ({d.explode('w', 'doc_id, ws', 'ws', 'p', 'x')}),
-    s AS (SELECT doc_id, p, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v) AS g FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY p))
-    SELECT q.item_id, s.doc_id, min(s.p) AS first_place, CAST(count(*) AS BIGINT) AS places FROM q JOIN s ON q.g = s.g GROUP BY q.item_id, s.doc_id""",
+    lambda d: with_(four_grams(d, "benchmark", "item_id", "q"), four_grams(d, "documents", "doc_id", "s")) + """, w AS (SELECT DISTINCT item_id, g FROM q)
+    SELECT w.item_id, s.doc_id, min(s.p) AS first_place, min(CASE WHEN s.p >= 100 THEN s.p END) AS first_after, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT s.g) AS BIGINT) AS grams FROM w JOIN s ON w.g = s.g GROUP BY w.item_id, s.doc_id""",
 )
 operator(
     "join_10_numbered_match",
@@ -83,14 +88,18 @@ operator(
     hit AS (SELECT m.doc_id, m.ord AS was, n.ord AS ord, CAST(row_number() OVER (PARTITION BY m.doc_id, m.ord ORDER BY CASE WHEN n.ord = m.ord THEN 0 ELSE 1 END, n.ord) AS BIGINT) AS rank FROM m JOIN now n ON m.doc_id = n.doc_id AND {d.contains('n.line', 'm.snippet')})
     SELECT m.doc_id, m.ord AS was, h.ord AS moved FROM m LEFT JOIN hit h ON m.doc_id = h.doc_id AND m.ord = h.was AND h.rank = 1""",
 )
+# JOIN-13: rows without a partner, and whether the others' partners are all ignored. Customers without dear orders.
 operator(
     "join_13_anti_semi",
-    lambda d: "SELECT c.c_custkey, lower(c.c_name) AS name FROM customer c LEFT ANTI JOIN orders o ON o.o_custkey = c.c_custkey" if d.name == "spark" else "SELECT c.c_custkey, lower(c.c_name) AS name FROM customer c ANTI JOIN orders o ON o.o_custkey = c.c_custkey",
+    lambda d: f"""WITH o AS (SELECT o_custkey, o_orderkey % 5 = 0 AS ignored FROM orders WHERE o_orderkey % 3 = 0),
+    a AS (SELECT c_custkey, c_name FROM customer c {'LEFT ANTI' if d.name == 'spark' else 'ANTI'} JOIN o ON o.o_custkey = c.c_custkey),
+    s AS (SELECT c_custkey, c_name FROM customer c {'LEFT SEMI' if d.name == 'spark' else 'SEMI'} JOIN (SELECT * FROM o WHERE NOT ignored) k ON k.o_custkey = c.c_custkey)
+    SELECT c_custkey, lower(c_name) AS name, 'none' AS has FROM a UNION ALL SELECT c_custkey, lower(c_name), 'some' FROM s""",
 )
 # JOIN-14: glossary import: new, equal, or a conflict in which mine stays.
 operator(
     "join_14_glossary_import",
-    lambda d: """WITH mine AS (SELECT p_name AS term, min(p_brand) AS use FROM part WHERE p_partkey % 3 > 0 GROUP BY p_name), theirs AS (SELECT p_name AS term, max(p_brand) AS use FROM part WHERE p_partkey % 3 <> 1 GROUP BY p_name)
+    lambda d: """WITH mine AS (SELECT concat(p_name, ' ', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS term, min(p_brand) AS use FROM part WHERE p_partkey % 3 > 0 GROUP BY 1), theirs AS (SELECT concat(p_name, ' ', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS term, max(p_brand) AS use FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1)
     SELECT coalesce(m.term, t.term) AS term, coalesce(m.use, t.use) AS use, CASE WHEN t.term IS NULL THEN 'mine' WHEN m.term IS NULL THEN 'new' WHEN m.use = t.use THEN 'equal' ELSE 'conflict' END AS outcome FROM mine m FULL OUTER JOIN theirs t ON m.term = t.term""",
 )
 operator(
@@ -123,34 +132,59 @@ operator(
     lambda d: """WITH s AS (SELECT l_orderkey AS book, CAST(round(l_quantity, 0) AS BIGINT) AS size, CAST(sum(l_linenumber) AS BIGINT) AS chars FROM lineitem GROUP BY l_orderkey, CAST(round(l_quantity, 0) AS BIGINT)),
     r AS (SELECT book, size, chars, row_number() OVER (PARTITION BY book ORDER BY chars DESC, size) AS k FROM s) SELECT book, size, chars FROM r WHERE k = 1""",
 )
+# AGG-05: running heads: short lines among a page's first two or its last whose letters recur on a fifth of the book's pages (two at least).
 operator(
     "agg_05_running_heads",
-    lambda d: with_(lines(d)) + f""", s AS (SELECT source, doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS up, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) AS down FROM lines WHERE trim(line) <> ''),
-    e AS (SELECT DISTINCT source, doc_id, {d.rx(d.fold('line'), '[^a-z]+')} AS k FROM s WHERE (up <= 2 OR down = 1) AND length(trim(line)) < 60),
-    p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM s GROUP BY source)
-    SELECT e.source, e.k, CAST(count(*) AS BIGINT) AS pages FROM e JOIN p ON e.source = p.source WHERE e.k <> '' GROUP BY e.source, e.k, p.pages HAVING count(*) >= greatest(2, 0.01 * p.pages)""",
-)
-LANGUAGES = {"en": "the of and to that in is was for it with as his on be at by".split(), "de": "der die und in den von zu das mit sich des auf für ist im".split(), "es": "de la que el en y los del se las por un para con no una su al".split(), "fr": "de la le et les des en un du une que est pour qui dans par".split()}
+    lambda d: with_(page_lines(d)) + f""", e AS (SELECT DISTINCT source, doc_id, {d.rx(d.fold('line'), '[^a-z]+')} AS k FROM page_lines WHERE (up <= 2 OR down = 1) AND length(line) < 60 AND line NOT LIKE '![%'),
+    p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM page_lines GROUP BY source)
+    SELECT e.source, e.k, CAST(count(*) AS BIGINT) AS pages FROM e JOIN p ON e.source = p.source WHERE e.k <> '' GROUP BY e.source, e.k, p.pages HAVING count(*) >= greatest(2, 0.2 * p.pages)""",
+)
+# Frequent words by which a page's language is voted, in the order that wins ties.
+VOTES = {
+    "pt": "de que não uma para com os das dos como mais".split(),
+    "en": "the of and to that is in it for with".split(),
+    "de": "der die und das ist nicht den von zu mit".split(),
+}
+# Frequent words by which a book's language is guessed, in the order that wins ties.
+GUESSES = {
+    "en": lexicons.COMMON["en"],
+    "de": lexicons.COMMON["de"],
+    "pt": lexicons.COMMON["pt"] + "são também pelo isso foi já seu sua mas".split(),
+    "es": "el los las y del en es lo su al muy pero más como una que de la se por con no".split(),
+    "fr": "le la les des et est un une dans pour qui pas je il ne au du sur avec ce que de se".split(),
+    "it": "il di che per non gli della sono una nel più con le del la un si da in è".split(),
+}
+
+
+def first_most(names: list[str]) -> str:
+    """The name of the largest column; of equal ones the first."""
+    return "CASE " + " ".join(f"WHEN {n} = greatest({', '.join(names)}) THEN '{n}'" for n in names) + " END"
+
 
+def vote_spark(d) -> str:
+    """One pass over the words: of equal words in a row every second counts, as each match takes the space that the next one needs."""
+    counts = "x <> a.last OR NOT a.odd"
+    start = "named_struct('last', '', 'odd', false, " + ", ".join(f"'{k}', 0L" for k in VOTES) + ")"
+    step = f"named_struct('last', x, 'odd', {counts}, " + ", ".join(f"'{k}', a.{k} + CASE WHEN ({counts}) AND x IN ({', '.join(map(d.lit, w))}) THEN 1L ELSE 0L END" for k, w in VOTES.items()) + ")"
+    return f"""WITH w AS (SELECT doc_id, split(trim({d.rx("lower(coalesce(text, ''))", "[ \t\n\r]+", " ")}), ' ') AS w FROM documents),
+    v AS (SELECT doc_id, aggregate(w, {start}, (a, x) -> {step}) AS v FROM w)
+    SELECT doc_id, {', '.join(f'v.{k} AS {k}' for k in VOTES)} FROM v"""
 
-def vote(d, language: str) -> str:
-    words = LANGUAGES[language]
+
+def vote_duck(d) -> str:
     times = lambda w: f"(length(t) - length(replace(t, {d.lit(f' {w} ')}, ''))) / {len(w) + 2}"
-    return " + ".join(map(times, words))
+    return f"""WITH t AS (SELECT doc_id, concat(' ', trim({d.rx("lower(coalesce(text, ''))", "[ \t\n\r]+", " ")}), ' ') AS t FROM documents)
+    SELECT doc_id, {', '.join(f"CAST({' + '.join(map(times, words))} AS BIGINT) AS {k}" for k, words in VOTES.items())} FROM t"""
 
 
 # AGG-07: stop words between single spaces, counted as substrings that do not overlap; the first language wins ties.
-operator(
-    "agg_07_language_vote",
-    lambda d: f"""WITH t AS (SELECT doc_id, concat(' ', trim({d.rx("lower(coalesce(text, ''))", "[ \t\n\r]+", " ")}), ' ') AS t FROM documents),
-    v AS (SELECT doc_id, {', '.join(f"CAST({vote(d, k)} AS BIGINT) AS {k}" for k in LANGUAGES)} FROM t)
-    SELECT doc_id, en, de, es, fr, CASE WHEN en >= de AND en >= es AND en >= fr THEN 'en' WHEN de >= es AND de >= fr THEN 'de' WHEN es >= fr THEN 'es' ELSE 'fr' END AS voted FROM v""",
-)
+operator("agg_07_language_vote", lambda d: f"SELECT *, {first_most(list(VOTES))} AS voted FROM ({vote_spark(d) if d.name == 'spark' else vote_duck(d)}) q")
+# AGG-08: words of six languages; a text of 200 words or fewer keeps what its metadata say.
 operator(
     "agg_08_language_guess",
-    lambda d: f"""WITH t AS (SELECT doc_id, lang, {d.all("lower(coalesce(text, ''))", '[a-zß-öø-ÿ]+')} AS w FROM documents),
-    v AS (SELECT doc_id, lang, {d.size('w')} AS tokens, {', '.join(d.size(d.keep('w', 'x', f"x IN ({', '.join(map(d.lit, LANGUAGES[k]))})")) + f' AS {k}' for k in LANGUAGES)} FROM t)
-    SELECT doc_id, tokens, CASE WHEN tokens <= 200 THEN lang WHEN en >= de AND en >= es AND en >= fr THEN 'en' WHEN de >= es AND de >= fr THEN 'de' WHEN es >= fr THEN 'es' ELSE 'fr' END AS guessed FROM v""",
+    lambda d: f"""WITH t AS (SELECT doc_id, lang, {d.all("lower(coalesce(text, ''))", '[a-zà-ÿ]+')} AS w FROM documents),
+    v AS (SELECT doc_id, lang, {d.size('w')} AS tokens, {', '.join(d.size(d.keep('w', 'x', f"x IN ({', '.join(map(d.lit, words))})")) + f' AS {k}' for k, words in GUESSES.items())} FROM t)
+    SELECT doc_id, tokens, CASE WHEN tokens <= 200 THEN lower(substring(lang, 1, 2)) ELSE {first_most(list(GUESSES))} END AS guessed FROM v""",
 )
 operator(
     "agg_09_majority_language",
@@ -169,9 +203,14 @@ operator(
     "agg_11_glossary_usage",
     lambda d: f"SELECT doc_id, {d.n('lower(text)', 'the[a-z]*')} AS used, {d.join(d.distinct(d.all('lower(text)', 'anly[a-z]*')), '|')} AS avoided FROM documents WHERE text IS NOT NULL",
 )
+# AGG-13: summary of a compared copy: blocks by outcome, and what only the copy has. Blocks and copies pair by number here; blocks of under six
+# words are not compared, the copy lacks every seventh block, changes every fifth, and has a line of its own in every book of even number.
 operator(
     "agg_13_copy_summary",
-    lambda d: with_(blocks(d)) + "SELECT doc_id, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(CASE WHEN ord % 5 <> 4 THEN 1 ELSE 0 END) AS BIGINT) AS compared, CAST(sum(CASE WHEN ord % 5 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS not_compared, CAST(sum(CASE WHEN ord % 5 IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS equal, CAST(sum(CASE WHEN ord % 5 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS different, CAST(sum(CASE WHEN ord % 5 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS absent FROM blocks GROUP BY doc_id",
+    lambda d: with_(blocks(d)) + f""", c AS (SELECT doc_id, ord, CASE WHEN ord % 5 = 2 THEN concat(text, ' more') ELSE text END AS text FROM blocks WHERE ord % 7 <> 3 UNION ALL SELECT DISTINCT doc_id, CAST(100000 AS BIGINT), 'only here' FROM blocks WHERE doc_id % 2 = 0),
+    o AS (SELECT coalesce(b.doc_id, c.doc_id) AS doc_id, CASE WHEN b.ord IS NULL THEN 'only in copy' WHEN {d.size(d.all('b.text', '[^ ]+'))} < 6 THEN 'not compared' WHEN c.ord IS NULL THEN 'absent' WHEN b.text = c.text THEN 'equal' ELSE 'different' END AS outcome, {d.size(d.all("coalesce(c.text, '')", '[^ ]+'))} AS words FROM blocks b FULL OUTER JOIN c ON b.doc_id = c.doc_id AND b.ord = c.ord)
+    SELECT doc_id, CAST(sum(CASE WHEN outcome <> 'only in copy' THEN 1 ELSE 0 END) AS BIGINT) AS blocks, CAST(sum(CASE WHEN outcome NOT IN ('only in copy', 'not compared') THEN 1 ELSE 0 END) AS BIGINT) AS compared, {', '.join(f"CAST(sum(CASE WHEN outcome = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {k.replace(' ', '_')}" for k in ('not compared', 'equal', 'different', 'absent', 'only in copy'))}, CAST(sum(words) AS BIGINT) AS words_of_copy
+    FROM o GROUP BY doc_id""",
 )
 operator(
     "agg_14_proof_totals",
@@ -202,7 +241,15 @@ operator("srt_02_revise_order", lambda d: with_(items(d)) + "SELECT job, k, CAST
 operator("srt_03_top_k", lambda d: "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60")
 operator("srt_04_newest_first", lambda d: "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 NUMBERS = "[0-9]+"
-operator("set_01_missing_numbers", lambda d: with_(pairs(d)) + f"SELECT conv_id, turn, {d.join(d.without(d.distinct(d.all('src', NUMBERS)), d.distinct(d.all('out', NUMBERS))), ',')} AS missing FROM pairs")
+# SET-01: numbers of the source that the output lacks, also as Roman numerals. Numbers here: the conversation's and the turn's, of which the output
+# of every third conversation lacks the first, and that of every fifth has it in Roman numerals.
+operator(
+    "set_01_missing_numbers",
+    lambda d: with_(pairs(d)) + f""", n AS (SELECT conv_id, turn, src, out, CAST(conv_id % 60 + 1 AS BIGINT) AS a FROM pairs),
+    m AS (SELECT conv_id, turn, concat(src, ' ', CAST(a AS STRING), ' and ', CAST(turn + 100 AS STRING)) AS src, concat(out, ' ', CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 5 = 0 THEN {roman(d, 'a')} ELSE CAST(a AS STRING) END, ' and ', CAST(turn + 100 AS STRING)) AS out FROM n),
+    g AS (SELECT conv_id, turn, out, {d.without(d.distinct(d.all('src', NUMBERS)), d.distinct(d.all('out', NUMBERS)))} AS gone FROM m)
+    SELECT conv_id, turn, {d.join(d.keep('gone', 'x', f"NOT {d.contains('out', 'concat(' + repr(' ') + ', ' + roman(d, 'CAST(x AS BIGINT)') + ', ' + repr(' ') + ')')}"), ',')} AS missing FROM g""",
+)
 operator("set_02_returned_words", lambda d: with_(pairs(d)) + f"SELECT conv_id, turn, {d.join(d.both(d.distinct(d.all('src', '[a-zß-öø-ÿ]{5,}')), d.distinct(d.all('out', '[a-zß-öø-ÿ]{5,}'))), ',')} AS shared FROM pairs")
 operator(
     "set_03_ordered_dedupe",

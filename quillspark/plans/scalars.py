@@ -1,6 +1,7 @@
 """Scalar text functions (S) as SQL operators over whole tables."""
 
-from quillspark.plans.dialect import draft, items, lines, operator, pairs, with_
+from quillspark.operators import spelling
+from quillspark.plans.dialect import draft, items, lines, operator, pairs, roman, with_
 from quillspark.plans.search import MARK
 
 operator("s_01_fold", lambda d: f"SELECT doc_id, {d.fold('text')} AS folded FROM documents")
@@ -8,18 +9,12 @@ operator("s_02_fold_letters", lambda d: with_(lines(d)) + f"SELECT doc_id, ord,
 operator("s_03_slug", lambda d: with_(lines(d)) + f"SELECT doc_id, ord, substring({d.rx(d.rx(d.fold('line'), '[^a-z0-9]+', '-'), '^-+|-+$')}, 1, 60) AS slug FROM lines")
 operator(
     "s_04_clean_line",
-    lambda d: with_(lines(d)) + f"SELECT doc_id, ord, trim({d.rx(d.rx(d.rx(d.rx('line', r'\[[^\]]*\]\{[^}]*\}'), r'\[\^[0-9]+\]'), '[*]+'), '[\\\\](.)', '$1')}) AS clean FROM lines",
+    lambda d: with_(lines(d)) + f""", m AS (SELECT doc_id, ord, concat('[', CAST(ord + 1 AS STRING), '.]{{.pnum}} *', line, '*[^3] {chr(92) * (1 if d.name == 'duck' else 2)}# ') AS line FROM lines)
+    SELECT doc_id, ord, trim({d.rx(d.rx(d.rx(d.rx('line', r'\[\^[0-9]+\]'), r'\[([^\]]*)\]\{[.][A-Za-z0-9_]+\}', '$1'), '[*]+'), '[\\\\](.)', '$1')}) AS clean FROM m""",
 )
 operator("s_06_numbers", lambda d: f"SELECT doc_id, {d.join(d.distinct(d.all(d.rx('text', MARK), '[0-9]+')), ',')} AS numbers FROM documents WHERE text IS NOT NULL")
 
 
-def roman(d, n: str) -> str:
-    """A Roman numeral by decimal places; empty outside 1 to 3999."""
-    place = lambda k, one, five, ten: f"CASE {k} WHEN 1 THEN '{one}' WHEN 2 THEN '{one * 2}' WHEN 3 THEN '{one * 3}' WHEN 4 THEN '{one}{five}' WHEN 5 THEN '{five}' WHEN 6 THEN '{five}{one}' WHEN 7 THEN '{five}{one * 2}' WHEN 8 THEN '{five}{one * 3}' WHEN 9 THEN '{one}{ten}' ELSE '' END"
-    digit = lambda unit: f"CAST(floor({n} / {unit}) AS BIGINT) % 10"
-    return f"CASE WHEN {n} BETWEEN 1 AND 3999 THEN concat(repeat('M', CAST(floor({n} / 1000) AS INT)), {place(digit(100), 'C', 'D', 'M')}, {place(digit(10), 'X', 'L', 'C')}, {place(digit(1), 'I', 'V', 'X')}) ELSE '' END"
-
-
 operator("s_07_roman", lambda d: f"WITH n AS (SELECT o_orderkey, o_orderkey % 4100 AS n FROM orders) SELECT o_orderkey, {roman(d, 'n')} AS roman FROM n")
 # S-08: marks left by masking, in order.
 operator(
@@ -78,23 +73,29 @@ operator(
     SELECT o.conv_id, o.turn, o.word FROM o LEFT JOIN dict ON dict.word = o.word LEFT JOIN s ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.word = o.word WHERE dict.word IS NULL AND s.word IS NULL""",
 )
 NEGATION_EN = "(?i)(^|[^A-Za-zÀ-ÿ])(not|no|never|nor|neither|cannot|nothing|none|nobody|without)([^A-Za-zÀ-ÿ]|$)"
-# S-18: the rule engine, a row for each rule that fires, in the rules' order; output texts are damaged by their number.
+def rules(d) -> list[tuple[int, str, str]]:
+    """Number, name and condition of the rules that both engines can express."""
+    return [
+        (1, "'refusal'", refusal(d, "out", "src")),
+        (2, "'size, same language'", "src <> '' AND NOT (r BETWEEN 0.85 AND 1.15) AND (NOT short OR abs(length(out) - length(src)) > 12)"),
+        (3, "CASE WHEN r > 2 THEN 'size: invented' ELSE 'size' END", "src <> '' AND CASE WHEN short THEN abs(length(out) - length(src)) > 40 ELSE NOT (r BETWEEN 0.85 AND 1.4) END"),
+        (4, "'number missing'", f"src <> '' AND {d.size(d.without(d.distinct(d.all(d.rx('src', MARK), '[0-9]+')), d.distinct(d.all(d.rx('out', MARK), '[0-9]+'))))} > 0"),
+        (5, "'marks differ'", f"src <> '' AND {d.join(d.sorted(d.all('src', MARK)), ' ')} <> {d.join(d.sorted(d.all('out', MARK)), ' ')}"),
+        (7, "'emphasis'", f"src <> '' AND {d.n('src', '[*]')} <> {d.n('out', '[*]')}"),
+        (10, "'fewer sentences'", f"src <> '' AND {d.n('src', '[.!?…][ \n]')} >= 1 AND {d.n('out', '[.!?…][ \n]')} < {d.n('src', '[.!?…][ \n]')}"),
+        (12, "'negation lost'", f"{d.n('src', NEGATION_EN)} > {d.n('out', NEGATION_EN)}"),
+        (15, "'softened'", f"{softened(d, 'src', 'out')} <> ''"),
+        (18, "'empty'", "trim(out) = ''"),
+    ]
+
+
+# S-18: the rule engine, a row for each rule that fires, in one pass; output texts are damaged by their number.
 operator(
     "s_18_checks",
     lambda d: with_(pairs(d)) + f""", v AS (SELECT conv_id, turn, src, CASE conv_id % 8 WHEN 0 THEN substring(src, 1, CAST(length(src) / 2 AS INT)) WHEN 1 THEN concat(src, ' ', out) WHEN 2 THEN {d.rx('src', '[0-9]+', '')} WHEN 3 THEN concat('I am sorry. ', src) WHEN 4 THEN replace(src, 'not ', '') WHEN 5 THEN concat('<a1>', src) WHEN 6 THEN '' ELSE src END AS out FROM pairs),
     m AS (SELECT *, CAST(length(out) AS DOUBLE) / greatest(1, length(src)) AS r, length(src) < 60 AS short FROM v),
-    f AS (
-      SELECT conv_id, turn, 1 AS rule, 'refusal' AS what, {refusal(d, 'out', 'src')} AS hit FROM m UNION ALL
-      SELECT conv_id, turn, 2, 'size, same language', src <> '' AND NOT (r BETWEEN 0.85 AND 1.15) AND (NOT short OR abs(length(out) - length(src)) > 12) FROM m UNION ALL
-      SELECT conv_id, turn, 3, CASE WHEN r > 2 THEN 'size: invented' ELSE 'size' END, src <> '' AND CASE WHEN short THEN abs(length(out) - length(src)) > 40 ELSE NOT (r BETWEEN 0.85 AND 1.4) END FROM m UNION ALL
-      SELECT conv_id, turn, 4, 'number missing', src <> '' AND {d.size(d.without(d.distinct(d.all(d.rx('src', MARK), '[0-9]+')), d.distinct(d.all(d.rx('out', MARK), '[0-9]+'))))} > 0 FROM m UNION ALL
-      SELECT conv_id, turn, 5, 'marks differ', src <> '' AND {d.join(d.sorted(d.all('src', MARK)), ' ')} <> {d.join(d.sorted(d.all('out', MARK)), ' ')} FROM m UNION ALL
-      SELECT conv_id, turn, 7, 'emphasis', src <> '' AND {d.n('src', '[*]')} <> {d.n('out', '[*]')} FROM m UNION ALL
-      SELECT conv_id, turn, 10, 'fewer sentences', src <> '' AND {d.n('src', '[.!?][ \n]')} >= 1 AND {d.n('out', '[.!?][ \n]')} < {d.n('src', '[.!?][ \n]')} FROM m UNION ALL
-      SELECT conv_id, turn, 12, 'negation lost', {d.n('src', NEGATION_EN)} > {d.n('out', NEGATION_EN)} FROM m UNION ALL
-      SELECT conv_id, turn, 15, 'softened', {softened(d, 'src', 'out')} <> '' FROM m UNION ALL
-      SELECT conv_id, turn, 18, 'empty', trim(out) = '' FROM m)
-    SELECT conv_id, turn, CAST(rule AS BIGINT) AS rule, what FROM f WHERE hit""",
+    f AS ({d.explode('m', 'conv_id, turn', d.array(*(d.struct(rule=f'CAST({k} AS BIGINT)', what=what, hit=hit) for k, what, hit in rules(d))), 'nth', 'a')})
+    SELECT conv_id, turn, a.rule AS rule, a.what AS what FROM f WHERE a.hit""",
 )
 # S-19: problems that not even the judge may release.
 operator(
@@ -108,7 +109,11 @@ operator(
     "s_20_risk",
     lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.n('lower(line)', f'(^|[^a-z])({VERBS})(s|ed|d|ing)? +(up|off|out|down|over|away|back)')} + {d.n('line', '[*_][^*_]+[*_]|!')} + {d.n('line', '[“\"][^“”\"]{1,60}[”\"]')} AS risk FROM lines",
 )
-operator("s_23_antique_leftovers", lambda d: f"SELECT doc_id, {d.join(d.distinct(d.all('text', '[a-z]*(?:ph|th|rh)[a-zà-ÿ]*')), ',')} AS leftovers FROM documents WHERE text IS NOT NULL")
+# S-23: words that look like old spelling; capitalised ones are names.
+operator(
+    "s_23_antique_leftovers",
+    lambda d: f"SELECT doc_id, {d.join(d.distinct(d.keep(d.all('text', spelling.WORD), 'w', f"{d.has('w', spelling.ANTIQUE)} AND NOT {d.has('w', '^[A-ZÀ-ÖØ-Þ]')}")), ',')} AS leftovers FROM documents WHERE text IS NOT NULL",
+)
 # S-24: base form to its accented form where just one exists and none is plain.
 operator(
     "s_24_accent_dictionary",
@@ -134,9 +139,24 @@ operator(
 )
 # S-28: certainty: probability of the chosen word by that of both, from log probabilities.
 operator("s_28_certainty", lambda d: "WITH p AS (SELECT event_id, -value / 50 AS a, -(event_id % 17) / 5.0E0 AS b FROM events) SELECT event_id, round(exp(a) / (exp(a) + exp(b)), 3) AS certainty FROM p")
-operator("s_29_context_budget", lambda d: with_(pairs(d)) + "SELECT conv_id, turn, CAST(length(src) + length(out) AS DOUBLE) / 3 + greatest(2000, 0) + 300 <= 8192 AS fits FROM pairs")
+operator("s_29_context_budget", lambda d: with_(pairs(d)) + "SELECT conv_id, turn, CAST(length(src) + length(out) AS DOUBLE) * 20 / 3 + greatest(2000, 0) + 300 <= 8192 AS fits FROM pairs")
 operator("s_30_answer_cap", lambda d: "SELECT doc_id, CASE WHEN length(text) > 300 THEN greatest(2000, CAST(floor(length(text) * 0.6) AS BIGINT)) ELSE greatest(80, CAST(length(text) AS BIGINT)) END AS cap FROM documents WHERE text IS NOT NULL")
-operator("s_31_model_default", lambda d: f"SELECT c_custkey, {d.at(d.keep(d.array(repr('gemma'), repr('qwen'), repr('small')), 'x', 'x = CASE c_nationkey % 3 WHEN 0 THEN ' + repr('small') + ' WHEN 1 THEN ' + repr('qwen') + ' ELSE ' + repr('gemma') + ' END'), '1')} AS model FROM customer")
+# S-31: the first of a role's preferences that is installed; if none is, the first of all. An auditor without an installed translator has other ones.
+PREFERENCES = {"translator": ("fast", "large", "light"), "general": ("light", "large"), "auditor": ("light", "second"), "reader": ("light", "large", "second"), "reader2": ("ocr", "second", "large", "light"), "judge": ("large", "second", "light")}
+MODELS = ("fast", "large", "second", "light", "ocr")
+
+
+def preferred(d, names: tuple[str, ...]) -> str:
+    wanted = d.array(*map(d.lit, names))
+    return f"coalesce({d.at(d.keep(wanted, 'x', d.within('have', 'x')), '1')}, {d.lit(names[0])})"
+
+
+operator(
+    "s_31_model_default",
+    lambda d: f"""WITH h AS (SELECT c_custkey, {d.keep(d.array(*map(d.lit, MODELS)), 'm', 'CAST(floor(c_custkey / CASE m ' + ' '.join(f"WHEN '{m}' THEN {2**k}" for k, m in enumerate(MODELS)) + ' END) AS BIGINT) % 2 = 1')} AS have FROM customer),
+    r AS (SELECT c_custkey, have, role FROM h CROSS JOIN (VALUES {', '.join(f"('{r}')" for r in PREFERENCES)}) AS q(role))
+    SELECT c_custkey, role, CASE WHEN role = 'auditor' AND NOT {d.within('have', "'fast'")} THEN {preferred(d, ("second", "light"))} {' '.join(f"WHEN role = '{k}' THEN {preferred(d, v)}" for k, v in PREFERENCES.items())} END AS model FROM r""",
+)
 operator("s_32_provenance", lambda d: with_(draft(d)) + "SELECT doc_id, CASE WHEN kind = 'image' THEN 'image' WHEN edited IS NOT NULL AND edited <> '' THEN 'edited by hand' WHEN status = 'judge' THEN 'corrected by the judge' WHEN automatic THEN 'accepted automatically' ELSE 'as proposed' END AS path FROM draft")
 operator("s_33_final_text", lambda d: with_(draft(d)) + "SELECT doc_id, coalesce(nullif(edited, ''), nullif(result, ''), '') AS final FROM draft")
 operator("s_34_sha256", lambda d: f"SELECT doc_id, {d.sha('''coalesce(text, '')''')} AS sha FROM documents")
@@ -154,13 +174,41 @@ operator(
     SELECT c_custkey, title, CASE WHEN title = coalesce(original, c_name) THEN NULL ELSE coalesce(original, c_name) END AS original_title FROM f""",
 )
 operator("s_41_filename_guess", lambda d: f"WITH n AS (SELECT p_partkey, concat(p_name, ' (', p_brand, ')') AS file FROM part) SELECT p_partkey, trim({d.first('file', '^([^(]*)[(]', 1)}) AS title, {d.first('file', '[(]([^)]*)[)]$', 1)} AS author FROM n")
-operator("s_42_config_merge", lambda d: "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'default') AS role, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END, 7) AS process FROM customer")
-operator("s_43_import_validation", lambda d: f"SELECT page_id, lower({d.first('url', '[.]([a-z0-9]+)([?#].*)?$', 1)}) IN ('html', 'htm', 'txt', 'md', 'epub', 'pdf') AS extension_ok, substring(lower(html), 1, 9) = '<!doctype' AS magic_ok FROM pages")
+# S-42: deep merge of nested settings, as leaves by path: the new value of a leaf wins, other leaves of its section stay, new leaves come in.
+operator(
+    "s_42_config_merge",
+    lambda d: """WITH base AS (SELECT * FROM (VALUES ('roles.translator', ''), ('roles.reader', 'auto'), ('net.search', 'false'), ('net.editions', 'false'), ('process.judge', 'true')) AS b(path, value)),
+    given AS (SELECT c_custkey, 'net.search' AS path, CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END AS value FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, concat('roles.', lower(c_mktsegment)), c_name FROM customer WHERE c_custkey % 2 = 0),
+    whole AS (SELECT c.c_custkey, b.path, b.value FROM customer c CROSS JOIN base b)
+    SELECT coalesce(w.c_custkey, g.c_custkey) AS c_custkey, coalesce(w.path, g.path) AS path, coalesce(g.value, w.value) AS value FROM whole w FULL OUTER JOIN given g ON w.c_custkey = g.c_custkey AND w.path = g.path""",
+)
+# S-43: an imported file's extension must be known and its first bytes must fit it; text must not be binary. Files here: pages under other names.
+operator(
+    "s_43_import_validation",
+    lambda d: """WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN 'html' WHEN 3 THEN 'txt' WHEN 4 THEN 'exe' ELSE 'md' END AS ext,
+      concat(CASE page_id % 7 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN concat('PK', chr(3), chr(4)) WHEN 2 THEN concat('x', chr(1)) ELSE '' END, coalesce(html, '')) AS content FROM pages)
+    SELECT page_id, ext, ext IN ('pdf', 'epub', 'html', 'htm', 'txt', 'md', 'fb2', 'mobi', 'azw3', 'docx', 'odt') AS known,
+      CASE ext WHEN 'pdf' THEN substring(content, 1, 4) = '%PDF' WHEN 'epub' THEN substring(content, 1, 4) = concat('PK', chr(3), chr(4)) ELSE strpos(substring(content, 1, 1000), chr(1)) = 0 END AS fits FROM f""".replace("strpos(", "instr("),
+)
 operator("s_44_task_choice", lambda d: "SELECT doc_id, CASE WHEN source = 'src1' THEN 'read_page' WHEN lang = 'en' THEN 'translate' WHEN lang = 'de' THEN 'translate_de' WHEN lang = 'es' THEN 'modernise' ELSE 'none' END AS task FROM documents")
 operator("s_45_partial_json", lambda d: f"""WITH t AS (SELECT event_id, substring('{{"fidelity": [{{"passage": "ab", "problem": "cd"}}, {{"passage": "ef", "problem": "gh"}}]}}', 1, CAST(10 + event_id % 80 AS INT)) AS t FROM events) SELECT event_id, {d.n('t', '"passage": "[^"]*", "problem": "[^"]*"')} AS seen, CASE WHEN {d.has('t', r'"fidelity": \[')} THEN 'speaking' ELSE 'reading' END AS state FROM t""")
 operator(
     "s_46_contrast",
     lambda d: "WITH c AS (SELECT p_partkey, CAST(p_partkey % 256 AS DOUBLE) / 255 AS a, CAST(p_size * 5 % 256 AS DOUBLE) / 255 AS b FROM part), l AS (SELECT p_partkey, CASE WHEN a <= 0.03928 THEN a / 12.92 ELSE power((a + 0.055) / 1.055, 2.4) END AS x, CASE WHEN b <= 0.03928 THEN b / 12.92 ELSE power((b + 0.055) / 1.055, 2.4) END AS y FROM c) SELECT p_partkey, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 6) AS contrast FROM l",
 )
-operator("s_47_fits_gpu", lambda d: "SELECT p_partkey, p_retailprice / 100 * 1.15 <= 12 AS fits FROM part")
-operator("s_48_font_equivalents", lambda d: f"SELECT p_partkey, CASE WHEN {d.has('p_name', 'ring|bolt')} THEN 'Garamond' WHEN {d.has('p_name', 'widget')} THEN 'Helvetica' ELSE 'Serif' END AS font FROM part")
+operator("s_47_fits_gpu", lambda d: "SELECT p_partkey, p_retailprice / 90 * 1.15 <= 12 AS fits FROM part")
+# Names of fonts, and the free family that stands for them; the first that fits.
+FONTS = (
+    ("times|roman|liberation serif|nimbus rom|georgia|cambria", "Termes"),
+    ("palatino|pagella|book antiqua|garamond|minion|caslon|sabon|bembo|baskerville|goudy|jenson", "Pagella"),
+    ("century|schoolbook", "Schola"),
+    ("bookman", "Bonum"),
+    ("helvetica|arial|calibri|verdana|sans|univers|frutiger|gothic", "Heros"),
+)
+NAMES = ("Times New Roman", "Adobe Garamond Pro", "New Century", "ITC Bookman", "Frutiger LT", "Comic Script", "Gothic Roman", "Sans Bookman")
+# S-48: the name in a part's row is one of NAMES with the part's own name after it.
+operator(
+    "s_48_font_equivalents",
+    lambda d: "WITH n AS (SELECT p_partkey, concat(CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {d.lit(x)}" for k, x in enumerate(NAMES)) + " END, ' ', p_name) AS font FROM part) SELECT p_partkey, font, CASE "
+    + " ".join(f"WHEN {d.has('lower(font)', p)} THEN {d.lit('TeX Gyre ' + f)}" for p, f in FONTS) + " END AS family FROM n",
+)

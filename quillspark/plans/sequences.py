@@ -31,7 +31,13 @@ operator(
     g AS (SELECT book, k, title, CASE WHEN title AND coalesce(lag(title) OVER w, false) AND abs(size - lag(size) OVER w) < 0.6 THEN 0 ELSE 1 END AS opens FROM t WINDOW w AS (PARTITION BY book ORDER BY k))
     SELECT book, CAST(sum(CASE WHEN title AND opens = 1 THEN 1 ELSE 0 END) AS BIGINT) AS titles, CAST(sum(CASE WHEN title THEN 1 ELSE 0 END) AS BIGINT) AS title_lines FROM g GROUP BY book""",
 )
-operator("blk_06_glued_title", lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.first('line', '[a-zà-ÿ][.!?]([A-ZÀ-Ý][A-ZÀ-Ý ]{3,40})$', 1)} AS title, {d.rx('line', '([a-zà-ÿ][.!?])[A-ZÀ-Ý][A-ZÀ-Ý ]{3,40}$', '$1')} AS rest FROM lines")
+# BLK-06: a title glued to the end of a line becomes a row of its own. Every fourth line ends in one here.
+operator(
+    "blk_06_glued_title",
+    lambda d: with_(lines(d)) + f""", g AS (SELECT doc_id, ord, CASE WHEN ord % 4 = 1 THEN concat(line, 'THE NEXT PART') ELSE line END AS line FROM lines),
+    t AS (SELECT doc_id, ord, {d.first('line', '[a-zà-ÿ][.!?]([A-ZÀ-Ý][A-ZÀ-Ý ]{3,40})$', 1)} AS title, {d.rx('line', '([a-zà-ÿ][.!?])[A-ZÀ-Ý][A-ZÀ-Ý ]{3,40}$', '$1')} AS rest FROM g)
+    SELECT doc_id, ord, CAST(0 AS BIGINT) AS part, 'line' AS kind, rest AS text FROM t UNION ALL SELECT doc_id, ord, CAST(1 AS BIGINT), 'heading', title FROM t WHERE title <> ''""",
+)
 # BLK-07: continuation: only the tail of what was merged counts, so the line before decides; islands by a running sum.
 operator(
     "blk_07_continuation",
@@ -39,7 +45,14 @@ operator(
     i AS (SELECT doc_id, ord, text, page, CAST(sum(opens) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block FROM c)
     SELECT doc_id, block, min(page) AS first_page, max(page) AS last_page, {d.join(d.collect('text', 'ord'), ' ')} AS text FROM i GROUP BY doc_id, block""",
 )
-operator("blk_08_image_pages", lambda d: "WITH p AS (SELECT source, doc_id, doc_id % 9 = 0 AS over, count(*) OVER (PARTITION BY source) AS pages, sum(CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, over AND n <= 0.2 * pages AS images_only FROM p")
+# BLK-08: in a book few of whose pages have their text over an image (a fifth at most), only the image paragraphs of those pages stay.
+# Images: every third block; pages over an image: every sixth, in books of odd number every second.
+operator(
+    "blk_08_image_pages",
+    lambda d: with_(blocks(d)) + f""", b AS (SELECT doc_id, ord, page, page % (CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 6 END) = 0 AS over_image, CASE WHEN ord % 3 = 0 THEN concat('![](', id, '.png)') ELSE text END AS text FROM blocks),
+    s AS (SELECT doc_id, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN over_image THEN page END) AS over_pages FROM b GROUP BY doc_id)
+    SELECT b.doc_id, b.ord, CAST(b.page AS BIGINT) AS page, {d.has('b.text', '^!')} AS image FROM b JOIN s ON b.doc_id = s.doc_id WHERE NOT b.over_image OR s.over_pages > 0.2 * s.pages OR {d.has('b.text', '^!')}""",
+)
 operator(
     "blk_10_markdown_blocks",
     lambda d: with_(lines(d)) + f""", m AS (SELECT doc_id, ord, CASE WHEN ord % 9 = 0 THEN concat('## ', line) WHEN ord % 9 = 1 THEN concat('> ', line) WHEN ord % 9 = 2 THEN concat('- ', line) ELSE line END AS t FROM lines WHERE trim(line) <> '')
@@ -47,7 +60,11 @@ operator(
       CAST(sum(CASE WHEN {d.has('t', '^#{1,6} ')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS section FROM m""",
 )
 operator("blk_11_dense_levels", lambda d: "SELECT l_orderkey AS book, CAST(l_linenumber AS BIGINT) AS level, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS dense FROM lineitem")
-operator("blk_12_numbering", lambda d: with_(lines(d)) + f"SELECT doc_id, ord, concat('b', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS STRING), 5, '0')) AS id, {d.first('line', '^([0-9]{1,4})[.] ', 1)} AS number FROM lines WHERE trim(line) <> ''")
+operator(
+    "blk_12_numbering",
+    lambda d: with_(lines(d)) + f""", n AS (SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN concat(CAST(ord + 1 AS STRING), '. ', line) ELSE line END AS text FROM lines WHERE trim(line) <> '')
+    SELECT doc_id, ord, concat('b', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS STRING), 5, '0')) AS id, {d.first('text', '^([0-9]{1,4})[.] ', 1)} AS number FROM n""",
+)
 # BLK-13: section path: the last first-level title is carried down, second-level ones within it.
 operator(
     "blk_13_section_path",
@@ -77,10 +94,15 @@ operator(
     "aln_03_strip_markdown",
     lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.rx(d.rx(d.rx('line', '<[^>]+>', ' '), r'!?\[([^\]]*)\]\([^() ]+\)', '$1'), '[*_#>]', ' ')} AS plain FROM lines",
 )
-# ALN-08: each passage's letters must be in a text's letters; passages and texts are paired by a shared four-gram.
+# ALN-08: a paragraph's letters must be in its book's letters; in a paged output, all but two of their chunks of 30. Paragraphs of three letters
+# or fewer don't count. Output: every seventh line cut, every fifth with a page number and a note in its middle, every ninth with another word at its end.
 operator(
     "aln_08_completeness",
-    lambda d: f"WITH b AS (SELECT item_id, {d.rx('lower(text)', '[^a-zà-ÿ]+')} AS letters FROM benchmark) SELECT item_id, length(letters) < 3 OR {d.contains('letters', 'substring(letters, 2, 30)')} AS complete FROM b",
+    lambda d: with_(lines(d)) + f""", p AS (SELECT doc_id, ord, {d.rx('lower(line)', '[^a-zà-ÿ]+')} AS letters FROM lines),
+    o AS (SELECT doc_id, ord, CASE WHEN ord % 7 = 3 THEN '' WHEN ord % 5 = 1 THEN concat(substring(line, 1, CAST(length(line) / 2 AS INT)), ' 12 a note below ', substring(line, CAST(length(line) / 2 AS INT) + 1, CAST(length(line) AS INT))) WHEN ord % 9 = 5 THEN concat(line, 'x') ELSE line END AS line FROM lines),
+    b AS (SELECT doc_id, {d.rx(d.join(d.collect('lower(line)', 'ord'), ''), '[^a-zà-ÿ]+')} AS book FROM o GROUP BY doc_id),
+    c AS (SELECT p.doc_id, p.ord, p.letters, b.book, {d.map(d.range('0', 'greatest(1, floor(length(p.letters) / 30))'), 'k', "substring(p.letters, CAST(k * 30 + 1 AS INT), CASE WHEN length(p.letters) < 30 THEN CAST(length(p.letters) AS INT) ELSE 30 END)")} AS chunks FROM p JOIN b ON p.doc_id = b.doc_id WHERE length(p.letters) > 3)
+    SELECT doc_id, ord, {d.contains('book', 'letters')} AS whole, {d.size(d.keep('chunks', 'x', f"NOT {d.contains('book', 'x')}"))} <= 2 AS in_pages FROM c""",
 )
 operator("aln_09_accepted_contained", lambda d: with_(draft(d)) + f"SELECT r.doc_id, {d.contains(d.rx('d.text', '[ \t\n]+', ' '), d.rx('coalesce(r.edited, r.result)', '[ \t\n]+', ' '))} AS contained FROM draft r JOIN documents d ON d.doc_id = r.doc_id WHERE r.accepted")
 operator(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import align, checks, prose
-from quillspark.operators import editions, joins, structure
-from quillspark.plans.dialect import SPARK, blocks, lines, operator, pairs, run_sql, with_
+from quillspark.operators import editions, joins, spelling, structure, tables
+from quillspark.plans.dialect import DUCK, SPARK, blocks, lines, operator, pairs, run_sql, with_
 from quillspark.plans.registry import query
 from quillspark.sources import epub
 from quillspark.streaming import queue
@@ -85,7 +85,7 @@ def combine_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words first, so that each is folded once."""
     words = run_sql(spark, sf_dir, "SELECT DISTINCT explode(regexp_extract_all(lower(text), '[a-zß-öø-ÿ]+', 0)) AS word FROM documents")
-    return words.select("word", _column("string", align.skeleton)("word").alias("skeleton"))
+    return words.select("word", spelling.skeleton(F.col("word")).alias("skeleton"))
 
 
 @query("aln_10_repetition_cut")
@@ -134,7 +134,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_05_sentences")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native: Java's regular expressions have the look-arounds that the boundary needs."""
-    boundary = r"(?U)(?<=[.!?])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])"
+    boundary = r"(?U)(?<=[.!?…])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])"
     found = F.filter(F.split(F.trim(F.regexp_replace("text", "</?[aib]\\d+>|<n\\d+/>|<br>", " ")), boundary), lambda s: F.trim(s) != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("sentences"), F.sha2(F.array_join(found, "\n"), 256).alias("sha"))
 
@@ -158,41 +158,62 @@ def unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEXICON = {"annos": "anos", "elle": "ele", "ella": "ela", "pharmacia": "farmácia", "theatro": "teatro"}
 
 
+def _spelling_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Words with their counts; a lexicon; words of today (those of three texts or more); accented words whose plain form none of them is."""
+    words = run_sql(spark, sf_dir, f"SELECT word, count(*) AS times, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, explode(regexp_extract_all(text, {SPARK.lit(spelling.WORD)}, 0)) AS word FROM documents) q GROUP BY word")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "old string, new string")
+    known = words.where("texts >= 3").select(F.lower("word").alias("word")).distinct()
+    plain = known.select(F.col("word").alias("accented"), F.translate("word", "áâãàéêíóôõúüç", "aaaaeeiooouuc").alias("base"))
+    single = plain.groupBy("base").agg(F.count(F.lit(1)).alias("forms"), F.max("accented").alias("accented")).where("forms = 1 AND base <> accented")
+    return words, lexicon, known, single.select("base", "accented")
+
+
 @query("s_21_modernise")
 def modernise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct words are modernised once each and joined back to their counts."""
-    words = run_sql(spark, sf_dir, "SELECT word, count(*) AS times FROM (SELECT explode(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+', 0)) AS word FROM documents) GROUP BY word")
-    return words.select("word", "times", _column("string", lambda w: prose.modernise(w, LEXICON)[0])("word").alias("modern"))
+    """Distinct words are modernised once each, and joined back to their counts."""
+    words, lexicon, known, accents = _spelling_tables(spark, sf_dir)
+    return spelling.modernise(words.select("word"), lexicon, accents, known).join(words, "word").select("word", "times", "modern")
+
+
+@query("s_21_modernise_without_dictionary")
+def modernise_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, lexicon, _, accents = _spelling_tables(spark, sf_dir)
+    return spelling.modernise(words.select("word"), lexicon, accents)
 
 
 @query("s_22_repairs")
 def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words one doubled letter away from another word of the table, found by joining on the collapsed form."""
-    words = run_sql(spark, sf_dir, "SELECT DISTINCT explode(regexp_extract_all(lower(text), '[a-zß-öø-ÿ]+', 0)) AS word FROM documents")
-    collapsed = words.select("word", F.regexp_replace("word", r"(.)\1", "$1").alias("base"))
-    found = collapsed.alias("a").join(words.alias("b"), (F.col("a.base") == F.col("b.word")) & (F.col("a.word") != F.col("b.word")))
-    return found.select(F.col("a.word").alias("word"), F.col("b.word").alias("repaired"))
+    """Words that are not of today and that one repair or two lead to just one word that is."""
+    words, _, known, accents = _spelling_tables(spark, sf_dir)
+    odd = words.select(F.lower("word").alias("word")).distinct().join(known, "word", "left_anti")
+    return spelling.repairs(odd, known, accents)
 
 
 @query("s_26_audit_parser")
 def audit_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = '{"fidelity": [{"passage": "a", "problem": "deve ser outro", "right": "The Right Word"}, {"passage": "c", "problem": "%s"}]}'
     reply = (
-        F.when(F.col("event_id") % 4 == 0, F.lit('{"fidelity": [], "style": ["x"]}'))
+        F.when(F.col("event_id") % 7 == 4, F.lit(right % "a tradução está correta"))
+        .when(F.col("event_id") % 7 == 5, F.lit(right % "palavra ofensiva"))
+        .when(F.col("event_id") % 7 == 6, F.lit(right % "palavra ofensiva, e o sentido foi suavizado"))
+        .when(F.col("event_id") % 4 == 0, F.lit('{"fidelity": [], "style": ["x"]}'))
         .when(F.col("event_id") % 4 == 1, F.lit('{"fidelity": [{"passage": "a", "problem": "b"}]}'))
         .when(F.col("event_id") % 4 == 2, F.lit('{"ok": false, "problems": ["p"]}'))
         .otherwise(F.lit('{"fidelity": [{"passage": "a", "problem": "b"}, {"passage": "c'))
     )
-    parsed = _column("string", lambda t: "|".join([str(prose.parse_audit(t)[0]), *prose.parse_audit(t)[1]]))
+    parsed = _column("string", lambda t: "|".join([str(prose.parse_audit(t, "It has the right word.")[0]), *prose.parse_audit(t, "It has the right word.")[1]]))
     return table(spark, sf_dir, "events").select("event_id", parsed(reply).alias("verdict"))
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a planted error of each type, where the text allows it: conv_id, turn, type, src, out."""
-    kinds = ("clean", "omission", "addition", "number", "negation")
+    kinds = ("clean", "omission", "addition", "number", "negation", "source language", "softening")
+    strong = "odeia destruiu desastre lixo covarde".split()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c, t, k, s, prose.plant(s, k, prose.stable_number(c, t), o)) for c, t, s, o in zip(pdf["conv_id"], pdf["turn"], pdf["src"], pdf["out"]) for k in kinds]
+            named = [f"{s} {strong[c % 5]}" if c % 2 else s for c, s in zip(pdf["conv_id"], pdf["src"])]
+            rows = [(c, t, k, s, prose.plant(s, k, prose.stable_number(c, t), o)) for c, t, s, o in zip(pdf["conv_id"], pdf["turn"], named, pdf["out"]) for k in kinds]
             yield pd.DataFrame([r for r in rows if r[4] is not None], columns=["conv_id", "turn", "type", "src", "out"])
 
     return _pairs(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, type string, src string, out string")
@@ -260,8 +281,8 @@ def mobi(spark: SparkSession, sf_dir: str) -> DataFrame:
 operator("src_09_note_pairs", lambda d: "WITH a AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS id, CAST(8 - l_linenumber AS BIGINT) AS target, min(l_partkey) AS place FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT x.file, x.id, CAST(row_number() OVER (PARTITION BY x.file ORDER BY x.place, x.id) AS BIGINT) AS number FROM a x JOIN a y ON x.file = y.file AND x.id = y.target AND x.target = y.id AND x.id < y.id")
 operator(
     "src_10_style_headings",
-    lambda d: """WITH p AS (SELECT p_brand AS class, p_size AS n, p_retailprice AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS k, count(*) OVER (PARTITION BY p_brand) AS c, count(*) OVER () AS total FROM part),
-    s AS (SELECT class, max(CASE WHEN k = floor(c / 2) + 1 THEN n END) AS median, max(n) AS most, CAST(max(c) AS DOUBLE) / max(total) AS share, max(size) AS size FROM p GROUP BY class)
+    lambda d: """WITH p AS (SELECT p_brand AS class, p_size AS n, p_retailprice AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS k, count(*) OVER (PARTITION BY p_brand) AS c FROM part), n AS (SELECT count(*) AS total FROM part),
+    s AS (SELECT class, max(CASE WHEN k = floor(c / 2) + 1 THEN n END) AS median, max(n) AS most, CAST(max(c) AS DOUBLE) / (SELECT total FROM n) AS share, max(size) AS size FROM p GROUP BY class)
     SELECT class, CAST(least(6, dense_rank() OVER (ORDER BY size DESC) + 1) AS BIGINT) AS level FROM s WHERE median <= 90 AND most <= 220 AND share <= 0.2""",
 )
 operator("src_11_notes_links", lambda d: with_(lines(d)) + f", t AS (SELECT doc_id, ord, concat('[', substring(line, 1, 20), '](#n', CAST(ord AS STRING), ') [w](http://example.org)') AS md FROM lines WHERE NOT {d.has('line', r'[\]\[()]')}) SELECT doc_id, ord, {d.rx('md', r'\[([^\]]*)\]\(#[^)]*\)', '$1')} AS text FROM t")
@@ -274,7 +295,23 @@ def json_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(broken, "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
 
 
-operator("src_17_job_tables", lambda d: "SELECT conv_id AS job, CAST(count(*) AS BIGINT) AS items, CAST(min(turn) AS BIGINT) AS first, CAST(max(turn) AS BIGINT) AS last FROM conversations GROUP BY conv_id")
+# SRC-17: the queue's table of items: rows of a former version lack two columns, which read as empty and null; one row for each key, the latest.
+SRC_17 = """WITH former AS (SELECT conv_id AS job, turn AS k, text AS source_text, 'queued' AS state, 1 AS version FROM conversations WHERE turn % 2 = 0),
+  latter AS (SELECT conv_id AS job, turn AS k, text AS source_text, CASE WHEN conv_id % 3 = 0 THEN 'approved' ELSE 'review' END AS state, CASE WHEN conv_id % 5 = 0 THEN '{}' END AS verdict, 'ctx' AS context, 2 AS version FROM conversations WHERE turn % 3 = 0),
+  every AS (SELECT job, k, source_text, state, NULL AS verdict, '' AS context, version FROM former UNION ALL SELECT * FROM latter),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY job, k ORDER BY version DESC, source_text) AS nth FROM every)
+  SELECT job, k, length(source_text) AS chars, state, verdict, context FROM ranked WHERE nth = 1"""
+
+
+@query("src_17_job_tables", SRC_17)
+def job_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of two versions of the table, as one table with its key."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("k"), F.col("text").alias("source_text"))
+    former = rows.where("k % 2 = 0").withColumns({"state": F.lit("queued"), "version": F.lit(1)})
+    state = F.when(F.col("job") % 3 == 0, "approved").otherwise("review")
+    latter = rows.where("k % 3 = 0").withColumns({"state": state, "verdict": F.when(F.col("job") % 5 == 0, "{}"), "context": F.lit("ctx"), "version": F.lit(2)})
+    found = tables.latest(tables.migrated(former, latter, {"context": ""}), ["job", "k"], [F.desc("version"), F.asc("source_text")])
+    return found.select("job", "k", F.length("source_text").cast("long").alias("chars"), "state", "verdict", "context")
 
 
 @query("src_19_atom_catalogue")
@@ -304,7 +341,7 @@ def book_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st_13_throttle")
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most one commit an hour for each user: a greedy pass over sorted times."""
+    """At most one commit a minute for each user: a greedy pass over sorted times."""
     return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(lambda pdf: queue.throttle(pdf), "user_id long, event_id long")
 
 
@@ -314,11 +351,19 @@ def loop_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", "ord", _column("long", lambda t: len(align.cut_repetition(t)))(looped).alias("kept"))
 
 
-@query("snk_01_atomic_write")
+def _snk_01(d) -> str:
+    return with_(blocks(d)) + f"SELECT doc_id, CAST(count(*) AS BIGINT) AS blocks, {d.sha(d.join(d.collect('text', 'ord'), chr(10) * 2))} AS sha FROM blocks WHERE ord > 0 GROUP BY doc_id"
+
+
+@query("snk_01_atomic_write", _snk_01(DUCK))
 def atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a writer would commit: a row a book with the digest of its ordered blocks."""
+    """Books written as a table, and written again without their headings: readers see either version whole. What is read back."""
     body = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text)
-    return _blocks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sha2(F.array_join(body, "\n\n"), 256).alias("sha"))
+    books = lambda rows: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sha2(F.array_join(body, "\n\n"), 256).alias("sha"))
+    place = tables.own_place(spark, "books")
+    tables.replace_table(books(_blocks(spark, sf_dir)), place)
+    tables.replace_table(books(_blocks(spark, sf_dir).where("ord > 0")), place)
+    return tables.read_table(spark, place)
 
 
 @query("s_18_checks_messages")

@@ -47,7 +47,7 @@ def replay(events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(events["user_id"].iloc[0]), *state)], columns=["user_id", *State._fields])
 
 
-def throttle(events: pd.DataFrame, seconds: int = 3600) -> pd.DataFrame:
+def throttle(events: pd.DataFrame, seconds: int = 60) -> pd.DataFrame:
     kept, last = [], None
     for event, ts in events.sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
         if last is None or (ts - last).total_seconds() >= seconds:

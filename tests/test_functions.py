@@ -1,5 +1,6 @@
 """Golden values and properties of the sequence functions."""
 
+import json
 import random
 
 from hypothesis import given, settings
@@ -103,15 +104,18 @@ def test_paginate():
     assert prose.paginate([("paragraph", 300), ("heading", 5)]) == [1, 2]
 
 
-def test_modernise():
-    assert prose.modernise("Elle foi á pharmacia. ELLA tambem", {"elle": "ele", "ella": "ela", "pharmacia": "farmácia"})[0] == "Ele foi á farmácia. ELA tambem"
-
-
 def test_audit():
     assert prose.parse_audit('x {"fidelity": []} y') == (True, [])
     assert prose.parse_audit('{"fidelity": [{"passage": "a", "problem": "b"}], "style": ["s"]}') == (False, ["“a”: b", "style: s"])
     assert prose.parse_audit('{"fidelity": [{"passage": "a", "problem": "b"}, {"pass') == (False, ["“a”: b"])
     assert prose.parse_audit("no") == (False, ["no valid reply: no"])
+    objections = [{"passage": "a", "problem": "deve ser outro", "right": "The Right, Word"}, {"passage": "b", "problem": "a tradução está correta"}, {"passage": "c", "problem": "palavra ofensiva"}]
+    ok, problems = prose.parse_audit(json.dumps({"fidelity": objections}), "It has <i1>the right word</i1>.")
+    assert ok and len(problems) == 3 and all(p.startswith("style: (named") for p in problems)
+    kept = {"passage": "d", "problem": "palavra ofensiva foi suavizada"}, {"passage": "e", "problem": "está correto, mas falta uma palavra"}
+    assert prose.parse_audit(json.dumps({"fidelity": [*objections, *kept]}))[0] is False
+    assert [p for p in prose.parse_audit(json.dumps({"fidelity": list(kept)}))[1]] == ["“d”: palavra ofensiva foi suavizada", "“e”: está correto, mas falta uma palavra"]
+    assert prose.parse_audit('{"fidelity": [], "sty') == (True, [])
 
 
 def test_planted():
@@ -119,6 +123,8 @@ def test_planted():
     assert prose.plant(text, "number", 0) == "One 12 here. Two is not there. Three."
     assert prose.plant(text, "negation", 0) == "One 5 here. Two is there. Three."
     assert prose.plant(text, "omission", 0) == "One 5 here. Three."
+    assert prose.plant(text, "source language", 1, "Um. Dois. Três.") == "One 5 here. Two is not there. Três." and prose.plant(text, "source language", 1, "Um.") is None
+    assert prose.plant("Ele odeia o lixo.", "softening", 0) == "Ele não aprecia o lixo." and prose.plant(text, "softening", 0) is None
     assert prose.plant("One.", "omission", 0) is None
 
 
