@@ -1,7 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes, A-Z lower-cased where asked. A batch is
-walked in runs of rows of about a megabyte, so memory follows the run or the longest text and not the batch.
+walked in runs of rows of about a quarter of a megabyte, so memory follows the run or the longest text and not the batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = tuple(np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 

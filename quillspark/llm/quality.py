@@ -103,6 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if 2 * size > HELD_GRAMS:
                     yield out(held[0])
                     held, size = [], 0
+        pa.default_memory_pool().release_unused()
     if held:
         yield out(combine())
 
@@ -283,6 +284,7 @@ def _scored(docs: DataFrame, sent: Broadcast[Lookup], counts: bool) -> DataFrame
             own = features(batch.column("text")) if counts else {}
             new = [pa.array(own[c]) for c in COUNTS if counts] + [pa.array(surprise(batch.column("text"), sent.value))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names, "_nll"])
+            pa.default_memory_pool().release_unused()
 
     keyed = docs.withColumn("_key", F.xxhash64("text", "lang"))
     fields = ", ".join(f"`{c}` {t}" for c, t in [*keyed.dtypes, *((n, "long") for n in [*names, "_nll"])])
@@ -310,7 +312,10 @@ def measure(docs: DataFrame, work: Workspace, text: bool = False, block: int = B
         rest = rest.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.sum("_nll").alias("_more"))
         rest = small_side(work.keep(rest, "more"))
         columns = found.columns
+        work.drop_but("features", "more")
         found = found.join(rest, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).withColumn("_nll", F.col("_nll") + F.col("_more")).select(*columns)
+    else:
+        work.drop_but("features")
     return found
 
 
