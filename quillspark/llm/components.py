@@ -27,9 +27,11 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         else:
             found = found.alias("f").join(jump.alias("j"), F.col("f.comp") == F.col("j.node"), "left").select("f.node", F.coalesce("j.comp", "f.comp").alias("comp"))
             found = work.keep(found, f"{name}-found{step}")
+            work.drop(*([f"{name}-found{step - 1}"] if step > 1 else [f"{name}-jump0"]))
         moved = edges.alias("e").join(jump.alias("j"), F.col("e.a") == F.col("j.node")).select(F.col("j.comp").alias("a"), "e.b")
         moved = moved.alias("e").join(jump.alias("j"), F.col("e.b") == F.col("j.node")).select("e.a", F.col("j.comp").alias("b")).where("a != b")
         edges = work.keep(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges{step + 1}")
+        work.drop(f"{name}-edges{step}", f"{name}-least{step}", *([f"{name}-jump{step}"] if step else []))
         if edges.isEmpty():
             return found
     raise RuntimeError("components did not converge")

@@ -485,6 +485,7 @@ def _result(described: DataFrame, firsts: DataFrame, hot: DataFrame | None, link
     linked = linked.join(least, "comp").select(F.col("node").alias("set_id"), "component", F.col("comp").alias("group"))
     owners = firsts.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "first").alias("component"), F.coalesce("group", "set_id").alias("group"))
     owners = work.keep(owners, "owners")
+    work.drop_but("sets", "owners", "hot")
     alone = described.where("n = 0").withColumns({"component": F.col("doc_id"), "group": F.lit(None).cast("long")})
     return _with_hot(described.where("n > 0"), owners, hot).unionByName(alone)
 

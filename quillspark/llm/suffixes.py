@@ -391,6 +391,7 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
         runs = work.keep(cool.unionAll(hot), "runs")
     start = F.when(F.col("hi").isNotNull(), F.col("place").cast("long")).otherwise(F.greatest(F.col("place").cast("long") - SPAN, F.lit(0)))
     wide = met.where("later").select("doc", "key", start.alias("lo"), F.coalesce(F.col("hi"), F.col("place") + LENGTH).cast("long").alias("hi"))
+    work.drop_but("copies", "met", "met2", "runs")
     return copies.unionAll(wide).unionAll(runs)
 
 

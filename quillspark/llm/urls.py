@@ -128,6 +128,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, th
     hosts = ruled.join(wide, "host", "left")
     scaled = {k: F.coalesce(F.col(k), F.lit(0.0)) * nodes for k in ("trust", "distrust")}
     hosts = work.keep(hosts.select("host", "rules", *(v.alias(k) for k, v in scaled.items())), "scored")
+    work.drop_but("scored")
     fit = first_fit(F.col("path"))
     own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     joined = parsed.join(hosts, "host").withColumn("_fit", fit)

@@ -33,6 +33,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        self.kept: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,6 +44,7 @@ class Workspace:
         self.spark.conf.set(CLEANUP, "true")
         try:
             df.write.mode("overwrite").parquet(self.path(name))
+            self.kept.add(name)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -50,11 +52,19 @@ class Workspace:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more; without names, the whole workspace."""
         jvm = self.spark._jvm
+        self.kept -= set(names) if names else self.kept
         for place in map(self.path, names) if names else [self.root]:
             path = jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables that nothing reads any more: all but ``names``, which a result that is not yet written still needs."""
+        gone = sorted(self.kept - set(names))
+        if gone:
+            self.drop(*gone)
+
+
 def small_side(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``kept`` (materialised, so that measuring is cheap) as the smaller side of a join: broadcast if its measured size is below ``limit``,
     else shuffled and hashed, so that the larger side is dealt by key once and never sorted."""
