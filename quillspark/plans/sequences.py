@@ -115,21 +115,14 @@ operator(
 # --- state machines ---
 operator("st_01_phase", lambda d: with_(items(d)) + "SELECT job, k, CASE WHEN proposal IS NULL THEN 'propose' WHEN audit_ok IS NULL THEN 'audit' WHEN (audit_ok = 0 OR coalesce(checks, '[]') <> '[]') AND revised IS NULL THEN 'revise' WHEN revised IS NOT NULL AND audit2_ok IS NULL THEN 'reaudit' WHEN audit2_ok = 0 AND verdict IS NULL THEN 'judge' ELSE 'end' END AS phase FROM items")
 operator("st_02_correction_gate", lambda d: with_(items(d)) + "SELECT job, k, CASE WHEN revised IS NULL OR length(revised) < 0.5 * length(proposal) OR revised LIKE '%translated as%' THEN proposal ELSE revised END AS kept FROM items WHERE proposal IS NOT NULL")
-operator("st_03_verdict", lambda d: with_(items(d)) + f"SELECT job, k, CASE WHEN verdict IS NULL THEN 'none' WHEN verdict LIKE '%translator%' THEN 'translator' WHEN judged IS NOT NULL AND {d.n('judged', '[?!]')} = {d.n('proposal', '[?!]')} THEN 'auditor' ELSE 'user' END AS winner FROM items WHERE proposal IS NOT NULL")
 operator("st_05_block_mark", lambda d: with_(items(d)) + f"SELECT job, k, {MARK_CASE} AS mark FROM items")
 operator("st_06_draft_status", lambda d: with_(draft(d)) + "SELECT doc_id, CASE WHEN status = 'running' THEN 'running' WHEN kind = 'heading' AND status <> 'judge' THEN 'review' WHEN doc_id % 17 = 0 THEN 'review' ELSE status END AS status FROM draft")
-# ST-07: accepts as an event log; the last event of a block decides.
-operator(
-    "st_07_accept_log",
-    lambda d: "WITH r AS (SELECT user_id, event_id % 20 AS block, event_type, row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, block, event_type IN ('click', 'purchase') AS accepted, CASE WHEN event_type = 'error' THEN CAST(409 AS BIGINT) ELSE CAST(200 AS BIGINT) END AS status FROM r WHERE k = 1",
-)
 operator(
     "st_09_snapshot_events",
     lambda d: with_(items(d)) + """, s AS (SELECT job, k, CAST(count(proposal) OVER w AS BIGINT) AS p, CAST(count(audit_ok) OVER w AS BIGINT) AS a FROM items WINDOW w AS (PARTITION BY job ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     l AS (SELECT job, k, p - lag(p, 1, 0) OVER w AS dp, a - lag(a, 1, 0) OVER w AS da FROM s WINDOW w AS (PARTITION BY job ORDER BY k))
     SELECT job, k, CASE WHEN dp = 1 AND da = 0 THEN 'proposed' WHEN dp = 0 AND da = 1 THEN 'audited' ELSE 'none' END AS event FROM l""".replace("lag(p, 1, 0)", "coalesce(lag(p) OVER w, 0)").replace("lag(a, 1, 0)", "coalesce(lag(a) OVER w, 0)").replace(" OVER w, 0) OVER w", " OVER w, 0)"),
 )
-operator("st_10_redo_modes", lambda d: with_(items(d)) + "SELECT job, k, CASE job % 4 WHEN 0 THEN NULL ELSE proposal END AS proposal, CASE WHEN job % 4 IN (0, 1) THEN NULL ELSE audit_ok END AS audit_ok, CASE WHEN job % 4 = 3 THEN verdict END AS verdict FROM items")
 operator("st_11_crash_reset", lambda d: with_(items(d)) + "SELECT job, k, CASE WHEN state = 'waiting' AND proposal IS NOT NULL THEN 'queued' ELSE state END AS state FROM items")
 operator("st_12_log_tail", lambda d: "SELECT user_id, event_id, n, total FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM events) q WHERE n > 10")
 operator(
