@@ -266,15 +266,20 @@ def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_07_fb2_repair")
 def fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = _column("string", prose.fb2_repair)
-    xml = F.concat(F.lit("<FictionBook><body>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", ""), F.lit("<section>x</section>tail</body></FictionBook>"))
-    out = _blocks(spark, sf_dir).select("doc_id", "ord", fixed(xml).alias("xml"))
-    return out.select("doc_id", "ord", F.regexp_count("xml", F.lit("<p>")).cast("long").alias("paragraphs"), F.sha2("xml", 256).alias("sha"))
+    """Lines as bodies with loose text before a section, in it and after it, and a paragraph outside."""
+    fixed = _column("struct<xml:string,chars:long>", lambda x: dict(zip(("xml", "chars"), prose.fb2_repair(x))))
+    xml = F.concat(F.lit("<FictionBook><body><title><p>t</p></title>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", ""), F.lit("<section>x<p>y</p></section>tail<p>z</p></body></FictionBook>"))
+    out = _blocks(spark, sf_dir).select("doc_id", "ord", fixed(xml).alias("r"))
+    return out.select("doc_id", "ord", F.col("r.chars").alias("chars"), F.regexp_count("r.xml", F.lit("<section>")).cast("long").alias("sections"), F.regexp_count("r.xml", F.lit("<p>")).cast("long").alias("paragraphs"), F.sha2("r.xml", 256).alias("sha"))
 
 
 @query("src_08_mobi_titles")
 def mobi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit('<p><font size="'), (F.col("ord") % 4 + 4).cast("string"), F.lit('"><b>'), F.col("text"), F.lit("</b></font></p>"))
+    """Lines as paragraphs in type of sizes 2 to 9, font and bold in either order."""
+    size = (F.col("ord") % 8 + 2).cast("string")
+    font_first = F.concat(F.lit('<p><font size="'), size, F.lit('"><b>'), F.col("text"), F.lit("</b></font></p>"))
+    bold_first = F.concat(F.lit('<p align="center"><b><font size="'), size, F.lit('">'), F.col("text"), F.lit("</font></b></p>"))
+    page = F.when(F.col("ord") % 2 == 0, font_first).otherwise(bold_first)
     return _blocks(spark, sf_dir).select("doc_id", "ord", _column("string", prose.mobi_titles)(page).alias("html"))
 
 

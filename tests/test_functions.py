@@ -129,12 +129,16 @@ def test_planted():
 
 
 def test_fb2_is_idempotent():
-    once = prose.fb2_repair("<FictionBook><body>loose<section>in<p>x</p>after</section>tail</body></FictionBook>")
-    assert once.count("<p>") == 5 and prose.fb2_repair(once) == once
+    once, chars = prose.fb2_repair("<FictionBook><body><title><p>t</p></title>loose<section>in<p>x</p>after</section>tail<p>end</p></body></FictionBook>")
+    assert once == "<FictionBook><body><title><p>t</p></title><section><p>loose</p></section><section><p>in</p><p>x</p><p>after</p><p>tail</p><p>end</p></section></body></FictionBook>"
+    assert chars == len("tlooseinxaftertailend") and prose.fb2_repair(once) == (once, chars) and prose.fb2_repair("<a>") == ("<a>", -1)
 
 
 def test_mobi_and_atom():
     assert prose.mobi_titles('<p><font size="7"><b>T</b></font></p>') == "<h1>T</h1>"
+    assert prose.mobi_titles('<p a="b"> <b><font size="4">T <i>u</i></font></b> </p>') == "<h4>T <i>u</i></h4>" and prose.mobi_titles('<p><font size="9"><b>T</b></font></p>') == "<h1>T</h1>"
+    for small in ('<p><font size="3"><b>T</b></font></p>', f'<p><font size="7"><b>{"x" * 201}</b></font></p>', '<p><font size="7"><b> </b></font></p>'):
+        assert prose.mobi_titles(small) == small
     feed = "<feed><entry><id>x/ebooks/7.opds</id><title>T (French)</title></entry></feed>"
     assert prose.atom_entries(feed) == [("7", "T", "French")]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import checks
 from quillspark.operators import editions, joins, search, structure
+from quillspark.sources import books, epub
 
 
 def alerts(spark, source, out, task="translate", terms=()):
@@ -89,3 +90,17 @@ def test_editions(spark):
     assert tuple(editions.summary(compared).first())[1:] == (6, 1, 1, 0, 0, 8, 8)
     pairs = spark.createDataFrame([("pharmacia velha", "farmacia velha"), ("casa velha", "loja nova")], "a string, b string")
     assert [r[0] for r in pairs.select(editions.beyond_spelling(F.col("a"), F.col("b"))).collect()] == [False, True]
+
+
+def test_books_are_read_from_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.epub").write_bytes(epub.pack(["one & only", "two"]))
+    (tmp_path / "in" / "b.html").write_text('<script>x</script><p>blog <a href="x">makes</a>the <em>point</em> &eacute;.</p>', encoding="utf-8")
+    (tmp_path / "c.fb2").write_text("<FictionBook><body>loose<section>in</section></body></FictionBook>", encoding="utf-8")
+    (tmp_path / "d.txt").write_text("plain", encoding="utf-8")
+    (tmp_path / "e.epub").write_bytes(b"broken")
+    (tmp_path / "f.exe").write_bytes(b"x")
+    got = {(r["path"].rpartition("/")[2], r["place"]): r for r in books.read_books(spark, str(tmp_path)).collect()}
+    texts = {k: " ".join((r["text"] or "").split()) for k, r in got.items()}
+    assert texts == {("a.epub", 0): "one only", ("a.epub", 1): "two", ("b.html", 0): "blog makesthe point é.", ("c.fb2", 0): "loose", ("c.fb2", 1): "in", ("d.txt", 0): "plain", ("e.epub", 0): "", ("f.exe", 0): ""}
+    assert "BadZipFile" in got["e.epub", 0]["problem"] and "not read" in got["f.exe", 0]["problem"] and got["d.txt", 0]["problem"] is None
