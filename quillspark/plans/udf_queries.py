@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import align, checks, prose
@@ -35,6 +35,18 @@ def _two(kind: str, function):
     return udf
 
 
+def _record(fields: str, function):
+    """A function of texts (null if one of them is) that gives several fields, as a pandas UDF."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    @F.pandas_udf(fields)
+    def udf(*columns: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * len(names) if any(v is None for v in row) else function(*row) for row in zip(*columns)]
+        return pd.DataFrame(rows, columns=names)
+
+    return udf
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, with_(pairs(SPARK)) + "SELECT * FROM pairs")
 
@@ -62,17 +74,29 @@ def nfkc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("aln_04_collation")
 def collation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered paragraphs of two versions: the ratio of words to three places, equal or different."""
-    other = F.when(F.col("ord") % 4 == 1, F.concat("text", F.lit(" added"))).otherwise(F.col("text"))
-    found = _blocks(spark, sf_dir).withColumn("other", other)
-    ratio = _two("double", lambda a, b: round(align.ratio(align.words(a), align.words(b)), 3))
-    return found.select("doc_id", "ord", ratio("text", "other").alias("ratio")).withColumn("equal", F.col("ratio") == 1)
+    """Numbered paragraphs of two versions: equal, different (with the ratio of words and the changes) or absent; those that differ are placed with
+    what changed or cut words first, then what only added some, by ratio. The other version lacks every sixth, changes and adds to others."""
+    own = _blocks(spark, sf_dir)
+    changed = F.when(F.col("ord") % 4 == 1, F.concat("text", F.lit(" added"))).when(F.col("ord") % 5 == 2, F.regexp_replace("text", r"^\\S+ ", "Another ")).otherwise(F.col("text"))
+    other = own.where("ord % 6 != 4").select(F.col("doc_id").alias("book"), F.col("ord").alias("number"), changed.alias("other"))
+    both = own.join(other, (F.col("doc_id") == F.col("book")) & (F.col("ord") == F.col("number")), "left")
+    compared = _record("ratio double, changes array<string>", align.collate)
+    found = both.select("doc_id", "ord", compared("text", "other").alias("c"), F.col("other").isNull().alias("absent"))
+    found = found.select("doc_id", "ord", F.when(F.col("absent"), "absent").when(F.size("c.changes") > 0, "different").otherwise("equal").alias("outcome"), F.col("c.ratio").alias("ratio"), F.col("c.changes").alias("changes"))
+    differs = F.col("outcome") == "different"
+    only_more = ~F.exists("changes", lambda x: ~x.startswith("insert"))
+    place = F.when(differs, F.row_number().over(Window.partitionBy("doc_id", differs).orderBy(only_more, "ratio", "ord")))
+    return found.select("doc_id", "ord", "outcome", "ratio", F.array_join("changes", "|").alias("changes"), place.cast("long").alias("place"))
 
 
 @query("aln_05_reader_agreement")
 def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = _two("double", lambda a, b: round(align.ratio(a.lower().split(), b.lower().split()), 3))
-    return _pairs(spark, sf_dir).select("conv_id", "turn", ratio("src", "out").alias("agreement")).withColumn("ok", F.col("agreement") >= 0.85)
+    """Two readings of a page agree if 0.85 of their words do, and the second is no refusal."""
+    ratio = _two("double", lambda a, b: round(align.ratio(align.plain_words(a), align.plain_words(b)), 3))
+    refusing = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("I'm sorry, but "), F.col("src"))).when(F.col("conv_id") % 5 == 1, F.col("src")).otherwise(F.col("out"))
+    read = _pairs(spark, sf_dir).withColumn("out", refusing)
+    found = read.select("conv_id", "turn", ratio("src", "out").alias("agreement"), checks.refused(F.col("out"), F.col("src")).alias("refused"))
+    return found.withColumn("ok", (F.col("agreement") >= 0.85) & ~F.col("refused"))
 
 
 @query("aln_06_combine_readers")
@@ -95,12 +119,18 @@ def repetition_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_12_term_mining")
 def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised terms found three times or more and once within a sentence; the 80 most frequent."""
+    """Capitalised terms found three times or more and once within a sentence, but those that are known; the 80 most frequent, with an
+    example. The texts' own words hold few such terms: four are added by number."""
     stop = frozenset("the a an of and in on at to is was".split())
     kind = "array<struct<term:string,inside:boolean>>"
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(_column(kind, lambda t: [{"term": a, "inside": b} for a, b in prose.terms(t, stop)])("text")).alias("t"))
-    counted = found.groupBy("t.term").agg(F.count(F.lit(1)).alias("n"), F.max("t.inside").alias("inside"), F.min("doc_id").alias("first_doc"))
-    return counted.where("n >= 3 AND inside").select("term", "n", "first_doc").orderBy(F.desc("n"), "term").limit(80)
+    named = F.array(*map(F.lit, (" They saw the Grand Canal again.", " It was in Upper Saxony then.", ", and the Treaty of Verdun’s end was known.", ". Old Bridge. Old Bridge! Old Bridge?", " And so on.")))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("text", F.concat("text", F.get(named, (F.col("doc_id") % 5).cast("int"))))
+    found = docs.select("doc_id", "text", F.explode(_column(kind, lambda t: [{"term": a, "inside": b} for a, b in prose.terms(t, stop)])("text")).alias("t"))
+    around = F.expr("substring(text, greatest(1, instr(text, t.term) - 40), 120)")
+    counted = found.select("doc_id", "t.term", "t.inside", around.alias("example")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("inside").alias("inside"), F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "example")).alias("e"))
+    known = spark.createDataFrame([("Upper Saxony",)], "term string")
+    fresh = counted.where("n >= 3 AND inside").join(known, "term", "left_anti")
+    return fresh.select("term", "n", "first_doc", F.col("e.example").alias("example")).orderBy(F.desc("n"), "term").limit(80)
 
 
 @query("blk_01_join_lines")
@@ -226,12 +256,13 @@ def planted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_16_scoreboard")
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted errors by type: cases, and how many the size, sentence, number or negation rule finds."""
-    found = planted(spark, sf_dir)
-    r = F.length("out") / F.greatest(F.length("src"), F.lit(1))
-    count = lambda c, p: F.regexp_count(c, F.lit(p))
-    hit = ~r.between(0.85, 1.4) | (count("out", "[.!?](\\s|$)") != count("src", "[.!?](\\s|$)")) | (F.size(F.array_except(F.regexp_extract_all("src", F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all("out", F.lit("[0-9]+"), F.lit(0)))) > 0) | (count("src", r"(?i)\b(not|no|never|nicht|kein)\b") > count("out", r"(?i)\b(not|no|never|nicht|kein)\b"))
-    return found.groupBy("type").agg(F.count(F.lit(1)).alias("cases"), F.count_if(hit).alias("caught"))
+    """Planted errors by type: cases, those that the rules catch, that an auditor does (here: three of four, by number), that either does, and
+    what stands after a judge, who upholds half of what is not locked."""
+    alerts = checks.checks(F.col("src"), F.col("out"), "translate")
+    found = planted(spark, sf_dir).withColumn("alerts", alerts)
+    rules, auditor = F.size("alerts") > 0, (F.col("type") != "clean") & ((F.col("conv_id") + F.col("turn")) % 4 > 0)
+    stands = F.exists("alerts", checks.locked) | (rules | auditor) & (F.col("conv_id") % 2 == 0)
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("cases"), F.count_if(rules).alias("rules"), F.count_if(auditor).alias("auditor"), F.count_if(rules | auditor).alias("either"), F.count_if(stands).alias("standing"))
 
 
 @query("src_01_page_text")
@@ -267,7 +298,7 @@ def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_07_fb2_repair")
 def fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as bodies with loose text before a section, in it and after it, and a paragraph outside."""
-    fixed = _column("struct<xml:string,chars:long>", lambda x: dict(zip(("xml", "chars"), prose.fb2_repair(x))))
+    fixed = _record("xml string, chars long", prose.fb2_repair)
     xml = F.concat(F.lit("<FictionBook><body><title><p>t</p></title>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", ""), F.lit("<section>x<p>y</p></section>tail<p>z</p></body></FictionBook>"))
     out = _blocks(spark, sf_dir).select("doc_id", "ord", fixed(xml).alias("r"))
     return out.select("doc_id", "ord", F.col("r.chars").alias("chars"), F.regexp_count("r.xml", F.lit("<section>")).cast("long").alias("sections"), F.regexp_count("r.xml", F.lit("<p>")).cast("long").alias("paragraphs"), F.sha2("r.xml", 256).alias("sha"))

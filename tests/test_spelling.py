@@ -72,3 +72,30 @@ def test_decisive_columns_take_several_values(spark):
     assert kept and not any(re.match(r"The Book of|\d+$", x) for x in kept)
     for r in QUERIES["s_04_clean_line"](spark, sf).limit(60).collect():
         assert re.fullmatch(r"\d+\. [^*\[\]]*#", r["clean"]), r["clean"]
+
+
+def test_collation_places_what_changed_words_first(spark):
+    rows = [r for r in QUERIES["aln_04_collation"](spark, "/root/testdata/sf0.001").collect()]
+    outcomes = {r["outcome"] for r in rows}
+    assert outcomes == {"equal", "different", "absent"} and all((r["place"] is not None) == (r["outcome"] == "different") for r in rows)
+    by = {}
+    for r in rows:
+        if r["place"]:
+            by.setdefault(r["doc_id"], []).append((r["place"], all(x.startswith("insert") for x in r["changes"].split("|")), r["ratio"]))
+    for own in by.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+
+
+def test_scoreboard_and_agreement(spark):
+    sf = "/root/testdata/sf0.01"
+    score = {r["type"]: r for r in QUERIES["agg_16_scoreboard"](spark, sf).collect()}
+    assert set(score) >= {"clean", "omission", "addition", "negation", "softening"} and all(max(r["rules"], r["auditor"]) <= r["either"] <= r["cases"] and r["standing"] <= r["either"] for r in score.values())
+    agree = QUERIES["aln_05_reader_agreement"](spark, sf).collect()
+    assert {(r["ok"], r["refused"]) for r in agree} >= {(True, False), (False, True)} and all(r["ok"] == (r["agreement"] >= 0.85 and not r["refused"]) for r in agree)
+
+
+def test_terms_are_new_and_found_within_sentences(spark):
+    terms = {r["term"]: r for r in QUERIES["agg_12_term_mining"](spark, "/root/testdata/sf0.001").collect()}
+    assert "Grand Canal" in terms and "Treaty of Verdun" in terms and "Upper Saxony" not in terms and "Old Bridge" not in terms
+    assert all(t in r["example"] and r["n"] >= 3 for t, r in terms.items() if t in ("Grand Canal",))
