@@ -220,10 +220,14 @@ operator(
     "agg_15_time_estimate",
     lambda d: with_(items(d)) + ", j AS (SELECT job, sum(seconds) AS seconds, count(*) AS blocks, min(CASE WHEN state = 'approved' THEN 1 ELSE 0 END) AS done FROM items GROUP BY job), m AS (SELECT CAST(sum(CASE WHEN done = 1 THEN seconds END) AS DOUBLE) AS s, CAST(sum(CASE WHEN done = 1 THEN blocks END) AS DOUBLE) AS b FROM j) SELECT j.job, j.blocks, CASE WHEN m.b > 0 THEN m.s / m.b * j.blocks END AS estimate FROM j CROSS JOIN m",
 )
+# AGG-17: marks of two texts as multisets: how many of each are missing, how many too many, and whether all agree. The other text lacks every third mark,
+# and has every fifth twice.
 operator(
     "agg_17_multiset_difference",
-    lambda d: f"""WITH s AS ({d.explode('documents', 'doc_id', d.all('text', '[#*$%&]{3}'), 'i', 'mark')}), a AS (SELECT doc_id, mark, count(*) AS n FROM s GROUP BY doc_id, mark), b AS (SELECT doc_id, mark, count(*) AS n FROM s WHERE i % 3 > 0 GROUP BY doc_id, mark)
-    SELECT a.doc_id, a.mark, CAST(a.n - coalesce(b.n, 0) AS BIGINT) AS missing FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.mark = b.mark WHERE a.n > coalesce(b.n, 0)""",
+    lambda d: f"""WITH s AS ({d.explode('documents', 'doc_id', d.all("coalesce(text, '')", '[#*$%&]{3}'), 'i', 'mark')}), a AS (SELECT doc_id, mark, count(*) AS n FROM s GROUP BY doc_id, mark),
+    b AS (SELECT doc_id, mark, sum(CASE WHEN i % 5 = 0 AND doc_id % 7 <> 2 THEN 2 ELSE 1 END) AS n FROM s WHERE doc_id % 7 = 2 OR i % 3 > 0 GROUP BY doc_id, mark),
+    j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.mark, b.mark) AS mark, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.mark = b.mark)
+    SELECT doc_id, mark, CAST(greatest(x - y, 0) AS BIGINT) AS missing, CAST(greatest(y - x, 0) AS BIGINT) AS extra, min(CASE WHEN x = y THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 AS equal FROM j""",
 )
 operator("agg_18_correlated_count", lambda d: "SELECT o.o_orderkey, o.o_orderdate, (SELECT CAST(count(*) AS BIGINT) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS items FROM orders o ORDER BY o.o_orderdate DESC, o.o_orderkey LIMIT 20")
 operator(

@@ -173,7 +173,13 @@ operator(
     lambda d: f"""WITH f AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'kept' END AS original, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('New ', c_name) END AS title FROM customer)
     SELECT c_custkey, title, CASE WHEN title = coalesce(original, c_name) THEN NULL ELSE coalesce(original, c_name) END AS original_title FROM f""",
 )
-operator("s_41_filename_guess", lambda d: f"WITH n AS (SELECT p_partkey, concat(p_name, ' (', p_brand, ')') AS file FROM part) SELECT p_partkey, trim({d.first('file', '^([^(]*)[(]', 1)}) AS title, {d.first('file', '[(]([^)]*)[)]$', 1)} AS author FROM n")
+# S-41: title and author from a file's name, "Title (Author)"; an author "Last, First" is turned round.
+operator(
+    "s_41_filename_guess",
+    lambda d: f"""WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN p_name ELSE concat(p_name, ' (', CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, ', Ana') WHEN 1 THEN p_brand ELSE concat(p_brand, ', Ana, jr') END, ')') END AS file FROM part),
+    a AS (SELECT p_partkey, CASE WHEN {d.has('file', '^.*[(][^)]*[)]$')} THEN trim({d.first('file', '^(.*)[(][^)]*[)]$', 1)}) ELSE file END AS title, {d.first('file', '[(]([^)]*)[)]$', 1)} AS author FROM n)
+    SELECT p_partkey, title, CASE WHEN {d.has('author', '^[^,]+, [^,]+$')} THEN concat({d.first('author', ', ([^,]+)$', 1)}, ' ', {d.first('author', '^([^,]+),', 1)}) ELSE author END AS author FROM a""",
+)
 # S-42: deep merge of nested settings, as leaves by path: the new value of a leaf wins, other leaves of its section stay, new leaves come in.
 operator(
     "s_42_config_merge",
@@ -190,7 +196,13 @@ operator(
     SELECT page_id, ext, ext IN ('pdf', 'epub', 'html', 'htm', 'txt', 'md', 'fb2', 'mobi', 'azw3', 'docx', 'odt') AS known,
       CASE ext WHEN 'pdf' THEN substring(content, 1, 4) = '%PDF' WHEN 'epub' THEN substring(content, 1, 4) = concat('PK', chr(3), chr(4)) ELSE strpos(substring(content, 1, 1000), chr(1)) = 0 END AS fits FROM f""".replace("strpos(", "instr("),
 )
-operator("s_44_task_choice", lambda d: "SELECT doc_id, CASE WHEN source = 'src1' THEN 'read_page' WHEN lang = 'en' THEN 'translate' WHEN lang = 'de' THEN 'translate_de' WHEN lang = 'es' THEN 'modernise' ELSE 'none' END AS task FROM documents")
+# S-44: the kind of a book by its language and whether its spelling is old, and the task of the kind. Spanish texts stand for Portuguese ones here.
+operator(
+    "s_44_task_choice",
+    lambda d: """WITH g AS (SELECT doc_id, CASE lang WHEN 'es' THEN 'pt' ELSE lang END AS language, doc_id % 3 = 0 AS old FROM documents),
+    k AS (SELECT doc_id, language, CASE WHEN language IS NULL OR language NOT IN ('en', 'de', 'pt') THEN '' WHEN language <> 'pt' THEN 'translation' WHEN old THEN 'update' ELSE 'native' END AS kind FROM g)
+    SELECT doc_id, kind, CASE WHEN kind = 'update' THEN 'modernise' WHEN kind = 'native' THEN 'none' WHEN language = 'en' THEN 'translate' WHEN language = 'de' THEN 'translate_de' ELSE 'none' END AS task FROM k""",
+)
 operator("s_45_partial_json", lambda d: f"""WITH t AS (SELECT event_id, substring('{{"fidelity": [{{"passage": "ab", "problem": "cd"}}, {{"passage": "ef", "problem": "gh"}}]}}', 1, CAST(10 + event_id % 80 AS INT)) AS t FROM events) SELECT event_id, {d.n('t', '"passage": "[^"]*", "problem": "[^"]*"')} AS seen, CASE WHEN {d.has('t', r'"fidelity": \[')} THEN 'speaking' ELSE 'reading' END AS state FROM t""")
 operator(
     "s_46_contrast",

@@ -358,7 +358,15 @@ def atom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 operator("src_22_dominant_font", lambda d: "WITH f AS (SELECT p_brand, p_type, sum(p_size) AS chars FROM part GROUP BY p_brand, p_type), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY chars DESC, p_type) AS k FROM f) SELECT p_brand, p_type AS font, CAST(chars AS BIGINT) AS chars FROM r WHERE k = 1")
-operator("src_23_page_images", lambda d: "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS image, CAST(l_quantity AS DOUBLE) / 50 >= 0.7 AS whole_page FROM lineitem WHERE l_quantity / 50 >= 0.02")
+# SRC-23: images of a page that cover a fiftieth of it or more, up to the first that covers 0.7 (the whole page); a book's first page that is an image
+# and nothing else is its cover. Pages are orders here, images their lines; every third order is without text, and 97 books share the orders.
+operator(
+    "src_23_page_images",
+    lambda d: """WITH i AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS image, max(CAST(l_quantity AS DOUBLE)) / 50 AS share FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    w AS (SELECT page, min(CASE WHEN share >= 0.7 THEN image END) AS whole FROM i GROUP BY page),
+    c AS (SELECT page % 97 AS book, min(page) AS cover FROM w WHERE whole IS NOT NULL AND page % 3 = 0 GROUP BY page % 97)
+    SELECT i.page, i.image, i.share >= 0.7 AS whole_page, coalesce(i.page = c.cover AND i.share >= 0.7, false) AS cover FROM i JOIN w ON i.page = w.page LEFT JOIN c ON c.book = i.page % 97 WHERE i.share >= 0.02 AND (w.whole IS NULL OR i.image <= w.whole)""",
+)
 
 
 @query("st_04_stage_machine")
