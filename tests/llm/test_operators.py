@@ -406,3 +406,30 @@ def test_pipeline_stages_on_awkward_tables(spark):
     assert ids["lines"] == Counter(r["doc_id"] for r in docs.collect())
     assert ids["jaccard"][300] == 1 and ids["jaccard"][301] == 0 and ids["jaccard"][302] == 1 and ids["jaccard"][5] == 1
     assert ids["decontaminate"][302] == 0 and ids["decontaminate"][300] == 1 and sum(ids["decontaminate"].values()) == total - 2
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(4000)}" for _ in range(250_000))
+    docs = spark.createDataFrame([(1, f"{long} a@b.cd {long}", "s"), (2, "one two three four five six", "s"), (3, None, None)], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("size", "target", "taken", "rank", "weight", "item_id", "covered", "spans", "kind", "_one")})
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert spans == {1: f"email:{len(long) + 1}:{len(long) + 7}", 2: "", 3: ""}
+    bench = spark.createDataFrame([("q1", "one two three four five six", 7), ("q2", " ".join(long.split()[100_000:150_000]), 7)], "item_id string, text string, doc_id int")
+    assert sorted((r["doc_id"], r["item_id"], r["tiles"]) for r in tiling.find_leaks(docs, bench).collect()) == [(1, "q2", 1), (2, "q1", 1)]
+    assert [r["doc_id"] for r in tiling.decontaminate(docs, bench).collect()] == [3]
+    mixed = {r["doc_id"]: r["size"] for r in mixing.mix_sources(docs).collect()}
+    assert mixed == {1: 500_001, 2: 6, 3: 0}
+    pages = spark.createDataFrame([(1, "u", "<p>" + long * 8), (2, "v", "<p>" + long * 8), (3, "w", "x")], PAGES)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()}
+    n = 3 + 8 * len(long)
+    assert n > 2 * warc.PACK_BYTES and got == {1: (n, "response", None), 2: (n, "revisit", 1), 3: (1, "response", None)}
+
+
+def test_op9_revisits_name_their_first(spark):
+    arc = warc.ArcRecord(b"http://b/", b"0.0.0.0", b"20240101000000", b"text/html", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    first = warc.ArcRecord(b"http://a/", *arc[1:])
+    records = list(warc.read_warc(warc.warcinfo(b"x") + warc.warc_record(first, b"1", None) + warc.warc_record(arc, b"2", warc.First(b"1", first.url, first.date))))
+    info, one, two = (fields for fields, _ in records)
+    assert info[b"warc-type"] == b"warcinfo" and two[b"warc-refers-to"] == one[b"warc-record-id"] and two[b"warc-refers-to-target-uri"] == b"http://a/"
+    assert two[b"warc-refers-to-date"] == one[b"warc-date"] and two[b"warc-payload-digest"] == one[b"warc-payload-digest"]
