@@ -11,10 +11,24 @@ operator(
     SELECT source AS book, doc_id, ord, substring(line, CAST(greatest(1, strpos(f, 'est') - 90) AS INT), 260) AS snippet FROM hits
     WHERE {d.contains('f', "'est'")} AND {d.contains('f', "'tion'")} ORDER BY source, doc_id, ord LIMIT 60""".replace("strpos(f, 'est')", "instr(f, 'est')"),
 )
-# FLT-02: regular expression over folded text, with the count of its matches; partial book name.
+# FLT-02: regular expression over folded text: the count of its matches, and the first with its context, as the line has it; partial book name.
+FOUND = "an[a-z]+ti"
+AROUND = 40
+
+
+def context(d, line: str, at: str, found: str) -> str:
+    """``found`` (its place and text in ``line``) between quotes, with AROUND letters on either side and dots where more is left out."""
+    before = f"concat(CASE WHEN {at} > {AROUND + 1} THEN '…' ELSE '' END, substring({line}, CAST(greatest(1, {at} - {AROUND}) AS INT), CAST(least({at} - 1, {AROUND}) AS INT)))"
+    end = f"({at} + length({found}))"
+    after = f"concat(substring({line}, CAST({end} AS INT), {AROUND}), CASE WHEN length({line}) >= {end} + {AROUND} THEN '…' ELSE '' END)"
+    return f"concat({before}, '«', substring({line}, CAST({at} AS INT), CAST(length({found}) AS INT)), '»', {after})"
+
+
 operator(
     "flt_02_regex_search",
-    lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.n(d.fold('line'), 'an[a-z]+ti')} AS hits FROM lines WHERE {d.contains('source', repr('src1'))} AND {d.has(d.fold('line'), 'an[a-z]+ti')}",
+    lambda d: with_(lines(d)) + f""", f AS (SELECT doc_id, ord, line, {d.fold('line')} AS folded FROM lines WHERE {d.contains('source', repr('src1'))}),
+    m AS (SELECT doc_id, ord, line, {d.n('folded', FOUND)} AS hits, {d.first('folded', FOUND)} AS found, instr(folded, {d.first('folded', FOUND)}) AS spot FROM f WHERE {d.has('folded', FOUND)})
+    SELECT doc_id, ord, hits, {context(d, 'line', 'spot', 'found')} AS context FROM m""",
 )
 # FLT-03: terms of more than one letter; all must match; the highlighted places (letters in any match).
 operator(

@@ -12,7 +12,7 @@ from quillspark.functions import align, checks, prose
 from quillspark.operators import editions, joins, spelling, structure, tables
 from quillspark.plans.dialect import DUCK, SPARK, blocks, lines, operator, pairs, run_sql, with_
 from quillspark.plans.registry import query
-from quillspark.sources import epub
+from quillspark.sources import books, epub
 from quillspark.streaming import queue
 from quillspark.tables import table
 
@@ -324,6 +324,13 @@ operator(
 operator("src_11_notes_links", lambda d: with_(lines(d)) + f", t AS (SELECT doc_id, ord, concat('[', substring(line, 1, 20), '](#n', CAST(ord AS STRING), ') [w](http://example.org)') AS md FROM lines WHERE NOT {d.has('line', r'[\]\[()]')}) SELECT doc_id, ord, {d.rx('md', r'\[([^\]]*)\]\(#[^)]*\)', '$1')} AS text FROM t")
 
 
+@query("src_05_page_text_unescaped")
+def page_text_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page to text with all character references of HTML, as books are read."""
+    more = F.concat("html", F.lit("<p>caf&eacute; &#8212; &#x41;&hellip; &notit; &lt;b&gt;"))
+    return table(spark, sf_dir, "pages").select("page_id", _column("string", books.page_text)(more).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.substring("text", -24, 24).alias("ending"))
+
+
 @query("src_13_json_state")
 def json_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON in text, read permissively: broken records are null."""

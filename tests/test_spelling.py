@@ -99,3 +99,11 @@ def test_terms_are_new_and_found_within_sentences(spark):
     terms = {r["term"]: r for r in QUERIES["agg_12_term_mining"](spark, "/root/testdata/sf0.001").collect()}
     assert "Grand Canal" in terms and "Treaty of Verdun" in terms and "Upper Saxony" not in terms and "Old Bridge" not in terms
     assert all(t in r["example"] and r["n"] >= 3 for t, r in terms.items() if t in ("Grand Canal",))
+
+
+def test_pages_are_unescaped_and_contexts_quoted(spark):
+    sf = "/root/testdata/sf0.001"
+    endings = [r["ending"] for r in QUERIES["src_05_page_text_unescaped"](spark, sf).collect()]
+    assert {e for e in endings if e and not e.endswith("café — A… ¬it; <b>")} == set()
+    found = QUERIES["flt_02_regex_search"](spark, sf).collect()
+    assert found and all(re.search(r"«\w+»", r["context"]) for r in found)
