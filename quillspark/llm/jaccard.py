@@ -22,8 +22,8 @@ document's component under links.
 
 Cases: a document of fewer words than a shingle is one shingle as a whole; without words or text it has none, links with nothing and
 is its own component; null ids and repeated rows are kept, each with its own row; an empty table gives an empty result; other
-columns are left alone. Sets of very many documents (``HOT_SETS`` of them at most) are joined with their rows by a broadcast of those sets, so
-that no task gets all copies of a text.
+columns are left alone. Sets of very many documents (a bounded number) are joined with their rows by a broadcast of those sets, so that no
+task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
 from quillspark.llm.components import components
-from quillspark.llm.workspace import Workspace, small_side
+from quillspark.llm.workspace import Workspace, hot_rows, join_by, small_side
 
 SPARE = 2
 LEVEL_RATIO = 1.4
@@ -50,8 +50,6 @@ LEAF = 8
 CHUNK_ROWS = 500_000
 #: From this many words on, shingles are rare by themselves, and counting the shared ones pays.
 RARE_SIZE = 5
-#: Sets of more than one in so many rows (and of 1000 rows) are hot; so there are fewer than that.
-HOT_SETS = 100_000
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -360,14 +358,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def _with_hot(described: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Rows of ``described`` joined with a table of one row for each set; rows of hot sets stay where they are."""
-    if hot is None:
-        return described.join(table, "set_id")
-    own = described.join(F.broadcast(table.join(hot, "set_id")), "set_id")
-    return own.unionByName(described.join(F.broadcast(hot), "set_id", "left_anti").join(table, "set_id"))
-
-
 def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Workspace) -> DataFrame:
     """doc_id, text_key, n, set_id, component (least doc_id) and group (a set of the component) for each row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -413,8 +403,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
     described = work.keep(keyed.mapInArrow(describe, f"doc_id {kind}, text_key long, n long, set_id long"), "sets")
     firsts = described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     firsts = work.keep(firsts, "firsts")
-    many = max(1000, (described.count() + HOT_SETS - 1) // HOT_SETS)
-    hot = work.keep(firsts.where(F.col("rows") > many).select("set_id"), "hot")
+    hot = work.keep(firsts.where(F.col("rows") > hot_rows(described.count())).select("set_id"), "hot")
     hot = None if hot.isEmpty() else hot
     signing = slim
     if size >= RARE_SIZE:
@@ -424,7 +413,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
         least = F.ceil(F.ceil(F.col("n") * num / den) * (den - num) / den)
         # Equal texts of different rows are one set: a set of several rows needs no partner, and one without may leave.
         able = firsts.join(shared, "set_id").where(F.col("shared") >= F.greatest(least, F.lit(1))).select("set_id")
-        able = work.keep(_with_hot(described, able, hot).select(F.col("doc_id").alias("_id")).distinct(), "able")
+        able = work.keep(join_by(described, able, "set_id", hot).select(F.col("doc_id").alias("_id")).distinct(), "able")
         signing = work.keep(slim.join(small_side(able), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "candidates")
     signed = signing.mapInArrow(sign, "sig long, set_id long, other long")
     near = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_near, "a long, b long")
@@ -487,7 +476,7 @@ def _result(described: DataFrame, firsts: DataFrame, hot: DataFrame | None, link
     owners = work.keep(owners, "owners")
     work.drop_but("sets", "owners", "hot")
     alone = described.where("n = 0").withColumns({"component": F.col("doc_id"), "group": F.lit(None).cast("long")})
-    return _with_hot(described.where("n > 0"), owners, hot).unionByName(alone)
+    return join_by(described.where("n > 0"), owners, "set_id", hot).unionByName(alone)
 
 
 def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SETS, work: Workspace | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.workspace import Workspace, small_side
+from quillspark.llm.workspace import Workspace, hot_rows, join_by, small_side
 
 ORDER = 4
 #: How far the band goes below and above the quartiles, as multiples of their distance. Each is a fifth above the width at which 0.25 % of the
@@ -150,7 +150,10 @@ def later_copies(docs: DataFrame, work: Workspace) -> DataFrame:
     """Rows (_id, _text) of texts that a document of smaller id has too."""
     keys = work.keep(docs.select(F.col("doc_id").alias("_id"), _text_key().alias("_text")), "keys")
     least = keys.groupBy("_text").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return work.keep(keys.join(least, "_text").where(~F.col("_id").eqNullSafe(F.col("_least"))).select("_id", "_text").distinct(), "copies")
+    least = work.keep(least, "texts")
+    hot = least.where(F.col("_n") > hot_rows(keys.count())).select("_text")
+    found = join_by(keys, least, "_text", hot).where(~F.col("_id").eqNullSafe(F.col("_least")))
+    return work.keep(found.select("_id", "_text").distinct(), "copies")
 
 
 def _probabilities(counted: DataFrame, work: Workspace) -> DataFrame:

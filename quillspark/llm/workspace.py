@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What a side of a join may take in memory to be broadcast: its rows' fields and lengths of strings, as measured.
 BROADCAST_BYTES = 32 << 20
+#: Keys of more than one in so many rows (and of ``HOT_ROWS`` rows) are hot; so there are fewer than that.
+HOT_KEYS, HOT_ROWS = 100_000, 100
 SETTING = "spark.checkpoint.dir"
 #: Deletes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -65,6 +67,20 @@ class Workspace:
             self.drop(*gone)
 
 
+def hot_rows(rows: int) -> int:
+    """From how many rows on a key is hot in a table of ``rows``."""
+    return max(HOT_ROWS, -(-rows // HOT_KEYS))
+
+
+def join_by(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Rows joined with a table of one row for each key. Those of hot keys (a column, ``HOT_KEYS`` of them at most) stay where they are, so that
+    no task gets all rows of one."""
+    if hot is None:
+        return rows.join(table, key)
+    own = rows.join(F.broadcast(table.join(hot, key)), key)
+    return own.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 def small_side(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``kept`` (materialised, so that measuring is cheap) as the smaller side of a join: broadcast if its measured size is below ``limit``,
     else shuffled and hashed, so that the larger side is dealt by key once and never sorted."""
