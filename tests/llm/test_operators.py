@@ -433,3 +433,26 @@ def test_op9_revisits_name_their_first(spark):
     info, one, two = (fields for fields, _ in records)
     assert info[b"warc-type"] == b"warcinfo" and two[b"warc-refers-to"] == one[b"warc-record-id"] and two[b"warc-refers-to-target-uri"] == b"http://a/"
     assert two[b"warc-refers-to-date"] == one[b"warc-date"] and two[b"warc-payload-digest"] == one[b"warc-payload-digest"]
+
+
+def test_results_are_the_same_without_broadcasts(spark, monkeypatch):
+    from quillspark.llm import workspace
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20).withColumn("doc_id", F.col("doc_id") + 5000))
+
+    def results():
+        kept = sorted(r["doc_id"] for r in jaccard.keep_first(docs).collect())
+        judged = sorted((r["doc_id"], r["kept"]) for r in quality.judge(docs).collect())
+        lined = sorted((r["doc_id"], r["_n_removed"]) for r in lines.dedup_lines(docs).collect())
+        return kept, judged, lined
+
+    want = results()
+    monkeypatch.setattr(workspace.small_side, "__defaults__", (-1,))
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results() == want and len(want[0]) < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
