@@ -56,12 +56,12 @@ operator(
     lambda d: with_(pairs(d)) + f""", s AS ({d.explode('pairs', 'conv_id, turn', d.split('src', '. '), 'i', 'x')}), o AS ({d.explode('pairs', 'conv_id, turn', d.split('out', '. '), 'i', 'y')})
     SELECT s.conv_id, s.turn, s.i, CAST(length(s.x) AS BIGINT) AS source_len, CAST(length(o.y) AS BIGINT) AS out_len FROM s JOIN o ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.i = o.i""",
 )
-# JOIN-09: four-gram index probe: where a passage's four-grams occur in texts, first of all and at or after a place; shingles are made within a
-# row's array and meet the passages' by a join before anything is shuffled.
+# JOIN-09: four-gram index probe: where a passage's four-grams occur in texts, first of all and at or after a place.
 def four_grams(d, table: str, key: str, name: str) -> str:
     words = d.split("trim(lower(" + d.rx("coalesce(text, '')", "[ \t\n]+", " ") + "))", " ")
-    gram = d.map(d.range("0", f"{d.size('ws')} - 3"), "i", d.join(d.slice("ws", "i + 1", "4"), " "))
-    return f"{name}_words AS (SELECT {key}, {words} AS ws FROM {table}), {name} AS (" + d.explode(f"(SELECT {key}, {gram} AS gs FROM {name}_words) {name}_grams", key, "gs", "p", "g") + ")"
+    each = d.explode(f"{name}_words", key, "ws", "p", "x")
+    run = "concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v) AS g, lead(x, 3) OVER v AS fourth"
+    return f"{name}_words AS (SELECT {key}, {words} AS ws FROM {table}), {name}_each AS ({each}), {name}_runs AS (SELECT {key}, p, {run} FROM {name}_each WINDOW v AS (PARTITION BY {key} ORDER BY p)), {name} AS (SELECT {key}, p, g FROM {name}_runs WHERE fourth IS NOT NULL)"
 
 
 operator(
