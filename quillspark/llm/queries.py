@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import html_text, jaccard, lines, mixing, oracles, pii, quality, suffixes, tiling, urls, warc
+from quillspark.llm import html_text, jaccard, lines, mixing, oracles, pii, prefixes, quality, simhash, suffixes, tiling, urls, warc, whitening
 
 QUERIES = {
     "op1_find_pii": pii.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op7_dedup_lines": lines.op7,
     "op8_mix_sources": mixing.op8,
     "op9_arc_to_warc": warc.op9,
+    "op11_prefix_trie": prefixes.op11,
+    "op12_whiten": whitening.op12,
+    "op13_simhash": simhash.op13,
 }
 ORACLES = {
     "op3_link_documents": oracles.OP3_SQL,

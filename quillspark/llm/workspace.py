@@ -72,13 +72,13 @@ def hot_rows(rows: int) -> int:
     return max(HOT_ROWS, -(-rows // HOT_KEYS))
 
 
-def join_by(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Rows joined with a table of one row for each key. Those of hot keys (a column, ``HOT_KEYS`` of them at most) stay where they are, so that
-    no task gets all rows of one."""
+def join_by(rows: DataFrame, table: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Rows joined (inner or left) with a table of one row for each key. Those of hot keys (of which there are ``HOT_KEYS`` at most) stay where
+    they are, so that no task gets all rows of one."""
     if hot is None:
-        return rows.join(table, key)
-    own = rows.join(F.broadcast(table.join(hot, key)), key)
-    return own.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+        return rows.join(table, key, how)
+    own = rows.join(F.broadcast(hot.join(table, key, how)), key)
+    return own.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
 
 def small_side(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
