@@ -6,13 +6,13 @@ Catalyst like any other SQL; DuckDB's is the oracle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.folding import accent_table
 from quillspark.plans import registry
-from quillspark.tables import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -209,11 +209,11 @@ Body = Callable[[Spark], str]
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark SQL over the driver's tables, which are views of those names."""
-    for name in TABLES:
-        if f" {name}" in text or f"({name}" in text:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+    """Spark SQL over the driver's tables. Those that the text names are relations of the query itself; so no view of the session's is made or replaced."""
+    named = [name for name in TABLES if f" {name}" in text or f"({name}" in text]
+    own = ", ".join(f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)" for name in named)
+    start, rest = re.match(r"(?s)\s*(WITH\s+RECURSIVE\s|WITH\s)?(.*)", text).groups()
+    return spark.sql(f"{start or 'WITH '}{own}{', ' if start else ' '}{rest}" if own else text)
 
 
 def operator(name: str, body: Body, oracle: bool = True) -> None:
@@ -224,6 +224,11 @@ def operator(name: str, body: Body, oracle: bool = True) -> None:
         registry.ORACLES[name] = body(DUCK)
 
 
+def oracle(name: str, body: Body) -> None:
+    """Registers DuckDB's text of an operator whose query is a plan of its own (``plans.frames``)."""
+    registry.ORACLES[name] = body(DUCK)
+
+
 # --- relations over the driver's tables that several operators read ---
 
 

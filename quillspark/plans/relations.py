@@ -1,7 +1,7 @@
 """Joins, aggregations, sorts and set operations (JOIN, AGG, SRT, SET)."""
 
 from quillspark.functions import lexicons
-from quillspark.plans.dialect import blocks, draft, items, lines, operator, page_lines, pairs, roman, with_
+from quillspark.plans.dialect import blocks, draft, items, lines, operator, oracle, page_lines, pairs, roman, with_
 
 # --- joins ---
 operator(
@@ -39,18 +39,6 @@ operator(
     b AS (SELECT doc_id, lower(text) AS reviewed, CASE WHEN kind = 'heading' THEN concat('h', CAST(page AS STRING)) ELSE concat('p', CAST(ord AS STRING)) END AS k FROM blocks WHERE ord % 3 <> 1)
     SELECT a.doc_id, a.k, a.text, b.reviewed FROM a JOIN b ON a.doc_id = b.doc_id AND a.k = b.k""",
 )
-GLOSSARY = "(VALUES ('the', 'anly', 'therein'), ('tion', 'shst', 'ntion'), ('que', 'mente', 'quera'), ('und', 'heit', 'ung'))"
-
-
-def glossary(d) -> str:
-    return f"glossary AS (SELECT * FROM {GLOSSARY} AS g(term, use, unless))"
-
-
-# JOIN-07: terms with no letter to their left, unless an exception is in the line; the glossary is four rows.
-operator(
-    "join_07_glossary_theta",
-    lambda d: with_(lines(d), glossary(d)) + f"""SELECT g.term, CAST(count(*) AS BIGINT) AS lines FROM lines l JOIN glossary g ON {'regexp_like' if d.name == 'spark' else 'regexp_matches'}(lower(l.line), concat('(^|[^a-zà-öø-ÿ])', g.term)) AND NOT {d.contains('lower(l.line)', 'g.unless')} GROUP BY g.term""",
-)
 operator(
     "join_08_positional_zip",
     lambda d: with_(pairs(d)) + f""", s AS ({d.explode('pairs', 'conv_id, turn', d.split('src', '. '), 'i', 'x')}), o AS ({d.explode('pairs', 'conv_id, turn', d.split('out', '. '), 'i', 'y')})
@@ -69,22 +57,16 @@ operator(
     lambda d: with_(four_grams(d, "benchmark", "item_id", "q"), four_grams(d, "documents", "doc_id", "s")) + """, w AS (SELECT DISTINCT item_id, g FROM q)
     SELECT w.item_id, s.doc_id, min(s.p) AS first_place, min(CASE WHEN s.p >= 100 THEN s.p END) AS first_after, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT s.g) AS BIGINT) AS grams FROM w JOIN s ON w.g = s.g GROUP BY w.item_id, s.doc_id""",
 )
-operator(
-    "join_10_numbered_match",
-    lambda d: with_(blocks(d)) + """, n AS (SELECT doc_id, ord, text FROM blocks), m AS (SELECT doc_id, ord, CASE WHEN ord % 6 = 2 THEN NULL WHEN ord % 6 = 4 THEN concat(text, ' x') ELSE text END AS text FROM blocks)
-    SELECT n.doc_id, CAST(sum(CASE WHEN m.text = n.text THEN 1 ELSE 0 END) AS BIGINT) AS equal, CAST(sum(CASE WHEN m.text <> n.text THEN 1 ELSE 0 END) AS BIGINT) AS different, CAST(sum(CASE WHEN m.text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS absent
-    FROM n LEFT JOIN m ON n.doc_id = m.doc_id AND n.ord = m.ord GROUP BY n.doc_id""",
-)
 # JOIN-11: mutual references: a refers to b and b to a.
 operator(
     "join_11_note_pairs",
     lambda d: "WITH a AS (SELECT l_orderkey AS file, l_linenumber AS id, 8 - l_linenumber AS target FROM lineitem) SELECT DISTINCT x.file, x.id AS call, y.id AS definition FROM a x JOIN a y ON x.file = y.file AND x.id = y.target AND x.target = y.id AND x.id < y.id",
 )
 # JOIN-12: a mark moves to its own line if that still holds its snippet, else to the first that does, else nowhere.
-operator(
+oracle(
     "join_12_relocate_marks",
     lambda d: with_(lines(d)) + f""", m AS (SELECT doc_id, ord, substring(trim(line), 1, 12) AS snippet FROM lines WHERE ord % 7 = 3 AND length(trim(line)) >= 12),
-    now AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN substring(line, 9, 100000) ELSE line END AS line FROM lines),
+    now AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN substring(line, 9) ELSE line END AS line FROM lines),
     hit AS (SELECT m.doc_id, m.ord AS was, n.ord AS ord, CAST(row_number() OVER (PARTITION BY m.doc_id, m.ord ORDER BY CASE WHEN n.ord = m.ord THEN 0 ELSE 1 END, n.ord) AS BIGINT) AS rank FROM m JOIN now n ON m.doc_id = n.doc_id AND {d.contains('n.line', 'm.snippet')})
     SELECT m.doc_id, m.ord AS was, h.ord AS moved FROM m LEFT JOIN hit h ON m.doc_id = h.doc_id AND m.ord = h.was AND h.rank = 1""",
 )
@@ -199,10 +181,6 @@ operator(
     r AS (SELECT source, lang, rate, row_number() OVER (PARTITION BY source ORDER BY rate) AS k, count(*) OVER (PARTITION BY source) AS c FROM m)
     SELECT source, CAST(count(*) AS BIGINT) AS sampled, round(CAST(sum(CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 2) AS other_language, max(CASE WHEN k = floor(c / 2) + 1 THEN rate END) AS upper_median, round(CAST(sum(CASE WHEN rate > 0.08 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 2) AS bad FROM r GROUP BY source""",
 )
-operator(
-    "agg_11_glossary_usage",
-    lambda d: f"SELECT doc_id, {d.n('lower(text)', 'the[a-z]*')} AS used, {d.join(d.distinct(d.all('lower(text)', 'anly[a-z]*')), '|')} AS avoided FROM documents WHERE text IS NOT NULL",
-)
 # AGG-13: summary of a compared copy: blocks by outcome, and what only the copy has. Blocks and copies pair by number here; blocks of under six
 # words are not compared, the copy lacks every seventh block, changes every fifth, and has a line of its own in every book of even number.
 operator(

@@ -64,14 +64,6 @@ operator(
 )
 # S-16: glossary: the decided word must come as often as the term does.
 operator("s_16_glossary_check", lambda d: with_(pairs(d)) + f"SELECT conv_id, turn, {d.n('lower(src)', 'tion[a-z]*')} AS wanted, {d.n('lower(out)', 'anly[a-z]*')} AS found FROM pairs WHERE {d.n('lower(src)', 'tion[a-z]*')} > {d.n('lower(out)', 'anly[a-z]*')}")
-# S-17 without a dictionary is empty; with one (here: the vocabulary of all sources), the words that neither it nor the source has.
-operator(
-    "s_17_unknown_words",
-    lambda d: with_(pairs(d)) + f""", dict AS (SELECT word FROM ({d.explode('documents', 'doc_id', d.all('lower(text)', '[a-zß-öø-ÿ]+'), 'i', 'word')}) GROUP BY word HAVING count(*) > 3),
-    o AS (SELECT DISTINCT conv_id, turn, word FROM ({d.explode('pairs', 'conv_id, turn', d.all('lower(out)', '[a-zß-öø-ÿ]{5,}'), 'i', 'word')})),
-    s AS (SELECT DISTINCT conv_id, turn, word FROM ({d.explode('pairs', 'conv_id, turn', d.all('lower(src)', '[a-zß-öø-ÿ]{5,}'), 'i', 'word')}))
-    SELECT o.conv_id, o.turn, o.word FROM o LEFT JOIN dict ON dict.word = o.word LEFT JOIN s ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.word = o.word WHERE dict.word IS NULL AND s.word IS NULL""",
-)
 NEGATION_EN = "(?i)(^|[^A-Za-zÀ-ÿ])(not|no|never|nor|neither|cannot|nothing|none|nobody|without)([^A-Za-zÀ-ÿ]|$)"
 def rules(d) -> list[tuple[int, str, str]]:
     """Number, name and condition of the rules that both engines can express."""
@@ -104,22 +96,11 @@ operator(
     + f"SELECT event_id, problem, {d.has('problem', 'number of the source|fewer sentences|refusal|invented|empty|glossary:')} OR ({d.contains('problem', repr('marks differ'))} AND {d.has('problem', '</?a[0-9]|<n[0-9]')}) AS locked FROM p",
 )
 # S-20: risk: common verb with a particle, emphasis or exclamation, short quoted speech.
-VERBS = "get|got|put|take|took|give|gave|look|come|came|go|went|make|made|set|turn|break|bring|call|carry|check|cut|drop|fall|hold|keep|let|pick|pull|push|run|show|sit|stand|wake|walk|work|wear|write|fill|fix|pay|pass|hand|sort|step|shut|throw"
-operator(
-    "s_20_risk",
-    lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.n('lower(line)', f'(^|[^a-z])({VERBS})(s|ed|d|ing)? +(up|off|out|down|over|away|back)')} + {d.n('line', '[*_][^*_]+[*_]|!')} + {d.n('line', '[“\"][^“”\"]{1,60}[”\"]')} AS risk FROM lines",
-)
 # S-23: words that look like old spelling; capitalised ones are names.
 operator(
     "s_23_antique_leftovers",
     lambda d: f"SELECT doc_id, {d.join(d.distinct(d.keep(d.all('text', spelling.WORD), 'w', f"{d.has('w', spelling.ANTIQUE)} AND NOT {d.has('w', '^[A-ZÀ-ÖØ-Þ]')}")), ',')} AS leftovers FROM documents WHERE text IS NOT NULL",
 )
-# S-24: base form to its accented form where just one exists and none is plain.
-operator(
-    "s_24_accent_dictionary",
-    lambda d: f"""WITH w AS (SELECT DISTINCT word FROM ({d.explode('documents', 'doc_id', d.all('lower(text)', '[a-zß-öø-ÿ]+'), 'i', 'word')})), f AS (SELECT word, {d.fold('word')} AS base FROM w)
-    SELECT base, max(word) AS accented FROM f GROUP BY base HAVING count(*) = 1 AND max(word) <> base""",
-)
 def escaped(d, x: str) -> str:
     for c in "\\`*_{}[]<>#$@^~|":
         x = f"replace({x}, {d.lit(c)}, {d.lit(chr(92) + c)})"

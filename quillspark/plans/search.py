@@ -1,6 +1,6 @@
 """Scans, projections, filters and search (SRC, FLT)."""
 
-from quillspark.plans.dialect import blocks, draft, lines, operator, page_lines, with_
+from quillspark.plans.dialect import blocks, draft, lines, operator, oracle, page_lines, with_
 
 WORDS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
@@ -30,11 +30,6 @@ operator(
     m AS (SELECT doc_id, ord, line, {d.n('folded', FOUND)} AS hits, {d.first('folded', FOUND)} AS found, instr(folded, {d.first('folded', FOUND)}) AS spot FROM f WHERE {d.has('folded', FOUND)})
     SELECT doc_id, ord, hits, {context(d, 'line', 'spot', 'found')} AS context FROM m""",
 )
-# FLT-03: terms of more than one letter; all must match; the highlighted places (letters in any match).
-operator(
-    "flt_03_highlight_search",
-    lambda d: with_(lines(d)) + f"SELECT doc_id, ord, {d.n(d.fold('line'), 'the|was')} AS marks, CAST(length({d.rx(d.fold('line'), 'the|was', '')}) AS BIGINT) AS unmarked FROM lines WHERE {d.contains(d.fold('line'), repr('the'))} AND {d.contains(d.fold('line'), repr('was'))}",
-)
 operator("flt_04_title_author", lambda d: f"SELECT c_custkey, c_name FROM customer WHERE {d.contains(d.fold('''concat(c_name, ' ', c_mktsegment)'''), repr('9 build'))}")
 operator(
     "flt_05_page_class",
@@ -72,7 +67,7 @@ operator(
 )
 # FLT-12: anchors of notes: the first line of the book that starts with the anchor's folded text; anchors without a line are reported. Anchors here:
 # the third line of every fifth document as a whole, and one that no line has.
-operator(
+oracle(
     "flt_12_anchor_resolve",
     lambda d: with_(lines(d)) + f""", f AS (SELECT doc_id, ord, {d.fold('line')} AS folded FROM lines),
     anchors AS (SELECT doc_id, CONCAT('line ', CAST(ord AS STRING)) AS name, folded AS start FROM f WHERE doc_id % 5 = 0 AND ord = 2 AND folded <> '' UNION ALL SELECT doc_id, 'absent', concat(folded, ' is nowhere') FROM f WHERE doc_id % 10 = 0 AND ord = 0),

@@ -1,6 +1,6 @@
 """Order-dependent structure as windows (BLK), and state machines as expressions over items (ST)."""
 
-from quillspark.plans.dialect import blocks, draft, items, lines, operator, pairs, with_
+from quillspark.plans.dialect import blocks, draft, items, lines, operator, oracle, pairs, with_
 from quillspark.plans.relations import MARK_CASE
 from quillspark.plans.scalars import refusal
 
@@ -96,7 +96,7 @@ operator(
 )
 # ALN-08: a paragraph's letters must be in its book's letters; in a paged output, all but two of their chunks of 30. Paragraphs of three letters
 # or fewer don't count. Output: every seventh line cut, every fifth with a page number and a note in its middle, every ninth with another word at its end.
-operator(
+oracle(
     "aln_08_completeness",
     lambda d: with_(lines(d)) + f""", p AS (SELECT doc_id, ord, {d.rx('lower(line)', '[^a-zà-ÿ]+')} AS letters FROM lines),
     o AS (SELECT doc_id, ord, CASE WHEN ord % 7 = 3 THEN '' WHEN ord % 5 = 1 THEN concat(substring(line, 1, CAST(length(line) / 2 AS INT)), ' 12 a note below ', substring(line, CAST(length(line) / 2 AS INT) + 1, CAST(length(line) AS INT))) WHEN ord % 9 = 5 THEN concat(line, 'x') ELSE line END AS line FROM lines),

@@ -72,23 +72,6 @@ def nfkc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _column("array<string>", align.words)("text").alias("words")).select("doc_id", F.size("words").cast("long").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("sha"))
 
 
-@query("aln_04_collation")
-def collation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered paragraphs of two versions: equal, different (with the ratio of words and the changes) or absent; those that differ are placed with
-    what changed or cut words first, then what only added some, by ratio. The other version lacks every sixth, changes and adds to others."""
-    own = _blocks(spark, sf_dir)
-    changed = F.when(F.col("ord") % 4 == 1, F.concat("text", F.lit(" added"))).when(F.col("ord") % 5 == 2, F.regexp_replace("text", r"^\\S+ ", "Another ")).otherwise(F.col("text"))
-    other = own.where("ord % 6 != 4").select(F.col("doc_id").alias("book"), F.col("ord").alias("number"), changed.alias("other"))
-    both = own.join(other, (F.col("doc_id") == F.col("book")) & (F.col("ord") == F.col("number")), "left")
-    compared = _record("ratio double, changes array<string>", align.collate)
-    found = both.select("doc_id", "ord", compared("text", "other").alias("c"), F.col("other").isNull().alias("absent"))
-    found = found.select("doc_id", "ord", F.when(F.col("absent"), "absent").when(F.size("c.changes") > 0, "different").otherwise("equal").alias("outcome"), F.col("c.ratio").alias("ratio"), F.col("c.changes").alias("changes"))
-    differs = F.col("outcome") == "different"
-    only_more = ~F.exists("changes", lambda x: ~x.startswith("insert"))
-    place = F.when(differs, F.row_number().over(Window.partitionBy("doc_id", differs).orderBy(only_more, "ratio", "ord")))
-    return found.select("doc_id", "ord", "outcome", "ratio", F.array_join("changes", "|").alias("changes"), place.cast("long").alias("place"))
-
-
 @query("aln_05_reader_agreement")
 def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of a page agree if 0.85 of their words do, and the second is no refusal."""
@@ -146,21 +129,6 @@ def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", "ord", styled("text").alias("markdown"))
 
 
-@query("blk_14_live_pages")
-def live_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"], "page": prose.paginate(list(zip(pdf["kind"], pdf["text"].str.len())))})
-
-    return _blocks(spark, sf_dir).groupBy("doc_id").applyInPandas(run, "doc_id long, id string, page long")
-
-
-@query("blk_21_sentence_chunks")
-def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = _column("array<string>", lambda t: prose.pack_sentences(t, 900))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces("text")).alias("piece", "text"))
-
-
 @query("s_05_sentences")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native: Java's regular expressions have the look-arounds that the boundary needs."""
