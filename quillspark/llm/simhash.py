@@ -226,7 +226,7 @@ def near_links(nodes: DataFrame, radius: int, work: Workspace) -> DataFrame:
         return links
     crowd = keyed.join(F.broadcast(hot), ["table", "key"], "left_semi").select("fp").distinct()
     spots = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << k)).cast("long") for k in range(64)))
-    near = work.keep(crowd.select("fp", F.explode(spots).alias("spot")).select("fp", F.col("fp").bitwiseXOR("spot").alias("near")), "neighbours")
+    near = work.keep(crowd.select("fp", F.explode(spots).alias("spot")).select("fp", F.col("fp").bitwiseXOR(F.col("spot")).alias("near")), "neighbours")
     least = near.groupBy("near").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return links.unionAll(near.join(least, "near").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
 
