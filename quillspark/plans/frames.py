@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import containment, dictionary, folds, glossary, numbering, spans, structure
+from quillspark.functions import prose
+from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, structure, terms
 from quillspark.operators.search import fold
 from quillspark.plans.dialect import DUCK, SPARK, blocks, lines, pairs, run_sql, with_
 from quillspark.plans.registry import query
+from quillspark.sources import fictionbook
 from quillspark.tables import table
 
 
@@ -251,3 +254,212 @@ def accent_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases and the accented forms that they must be, from the documents' words."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).distinct()
     return dictionary.accent_pairs(words)
+
+
+# --- S-26 ---
+
+_OTHER = '{"passage": "a", "problem": "deve ser outro", "right": "The Right Word"}'
+#: Replies on an output that says "the right word", and what is said of them.
+REPLIES = (
+    ('{"fidelity": [], "style": ["x"]}', "true|style: x"),
+    ('so {"fidelity": [{"passage": "a", "problem": "b"}]} then', "false|“a”: b"),
+    ('{"ok": false, "problems": ["p"]}', "false|p"),
+    ('{"fidelity": [{"passage": "a", "problem": "b"}, {"passage": "c', "false|“a”: b"),
+    (f'{{"fidelity": [{_OTHER}, {{"passage": "c", "problem": "a tradução está correta"}}]}}', "true|style: (named, but not upheld) “a”: deve ser outro (suggestion: The Right Word)|style: (named, but not upheld) “c”: a tradução está correta"),
+    (f'{{"fidelity": [{_OTHER}, {{"passage": "c", "problem": "palavra ofensiva"}}]}}', "true|style: (named, but not upheld) “a”: deve ser outro (suggestion: The Right Word)|style: (named, but not upheld) “c”: palavra ofensiva"),
+    (f'{{"fidelity": [{_OTHER}, {{"passage": "c", "problem": "palavra ofensiva, e o sentido foi suavizado"}}]}}', "false|“c”: palavra ofensiva, e o sentido foi suavizado|style: (named, but not upheld) “a”: deve ser outro (suggestion: The Right Word)"),
+    ('{"ok": true}', "true"),
+    ('{"fidelity": ["plain words"], "style": null}', "false|plain words"),
+    ('{"fidelity": [], "sty', "true"),
+    ("no", "false|no valid reply: no"),
+)
+
+
+@query("s_26_audit_parser", "SELECT event_id, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(REPLIES)) + " END AS verdict FROM events")
+def audit_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.get(F.array(*(F.lit(r) for r, _ in REPLIES)), (F.col("event_id") % 11).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", audits.verdict(reply, F.lit("It has <i1>the right word</i1>.")).alias("v"))
+    return rows.select("event_id", F.concat_ws("|", F.col("v.faithful").cast("string"), F.array_join("v.problems", "|")).alias("_v")).select("event_id", F.regexp_replace("_v", r"\|$", "").alias("verdict"))
+
+
+# --- S-49 ---
+
+_STRONG = "odeia destruiu desastre lixo covarde".split()
+
+
+def planted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sources, and as outputs that go on in another language, with a planted error of each type that the text allows: conv_id, turn, type, src, out."""
+    year = F.concat(F.lit("19"), (F.col("turn") + 10).cast("string"))
+    strong = F.get(F.array(*map(F.lit, _STRONG)), (F.col("conv_id") % 5).cast("int"))
+    own = _rows(spark, sf_dir, pairs, "pairs").select("conv_id", "turn", F.concat("src", F.lit(" In "), year, F.lit(".")).alias("src"), F.concat("src", F.lit(" Mas não em "), year, F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit(" e "), strong)).otherwise(""), F.lit(".")).alias("out"))
+    return planting.planted(own, ["conv_id"], ["turn"]).select("conv_id", "turn", "type", "src", F.col("planted").alias("out"))
+
+
+def _sentences(x: str) -> str:
+    cut = """'([.!?…])["”’»)\\]*]*\\s+(["“‘«(\\[*]*[A-ZÀ-Ý0-9])'"""
+    return f"list_filter(string_split(regexp_replace(trim({x}), {cut}, '\\1␞\\2', 'g'), '␞'), lambda q: trim(q) <> '')"
+
+
+@query(
+    "s_49_planted_errors",
+    with_(pairs(DUCK)) + f""", v AS (SELECT conv_id, turn, src || ' In 19' || (turn + 10) || '.' AS src, src || ' Mas não em 19' || (turn + 10) || CASE WHEN conv_id % 2 = 1 THEN ' e ' || ['{"', '".join(_STRONG)}'][conv_id % 5 + 1] ELSE '' END || '.' AS out FROM pairs),
+    m AS (SELECT *, {_sentences('out')} AS fr, {_sentences('src')} AS fe, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM v),
+    k AS (SELECT m.*, CASE WHEN len(m.fr) >= 2 THEN 1 + m.n % (len(m.fr) - 1) END AS k, o.fr[1] AS more, regexp_extract(m.out, '\\b[0-9]{{2,}}\\b') AS figure FROM m JOIN m o ON o.conv_id = m.conv_id AND o.n = (m.n + 5) % m.c),
+    made AS (SELECT conv_id, turn, 'clean' AS type, out FROM k
+      UNION ALL SELECT conv_id, turn, 'omission', array_to_string(fr[:k] || fr[k + 2:], ' ') FROM k WHERE k IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 'addition', array_to_string(fr[:k] || [more] || fr[k + 1:], ' ') FROM k WHERE k IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 'number', regexp_replace(out, '\\b[0-9]{{2,}}\\b', CAST(CAST(figure AS BIGINT) + 7 AS VARCHAR)) FROM k WHERE figure <> '' AND contains(src, figure)
+      UNION ALL SELECT conv_id, turn, 'negation', regexp_replace(out, ' não ', ' ') FROM k WHERE contains(out, ' não ')
+      UNION ALL SELECT conv_id, turn, 'source language', array_to_string(fr[:k] || [fe[k + 1]] || fr[k + 2:], ' ') FROM k WHERE k IS NOT NULL AND len(fe) = len(fr)
+      UNION ALL SELECT conv_id, turn, 'softening', CASE {' '.join(f"WHEN contains(out, '{a}') THEN replace(out, '{a}', '{b}')" for a, b in planting.lexicons.WEAK.items())} END FROM k)
+    SELECT conv_id, turn, type, sha256(out) AS sha FROM made WHERE out IS NOT NULL""",
+)
+def planted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_pairs(spark, sf_dir).select("conv_id", "turn", "type", F.sha2("out", 256).alias("sha"))
+
+
+# --- AGG-12 ---
+
+_NAMED = (" They saw the Grand Canal again.", " It was in Upper Saxony then.", ", and the Treaty of Verdun’s end was known.", ". Old Bridge. Old Bridge! Old Bridge?", " And so to Citadel, 1940, with *Mr Brown* [there](http://x.y/A_B).")
+
+
+@query(
+    "agg_12_term_mining",
+    """WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text || [' They saw the Grand Canal again.', ' It was in Upper Saxony then.', ', and the Treaty of Verdun’s end was known.', '. Old Bridge. Old Bridge! Old Bridge?', ' And so to Citadel, 1940, with *Mr Brown* [there](http://x.y/A_B).'][doc_id % 5 + 1],
+        '!?\\[([^\\]]*)\\]\\((?:[^()\\s]|\\([^()\\s]*\\))+\\)', '\\1', 'g'), '<[^>]+>|\\[\\^[^\\]]+\\]|[*_#]', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL),
+    cut AS (SELECT doc_id, text, string_split(regexp_replace(text, '[A-ZÀ-Ý][\\p{L}\\p{M}\\p{N}_’''-]*(?:(?:\\s+(?:of|the|and|de|da|do|dos|das|von|van|der|des|du|la|le)){0,2}\\s+[A-ZÀ-Ý][\\p{L}\\p{M}\\p{N}_’''-]*){0,3}', '␞\\0␞', 'g'), '␞') AS parts FROM t),
+    runs AS (SELECT doc_id, text, k, parts[k] AS run, array_to_string(parts[:k - 1], '') AS before FROM cut, range(2, 100000) AS r(k) WHERE k < len(parts) AND k % 2 = 0),
+    core AS (SELECT *, regexp_replace(run, '^(?:(?:(?:EVERYDAY)|\\p{Ll}\\S*)\\s+)+(\\S)', '\\1') AS core FROM runs),
+    named AS (SELECT doc_id, text, k, length(before) + length(run) - length(core) AS start, length(before) + length(run) AS stop, left(text, length(before) + length(run) - length(core)) AS lead, regexp_replace(regexp_replace(core, '[’'']s$', ''), '^[’''-]+|[’''-]+$', '', 'g') AS term FROM core),
+    good AS (SELECT *, NOT regexp_matches(lead, '(?:^|[.!?:;…—–]["”’»)\\]]*\\s+|\\n\\s*)[\\s"“‘«(\\[]*$') AS inside FROM named
+      WHERE length(term) >= 3 AND NOT regexp_full_match(term, 'EVERYDAY') AND NOT regexp_full_match(term, '[0-9]+') AND NOT regexp_matches(term, '[’''](?:m|t|re|ve|ll|d)$')),
+    counted AS (SELECT term, count(*) AS n, min({'d': doc_id, 'k': k, 'e': trim(regexp_replace(substr(text, greatest(0, start - 70) + 1, stop + 70 - greatest(0, start - 70)), '\\s+', ' ', 'g'))}) FILTER (inside) AS first FROM good GROUP BY term)
+    SELECT term, n, first.e AS example FROM counted WHERE n >= 3 AND first IS NOT NULL AND lower(term) <> 'upper saxony' ORDER BY n DESC, term LIMIT 80""".replace("EVERYDAY", "|".join(terms.lexicons.EVERYDAY)),
+)
+def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms found three times or more and once within a sentence, but those that are known; the 80 most frequent, with an example. A few are added to the
+    documents by number."""
+    named = F.array(*map(F.lit, _NAMED))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.get(named, (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    return terms.mined(docs, ["doc_id"], spark.createDataFrame([("Upper Saxony ",)], "term string"))
+
+
+# --- BLK-01 ---
+
+
+@query(
+    "blk_01_join_lines",
+    """WITH broken AS (SELECT doc_id, source, regexp_replace(regexp_replace(coalesce(text, ''), 'tion ', 'ti-' || chr(10) || 'on ', 'g'), '([a-z]) the ', '\\1-' || chr(10) || ' the ', 'g') AS text FROM documents),
+    each AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS k, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM broken),
+    solid AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM each WHERE line <> ''),
+    vocabulary AS (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(line), '[\\p{L}\\p{M}]+')) AS w FROM each) GROUP BY source, w),
+    halves AS (SELECT *, CASE WHEN suffix(line, '-') AND regexp_matches(following, '^\\p{Ll}') THEN lower(regexp_extract(line, '([\\p{L}\\p{M}\\p{N}_]+)-$', 1)) END AS head, lower(regexp_extract(following, '^[\\p{L}\\p{M}\\p{N}_]+')) AS tail FROM solid),
+    known AS (SELECT h.doc_id, h.k, h.line, h.following, h.head, h.tail, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, coalesce(c.n, 0) AS c FROM halves h LEFT JOIN vocabulary a ON a.source IS NOT DISTINCT FROM h.source AND a.w = h.head
+      LEFT JOIN vocabulary b ON b.source IS NOT DISTINCT FROM h.source AND b.w = h.tail LEFT JOIN vocabulary c ON c.source IS NOT DISTINCT FROM h.source AND c.w = h.head || h.tail),
+    put AS (SELECT doc_id, k, CASE WHEN following IS NULL THEN line WHEN head IS NULL THEN line || ' ' WHEN tail IN ('CLITICS') OR (head <> '' AND a >= 2 AND b >= 2 AND c = 0) THEN line ELSE left(line, -1) END AS x FROM known)
+    SELECT doc_id, sha256(string_agg(x, '' ORDER BY k)) AS sha, CAST(length(string_agg(x, '' ORDER BY k)) AS BIGINT) AS n_chars FROM put GROUP BY doc_id""".replace("CLITICS", "', '".join(sorted(hyphens.CLITICS))),
+)
+def join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs from lines broken within words and between them; hyphens are decided by the words of the document's source."""
+    broken = F.regexp_replace(F.regexp_replace("text", "tion ", "ti-\non "), "([a-z]) the ", "$1-\n the ")
+    rows = structure.lines(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("book"), broken.alias("text")))
+    joined = hyphens.joined_lines(rows, hyphens.vocabulary(rows), ["doc_id"])
+    return joined.select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n_chars"))
+
+
+# --- SRC-07 to SRC-10, JOIN-11 ---
+
+
+@query(
+    "src_07_fb2_repair",
+    with_(blocks(DUCK)) + """, t AS (SELECT doc_id, ord, regexp_replace(text, '[<>&]', '', 'g') AS t FROM blocks),
+    x AS (SELECT doc_id, ord, '<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="u"><body><title><p>t</p></title>' || CASE WHEN trim(t) = '' THEN t ELSE repeat(' ', length(t) - length(ltrim(t))) || '<section><p>' || trim(t) || '</p></section>' || repeat(' ', length(t) - length(rtrim(t))) END
+      || '<section><p>x</p><p>y</p><section/><p>w</p><p>tail</p><p>z</p></section></body></FictionBook>' AS xml, length(trim(t)) + 9 AS chars FROM t)
+    SELECT doc_id, ord, chars, sha256(xml) AS sha FROM x""",
+)
+def fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as bodies with loose text before a section, in it and after it, a section within, and a paragraph outside."""
+    fixed = _record("xml string, chars long", fictionbook.repaired)
+    head = '<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="u"><body><title><p>t</p></title>'
+    xml = F.concat(F.lit(head), F.regexp_replace("text", "[<>&]", ""), F.lit("<section>x<p>y</p><section/>w</section>tail<p>z</p></body></FictionBook>"))
+    found = _rows(spark, sf_dir, blocks, "blocks").select("doc_id", "ord", fixed(xml).alias("r"))
+    return found.select("doc_id", "ord", F.col("r.chars").alias("chars"), F.sha2("r.xml", 256).alias("sha"))
+
+
+def _record(fields: str, function):
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    @F.pandas_udf(fields)
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None,) * len(names) if t is None else function(t) for t in texts], columns=names)
+
+    return udf
+
+
+@query(
+    "src_08_mobi_titles",
+    with_(blocks(DUCK)) + """, p AS (SELECT doc_id, ord, text, ord % 8 + 2 AS size, length(trim(regexp_replace(text, '\\s', ' ', 'g'))) BETWEEN 1 AND 200 AS short FROM blocks)
+    SELECT doc_id, ord, CASE WHEN size >= 4 AND short THEN '<h' || greatest(1, 8 - size) || '>' || text || '</h' || greatest(1, 8 - size) || '>' WHEN ord % 2 = 0 THEN '<p><font size="' || size || '"><b>' || text || '</b></font></p>'
+      ELSE '<p align="center"><b><font size="' || size || '">' || text || '</font></b></p>' END AS html FROM p""",
+)
+def mobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as paragraphs in type of sizes 2 to 9, font and bold in either order."""
+    size = (F.col("ord") % 8 + 2).cast("string")
+    font_first = F.concat(F.lit('<p><font size="'), size, F.lit('"><b>'), F.col("text"), F.lit("</b></font></p>"))
+    bold_first = F.concat(F.lit('<p align="center"><b><font size="'), size, F.lit('">'), F.col("text"), F.lit("</font></b></p>"))
+
+    @F.pandas_udf("string")
+    def titled(pages: pd.Series) -> pd.Series:
+        return pages.map(prose.mobi_titles)
+
+    return _rows(spark, sf_dir, blocks, "blocks").select("doc_id", "ord", titled(F.when(F.col("ord") % 2 == 0, font_first).otherwise(bold_first)).alias("html"))
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as books of two files: lines that call notes, and the notes. Some calls and notes do not point at each other, are too long, or open no block."""
+    i = F.col("ord").cast("string")
+    line = F.regexp_replace("line", "[<>&]", "")
+    call = F.concat(F.lit("<p>"), line, F.lit(' <a id="c'), i, F.lit('" href="two.html#d'), i, F.lit('"><sup>'), i, F.lit("</sup></a></p>"))
+    target = F.when(F.col("ord") % 5 == 3, F.col("ord") + 1).otherwise(F.col("ord")).cast("string")
+    shown = F.when(F.col("ord") % 7 == 2, F.concat(F.lit("see note "), i)).otherwise(i)
+    note = F.concat(F.when(F.col("ord") % 11 == 4, F.lit("<p>see ")).otherwise(F.lit("<aside> <b>")), F.lit('<a href="one.html#c'), target, F.lit("\" id='d"), i, F.lit("'>"), shown, F.lit("</a></b> note</aside>"))
+    text = lambda body: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", body.alias("x")))), lambda s: s["x"]), "\n")
+    both = _lines(spark, sf_dir).groupBy("doc_id").agg(text(call).alias("one"), text(note).alias("two"))
+    return both.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f"{f}.html").alias("file"), F.col(f).alias("html")) for f in ("one", "two")))).alias("f")).select("doc_id", "f.file", "f.html")
+
+
+_PAIRED = with_(lines(DUCK)) + """, p AS (SELECT doc_id, ord FROM lines WHERE ord % 5 <> 3 AND ord % 7 <> 2 AND ord % 11 <> 4) """
+
+
+@query("src_09_note_pairs", _PAIRED + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS number, 'c' || ord AS call, 'd' || ord AS definition, 'one.html' AS call_file, 'two.html' AS definition_file FROM p")
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of books, numbered by their calls."""
+    return notes.note_pairs(notes.anchors(_noted(spark, sf_dir), ["doc_id", "file"]), "doc_id", "file")
+
+
+@query("join_11_note_pairs", _PAIRED + "SELECT doc_id, count(*) AS pairs, min(ord) AS first FROM p GROUP BY doc_id")
+def note_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many anchors of a book point at each other, and the first call."""
+    found = notes.note_pairs(notes.anchors(_noted(spark, sf_dir), ["doc_id", "file"]), "doc_id", "file")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.min(F.expr("substring(call, 2)").cast("long")).alias("first"))
+
+
+_CLASSES = "CASE WHEN ord = 0 THEN 'chapter-title' WHEN ord = 3 THEN 'big' WHEN ord = 5 THEN 'head2' WHEN ord % 9 = 7 THEN 'loud' ELSE 'text' END"
+
+
+@query(
+    "src_10_style_headings",
+    with_(lines(DUCK)) + f""", p AS (SELECT source AS book, doc_id, ord, {_CLASSES} AS class, length(trim(left(line, 80))) AS n FROM lines),
+    s AS (FROM (VALUES ('big', true, 1.5), ('loud', true, NULL), ('text', true, 1.0), ('chapter-title', false, 2.0)) AS v(class, bold, size)),
+    u AS (SELECT book, class, median(n) AS middle, max(n) AS most, count(*) AS n, min((doc_id, ord)) AS first, count(*) / sum(count(*)) OVER (PARTITION BY book) AS share FROM p GROUP BY book, class)
+    SELECT book, u.class, least(6, 1 + row_number() OVER (PARTITION BY book ORDER BY coalesce(size, 1.0) DESC, first)) AS level, n FROM u LEFT JOIN s ON s.class = u.class
+    WHERE middle <= 90 AND most <= 220 AND share <= 0.2 AND (coalesce(bold, false) OR regexp_matches(u.class, '(?i)(^|[-_ ])(sub-?)?(head(er|ing)?|title|titulo|chapter|capitulo|heading)([-_ ]|[0-9]|$)'))""",
+)
+def style_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph classes of the sources that are headings by length, share, weight and name, with their levels by size."""
+    rows = structure.lines(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), "text"))
+    paragraphs = rows.select("book", F.struct("doc_id", "ord").alias("place"), F.expr(_CLASSES).alias("class"), F.length(F.trim(F.left("line", F.lit(80)))).alias("length"))
+    books = paragraphs.select("book").distinct()
+    styled = spark.createDataFrame([("big", True, 1.5), ("loud", True, None), ("text", True, 1.0), ("chapter-title", False, 2.0)], "class string, bold boolean, size double")
+    styles = paragraphs.select("book", "class").distinct().join(F.broadcast(styled), "class")
+    return notes.style_headings(paragraphs, styles, books.withColumn("level", F.lit(1)), "book").select("book", "class", "level", "n")

@@ -57,11 +57,6 @@ operator(
     lambda d: with_(four_grams(d, "benchmark", "item_id", "q"), four_grams(d, "documents", "doc_id", "s")) + """, w AS (SELECT DISTINCT item_id, g FROM q)
     SELECT w.item_id, s.doc_id, min(s.p) AS first_place, min(CASE WHEN s.p >= 100 THEN s.p END) AS first_after, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT s.g) AS BIGINT) AS grams FROM w JOIN s ON w.g = s.g GROUP BY w.item_id, s.doc_id""",
 )
-# JOIN-11: mutual references: a refers to b and b to a.
-operator(
-    "join_11_note_pairs",
-    lambda d: "WITH a AS (SELECT l_orderkey AS file, l_linenumber AS id, 8 - l_linenumber AS target FROM lineitem) SELECT DISTINCT x.file, x.id AS call, y.id AS definition FROM a x JOIN a y ON x.file = y.file AND x.id = y.target AND x.target = y.id AND x.id < y.id",
-)
 # JOIN-12: a mark moves to its own line if that still holds its snippet, else to the first that does, else nowhere.
 oracle(
     "join_12_relocate_marks",

@@ -30,7 +30,7 @@ operator(
     SELECT conv_id, turn, CASE WHEN NOT {d.has('f', '<[ib][0-9]+>')} THEN {d.rx('s', '</?[ib][0-9]+>')} ELSE s END AS fixed FROM b""",
 )
 # What a refusal says anywhere, what it says at its start, and what in the source explains the latter.
-REFUSAL = "(?i)(n[ãa]o posso (ajudar|traduzir|atender|fornecer)|n[ãa]o (me )?sinto confort|i can'?t (help|assist|translate)|i cannot (help|assist|translate|provide)|as an ai|como modelo de linguagem)"
+REFUSAL = "(?i)(n[ãa]o posso (ajudar|traduzir|atender|fornecer)|n[ãa]o (me )?sinto confort|i can'?t (help|assist|translate)|i cannot (help|assist|translate|provide)|as an ai|como (uma )?ia\\b|como modelo de linguagem)"
 REFUSAL_START = "(?i)(desculp[ae]|sinto muito|lamento|i'm sorry|i am sorry|infelizmente|n[ãa]o [ée] apropriado|conte[úu]do (sens[íi]vel|ofensivo|prejudicial))"
 APOLOGY = "(?i)(apolog|sorry|excus|regret|unfortunate|desculp|lament|infeliz|leider|entschuldig|bedauer)"
 

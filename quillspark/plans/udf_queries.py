@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import align, checks, prose
 from quillspark.operators import editions, joins, spelling, structure, tables
+from quillspark.plans import frames
 from quillspark.plans.dialect import DUCK, SPARK, blocks, lines, operator, pairs, run_sql, with_
 from quillspark.plans.registry import query
 from quillspark.sources import books, epub
@@ -100,29 +101,6 @@ def repetition_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _column("string", align.cut_repetition)("text").alias("text")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
-@query("agg_12_term_mining")
-def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised terms found three times or more and once within a sentence, but those that are known; the 80 most frequent, with an
-    example. The texts' own words hold few such terms: four are added by number."""
-    stop = frozenset("the a an of and in on at to is was".split())
-    kind = "array<struct<term:string,inside:boolean>>"
-    named = F.array(*map(F.lit, (" They saw the Grand Canal again.", " It was in Upper Saxony then.", ", and the Treaty of Verdun’s end was known.", ". Old Bridge. Old Bridge! Old Bridge?", " And so on.")))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("text", F.concat("text", F.get(named, (F.col("doc_id") % 5).cast("int"))))
-    found = docs.select("doc_id", "text", F.explode(_column(kind, lambda t: [{"term": a, "inside": b} for a, b in prose.terms(t, stop)])("text")).alias("t"))
-    around = F.expr("substring(text, greatest(1, instr(text, t.term) - 40), 120)")
-    counted = found.select("doc_id", "t.term", "t.inside", around.alias("example")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("inside").alias("inside"), F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "example")).alias("e"))
-    known = spark.createDataFrame([("Upper Saxony",)], "term string")
-    fresh = counted.where("n >= 3 AND inside").join(known, "term", "left_anti")
-    return fresh.select("term", "n", "first_doc", F.col("e.example").alias("example")).orderBy(F.desc("n"), "term").limit(80)
-
-
-@query("blk_01_join_lines")
-def join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs from lines broken at a hyphen here and there; no vocabulary."""
-    joined = _column("string", lambda t: prose.join_lines(t.replace("tion ", "ti-\non ").split("\n")))
-    return table(spark, sf_dir, "documents").select("doc_id", joined("text").alias("text")).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n_chars"))
-
-
 @query("blk_09_emphasis")
 def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     styled = _column("string", lambda t: prose.emphasis([(w + " ", k % 5 == 0, k % 7 == 0) for k, w in enumerate(t.split(" "))]))
@@ -139,7 +117,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s_09_mask")
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.regexp_replace(F.regexp_replace("text", "(the) ", "*$1* "), "(was|und|que) ", "[$1](http://example.org/$1) ")
+    whole = F.concat(F.lit("*"), F.regexp_replace("text", r"\*", ""), F.lit("*"))
+    marked = F.when(F.col("ord") % 6 == 5, whole).otherwise(F.regexp_replace(F.regexp_replace("text", "(the) ", "*$1* "), "(was|und|que) ", "[$1](http://example.org/$1_(x)) "))
     masked = _column("string", lambda t: "\x1f".join([prose.mask(t)[0], *prose.mask(t)[1]]))
     found = _blocks(spark, sf_dir).select("doc_id", "ord", F.split(masked(marked), "\x1f").alias("m"))
     return found.select("doc_id", "ord", F.get("m", F.lit(0)).alias("masked"), (F.size("m") - 1).cast("long").alias("pieces"))
@@ -187,47 +166,12 @@ def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.repairs(odd, known, accents)
 
 
-@query("s_26_audit_parser")
-def audit_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = '{"fidelity": [{"passage": "a", "problem": "deve ser outro", "right": "The Right Word"}, {"passage": "c", "problem": "%s"}]}'
-    reply = (
-        F.when(F.col("event_id") % 7 == 4, F.lit(right % "a tradução está correta"))
-        .when(F.col("event_id") % 7 == 5, F.lit(right % "palavra ofensiva"))
-        .when(F.col("event_id") % 7 == 6, F.lit(right % "palavra ofensiva, e o sentido foi suavizado"))
-        .when(F.col("event_id") % 4 == 0, F.lit('{"fidelity": [], "style": ["x"]}'))
-        .when(F.col("event_id") % 4 == 1, F.lit('{"fidelity": [{"passage": "a", "problem": "b"}]}'))
-        .when(F.col("event_id") % 4 == 2, F.lit('{"ok": false, "problems": ["p"]}'))
-        .otherwise(F.lit('{"fidelity": [{"passage": "a", "problem": "b"}, {"passage": "c'))
-    )
-    parsed = _column("string", lambda t: "|".join([str(prose.parse_audit(t, "It has the right word.")[0]), *prose.parse_audit(t, "It has the right word.")[1]]))
-    return table(spark, sf_dir, "events").select("event_id", parsed(reply).alias("verdict"))
-
-
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with a planted error of each type, where the text allows it: conv_id, turn, type, src, out."""
-    kinds = ("clean", "omission", "addition", "number", "negation", "source language", "softening")
-    strong = "odeia destruiu desastre lixo covarde".split()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            named = [f"{s} {strong[c % 5]}" if c % 2 else s for c, s in zip(pdf["conv_id"], pdf["src"])]
-            rows = [(c, t, k, s, prose.plant(s, k, prose.stable_number(c, t), o)) for c, t, s, o in zip(pdf["conv_id"], pdf["turn"], named, pdf["out"]) for k in kinds]
-            yield pd.DataFrame([r for r in rows if r[4] is not None], columns=["conv_id", "turn", "type", "src", "out"])
-
-    return _pairs(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, type string, src string, out string")
-
-
-@query("s_49_planted_errors")
-def planted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("conv_id", "turn", "type", F.sha2("out", 256).alias("sha"))
-
-
 @query("agg_16_scoreboard")
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted errors by type: cases, those that the rules catch, that an auditor does (here: three of four, by number), that either does, and
     what stands after a judge, who upholds half of what is not locked."""
     alerts = checks.checks(F.col("src"), F.col("out"), "translate")
-    found = planted(spark, sf_dir).withColumn("alerts", alerts)
+    found = frames.planted_pairs(spark, sf_dir).withColumn("alerts", alerts)
     rules, auditor = F.size("alerts") > 0, (F.col("type") != "clean") & ((F.col("conv_id") + F.col("turn")) % 4 > 0)
     stands = F.exists("alerts", checks.locked) | (rules | auditor) & (F.col("conv_id") % 2 == 0)
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("cases"), F.count_if(rules).alias("rules"), F.count_if(auditor).alias("auditor"), F.count_if(rules | auditor).alias("either"), F.count_if(stands).alias("standing"))
@@ -263,32 +207,6 @@ def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, place long, name string, body string")
 
 
-@query("src_07_fb2_repair")
-def fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as bodies with loose text before a section, in it and after it, and a paragraph outside."""
-    fixed = _record("xml string, chars long", prose.fb2_repair)
-    xml = F.concat(F.lit("<FictionBook><body><title><p>t</p></title>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", ""), F.lit("<section>x<p>y</p></section>tail<p>z</p></body></FictionBook>"))
-    out = _blocks(spark, sf_dir).select("doc_id", "ord", fixed(xml).alias("r"))
-    return out.select("doc_id", "ord", F.col("r.chars").alias("chars"), F.regexp_count("r.xml", F.lit("<section>")).cast("long").alias("sections"), F.regexp_count("r.xml", F.lit("<p>")).cast("long").alias("paragraphs"), F.sha2("r.xml", 256).alias("sha"))
-
-
-@query("src_08_mobi_titles")
-def mobi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as paragraphs in type of sizes 2 to 9, font and bold in either order."""
-    size = (F.col("ord") % 8 + 2).cast("string")
-    font_first = F.concat(F.lit('<p><font size="'), size, F.lit('"><b>'), F.col("text"), F.lit("</b></font></p>"))
-    bold_first = F.concat(F.lit('<p align="center"><b><font size="'), size, F.lit('">'), F.col("text"), F.lit("</font></b></p>"))
-    page = F.when(F.col("ord") % 2 == 0, font_first).otherwise(bold_first)
-    return _blocks(spark, sf_dir).select("doc_id", "ord", _column("string", prose.mobi_titles)(page).alias("html"))
-
-
-operator("src_09_note_pairs", lambda d: "WITH a AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS id, CAST(8 - l_linenumber AS BIGINT) AS target, min(l_partkey) AS place FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT x.file, x.id, CAST(row_number() OVER (PARTITION BY x.file ORDER BY x.place, x.id) AS BIGINT) AS number FROM a x JOIN a y ON x.file = y.file AND x.id = y.target AND x.target = y.id AND x.id < y.id")
-operator(
-    "src_10_style_headings",
-    lambda d: """WITH p AS (SELECT p_brand AS class, p_size AS n, p_retailprice AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS k, count(*) OVER (PARTITION BY p_brand) AS c FROM part), n AS (SELECT count(*) AS total FROM part),
-    s AS (SELECT class, max(CASE WHEN k = floor(c / 2) + 1 THEN n END) AS median, max(n) AS most, CAST(max(c) AS DOUBLE) / (SELECT total FROM n) AS share, max(size) AS size FROM p GROUP BY class)
-    SELECT class, CAST(least(6, dense_rank() OVER (ORDER BY size DESC) + 1) AS BIGINT) AS level FROM s WHERE median <= 90 AND most <= 220 AND share <= 0.2""",
-)
 operator("src_11_notes_links", lambda d: with_(lines(d)) + f", t AS (SELECT doc_id, ord, concat('[', substring(line, 1, 20), '](#n', CAST(ord AS STRING), ') [w](http://example.org)') AS md FROM lines WHERE NOT {d.has('line', r'[\]\[()]')}) SELECT doc_id, ord, {d.rx('md', r'\[([^\]]*)\]\(#[^)]*\)', '$1')} AS text FROM t")
 
 
@@ -388,7 +306,7 @@ def atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_18_checks_messages")
 def checks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules with their messages, over planted errors; the glossary holds two terms."""
-    found = planted(spark, sf_dir)
+    found = frames.planted_pairs(spark, sf_dir)
     alerts = checks.checks(F.col("src"), F.col("out"), "translate", (("the", "anly"), ("tion", "shst")))
     return found.select("conv_id", "turn", "type", F.posexplode(alerts).alias("nth", "message")).withColumn("locked", checks.locked(F.col("message")))
 
@@ -396,7 +314,7 @@ def checks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_18_checks_same_language")
 def checks_same_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of spelling tasks, and whether more than spelling changed."""
-    found = planted(spark, sf_dir)
+    found = frames.planted_pairs(spark, sf_dir)
     alerts = checks.checks(F.col("src"), F.col("out"), "modernise")
     return found.select("conv_id", "turn", "type", F.array_join(alerts, "; ").alias("alerts"), editions.beyond_spelling(F.col("src"), F.col("out")).alias("beyond_spelling"))
 

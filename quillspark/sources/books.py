@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import prose
-from quillspark.sources import epub
+from quillspark.sources import epub, fictionbook
 
 SCHEMA = "path string, format string, place long, name string, text string, problem string"
 _SILENT = re.compile(r"(?is)<(script|style)\b.*?</\1>")
@@ -28,15 +27,11 @@ def parts(data: bytes, kind: str) -> list[tuple[str, str]]:
     """(name, text) of a file's parts."""
     if kind == "epub":
         return [(name, page_text(body)) for name, body in epub.chapters(data)]
+    if kind == "fb2":
+        return [("", part) for part in fictionbook.sections(fictionbook.decoded(data))]
     text = data.decode("utf-8", "replace")
     if kind in ("html", "htm", "xhtml"):
         return [("", page_text(text))]
-    if kind == "fb2":
-        repaired, chars = prose.fb2_repair(text)
-        sections = [page_text(x) for x in re.findall(r"(?s)<section\b[^>]*>(.*?)</section>", repaired)]
-        if chars < 0:
-            raise ValueError("not well-formed")
-        return [("", s) for s in sections]
     return [("", text)]
 
 

@@ -1,6 +1,5 @@
 """Golden values and properties of the sequence functions."""
 
-import json
 import random
 
 from hypothesis import given, settings
@@ -80,14 +79,6 @@ def test_join_lines():
     assert prose.join_lines(["government-", "sanctioned"], {"government": 2, "sanctioned": 3}) == "government-sanctioned"
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. !?A", max_size=200), st.integers(5, 60))
-def test_chunks_lose_nothing(text, limit):
-    pieces = prose.pack_sentences(text, limit)
-    assert "".join("".join(pieces).split()) == "".join(text.split())
-    assert all(len(p) <= limit for p in pieces)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc *[](x)^1 ", max_size=80))
 def test_unmask_inverts_mask(text):
@@ -98,42 +89,6 @@ def test_mask():
     assert prose.mask("a [b](u) **c** *d* [^1]") == ("a <a1>b</a1> <b3>c</b3> <i4>d</i4> <n2/>", ["u", "[^1]", "**", "*"])
 
 
-def test_paginate():
-    assert prose.paginate([("heading", 10), ("paragraph", 1700), ("paragraph", 200), ("heading", 5)]) == [1, 1, 2, 2]
-    assert prose.paginate([("paragraph", 10)] * 15)[-1] == 2
-    assert prose.paginate([("paragraph", 300), ("heading", 5)]) == [1, 2]
-
-
-def test_audit():
-    assert prose.parse_audit('x {"fidelity": []} y') == (True, [])
-    assert prose.parse_audit('{"fidelity": [{"passage": "a", "problem": "b"}], "style": ["s"]}') == (False, ["“a”: b", "style: s"])
-    assert prose.parse_audit('{"fidelity": [{"passage": "a", "problem": "b"}, {"pass') == (False, ["“a”: b"])
-    assert prose.parse_audit("no") == (False, ["no valid reply: no"])
-    objections = [{"passage": "a", "problem": "deve ser outro", "right": "The Right, Word"}, {"passage": "b", "problem": "a tradução está correta"}, {"passage": "c", "problem": "palavra ofensiva"}]
-    ok, problems = prose.parse_audit(json.dumps({"fidelity": objections}), "It has <i1>the right word</i1>.")
-    assert ok and len(problems) == 3 and all(p.startswith("style: (named") for p in problems)
-    kept = {"passage": "d", "problem": "palavra ofensiva foi suavizada"}, {"passage": "e", "problem": "está correto, mas falta uma palavra"}
-    assert prose.parse_audit(json.dumps({"fidelity": [*objections, *kept]}))[0] is False
-    assert [p for p in prose.parse_audit(json.dumps({"fidelity": list(kept)}))[1]] == ["“d”: palavra ofensiva foi suavizada", "“e”: está correto, mas falta uma palavra"]
-    assert prose.parse_audit('{"fidelity": [], "sty') == (True, [])
-
-
-def test_planted():
-    text = "One 5 here. Two is not there. Three."
-    assert prose.plant(text, "number", 0) == "One 12 here. Two is not there. Three."
-    assert prose.plant(text, "negation", 0) == "One 5 here. Two is there. Three."
-    assert prose.plant(text, "omission", 0) == "One 5 here. Three."
-    assert prose.plant(text, "source language", 1, "Um. Dois. Três.") == "One 5 here. Two is not there. Três." and prose.plant(text, "source language", 1, "Um.") is None
-    assert prose.plant("Ele odeia o lixo.", "softening", 0) == "Ele não aprecia o lixo." and prose.plant(text, "softening", 0) is None
-    assert prose.plant("One.", "omission", 0) is None
-
-
-def test_fb2_is_idempotent():
-    once, chars = prose.fb2_repair("<FictionBook><body><title><p>t</p></title>loose<section>in<p>x</p>after</section>tail<p>end</p></body></FictionBook>")
-    assert once == "<FictionBook><body><title><p>t</p></title><section><p>loose</p></section><section><p>in</p><p>x</p><p>after</p><p>tail</p><p>end</p></section></body></FictionBook>"
-    assert chars == len("tlooseinxaftertailend") and prose.fb2_repair(once) == (once, chars) and prose.fb2_repair("<a>") == ("<a>", -1)
-
-
 def test_mobi_and_atom():
     assert prose.mobi_titles('<p><font size="7"><b>T</b></font></p>') == "<h1>T</h1>"
     assert prose.mobi_titles('<p a="b"> <b><font size="4">T <i>u</i></font></b> </p>') == "<h4>T <i>u</i></h4>" and prose.mobi_titles('<p><font size="9"><b>T</b></font></p>') == "<h1>T</h1>"
