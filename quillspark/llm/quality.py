@@ -330,7 +330,8 @@ def with_verdict(measured: DataFrame, work: Workspace, lower: float = LOWER, upp
     once = measured.groupBy("lang", "_key").agg(*(F.first(c).alias(c) for c in ("_nll", "_n_chars", "_base_failed")))
     once = work.keep(once, "once")
     mean = once.groupBy("lang").agg((F.sum("_nll") / F.greatest(F.sum("_n_chars"), F.lit(1)) / STEPS).alias("_mean"))
-    mean = work.keep(mean.select(F.col("lang").alias("_own_lang"), "_mean"), "means")
+    # A row a language: measured, and then broadcast, so that texts are not dealt by a key of few values.
+    mean = small_side(work.keep(mean.select(F.col("lang").alias("_own_lang"), "_mean"), "means"))
 
     def with_perplexity(rows: DataFrame) -> DataFrame:
         value = (F.col("_nll") / STEPS + PRIOR * F.col("_mean")) / (F.col("_n_chars") + PRIOR)
@@ -341,7 +342,7 @@ def with_verdict(measured: DataFrame, work: Workspace, lower: float = LOWER, upp
     upto = Window.partitionBy("lang").orderBy("bin")
     ranked = counted.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("lang"))})
     quarter = lambda k: (F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bin"))) / BINS).alias(f"_q{k}")
-    bands = work.keep(ranked.groupBy(F.col("lang").alias("_band_lang")).agg(quarter(1), quarter(3)), "bands")
+    bands = small_side(work.keep(ranked.groupBy(F.col("lang").alias("_band_lang")).agg(quarter(1), quarter(3)), "bands"))
     joined = with_perplexity(measured).join(bands, F.col("lang").eqNullSafe(F.col("_band_lang")), "left")
     apart = F.greatest(F.col("_q3") - F.col("_q1"), F.lit(FLOOR))
     inside = F.col("_perplexity").between(F.col("_q1") - lower * apart, F.col("_q3") + upper * apart)
