@@ -355,7 +355,7 @@ def covered_runs(docs: DataFrame, work: Workspace, group_contexts: int = GROUP_C
     first = met.where(~F.col("later"))
     crowd = first.groupBy("group").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > group_contexts).select("group")
     crowd = work.keep(crowd, "crowd")
-    wanted = first.join(crowd.withColumn("hot", F.lit(True)), "group", "left").groupBy("doc", "key").agg(F.collect_list(F.struct("group", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    wanted = first.join(crowd.withColumn("hot", F.lit(True)), "group", "left").groupBy("doc", "key").agg(F.collect_list(F.struct("group", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS, text_o
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, or text (what is left; cut characters become U+FFFD)."""
     work = Workspace(docs.sparkSession, "suffixes")
     kind = dict(docs.dtypes)["doc_id"]
-    runs = covered_runs(docs, work, group_contexts).groupBy("doc", "key").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
+    runs = covered_runs(docs, work, group_contexts).groupBy("doc", "key").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs")).hint("shuffle_hash")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("key")), "left").select("doc_id", "text", "lows", "highs")
     last = "text" if text_out else "kept_sha256"
