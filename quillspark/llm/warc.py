@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.workspace import Workspace, small_side
+from quillspark.llm.workspace import hot_rows, join_by, small_side, Workspace
 
 PACK_BYTES = 4 << 20
 FIELDS_1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -308,8 +308,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, work: Worksp
     arcs = spark.read.format("binaryFile").load(arc_path).select("content")
     seen = work.keep(arcs.mapInArrow(_digests, "page_id long, digest string, url binary, date binary"), "seen")
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first")
-    firsts = seen.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    later = seen.join(firsts, "digest").where("page_id != first.page_id").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
+    firsts = seen.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    firsts = work.keep(firsts, "firsts")
+    hot = firsts.where(F.col("n") > hot_rows(seen.count())).select("digest")
+    later = join_by(seen, firsts.select("digest", "first"), "digest", None if hot.isEmpty() else hot).where("page_id != first.page_id").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
     later = small_side(work.keep(later.distinct(), "later"))
     records = arcs.mapInArrow(_explode, "url binary, address binary, date binary, media binary, body binary, page_id long, digest string")
     joined = records.join(later, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
@@ -328,7 +330,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     work = Workspace(spark, "warc")
     write_arc(pages, work.path("arc"))
     arc_to_warc(spark, work.path("arc"), work.path("warc"), work)
-    work.drop("arc", "seen", "later")
+    work.drop("arc", "seen", "firsts", "later")
     return read_warc_files(spark, work.path("warc"))
 
 
