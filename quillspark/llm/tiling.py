@@ -6,7 +6,7 @@ both sides have an equal window, give the longest matches; they are marked in bo
 Tiles may lie in any order, so reordered passages are caught. A pair counts where tiles cover at least ``COVERAGE`` of the item's tokens.
 
 The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens (an item at least), each sent to all tasks. A pass over the documents
-holds them against ``PASS_BLOCKS`` blocks; the corpus itself does not move.
+holds them against ``PASS_BLOCKS`` blocks; the corpus itself does not move. A pass is written before the next one's blocks come to the driver.
 
 Cases: null or empty texts match nothing; items of fewer than five tokens are too short to be evidence and match nothing; repeated
 rows get equal results; equal items match alike; ids of any type; an empty table on either side gives no pairs; other columns pass.
@@ -14,7 +14,7 @@ rows get equal results; equal items match alike; ids of any type; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -176,10 +176,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id string, item_tokens long, covered long, tiles long, coverage double"
-    out = spark.createDataFrame([], schema)
-    for sent in _passes(benchmark, block_tokens):
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def one_pass(sent: list[Broadcast]) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = [build(*block.value) for block in sent]
             for batch in batches:
                 data, offsets = kernels.text_buffers(batch.column("text"))
@@ -192,20 +191,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                     share = pa.array([f[2] / n for f, n in zip(found, size)], pa.float64())
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), ids, *counts, share], ["doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage"])
 
-        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(search, schema))
-    return out.withColumn("item_id", F.col("item_id").cast(item_kind))
+        return docs.select("doc_id", "text").mapInArrow(search, schema)
+
+    out = _by_pass(benchmark, block_tokens, Workspace(spark, "leaks"), one_pass)
+    return (spark.createDataFrame([], schema) if out is None else out).withColumn("item_id", F.col("item_id").cast(item_kind))
+
+
+def _by_pass(benchmark: DataFrame, tokens: int, work: Workspace, one_pass: Callable[[list[Broadcast]], DataFrame]) -> DataFrame | None:
+    """What all passes find. Of several, each is written before the next one's blocks are read, and its blocks go; so the driver holds one pass, however
+    large the benchmark."""
+    kept, last = None, None
+    for k, sent in enumerate(_passes(benchmark, tokens)):
+        if last is not None:
+            written = work.keep(one_pass(last), f"pass{k - 1}")
+            kept = written if kept is None else kept.unionAll(written)
+            for block in last:
+                block.destroy()
+        last = sent
+    if last is None:
+        return None
+    return one_pass(last) if kept is None else kept.unionAll(one_pass(last))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item. Each pass drops what its blocks cover, so nothing is joined or shuffled; where the
     benchmark takes several passes, what a pass leaves is written before the next."""
     work = Workspace(docs.sparkSession, "leaks")
-    kept = docs
-    for k, sent in enumerate(_passes(benchmark, block_tokens)):
-        if k:
-            kept = work.keep(kept, f"pass{k}")
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def cleaned(rows: DataFrame, sent: list[Broadcast]) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = [build(*block.value) for block in sent]
             for batch in batches:
                 data, offsets = kernels.text_buffers(batch.column("text"))
@@ -214,8 +228,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                     stays[[f[0] for f in match(index, data, offsets, coverage)]] = False
                 yield batch.filter(pa.array(stays))
 
-        kept = kept.mapInArrow(clean, docs.schema)
-    return kept
+        return rows.mapInArrow(clean, docs.schema)
+
+    kept, last = docs, None
+    for k, sent in enumerate(_passes(benchmark, block_tokens)):
+        if last is not None:
+            kept = work.keep(cleaned(kept, last), f"pass{k}")
+            if k > 1:
+                work.drop(f"pass{k - 1}")
+            for block in last:
+                block.destroy()
+        last = sent
+    return kept if last is None else cleaned(kept, last)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
