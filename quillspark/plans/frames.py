@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import prose
-from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, structure, terms
+from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, structure, tables, terms
 from quillspark.operators.search import fold
-from quillspark.plans.dialect import DUCK, SPARK, blocks, lines, pairs, run_sql, with_
+from quillspark.plans.dialect import DUCK, SPARK, blocks, items, lines, pairs, run_sql, with_
 from quillspark.plans.registry import query
 from quillspark.sources import fictionbook
+from quillspark.streaming import throttle
 from quillspark.tables import table
 
 
@@ -463,3 +464,52 @@ def style_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     styled = spark.createDataFrame([("big", True, 1.5), ("loud", True, None), ("text", True, 1.0), ("chapter-title", False, 2.0)], "class string, bold boolean, size double")
     styles = paragraphs.select("book", "class").distinct().join(F.broadcast(styled), "class")
     return notes.style_headings(paragraphs, styles, books.withColumn("level", F.lit(1)), "book").select("book", "class", "level", "n")
+
+
+# --- JOIN-14, ST-13, SRC-17 ---
+
+_GLOSSARIES = "SELECT p_partkey AS place, concat(p_name, ' ', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS term, CASE WHEN p_partkey % 10 = 3 THEN repeat(p_brand, 40) WHEN p_partkey % 17 = 5 THEN ' ' ELSE p_brand END AS use FROM part"
+
+
+@query(
+    "join_14_glossary_import",
+    f"""WITH g AS ({_GLOSSARIES}), mine AS (SELECT term, min(use) AS use FROM g WHERE place % 3 > 0 AND trim(use) <> '' GROUP BY term),
+    file AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY place) AS nth FROM g WHERE place % 3 <> 1) WHERE nth <= 5000),
+    theirs AS (SELECT left(term, 300) AS term, arg_min(trim(left(trim(use), 300)), place) AS use FROM file WHERE trim(use) <> '' GROUP BY 1)
+    SELECT coalesce(m.term, t.term) AS term, coalesce(m.use, t.use) AS use, CASE WHEN t.term IS NULL THEN 'mine' WHEN m.term IS NULL THEN 'new' WHEN m.use = t.use THEN 'equal' ELSE 'conflict' END AS outcome FROM mine m FULL JOIN theirs t ON m.term = t.term""",
+)
+def glossary_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glossary import: new, equal, or a conflict in which mine stays; 5000 rows of a file, 300 characters of a field."""
+    rows = run_sql(spark, sf_dir, _GLOSSARIES)
+    mine = rows.where("place % 3 > 0 AND trim(use) <> ''").groupBy("term").agg(F.min("use").alias("use"))
+    return tables.glossary_import(mine, rows.where("place % 3 <> 1"))
+
+
+@query(
+    "st_13_throttle",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT user_id % 20 AS user_id, event_id, ts FROM events)),
+    f AS (SELECT user_id, event_id, k, ts AS last, true AS kept FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.ts - f.last >= INTERVAL 1 HOUR THEN e.ts ELSE f.last END, e.ts - f.last >= INTERVAL 1 HOUR FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT user_id, event_id FROM f WHERE kept""",
+)
+def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most one commit an hour (the events' users, in twenty groups, have few within a minute)."""
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") % 20)
+    return throttle.throttled(events, "user_id", "ts", "event_id", 3600).select("user_id", "event_id")
+
+
+@query(
+    "src_17_upserts",
+    with_(items(DUCK)) + """SELECT job, k, CASE WHEN k % 3 = 1 OR k % 7 = 2 THEN 'done' ELSE state END AS state, CASE WHEN k % 3 = 1 OR k % 7 = 2 THEN seconds + 1 ELSE seconds END AS seconds FROM items
+    UNION ALL SELECT job, k + 1000, 'new', 0 FROM items WHERE k % 7 = 2""",
+)
+def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after two upserts by (job, k), each a version of its own: items done, and new ones. What is read back."""
+    rows = _rows(spark, sf_dir, items, "items").select("job", "k", "state", "seconds")
+    place = tables.own_place(spark, "queue")
+    version = tables.replace_table(rows, place)
+    done = lambda which: rows.where(which).select("job", "k", F.lit("done").alias("state"), (F.col("seconds") + 1).alias("seconds"))
+    version = tables.upsert(spark, place, done("k % 3 = 1"), ["job", "k"], read=version, known_only=True)
+    fresh = rows.where("k % 7 = 2").select("job", (F.col("k") + 1000).alias("k"), F.lit("new").alias("state"), F.lit(0).cast("long").alias("seconds"))
+    version = tables.upsert(spark, place, done("k % 7 = 2").unionByName(fresh), ["job", "k"], read=version)
+    return tables.read_table(spark, place, version)

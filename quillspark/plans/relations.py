@@ -73,12 +73,6 @@ operator(
     s AS (SELECT c_custkey, c_name FROM customer c {'LEFT SEMI' if d.name == 'spark' else 'SEMI'} JOIN (SELECT * FROM o WHERE NOT ignored) k ON k.o_custkey = c.c_custkey)
     SELECT c_custkey, lower(c_name) AS name, 'none' AS has FROM a UNION ALL SELECT c_custkey, lower(c_name), 'some' FROM s""",
 )
-# JOIN-14: glossary import: new, equal, or a conflict in which mine stays.
-operator(
-    "join_14_glossary_import",
-    lambda d: """WITH mine AS (SELECT concat(p_name, ' ', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS term, min(p_brand) AS use FROM part WHERE p_partkey % 3 > 0 GROUP BY 1), theirs AS (SELECT concat(p_name, ' ', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS term, max(p_brand) AS use FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1)
-    SELECT coalesce(m.term, t.term) AS term, coalesce(m.use, t.use) AS use, CASE WHEN t.term IS NULL THEN 'mine' WHEN m.term IS NULL THEN 'new' WHEN m.use = t.use THEN 'equal' ELSE 'conflict' END AS outcome FROM mine m FULL OUTER JOIN theirs t ON m.term = t.term""",
-)
 operator(
     "join_15_copies_in_review",
     lambda d: with_(blocks(d)) + """, diffs AS (SELECT doc_id, id, ord % 4 AS copy, CAST(length(text) AS BIGINT) AS changes FROM blocks WHERE ord % 4 < 2), copies AS (SELECT * FROM (VALUES (0), (1)) AS c(copy))

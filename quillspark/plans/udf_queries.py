@@ -276,12 +276,6 @@ def book_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(queue.replay, queue.SCHEMA)
 
 
-@query("st_13_throttle")
-def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most one commit a minute for each user: a greedy pass over sorted times."""
-    return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(lambda pdf: queue.throttle(pdf), "user_id long, event_id long")
-
-
 @query("st_14_loop_cut")
 def loop_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     looped = F.concat("text", F.lit(" "), "text")

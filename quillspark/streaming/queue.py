@@ -47,15 +47,6 @@ def replay(events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(events["user_id"].iloc[0]), *state)], columns=["user_id", *State._fields])
 
 
-def throttle(events: pd.DataFrame, seconds: int = 60) -> pd.DataFrame:
-    kept, last = [], None
-    for event, ts in events.sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
-        if last is None or (ts - last).total_seconds() >= seconds:
-            kept.append(event)
-            last = ts
-    return pd.DataFrame({"user_id": int(events["user_id"].iloc[0]), "event_id": kept})
-
-
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
     state = State(*held.get) if held.exists else State()
     rows = pd.concat(list(batches))

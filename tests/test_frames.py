@@ -1,5 +1,6 @@
 """Operators of DataFrames against brute force and reference values."""
 
+import datetime
 import json
 import random
 import re
@@ -9,8 +10,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, terms
+from quillspark.functions import align
+from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, tables, terms
 from quillspark.sources import fictionbook
+from quillspark.streaming import throttle
 
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])")
 
@@ -292,3 +295,81 @@ def test_fictionbook_sections_lose_nothing():
     assert fictionbook.sections(fictionbook.decoded(cyrillic)) == ["Текст"]
     with pytest.raises(ValueError):
         fictionbook.sections("<a>")
+
+
+# --- versions, merges, throttle ---
+
+
+def test_two_writers(spark):
+    place = tables.own_place(spark, "test")
+    frame = lambda rows: spark.createDataFrame(rows, "k long, a string, b string")
+    read = tables.replace_table(frame([(1, "x", "p"), (2, "y", "q"), (None, "z", "r")]), place)
+    mine, theirs = frame([(1, "mine", None)]).select("k", "a"), frame([(1, "theirs", None)]).select("k", "a")
+    assert tables.upsert(spark, place, theirs, ["k"], read=read) == read + 1
+    with pytest.raises(tables.Conflict):
+        tables.upsert(spark, place, mine, ["k"], read=read)
+    with pytest.raises(tables.Conflict):  # the other commit comes between the check and the last step
+        checked = tables.current_version
+        tables.current_version = lambda *_: read
+        try:
+            tables.commit(frame([(9, "late", "")]), place, read)
+        finally:
+            tables.current_version = checked
+    assert {tuple(r) for r in tables.read_table(spark, place).collect()} == {(1, "theirs", "p"), (2, "y", "q"), (None, "z", "r")}
+    with pytest.raises(tables.UnknownKeys):
+        tables.upsert(spark, place, frame([(7, "new", "")]), ["k"], known_only=True)
+    assert tables.upsert(spark, place, frame([(None, "n", None), (7, "new", "s")]), ["k"]) == read + 2
+    assert {tuple(r) for r in tables.read_table(spark, place).collect()} == {(1, "theirs", "p"), (2, "y", "q"), (None, "n", None), (7, "new", "s")}
+    assert tables.read_table(spark, place, read).count() == 3
+
+
+def throttle_rows():
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    return [(u, k, start + datetime.timedelta(seconds=rng.choice([k * 7, k * 31, k * 31 // 5 * 5]))) for u in range(5) for k in range(60)]
+
+
+def brute_throttle(rows, seconds=60):
+    kept, last = set(), {}
+    for u, k, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if u not in last or (ts - last[u]).total_seconds() >= seconds:
+            kept.add((u, k))
+            last[u] = ts
+    return kept
+
+
+def test_throttle(spark):
+    rows = throttle_rows()
+    frame = spark.createDataFrame([*rows, (1, 99, None)], "user long, k long, ts timestamp")
+    assert {(r["user"], r["k"]) for r in throttle.throttled(frame, "user", "ts", "k").collect()} == brute_throttle(rows)
+
+
+def test_throttle_stream_agrees_with_the_batch(spark, tmp_path):
+    rows = sorted(throttle_rows(), key=lambda r: r[2])
+    before = spark.conf.get(throttle.PROVIDER[0], None)
+    spark.conf.set(*throttle.PROVIDER)
+    try:
+        schema = "user long, k long, ts timestamp"
+        (tmp_path / "in").mkdir()
+        stream = throttle.throttle_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "user", "ts", "k", 60, "2 minutes")
+        # Some come again, a little late and very late: neither are commits.
+        late = [(r[0], 1000 + r[1], r[2] + datetime.timedelta(seconds=1)) for r in rows[:20]]
+        parts = [rows[:100], rows[100:150] + late[:10], rows[150:], late[10:]]
+        for n, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/part{n}")
+            for f in (tmp_path / f"part{n}").glob("*.parquet"):
+                f.rename(tmp_path / "in" / f"{n}.parquet")
+            run = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+            run.awaitTermination(120)
+            assert run.exception() is None
+        got = {(r["user"], r["k"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == brute_throttle(rows)
+    finally:
+        spark.conf.unset(throttle.PROVIDER[0]) if before is None else spark.conf.set(throttle.PROVIDER[0], before)
+
+
+def test_long_tokens_and_texts():
+    places = align._Places(["a"] * 1000 + ["x" * 1_000_000, "b", "c", "d"], [["x" * 1_000_000, "b", "c", "d"]])
+    assert len(places.keys) and align.cut_repetition("".join(chr(97 + k * k % 23) for k in range(50)) * 2, 20) != ""
+    long = "".join(random.Random(1).choices("abcdefgh ", k=3_000_000))
+    assert align.cut_repetition(long) == long
