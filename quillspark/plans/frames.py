@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import prose
-from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, structure, tables, terms
+from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, layout, notes, numbering, planting, spans, structure, tables, terms
 from quillspark.operators.search import fold
 from quillspark.plans.dialect import DUCK, SPARK, blocks, items, lines, pairs, run_sql, with_
 from quillspark.plans.registry import query
-from quillspark.sources import fictionbook
+from quillspark.sources import fictionbook, pdf
 from quillspark.streaming import throttle
 from quillspark.tables import table
 
@@ -513,3 +513,66 @@ def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = rows.where("k % 7 = 2").select("job", (F.col("k") + 1000).alias("k"), F.lit("new").alias("state"), F.lit(0).cast("long").alias("seconds"))
     version = tables.upsert(spark, place, done("k % 7 = 2").unionByName(fresh), ["job", "k"], read=version)
     return tables.read_table(spark, place, version)
+
+
+# --- SRC-01, BLK-05, SRC-22: documents as PDF files, read as spans ---
+
+#: Blocks of a page, and the type of a block by its place in the document.
+_PER_PAGE = 5
+_TYPE = "CASE WHEN ord = 0 THEN 'Times-Roman' WHEN ord % 9 = 4 THEN 'Helvetica-Bold' WHEN ord % 9 = 5 THEN 'Helvetica-Oblique' ELSE 'Helvetica' END"
+
+
+def _pdf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of each document's PDF: five blocks a page; the first is a title in two lines of large type, some are bold or italic."""
+    own = _rows(spark, sf_dir, blocks, "blocks").select("doc_id", "ord", "page", F.expr(f"regexp_replace(text, '[^ -~é]', '?')").alias("text"), F.expr(_TYPE).alias("font"))
+    held = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "page", "text", "font"))).alias("rows"))
+
+    def lines_of(row: dict) -> list[tuple[str, float, str]]:
+        if row["ord"]:
+            return [("", 10.0, row["font"]), (row["text"], 10.0, row["font"])]
+        return [("A title of", 15.0, row["font"]), ("", 3.0, row["font"]), ("two lines", 15.0, row["font"]), ("", 30.0, row["font"]), (row["text"], 10.0, row["font"])]
+
+    @F.pandas_udf("binary")
+    def made(books: pd.Series) -> pd.Series:
+        def one(rows: list[dict]) -> bytes:
+            pages: dict[int, list] = {}
+            for r in rows:
+                pages.setdefault(r["page"], []).extend(lines_of(r))
+            return pdf.written(list(pages.values()))
+
+        return books.map(one)
+
+    return pdf.file_spans(held.select(F.col("doc_id").cast("string").alias("path"), made("rows").alias("content"))).withColumn("doc_id", F.col("path").cast("long"))
+
+
+_PAGED = with_(blocks(DUCK)) + """, t AS (SELECT doc_id, ord, regexp_replace(text, '[^ -~é]', '?', 'g') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS nth, dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS page FROM blocks),
+    shown AS (SELECT doc_id, ord, page, trim(text) AS text, ord % 9 = 4 AND ord > 0 AND length(trim(text)) < 120 AS title FROM t WHERE trim(text) <> '' UNION ALL SELECT doc_id, -1, page, CASE WHEN large THEN 'A title of two lines' ELSE 'A title of' || chr(10) || chr(10) || 'two lines' END, large FROM t JOIN (SELECT doc_id, sum(length(trim(text))) >= 19 AS large FROM t GROUP BY doc_id) USING (doc_id) WHERE ord = 0) """
+
+
+def _pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pdf_spans(spark, sf_dir)
+    return layout.titled(layout.blocks(found, "doc_id"), layout.body_size(found, "doc_id"), "doc_id")
+
+
+@query("src_01_page_text", _PAGED + "SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM shown GROUP BY doc_id, page")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a PDF's pages."""
+    return layout.page_texts(_pdf_blocks(spark, sf_dir), "doc_id").select("doc_id", F.col("page").cast("long").alias("page"), "text")
+
+
+@query("blk_05_typographic_titles", _PAGED + "SELECT doc_id, page, text AS title FROM shown WHERE title")
+def typographic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by size or weight; those of two lines are one."""
+    return _pdf_blocks(spark, sf_dir).where("title").select("doc_id", F.col("page").cast("long").alias("page"), F.col("text").alias("title"))
+
+
+@query(
+    "src_22_dominant_font",
+    with_(blocks(DUCK)) + f""", t AS (SELECT doc_id, ord, {_TYPE} AS font, length(text) AS n, dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS page FROM blocks),
+    more AS (SELECT doc_id, font, n, page FROM t UNION ALL SELECT doc_id, font, 19, page FROM t WHERE ord = 0), m AS (SELECT doc_id, max(page) AS pages FROM t GROUP BY doc_id),
+    f AS (SELECT doc_id, font, sum(n) AS chars FROM more JOIN m USING (doc_id) WHERE page > pages // 4 AND page <= greatest(pages // 4 + 1, least(pages, pages // 4 + 30)) GROUP BY doc_id, font)
+    SELECT doc_id, arg_min(font, (-chars, font)) AS font, CAST(max(chars) AS BIGINT) AS chars FROM f GROUP BY doc_id""",
+)
+def dominant_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The font of most characters in a book's middle pages."""
+    return layout.dominant_font(_pdf_spans(spark, sf_dir), "doc_id").select("doc_id", "font", "chars")

@@ -23,14 +23,6 @@ operator(
       ELSE CAST({d.n('t', '[A-ZÀ-ÖØ-Þ]')} AS DOUBLE) / {d.n('t', '[A-Za-zÀ-ÖØ-öø-ÿ]')} > 0.75 OR {d.has('t', '(?i)^(cap[ií]tulo|chapter|kapitel|parte|part|teil|livro|book|introduction)([^A-Za-z]|$)')} END AS title
     FROM (SELECT doc_id, ord, trim(line) AS t FROM lines) q""",
 )
-# BLK-05: titles by type size: 1.18 times the body's size, or short and bold; adjoining title lines join.
-operator(
-    "blk_05_typographic_titles",
-    lambda d: """WITH s AS (SELECT l_orderkey AS book, CAST(l_linenumber AS BIGINT) AS n, l_quantity AS size, l_returnflag = 'A' AS bold, CAST(l_partkey % 250 AS BIGINT) AS chars, min(l_quantity) OVER (PARTITION BY l_orderkey) AS body, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
-    t AS (SELECT book, k, size, (size >= 1.18 * body OR (chars < 120 AND bold)) AND chars < 200 AS title FROM s),
-    g AS (SELECT book, k, title, CASE WHEN title AND coalesce(lag(title) OVER w, false) AND abs(size - lag(size) OVER w) < 0.6 THEN 0 ELSE 1 END AS opens FROM t WINDOW w AS (PARTITION BY book ORDER BY k))
-    SELECT book, CAST(sum(CASE WHEN title AND opens = 1 THEN 1 ELSE 0 END) AS BIGINT) AS titles, CAST(sum(CASE WHEN title THEN 1 ELSE 0 END) AS BIGINT) AS title_lines FROM g GROUP BY book""",
-)
 # BLK-06: a title glued to the end of a line becomes a row of its own. Every fourth line ends in one here.
 operator(
     "blk_06_glued_title",

@@ -177,12 +177,6 @@ def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("cases"), F.count_if(rules).alias("rules"), F.count_if(auditor).alias("auditor"), F.count_if(rules | auditor).alias("either"), F.count_if(stands).alias("standing"))
 
 
-@query("src_01_page_text")
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts as rows: all of a document's lines, in pages of five."""
-    return run_sql(spark, sf_dir, with_(blocks(SPARK)) + "SELECT doc_id, page, array_join(transform(array_sort(collect_list(struct(ord, text))), x -> x.text), '\\n') AS text FROM blocks GROUP BY doc_id, page")
-
-
 @query("src_02_digital_formats")
 def digital_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format by extension and magic; html pages are read as text, and fail below 0.7 of the expected size."""
@@ -250,7 +244,6 @@ def atom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", read(entry).alias("entry"))
 
 
-operator("src_22_dominant_font", lambda d: "WITH f AS (SELECT p_brand, p_type, sum(p_size) AS chars FROM part GROUP BY p_brand, p_type), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY chars DESC, p_type) AS k FROM f) SELECT p_brand, p_type AS font, CAST(chars AS BIGINT) AS chars FROM r WHERE k = 1")
 # SRC-23: images of a page that cover a fiftieth of it or more, up to the first that covers 0.7 (the whole page); a book's first page that is an image
 # and nothing else is its cover. Pages are orders here, images their lines; every third order is without text, and 97 books share the orders.
 operator(

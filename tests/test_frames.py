@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import align
-from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, notes, numbering, planting, spans, tables, terms
-from quillspark.sources import fictionbook
+from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, layout, notes, numbering, planting, spans, tables, terms
+from quillspark.sources import fictionbook, pdf
 from quillspark.streaming import throttle
 
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])")
@@ -373,3 +373,34 @@ def test_long_tokens_and_texts():
     assert len(places.keys) and align.cut_repetition("".join(chr(97 + k * k % 23) for k in range(50)) * 2, 20) != ""
     long = "".join(random.Random(1).choices("abcdefgh ", k=3_000_000))
     assert align.cut_repetition(long) == long
+
+
+# --- PDF ---
+
+
+def test_pdf_spans(spark, tmp_path):
+    pages = [[("Large (title) \\ é", 18.0, "Times-Bold"), ("", 30.0, "Helvetica"), ("first line", 10.0, "Helvetica"), ("second line", 10.0, "Helvetica-Oblique")], [], [("page three", 10.0, "Helvetica")]]
+    rows = pdf.spans(pdf.written(pages))
+    assert [(r[0], r[1], r[4], r[5], r[6], r[7], r[8]) for r in rows] == [(1, 0, "Large (title) \\ é", "Times-Bold", 18.0, True, False), (1, 1, "first line", "Helvetica", 10.0, False, False), (1, 1, "second line", "Helvetica-Oblique", 10.0, False, True), (3, 0, "page three", "Helvetica", 10.0, False, False)]
+    # A hand-written file: parts with steps, a table to Unicode, an object stream, a matrix, and contents in two streams.
+    table = b"1 beginbfchar <0041> <00DF> endbfchar 1 beginbfrange <0001> <0003> <0061> endbfrange"
+    head = b"3 0 4 43 "
+    held = head + b"<< /Type /Font /BaseFont /ABCDEF+Odd-Bold >>".ljust(43) + b"<< /Type /Font /Subtype /Type0 /BaseFont /Wide /ToUnicode 9 0 R >>"
+    one, two = b"BT /A 12 Tf 2 0 0 2 10 700 Tm [(He) -20 (llo) -400 (you)] TJ", b"0 -20 Td /B 10 Tf <000100410003> Tj T* (\\101) ' ET"
+    stream = lambda body: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body)
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [ 5 0 R ] /Resources << /Font << /A 3 0 R /B 4 0 R >> >> /MediaBox [0 0 600 800] >>", 5: b"<< /Type /Page /Contents [6 0 R 7 0 R] >>", 6: stream(one), 7: stream(two), 8: b"<< /Type /ObjStm /N 2 /First %d /Length %d >>\nstream\n%s\nendstream" % (len(head), len(held), held), 9: stream(table)}
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in bodies.items())
+    assert [(r[4], r[5], r[6], r[7]) for r in pdf.spans(data)][:2] == [("Hello you", "Odd-Bold", 24.0, True), ("aßc", "Wide", 20.0, False)]
+    (tmp_path / "a.pdf").write_bytes(pdf.written(pages))
+    (tmp_path / "b.PDF").write_bytes(b"not one")
+    found = pdf.read_spans(spark, str(tmp_path)).collect()
+    assert len(found) == 5 and [r["problem"] for r in found if r["problem"]] == ["ValueError: no PDF"]
+
+
+def test_titles_of_spans(spark):
+    row = lambda page, block, text, size, bold, y: ("b", page, block, 0, 0, text, "F", size, bold, False, 0.0, y, 9.0, y + size, 600.0, 800.0, None)
+    rows = [row(1, 0, "ASLEEP AT A STOPLIGHT, AWOKEN", 14.0, False, 10.0), row(1, 1, "ONLY BY HORN", 14.2, False, 26.0), row(1, 2, "x" * 300, 10.0, False, 60.0), row(1, 3, "Bold one.", 10.0, True, 90.0), row(1, 4, "Bold two", 10.0, True, 101.0), row(1, 5, "y" * 250, 14.0, True, 120.0), row(2, 0, "Far", 14.0, False, 10.0), row(2, 1, "Apart", 14.0, False, 60.0), row(2, 2, " ", 14.0, False, 80.0)]
+    spans_ = spark.createDataFrame(rows, pdf.SCHEMA)
+    found = layout.titled(layout.blocks(spans_), layout.body_size(spans_)).where("title").orderBy("page", "block").collect()
+    assert [(r["page"], r["block"], r["text"]) for r in found] == [(1, 0, "ASLEEP AT A STOPLIGHT, AWOKEN ONLY BY HORN"), (1, 3, "Bold one."), (1, 4, "Bold two"), (2, 0, "Far"), (2, 1, "Apart")]
+    assert layout.body_size(spans_).first()["body"] == 10.0 and layout.dominant_font(spans_).first()["font"] == "F"
