@@ -55,7 +55,10 @@ def softened(source: Column, out: Column, language: str = "en", lexicon: Sequenc
         said, kept = count(source, rf"(?iU)\b({strong})\b"), count(out, rf"(?iU){stems}")
         word = F.lower(F.regexp_extract(source, rf"(?iU)\b({strong})\b", 0))
         found.append(F.when(said > kept, F.concat(word, F.when(kept > 0, F.format_string(" (%d of %d)", kept, said)).otherwise(""))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))) if found else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    # Most sources have no strong word: one pattern tells, before each is counted.
+    some = source.rlike("(?iU)\\b(" + "|".join(f"(?:{strong})" for strong, _ in rows) + ")\\b") if rows else F.lit(False)
+    return F.when(some, F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))).otherwise(none) if found else none
 
 
 def left_in_source(out: Column, language: str) -> Column:
@@ -83,9 +86,9 @@ def glossary_faults(source: Column, out: Column, terms: Sequence[tuple[str, str]
     return found
 
 
-def checks(source: Column, out: Column, task: str = "translate", terms: Sequence[tuple[str, str]] = (), lexicon: Sequence[tuple[str, str]] | None = None) -> Column:
-    """All alerts of a pair. Dictionary rules need a dictionary and are empty without one; the order of words beyond spelling is
-    ``functions.align.ratio`` over skeletons, see ``operators.editions.beyond_spelling``."""
+def checks(source: Column, out: Column, task: str = "translate", terms: Sequence[tuple[str, str]] = (), lexicon: Sequence[tuple[str, str]] | None = None, invented: Column | None = None, unknown: Column | None = None, same_words: Column | None = None) -> Column:
+    """All alerts of a pair, in the rules' order. What a dictionary says comes as columns, and their rules are silent without one: ``invented`` (``operators.dictionary.invented``) for translations,
+    ``unknown`` (``operators.dictionary.unknown`` of the output) for modernised texts; so does ``same_words``, the share of equal words (``operators.editions.same_words``)."""
     n_source, n_out = F.length(source), F.length(out)
     r = n_out / F.greatest(n_source, F.lit(1))
     short = n_source < 60
@@ -106,7 +109,11 @@ def checks(source: Column, out: Column, task: str = "translate", terms: Sequence
     rules.append(F.when(has_source & (count(source, r"\*") != count(out, r"\*")), F.lit("emphasis differs from the source")))
     if task == "modernise":
         old = spelling.leftovers(out)
+        if unknown is not None:
+            old = F.array_sort(F.array_union(old, F.coalesce(unknown, F.array().cast("array<string>"))))
         rules.append(F.when(has_source & (F.size(old) > 0), F.concat(F.lit("old spelling: "), F.array_join(F.slice(old, 1, 8), ", "))))
+        if same_words is not None:
+            rules.append(F.when(has_source & (same_words < 0.93), F.format_string("changed beyond spelling (%.0f%% of the words equal)", 100 * same_words)))
     if language:
         fs, fo = sentences(source), sentences(out)
         ns, no = F.size(fs), F.size(fo)
@@ -121,6 +128,8 @@ def checks(source: Column, out: Column, task: str = "translate", terms: Sequence
         rules.append(F.when(has_source & out.rlike(lexicons.COMMENT) & ~source.rlike(lexicons.COMMENT_IN_SOURCE), F.concat(F.lit("possible comment of the model: "), F.regexp_extract(out, lexicons.COMMENT, 0))))
         soft = softened(source, out, language, lexicon)
         rules.append(F.when(has_source & (F.size(soft) > 0), F.concat(F.lit("strong word without strong equivalent: "), F.array_join(soft, ", "))))
+        if invented is not None:
+            rules.append(F.when(has_source & (F.size(F.coalesce(invented, F.array().cast("array<string>"))) > 0), F.concat(F.lit("no word of the language: "), F.array_join(F.slice(invented, 1, 8), ", "))))
         rules += [F.when(has_source, fault) for fault in glossary_faults(source, out, terms)]
     rules.append(F.when(F.trim(out) == "", F.lit("empty result")))
     return F.array_compact(F.array(*rules))

@@ -61,17 +61,36 @@ def _runs_of(rows: DataFrame, key: list[str], text: str, around: bool, run: int,
     return rows.select(*key, F.col(text).alias("_text")).mapInArrow(sample, schema)
 
 
+def _places_of(asked: DataFrame, book: str, ahead: int) -> DataFrame:
+    """(book, _head, place, _ahead): where books (book, _text, _heads) have one of their heads, of four characters at most, and the ``ahead`` characters from there on. A book's heads
+    are as many as the different short parts that are looked for in it."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (body, heads) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_heads").to_pylist())):
+                found = [(i, h) for k in {len(h) for h in heads} for own in [{h for h in heads if len(h) == k}] for i in range(len(body) - k + 1) if (h := body[i : i + k]) in own]
+                for at in range(0, len(found), 100_000):
+                    part = found[at : at + 100_000]
+                    take = pa.array([row] * len(part), pa.int64())
+                    columns = [batch.column(book).take(take), pa.array([h for _, h in part], pa.string()), pa.array([i for i, _ in part], pa.int64()), pa.array([body[i : i + ahead] for i, _ in part], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, [book, "_head", "place", "_ahead"])
+
+    return asked.mapInArrow(find, f"`{book}` {dict(asked.dtypes)[book]}, _head string, place long, _ahead string")
+
+
 def found_places(parts: DataFrame, books: DataFrame, book: str = "book", part: str = "part", text: str = "text", run: int = RUN, window: int = WINDOW) -> DataFrame:
     """(book, part, place) of all places (from 0) at which a book (book, text) holds a part (book, part, text).
 
     Parts of ``window`` characters meet the book by one sampled run and are compared with what stands around it there. Longer parts are cut in such windows (the
-    last one ends with the part), which must lie one behind the other. Shorter parts meet each place of the books that have such parts by
-    their first four characters (or fewer). Parts of equal text in a book are looked for once. Null and empty parts are nowhere."""
-    named = parts.where((F.length(text) > 0) & F.col(book).isNotNull()).select(book, part, F.col(text).alias("_part"))
-    distinct = named.select(book, "_part").distinct().withColumn("_n", F.length("_part"))
-    long = distinct.where(F.col("_n") >= window)
+    last one ends with the part), which must lie one behind the other. Shorter parts meet the places of their book that have
+    one of such parts' first four characters (or fewer). Parts of equal text in a book are looked for once. Null and empty parts are nowhere."""
+    # From here on a part is its length and 128 bits of hash, so that its text is not carried along.
+    name = F.md5(F.encode(F.col(text), "utf-8"))
+    named = parts.where((F.length(text) > 0) & F.col(book).isNotNull()).select(book, part, name.alias("_part"), F.length(text).alias("_n"), F.col(text).alias("_text"))
+    distinct = named.select(book, "_part", "_n", "_text").dropDuplicates([book, "_part"])
     starts = F.concat(F.sequence(F.lit(0), F.expr(f"CAST((_n div {window} - 1) * {window} AS INT)"), F.lit(window)), F.when(F.col("_n") % window > 0, F.array((F.col("_n") - window).cast("int"))).otherwise(F.array().cast("array<int>")))
-    cut = long.select(book, "_part", F.size(starts).alias("_cuts"), F.explode(starts).alias("_start")).withColumn("_window", F.expr(f"substring(_part, _start + 1, {window})"))
+    cuts = F.transform(starts, lambda i: F.struct(i.alias("_start"), F.substring(F.col("_text"), i + 1, F.lit(window)).alias("_window")))
+    cut = distinct.where(F.col("_n") >= window).select(book, "_part", F.size(starts).alias("_cuts"), F.inline(cuts))
     needles = _runs_of(cut.select(book, "_window").distinct(), [book, "_window"], "_window", False, run, window)
     index = _runs_of(books, [book], text, True, run, window)
     near = needles.withColumnRenamed("place", "_offset").join(index, [book, "hash"])
@@ -81,12 +100,10 @@ def found_places(parts: DataFrame, books: DataFrame, book: str = "book", part: s
     chained = cut.join(windows, [book, "_window"]).select(book, "_part", "_cuts", "_start", (F.col("_at") - F.col("_start")).alias("place"))
     whole = chained.groupBy(book, "_part", "place").agg(F.count_distinct("_start").alias("_hits"), F.max("_cuts").alias("_cuts")).where("_hits = _cuts").select(book, "_part", "place")
 
-    short = distinct.where(F.col("_n") < window).withColumn("_k", F.least(F.col("_n"), F.lit(4)))
-    sizes = short.groupBy(book).agg(F.collect_set("_k").alias("_ks"))
-    letters = books.join(sizes, book).select(book, "_ks", F.col(text).alias("_text"), F.explode(F.sequence(F.lit(1), F.length(text))).alias("_i")).where("length(_text) > 0")
-    grams = letters.select(book, (F.col("_i") - 1).cast("long").alias("place"), F.expr(f"substring(_text, _i, {window - 1})").alias("_ahead"), F.explode("_ks").alias("_k"))
-    keyed = short.withColumn("_head", F.expr("left(_part, _k)"))
-    hits = grams.withColumn("_head", F.expr("left(_ahead, _k)")).join(keyed, [book, "_k", "_head"]).where(F.startswith("_ahead", F.col("_part")))
+    short = distinct.where(F.col("_n") < window).select(book, "_part", "_text", F.expr("left(_text, 4)").alias("_head"))
+    heads = short.groupBy(book).agg(F.collect_set("_head").alias("_heads"))
+    asked = books.where(F.length(text) > 0).join(heads, book).select(book, F.col(text).alias("_text"), "_heads")
+    hits = _places_of(asked, book, window - 1).join(short, [book, "_head"]).where(F.startswith("_ahead", F.col("_text")))
     everywhere = whole.unionByName(hits.select(book, "_part", "place"))
     return named.join(everywhere, [book, "_part"]).select(book, part, "place")
 
@@ -97,7 +114,8 @@ def completeness(parts: DataFrame, books: DataFrame, book: str = "book", part: s
     rows = parts.where(F.length(text) > 3).select(book, part, F.col(text).alias("_text")).withColumn("_n", F.length("_text"))
     held = found_places(rows, books.select(book, F.col(text).alias("_text")), book, part, "_text").select(book, part).distinct().withColumn("whole", F.lit(True))
     starts = F.when(F.col("_n") < WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("_n") - WINDOW).cast("int"), F.lit(WINDOW)))
-    chunks = rows.select(book, part, F.explode(starts).alias("_start"), "_text").withColumn("_chunk", F.expr(f"substring(_text, _start + 1, {WINDOW})"))
+    cuts = F.transform(starts, lambda i: F.substring(F.col("_text"), i + 1, F.lit(WINDOW)))
+    chunks = rows.select(book, part, F.explode(cuts).alias("_chunk"))
     distinct = chunks.select(book, F.col("_chunk").alias("_name"), F.col("_chunk").alias("_text")).distinct()
     there = found_places(distinct, books.select(book, F.col(text).alias("_text")), book, "_name", "_text").select(book, F.col("_name").alias("_chunk")).distinct()
     lost = chunks.join(there, [book, "_chunk"], "left_anti").groupBy(book, part).agg(F.count(F.lit(1)).alias("_lost"))

@@ -67,12 +67,17 @@ def summary(compared: DataFrame, key: str = "book") -> DataFrame:
     return compared.groupBy(key).agg(*counts, F.count_if(own).alias("blocks"), F.count_if(own & (F.col("outcome") != "not compared")).alias("compared"))
 
 
-def beyond_spelling(source: Column, out: Column) -> Column:
-    """Whether a modernised text changed more than spelling: under 0.93 of the words' skeletons agree."""
+def same_words(source: Column, out: Column) -> Column:
+    """The share of words whose skeletons agree in order: 1 of a source without words."""
 
     @F.pandas_udf("double")
     def skeleton_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         bones = lambda t: [align.skeleton(w) for w in align.words(t or "")]
         return pd.Series([align.ratio(bones(x), bones(y)) if x else 1.0 for x, y in zip(a, b)])
 
-    return skeleton_ratio(source, out) < 0.93
+    return skeleton_ratio(source, out)
+
+
+def beyond_spelling(source: Column, out: Column) -> Column:
+    """Whether a modernised text changed more than spelling: under 0.93 of the words' skeletons agree."""
+    return same_words(source, out) < 0.93

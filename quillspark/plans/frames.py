@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import prose
+from quillspark.functions import checks, prose
 from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, layout, notes, numbering, planting, spans, structure, tables, terms
 from quillspark.operators.search import fold
 from quillspark.plans.dialect import DUCK, SPARK, blocks, items, lines, pairs, run_sql, with_
@@ -576,3 +578,86 @@ def typographic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dominant_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The font of most characters in a book's middle pages."""
     return layout.dominant_font(_pdf_spans(spark, sf_dir), "doc_id").select("doc_id", "font", "chars")
+
+
+# --- S-18: the rule engine ---
+
+#: Outputs that break one rule each, by number, and sources that go with them. The text is one of both engines.
+_CHECKED = """SELECT conv_id, turn, conv_id % 14 AS case_number,
+  src || ' In 19' || CAST(turn + 10 AS STRING) || ' he hated it and did not stop. The damn thing.' || CASE conv_id % 14 WHEN 3 THEN ' In 18.' WHEN 4 THEN ' <a1>x</a1>' WHEN 5 THEN ' <b1>x</b1>' WHEN 6 THEN ' *x*' ELSE '' END AS src,
+  CASE conv_id % 14
+    WHEN 1 THEN 'I cannot translate this. ' || src || ' Em 19' || CAST(turn + 10 AS STRING) || ' ele odiava isso e não parou. A coisa maldita.'
+    WHEN 2 THEN src || ' Em outro ano ele odiava isso e não parou. A coisa maldita.'
+    WHEN 7 THEN src WHEN 11 THEN '  '
+    WHEN 9 THEN src || ' Em 19' || CAST(turn + 10 AS STRING) || ' ele gostava disso e parou. A coisa boa.'
+    WHEN 12 THEN src || ' In 19' || CAST(turn + 10 AS STRING) || ' he hated it and did not stop with all of the words that are in it for them. A coisa maldita.'
+    ELSE src || ' Em 19' || CAST(turn + 10 AS STRING) || ' ele odiava isso e não parou. A coisa maldita.' || CASE conv_id % 14 WHEN 3 THEN ' Em XVIII.' WHEN 5 THEN ' <b1> </b1>' WHEN 8 THEN ' Mais uma. E outra.' WHEN 10 THEN ' (nota do tradutor)' WHEN 13 THEN ' xyzzyx recasaaa plughosmente.' ELSE '' END
+  END AS out FROM pairs"""
+_TERMS = (("the", "anly"), ("tion", "shst"))
+
+
+def _rule_sql() -> str:
+    from quillspark.functions import lexicons
+
+    plain = lambda p: p.replace("(?iU)", "(?i)").replace("(?iu)", "(?i)").replace("\\w", "[\\p{L}\\p{M}\\p{N}_]").replace("'", "''")
+    n = lambda x, p: f"len(regexp_extract_all({x}, '{plain(p)}'))"
+    has = lambda x, p: f"regexp_matches({x}, '{plain(p)}')"
+    mark = "</?[aib][0-9]+>|<n[0-9]+/>|<br>"
+    sentences = lambda x: _sentences(f"regexp_replace({x}, '{mark}', ' ', 'g')")
+    # Borders of words of any letters; doubled signs between words let neighbours both have theirs.
+    after, before = "(?:[^\\p{L}\\p{M}\\p{N}_]|$)", "(?:^|[^\\p{L}\\p{M}\\p{N}_])"
+    border = lambda p: re.sub(r"\\b$|\\b(?=\||\))", lambda _: after, re.sub(r"\\b(?=\w|\(|\[)", lambda _: before, p))
+    apart = "regexp_replace(src, '[^\\p{L}\\p{M}\\p{N}_]', '\\0\\0', 'g')"
+    soft = " OR ".join(f"{n(apart, '(?i)' + border(f'\\b(?:{a})\\b'))} > {n('out', '(?i)' + border(b))}" for a, b in lexicons.STRONG["en"])
+    words = lambda k: "['" + "', '".join(lexicons.COMMON[k]) + "']"
+    share = lambda k: f"len(list_filter(ws, lambda w: list_contains({words(k)}, w)))"
+    year = "'X{0,3}(IX|IV|V?I{0,3})'"
+    rules = [
+        ("possible refusal or moralising notice", f"{has('out', lexicons.REFUSAL)} OR ({has('left(out, 80)', lexicons.REFUSAL_START)} AND NOT {has('left(src, 160)', lexicons.APOLOGY)})"),
+        ("suspicious size", "CASE WHEN length(src) < 60 THEN abs(length(out) - length(src)) > 40 ELSE NOT (length(out) / length(src) BETWEEN 0.85 AND 1.4) END"),
+        ("number of the source missing", "len(list_filter(list_distinct(regexp_extract_all(regexp_replace(src, '" + mark + "', '', 'g'), '[0-9]+')), lambda k: NOT list_contains(regexp_extract_all(regexp_replace(out, '" + mark + "', '', 'g'), '[0-9]+'), k) AND NOT (k = '18' AND contains(out, 'XVIII')))) > 0"),
+        ("marks differ; source", f"list_sort(regexp_extract_all(src, '{mark}')) <> list_sort(regexp_extract_all(out, '{mark}'))"),
+        ("marks differ; no text in b1", "regexp_matches(out, '<b1>\\s*</b1>')"),
+        ("emphasis differs from the source", "length(src) - length(replace(src, '*', '')) <> length(out) - length(replace(out, '*', ''))"),
+        ("fewer sentences than the source", "len(fs) >= 2 AND len(fo) < len(fs)"),
+        ("more sentences than the source", "len(fs) >= 2 AND len(fo) > len(fs)"),
+        ("sentence of very different size", "NOT (len(fs) >= 2 AND len(fo) <> len(fs)) AND len(list_filter(range(1, least(len(fs), len(fo)) + 1), lambda i: length(fs[i]) > 40 AND NOT (length(fo[i]) / length(fs[i]) BETWEEN 0.6 AND 1.7))) > 0"),
+        ("fewer negations than the source", f"{n('src', lexicons.NEGATIONS['en'])} > {n('out', lexicons.NEGATIONS['pt'])}"),
+        ("left in the source language", f"len(list_filter(list_transform(fo, lambda s: regexp_extract_all(lower(s), '[a-zà-ÿ]+')), lambda ws: len(ws) >= 6 AND {share('en')} >= 3 AND {share('en')} > 2 * {share('pt')})) > 0"),
+        ("possible comment of the model", f"{has('out', lexicons.COMMENT)} AND NOT {has('src', lexicons.COMMENT_IN_SOURCE)}"),
+        ("strong word without strong equivalent", soft),
+        ("no word of the language", "invented IS NOT NULL"),
+        ("glossary", " OR ".join(f"{n('src', f'(?i)\\b{a}')} > {n('out', f'(?i){b}')}" for a, b in _TERMS)),
+        ("empty result", "trim(out) = ''"),
+    ]
+    cases = " UNION ALL ".join(f"SELECT conv_id, turn, case_number, {k} AS rule, '{name}' AS alert FROM m WHERE {cond}" for k, (name, cond) in enumerate(rules))
+    return cases, sentences
+
+
+_RULES, _SPLIT = _rule_sql()
+
+
+@query(
+    "s_18_checks",
+    with_(pairs(DUCK)) + f""", {_FORMS_SQL}, v AS ({_CHECKED.replace('AS STRING', 'AS VARCHAR')}),
+    src AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(src), '[\\p{{L}}\\p{{M}}]+')) AS word FROM v),
+    tokens AS (SELECT conv_id, turn, string_split_regex(regexp_replace(out, '</?[aib][0-9]+>|<n[0-9]+/>|<br>', ' ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]+') AS t FROM v),
+    each AS (SELECT DISTINCT conv_id, turn, word FROM (SELECT conv_id, turn, unnest(t) AS word FROM tokens) WHERE regexp_full_match(word, '[a-zà-ÿ]{{5,}}')),
+    odd AS (SELECT * FROM each e WHERE NOT EXISTS (FROM src s WHERE s.conv_id = e.conv_id AND s.turn = e.turn AND (s.word = e.word OR (length(s.word) >= 5 AND left(s.word, 5) = left(lower(strip_accents(e.word)), 5))))),
+    prefixes AS (SELECT unnest(string_split('{' '.join(dict.fromkeys(dictionary.lexicons.PREFIXES))}', ' ')) AS p),
+    readings AS (SELECT word, word AS r FROM odd UNION SELECT word, substr(word, length(p) + 1) FROM odd, prefixes WHERE starts_with(word, p) AND length(word) - length(p) >= 4
+      UNION SELECT word, substr(word, length(p) + 2) FROM odd, prefixes WHERE starts_with(word, p) AND length(word) - length(p) >= 4 AND substr(word, length(p) + 1, 2) IN ('rr', 'ss')
+      UNION SELECT word, left(word, -5) FROM odd WHERE suffix(word, 'mente') UNION SELECT word, left(word, -6) || 'o' FROM odd WHERE suffix(word, 'mente')),
+    fine AS (SELECT DISTINCT word FROM readings JOIN (SELECT word AS r FROM ready) USING (r)),
+    made AS (SELECT conv_id, turn, 1 AS invented FROM odd WHERE word NOT IN (FROM fine) GROUP BY conv_id, turn),
+    m AS (SELECT v.*, {_SPLIT('v.src')} AS fs, {_SPLIT('v.out')} AS fo, invented FROM v LEFT JOIN made USING (conv_id, turn)),
+    fired AS ({_RULES})
+    SELECT v.conv_id, v.turn, v.case_number, coalesce(string_agg(alert, '|' ORDER BY rule), '') AS alerts FROM v LEFT JOIN fired f ON f.conv_id = v.conv_id AND f.turn = v.turn GROUP BY ALL""",
+)
+def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules of a translation over pairs whose outputs break one rule or another, with a dictionary and a glossary; an alert is named by its first words."""
+    own = run_sql(spark, sf_dir, with_(pairs(SPARK)) + _CHECKED)
+    made = dictionary.invented(own, _forms(spark, sf_dir), ["conv_id", "turn"])
+    alerts = checks.checks(F.col("src"), F.col("out"), "translate", _TERMS, invented=F.col("invented"))
+    named = F.array_distinct(F.transform(alerts, lambda a: F.regexp_extract(a, r"^(marks differ; no text in b1|marks differ; source|[^:(]*[^:( ])", 1)))
+    return own.join(made, ["conv_id", "turn"], "left").select("conv_id", "turn", "case_number", F.array_join(named, "|").alias("alerts"))

@@ -64,31 +64,6 @@ operator(
 )
 # S-16: glossary: the decided word must come as often as the term does.
 operator("s_16_glossary_check", lambda d: with_(pairs(d)) + f"SELECT conv_id, turn, {d.n('lower(src)', 'tion[a-z]*')} AS wanted, {d.n('lower(out)', 'anly[a-z]*')} AS found FROM pairs WHERE {d.n('lower(src)', 'tion[a-z]*')} > {d.n('lower(out)', 'anly[a-z]*')}")
-NEGATION_EN = "(?i)(^|[^A-Za-zÀ-ÿ])(not|no|never|nor|neither|cannot|nothing|none|nobody|without)([^A-Za-zÀ-ÿ]|$)"
-def rules(d) -> list[tuple[int, str, str]]:
-    """Number, name and condition of the rules that both engines can express."""
-    return [
-        (1, "'refusal'", refusal(d, "out", "src")),
-        (2, "'size, same language'", "src <> '' AND NOT (r BETWEEN 0.85 AND 1.15) AND (NOT short OR abs(length(out) - length(src)) > 12)"),
-        (3, "CASE WHEN r > 2 THEN 'size: invented' ELSE 'size' END", "src <> '' AND CASE WHEN short THEN abs(length(out) - length(src)) > 40 ELSE NOT (r BETWEEN 0.85 AND 1.4) END"),
-        (4, "'number missing'", f"src <> '' AND {d.size(d.without(d.distinct(d.all(d.rx('src', MARK), '[0-9]+')), d.distinct(d.all(d.rx('out', MARK), '[0-9]+'))))} > 0"),
-        (5, "'marks differ'", f"src <> '' AND {d.join(d.sorted(d.all('src', MARK)), ' ')} <> {d.join(d.sorted(d.all('out', MARK)), ' ')}"),
-        (7, "'emphasis'", f"src <> '' AND {d.n('src', '[*]')} <> {d.n('out', '[*]')}"),
-        (10, "'fewer sentences'", f"src <> '' AND {d.n('src', '[.!?…][ \n]')} >= 1 AND {d.n('out', '[.!?…][ \n]')} < {d.n('src', '[.!?…][ \n]')}"),
-        (12, "'negation lost'", f"{d.n('src', NEGATION_EN)} > {d.n('out', NEGATION_EN)}"),
-        (15, "'softened'", f"{softened(d, 'src', 'out')} <> ''"),
-        (18, "'empty'", "trim(out) = ''"),
-    ]
-
-
-# S-18: the rule engine, a row for each rule that fires, in one pass; output texts are damaged by their number.
-operator(
-    "s_18_checks",
-    lambda d: with_(pairs(d)) + f""", v AS (SELECT conv_id, turn, src, CASE conv_id % 8 WHEN 0 THEN substring(src, 1, CAST(length(src) / 2 AS INT)) WHEN 1 THEN concat(src, ' ', out) WHEN 2 THEN {d.rx('src', '[0-9]+', '')} WHEN 3 THEN concat('I am sorry. ', src) WHEN 4 THEN replace(src, 'not ', '') WHEN 5 THEN concat('<a1>', src) WHEN 6 THEN '' ELSE src END AS out FROM pairs),
-    m AS (SELECT *, CAST(length(out) AS DOUBLE) / greatest(1, length(src)) AS r, length(src) < 60 AS short FROM v),
-    f AS ({d.explode('m', 'conv_id, turn', d.array(*(d.struct(rule=f'CAST({k} AS BIGINT)', what=what, hit=hit) for k, what, hit in rules(d))), 'nth', 'a')})
-    SELECT conv_id, turn, a.rule AS rule, a.what AS what FROM f WHERE a.hit""",
-)
 # S-19: problems that not even the judge may release.
 operator(
     "s_19_locked_problems",
