@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.workspace import Workspace, hot_rows, join_by
 
+#: Rows (of two numbers) that a task may get for one key without harm. Smaller graphs are not searched for hubs.
+FEW = 1_000_000
+
 
 def _follow(rows: DataFrame, column: str, jump: DataFrame, hot: DataFrame | None) -> DataFrame:
     """``rows`` with ``column`` replaced by where ``jump`` (node, comp) takes it, if anywhere. Rows of hot nodes stay where they are."""
@@ -29,15 +32,19 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         least = both.groupBy("node").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "other").alias("comp"), "n")
         least = work.keep(least, f"{name}-least{step}")
-        ends, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-        hubs = least.where(F.col("n") > hot_rows(ends)).select("node") if most > hot_rows(ends) else None
+        hubs = None
+        if 2 * edges.count() > FEW:
+            ends, most = least.agg(F.sum("n"), F.max("n")).first()
+            hubs = least.where(F.col("n") > hot_rows(ends)).select("node") if most > hot_rows(ends) else None
         jump = work.keep(_follow(least.select("node", "comp"), "comp", least, hubs), f"{name}-jump{step}")
         if found is None:
             found = jump
         else:
-            sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-            nodes, most = sizes.agg(F.sum("n"), F.max("n")).first()
-            large = sizes.where(F.col("n") > hot_rows(nodes)).select(F.col("comp").alias("node")) if most > hot_rows(nodes) else None
+            large = None
+            if found.count() > FEW:
+                sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+                nodes, most = sizes.agg(F.sum("n"), F.max("n")).first()
+                large = sizes.where(F.col("n") > hot_rows(nodes)).select(F.col("comp").alias("node")) if most > hot_rows(nodes) else None
             found = work.keep(_follow(found, "comp", jump, large), f"{name}-found{step}")
             work.drop(*([f"{name}-found{step - 1}"] if step > 1 else [f"{name}-jump0"]))
         edges = work.keep(ordered(_follow(_follow(edges, "a", jump, hubs), "b", jump, hubs)), f"{name}-edges{step + 1}")

@@ -26,6 +26,7 @@ def all_hot(monkeypatch):
     """Every key of more than three rows is treated as a hot one."""
     for module in (workspace, prefixes, simhash, components):
         monkeypatch.setattr(module, "hot_rows", lambda rows: 3, raising=False)
+    monkeypatch.setattr(components, "FEW", 0)
 
 
 # --- op11 ---
