@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import checks, prose
@@ -122,7 +122,7 @@ def glossary_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A document's blocks, numbered, and a copy of them that lacks some numbers, repeats others, holds false ones, and changes some words."""
     own = _rows(spark, sf_dir, blocks, "blocks").select("doc_id", (F.col("ord") + 1).alias("n"), "text")
-    said = F.when(F.col("n") % 5 == 2, F.concat("text", F.lit(" in addition"))).when(F.col("n") % 4 == 3, F.concat(F.lit("Another "), "text", F.lit(" ends here"))).otherwise(F.col("text"))
+    said = F.when(F.col("n") % 5 == 2, F.regexp_replace("text", r"^(\S+) (\S+)", "$1 added $2")).when(F.col("n") % 4 == 3, F.regexp_replace("text", r"^(\S+) \S+", "Note: $1 another")).otherwise(F.col("text"))
     head = F.when(F.col("n") % 6 == 5, F.lit("")).otherwise(F.concat(F.col("n").cast("string"), F.lit(". ")))
     false = F.when(F.col("n") % 7 == 3, F.lit("\n\n1. A false number")).when(F.col("n") % 11 == 4, F.lit("\n  99999. Beyond all")).otherwise(F.lit(""))
     put = F.concat(head, said, false)
@@ -133,7 +133,7 @@ def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     "join_10_numbered_match",
     with_(blocks(DUCK)).replace("WITH", "WITH RECURSIVE", 1) + """, own AS (SELECT doc_id, ord + 1 AS n, text FROM blocks),
-    put AS (SELECT doc_id, n, CASE WHEN n % 6 = 5 THEN '' ELSE n || '. ' END || CASE WHEN n % 5 = 2 THEN text || ' in addition' WHEN n % 4 = 3 THEN 'Another ' || text || ' ends here' ELSE text END
+    put AS (SELECT doc_id, n, CASE WHEN n % 6 = 5 THEN '' ELSE n || '. ' END || CASE WHEN n % 5 = 2 THEN regexp_replace(text, '^(\\S+) (\\S+)', '\\1 added \\2') WHEN n % 4 = 3 THEN regexp_replace(text, '^(\\S+) \\S+', 'Note: \\1 another') ELSE text END
       || CASE WHEN n % 7 = 3 THEN chr(10) || chr(10) || '1. A false number' WHEN n % 11 = 4 THEN chr(10) || '  99999. Beyond all' ELSE '' END AS x FROM own),
     copy AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY n) AS text, max(n) AS most FROM put GROUP BY doc_id),
     rest(doc_id, n, most, text, found) AS (
@@ -158,7 +158,9 @@ def collation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered paragraphs against the copy's: equal, different (with the words' ratio and the first changes) or absent; what changed words goes before what the copy only adds."""
     found = numbering.collate(*_copies(spark, sf_dir), "doc_id")
     shown = F.array_join(F.transform("changes", lambda c: F.concat(c["kind"], F.lit(": "), c["ours"], F.lit(" > "), c["theirs"])), "|")
-    return found.select("doc_id", "n", "outcome", "ratio", "total", "changed", shown.alias("changes"))
+    differs = F.col("outcome") == "different"
+    place = F.when(differs, F.row_number().over(Window.partitionBy("doc_id", differs).orderBy(~F.col("changed"), "ratio", "n")))
+    return found.select("doc_id", "n", "outcome", "ratio", "total", "changed", shown.alias("changes"), place.cast("long").alias("place"))
 
 
 # --- BLK-14 and BLK-21: folds ---
