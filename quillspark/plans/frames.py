@@ -663,3 +663,13 @@ def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = checks.checks(F.col("src"), F.col("out"), "translate", _TERMS, invented=F.col("invented"))
     named = F.array_distinct(F.transform(alerts, lambda a: F.regexp_extract(a, r"^(marks differ; no text in b1|marks differ; source|[^:(]*[^:( ])", 1)))
     return own.join(made, ["conv_id", "turn"], "left").select("conv_id", "turn", "case_number", F.array_join(named, "|").alias("alerts"))
+
+
+# --- S-05 ---
+
+
+@query("s_05_sentences", f"SELECT doc_id, len(s) AS sentences, sha256(array_to_string(s, chr(10))) AS sha FROM (SELECT doc_id, {_sentences("regexp_replace(text, '</?[aib][0-9]+>|<n[0-9]+/>|<br>', ' ', 'g')")} AS s FROM documents)")
+def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native: Java's regular expressions have the look-arounds that the boundary needs."""
+    found = checks.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("sentences"), F.sha2(F.array_join(found, "\n"), 256).alias("sha"))

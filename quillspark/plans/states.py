@@ -43,15 +43,16 @@ operator(
 )
 
 # ST-07: requests on draft blocks, one for each block here: accept, accept with a new text, undo, set the level, accept all approved, accept at the end.
-# 400: a new text for several blocks, a level that is none, a broken mark in the text, nothing to change; 409: the block is still worked on. Requests
+# 404: no such block; 400: a new text for several blocks, a level that is none, a broken mark in the text, nothing to change; 409: the block is still worked on. Requests
 # for all leave out blocks with broken marks and those in work instead.
 operator(
     "st_07_accept_log",
-    lambda d: with_(draft(d)) + f""", r AS (SELECT doc_id, book, status AS was, accepted, kind, coalesce(nullif(edited, ''), result, '') AS body, CASE doc_id % 6 WHEN 0 THEN 'accept' WHEN 1 THEN 'text' WHEN 2 THEN 'undo' WHEN 3 THEN 'level' WHEN 4 THEN 'approved' ELSE 'end' END AS action,
-      CASE WHEN doc_id % 6 = 1 THEN 1 + CAST(doc_id % 5 = 2 AS INT) ELSE 1 END AS ids, doc_id % 9 - 1 AS level FROM draft),
+    lambda d: with_(draft(d)) + f""", k AS (SELECT q.doc_id, b.book, b.status, b.accepted, b.kind, b.edited, b.result FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 5 THEN doc_id + 1000000000 ELSE doc_id END AS target FROM documents) q LEFT JOIN draft b ON b.doc_id = q.target),
+    r AS (SELECT doc_id, book, status AS was, accepted, kind, coalesce(nullif(edited, ''), result, '') AS body, CASE doc_id % 6 WHEN 0 THEN 'accept' WHEN 1 THEN 'text' WHEN 2 THEN 'undo' WHEN 3 THEN 'level' WHEN 4 THEN 'approved' ELSE 'end' END AS action,
+      CASE WHEN doc_id % 6 = 1 THEN 1 + CAST(doc_id % 5 = 2 AS INT) ELSE 1 END AS ids, doc_id % 9 - 1 AS level FROM k),
     t AS (SELECT *, CASE WHEN action = 'text' THEN concat(body, ' corrected', CASE WHEN doc_id % 4 = 1 THEN ' <a1>' ELSE '' END) WHEN doc_id % 8 = 4 THEN concat(body, ' <n2/>') ELSE body END AS text FROM r),
     m AS (SELECT *, {d.has("replace(text, '<br>', '')", MARK)} AS broken, action IN ('approved', 'end') AS bulk FROM t),
-    s AS (SELECT *, CASE WHEN action = 'text' AND ids <> 1 THEN 400 WHEN NOT bulk AND action <> 'undo' AND was = 'running' THEN 409 WHEN action = 'level' AND (kind = 'image' OR level NOT BETWEEN 0 AND 6) THEN 400 WHEN action IN ('accept', 'text') AND broken THEN 400
+    s AS (SELECT *, CASE WHEN was IS NULL THEN 404 WHEN action = 'text' AND ids <> 1 THEN 400 WHEN NOT bulk AND action <> 'undo' AND was = 'running' THEN 409 WHEN action = 'level' AND (kind = 'image' OR level NOT BETWEEN 0 AND 6) THEN 400 WHEN action IN ('accept', 'text') AND broken THEN 400
       WHEN action = 'approved' AND (was <> 'approved' OR accepted OR broken) THEN 204 WHEN action = 'end' AND (was = 'running' OR accepted OR broken) THEN 204 ELSE 200 END AS code FROM m)
     SELECT doc_id, action, CAST(code AS BIGINT) AS code, CASE WHEN code <> 200 OR action = 'level' THEN accepted ELSE action <> 'undo' END AS accepted, code = 200 AND action = 'end' AS automatic,
       CASE WHEN code = 200 AND action = 'level' THEN CASE WHEN level > 0 THEN 'heading' ELSE 'paragraph' END ELSE kind END AS kind, CASE WHEN code = 200 AND action = 'text' THEN trim(text) ELSE body END AS text FROM s""",

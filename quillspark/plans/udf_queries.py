@@ -107,14 +107,6 @@ def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", "ord", styled("text").alias("markdown"))
 
 
-@query("s_05_sentences")
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native: Java's regular expressions have the look-arounds that the boundary needs."""
-    boundary = r"(?U)(?<=[.!?…])[\"”’»)\]*]*\s+(?=[\"“‘«(\[*]*[A-ZÀ-Ý0-9])"
-    found = F.filter(F.split(F.trim(F.regexp_replace("text", "</?[aib]\\d+>|<n\\d+/>|<br>", " ")), boundary), lambda s: F.trim(s) != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("sentences"), F.sha2(F.array_join(found, "\n"), 256).alias("sha"))
-
-
 @query("s_09_mask")
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.lit("*"), F.regexp_replace("text", r"\*", ""), F.lit("*"))
@@ -124,7 +116,7 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ord", F.get("m", F.lit(0)).alias("masked"), (F.size("m") - 1).cast("long").alias("pieces"))
 
 
-@query("s_10_unmask")
+@query("s_10_unmask", with_(blocks(DUCK)) + "SELECT doc_id, ord, true AS same FROM blocks")
 def unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The round trip: unmask(mask(text)) is the text."""
     marked = F.regexp_replace(F.regexp_replace("text", "(the) ", "**$1** "), "(was|und|que) ", "[$1](http://example.org/$1) ")
@@ -186,7 +178,7 @@ def digital_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.when(F.lower(F.substring("html", 1, 9)) == "<!doctype", "html").otherwise("txt").alias("format"), F.length(text).cast("long").alias("n_chars"), kept.alias("whole"))
 
 
-@query("src_03_epub_order")
+@query("src_03_epub_order", with_(lines(DUCK)) + "SELECT doc_id, ord AS place, '<p>' || regexp_replace(line, '[<>&]', ' ', 'g') || '</p>' AS body FROM lines")
 def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters in spine order from EPUB archives that are made of all of a document's lines."""
 
@@ -198,17 +190,17 @@ def epub_order(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows += [(doc, k, name, body) for k, (name, body) in enumerate(epub.chapters(epub.pack(chapters)))]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "name", "body"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, place long, name string, body string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, place long, name string, body string").select("doc_id", "place", "body")
 
 
-operator("src_11_notes_links", lambda d: with_(lines(d)) + f", t AS (SELECT doc_id, ord, concat('[', substring(line, 1, 20), '](#n', CAST(ord AS STRING), ') [w](http://example.org)') AS md FROM lines WHERE NOT {d.has('line', r'[\]\[()]')}) SELECT doc_id, ord, {d.rx('md', r'\[([^\]]*)\]\(#[^)]*\)', '$1')} AS text FROM t")
+operator("src_11_notes_links", lambda d: with_(lines(d)) + f", t AS (SELECT doc_id, ord, concat('[', line, '](#n', CAST(ord AS STRING), ') [w](http://example.org)') AS md FROM lines WHERE NOT {d.has('line', r'[\]\[()]')}) SELECT doc_id, ord, {d.rx('md', r'\[([^\]]*)\]\(#[^)]*\)', '$1')} AS text FROM t")
 
 
 @query("src_05_page_text_unescaped")
 def page_text_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page to text with all character references of HTML, as books are read."""
     more = F.concat("html", F.lit("<p>caf&eacute; &#8212; &#x41;&hellip; &notit; &lt;b&gt;"))
-    return table(spark, sf_dir, "pages").select("page_id", _column("string", books.page_text)(more).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.substring("text", -24, 24).alias("ending"))
+    return table(spark, sf_dir, "pages").select("page_id", _column("string", books.page_text)(more).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 @query("src_13_json_state")
