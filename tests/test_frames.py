@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import align
+from quillspark.functions import align, checks
 from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, layout, notes, numbering, planting, spans, tables, terms
 from quillspark.sources import fictionbook, pdf
 from quillspark.streaming import throttle
@@ -404,3 +404,13 @@ def test_titles_of_spans(spark):
     found = layout.titled(layout.blocks(spans_), layout.body_size(spans_)).where("title").orderBy("page", "block").collect()
     assert [(r["page"], r["block"], r["text"]) for r in found] == [(1, 0, "ASLEEP AT A STOPLIGHT, AWOKEN ONLY BY HORN"), (1, 3, "Bold one."), (1, 4, "Bold two"), (2, 0, "Far"), (2, 1, "Apart")]
     assert layout.body_size(spans_).first()["body"] == 10.0 and layout.dominant_font(spans_).first()["font"] == "F"
+
+
+def test_rules_of_a_dictionary(spark):
+    pairs = spark.createDataFrame([("The house is big and red today.", "A casa é grande e xyzzyx hoje aqui."), ("O theatro é bello hoje", "O theatro é bello hoje")], "s string, o string")
+    alert = lambda task, **more: [r["c"] for r in pairs.select(checks.checks(F.col("s"), F.col("o"), task, **more).alias("c")).collect()]
+    words = F.when(F.contains("o", F.lit("xyzzyx")), F.array(F.lit("xyzzyx"), F.lit("plugh")))
+    assert alert("translate", invented=words)[0] == ["no word of the language: xyzzyx, plugh"] and all("no word" not in a for x in alert("translate") for a in x)
+    found = alert("modernise", unknown=F.array(F.lit("zzz"), F.lit("theatro")), same_words=F.lit(0.5))
+    assert found[1] == ["old spelling: bello, theatro, zzz", "changed beyond spelling (50% of the words equal)"]
+    assert alert("modernise")[1] == ["old spelling: bello, theatro"]
