@@ -14,18 +14,29 @@ RUN, WINDOW = 12, 30
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of all runs along the last axis."""
+    n = codes.shape[-1] - run + 1
+    h = np.zeros((*codes.shape[:-1], n), np.uint64)
+    for k in range(run):
+        h = h * _FACTOR + codes[..., k : k + n]
+    return _mixed(h)
+
+
 def sampled_runs(text: str, run: int = RUN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the runs with the least hash of any window, the first of equal ones; equal windows sample the same place."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n, span = len(codes) - run + 1, window - run + 1
     if n < span:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(run):
-        h = h * _FACTOR + codes[k : k + n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = _run_hashes(codes, run)
     best = np.arange(n - span + 1)
     for k in range(1, span):
         other = np.arange(k, k + len(best))
@@ -34,8 +45,16 @@ def sampled_runs(text: str, run: int = RUN, window: int = WINDOW) -> tuple[np.nd
     return places, h[places].view(np.int64)
 
 
+def window_runs(windows: list[str], run: int = RUN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the sampled run of each of many windows."""
+    codes = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(windows), window)
+    h = _run_hashes(codes, run)
+    places = h.argmin(axis=1)
+    return places, h[np.arange(len(h)), places].view(np.int64)
+
+
 def _runs_of(rows: DataFrame, key: list[str], text: str, around: bool, run: int, window: int) -> DataFrame:
-    """(key, hash, place) of the sampled runs of texts of ``window`` characters or more; with ``around``, the characters before and after that any window
+    """(key, hash, place) of the sampled runs of texts of ``window`` characters or more; without ``around`` they have just as many, and one run each; with it, the characters before and after that any window
     with the run has, and how many are before."""
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "hash long, place long", *(["context string, before int"] if around else [])])
@@ -43,6 +62,10 @@ def _runs_of(rows: DataFrame, key: list[str], text: str, around: bool, run: int,
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = window - run
         for batch in batches:
+            if not around and batch.num_rows:  # needles: windows themselves
+                p, h = window_runs(batch.column("_text").to_pylist(), run, window)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(h), pa.array(p.astype(np.int64))], [*key, "hash", "place"])
+                continue
             at, places, hashes, contexts, before = [], [], [], [], []
             for row, body in enumerate(batch.column("_text").to_pylist()):
                 if body is None:
