@@ -6,7 +6,8 @@ document's component under links.
 1. Equal sets are one from here on (64-bit set hash).
    Of shingles of ``RARE_SIZE`` words or more, sets that link share the least of their common hashes within the first of each (its
    prefix, ``1 - num / den`` of its shingles and as many again). A set with fewer of them in other sets' prefixes than any partner
-   would share has none, and leaves, as most documents that merely share a passage do. Only prefixes are shuffled for that.
+   would share has none, and leaves, as most documents that merely share a passage do. Only prefixes are shuffled for that, in
+   ``PASSES`` passes if they are many, so that the disk holds the hashes of one pass at a time.
 2. Partition, without loss: sets that link differ in at most d shingles, d by their size, so of k > d hash ranges of the shingle space
    at least k - d hold the same shingles in both. Each set has one signature for each range (ranges are scaled by size level; a set
    also signs for the level below if a smaller partner may be there). Sets that share a signature fall into one group, by
@@ -50,6 +51,8 @@ LEAF = 8
 CHUNK_ROWS = 500_000
 #: From this many words on, shingles are rare by themselves, and counting the shared ones pays.
 RARE_SIZE = 5
+#: Rows of prefixes that one shuffle takes; of more, each pass takes a share of the hashes.
+PASS_ROWS, PASSES = 20_000_000, 4
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -286,9 +289,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["set_id", "n"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the prefixes' shingles, 48 bits (a collision weakens the filter and loses nothing). Sets that share one within a chunk are counted
-    here, as rows without hash; one of them goes on for all."""
+def _tokens(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, nth: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Hashes of the prefixes' shingles, 48 bits (a collision weakens the filter and loses nothing), of them those of the pass. Sets that share one
+    within a chunk are counted here, as rows without hash; one of them goes on for all."""
 
     def out(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h = (np.concatenate([p for _, p in parts]) >> np.uint64(16)).view(np.int64)
@@ -306,9 +309,12 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) ->
     parts, rows = [], 0
     for batch in batches:
         for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
-            if len(s):
-                parts.append((set_hash(s), prefix(s, num, den)))
-                rows += len(parts[-1][1])
+            own = prefix(s, num, den) if len(s) else s
+            if passes > 1:
+                own = own[(own >> np.uint64(16)) % np.uint64(passes) == np.uint64(nth)]
+            if len(own):
+                parts.append((set_hash(s), own))
+                rows += len(own)
             if rows > CHUNK_ROWS:
                 yield from out(parts)
                 parts, rows = [], 0
@@ -407,9 +413,15 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
     hot = None if hot.isEmpty() else hot
     signing = slim
     if size >= RARE_SIZE:
-        counted = slim.mapInArrow(lambda b: _tokens(b, size, num, den), "hash long, set_id long, counted boolean, n long")
-        counted = counted.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_count_shared, "set_id long, n long")
-        shared = work.keep(counted.groupBy("set_id").agg(F.sum("n").alias("shared")), "shared")
+        shown = F.col("n") - F.ceil(F.col("n") * num / den) + F.greatest(F.ceil(F.col("n") * (den - num) / den), F.lit(1))
+        passes = max(1, min(PASSES, -(-(described.agg(F.sum(shown)).first()[0] or 0) // PASS_ROWS)))
+        shared = None
+        for k in range(passes):
+            counted = slim.mapInArrow(lambda batches, k=k: _tokens(batches, size, num, den, k, passes), "hash long, set_id long, counted boolean, n long")
+            counted = counted.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_count_shared, "set_id long, n long")
+            part = work.keep(counted.groupBy("set_id").agg(F.sum("n").alias("n")), f"shared{k}")
+            shared = part if shared is None else shared.unionAll(part)
+        shared = shared.groupBy("set_id").agg(F.sum("n").alias("shared"))
         least = F.ceil(F.ceil(F.col("n") * num / den) * (den - num) / den)
         # Equal texts of different rows are one set: a set of several rows needs no partner, and one without may leave.
         able = firsts.join(shared, "set_id").where(F.col("shared") >= F.greatest(least, F.lit(1))).select("set_id")
