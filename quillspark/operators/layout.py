@@ -14,8 +14,16 @@ def body_size(spans: DataFrame, book: str = "path") -> DataFrame:
     return sized.groupBy(book).agg(F.max_by("_size", F.struct("_chars", -F.col("_size"))).alias("body"))
 
 
+def with_body(spans: DataFrame, book: str = "path") -> DataFrame:
+    """``spans`` that have a text, with their book's ``body``. Spans are read once and dealt by their book; so what goes by book and page after it is not dealt again."""
+    size = F.round("size")
+    sized = spans.where("text IS NOT NULL").repartition(book).withColumn("_chars", F.sum(F.length(F.trim("text"))).over(Window.partitionBy(book, size)))
+    return sized.withColumn("body", F.max_by(size, F.struct("_chars", -size)).over(Window.partitionBy(book))).drop("_chars")
+
+
 def blocks(spans: DataFrame, book: str = "path") -> DataFrame:
-    """(book, page, block, text, size: of the longest span, bold: all of it is, y0, y1): lines are divided by line ends. Blank blocks go."""
+    """(book, page, block, text, size: of the longest span, bold: all of it is, y0, y1, and body if the spans have it): lines are divided by line ends. Blank blocks go."""
+    own = ["body"] if "body" in spans.columns else []
     solid = F.trim("text") != ""
     span = F.struct("line", "span", "text")
     line = lambda rows, k: F.array_join(F.transform(F.filter(rows, lambda s: s["line"] == k), lambda s: s["text"]), "")
@@ -25,15 +33,16 @@ def blocks(spans: DataFrame, book: str = "path") -> DataFrame:
         F.coalesce(F.bool_and(F.when(solid, F.col("bold"))), F.lit(False)).alias("bold"),
         F.min("y0").alias("y0"),
         F.max("y1").alias("y1"),
+        *(F.first(c).alias(c) for c in own),
     )
     lines = F.transform(F.array_distinct(F.transform("_all", lambda s: s["line"])), lambda k: line(F.col("_all"), k))
-    return held.select(book, "page", "block", F.trim(F.array_join(lines, "\n")).alias("text"), "size", "bold", "y0", "y1").where("text <> ''")
+    return held.select(book, "page", "block", F.trim(F.array_join(lines, "\n")).alias("text"), "size", "bold", "y0", "y1", *own).where("text <> ''")
 
 
-def titled(rows: DataFrame, body: DataFrame, book: str = "path") -> DataFrame:
-    """``rows`` (as ``blocks`` has them) with ``title``: under 200 characters, and of a size of 1.18 bodies or more, or under 120 and bold throughout. Titles that follow each other in one size,
+def titled(rows: DataFrame, body: DataFrame | None = None, book: str = "path") -> DataFrame:
+    """``rows`` (as ``blocks`` has them, with their body or beside it) with ``title``: under 200 characters, and of a size of 1.18 bodies or more, or under 120 and bold throughout. Titles that follow each other in one size,
     the next right below one without final punctuation, are one: its texts with a space between, the first one's place."""
-    known = rows.join(body, book)
+    known = rows if body is None else rows.join(body, book)
     large = (F.length("text") < 200) & ((F.col("size") >= 1.18 * F.col("body")) | ((F.length("text") < 120) & F.col("bold")))
     own = Window.partitionBy(book, "page").orderBy("block")
     before = lambda c: F.lag(c).over(own)
@@ -57,10 +66,10 @@ def page_texts(rows: DataFrame, book: str = "path") -> DataFrame:
 
 def dominant_font(spans: DataFrame, book: str = "path") -> DataFrame:
     """(book, font, chars): the font with most characters over a book's middle pages (from its quarter on, thirty at most); of equal ones the first by name."""
-    pages = spans.groupBy(book).agg(F.max("page").alias("_pages"))
+    # One pass over the spans: what follows are sums by page and font.
+    used = spans.where(F.col(book).isNotNull()).groupBy(book, "page", "font").agg(F.sum(F.length("text")).alias("chars"))
+    used = used.withColumn("_pages", F.max("page").over(Window.partitionBy(book)))
     start = F.floor(F.col("_pages") / 4)
     stop = F.greatest(start + 1, F.least(F.col("_pages"), start + 30))
-    middle = spans.join(pages, book).where((F.col("page") > start) & (F.col("page") <= stop))
-    used = middle.groupBy(book, "font").agg(F.sum(F.length("text")).alias("chars"))
-    least = used.groupBy(book).agg(F.max("chars").alias("chars"))
-    return used.join(least, [book, "chars"]).groupBy(book).agg(F.min("font").alias("font"), F.min("chars").cast("long").alias("chars"))
+    fonts = used.where((F.col("page") > start) & (F.col("page") <= stop)).groupBy(book, "font").agg(F.sum("chars").alias("chars"))
+    return fonts.groupBy(book).agg(F.min_by("font", F.struct(-F.col("chars"), F.col("font"))).alias("font"), F.max("chars").cast("long").alias("chars"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import align, checks
 from quillspark.operators import audits, containment, dictionary, folds, glossary, hyphens, layout, notes, numbering, planting, spans, tables, terms
+from quillspark.plans import catalogue as registry
 from quillspark.sources import fictionbook, pdf
 from quillspark.streaming import throttle
 
@@ -414,3 +415,10 @@ def test_rules_of_a_dictionary(spark):
     found = alert("modernise", unknown=F.array(F.lit("zzz"), F.lit("theatro")), same_words=F.lit(0.5))
     assert found[1] == ["old spelling: bello, theatro, zzz", "changed beyond spelling (50% of the words equal)"]
     assert alert("modernise")[1] == ["old spelling: bello, theatro"]
+
+
+def test_spans_of_files_are_made_once(spark):
+    """Titles, page texts and fonts read each file once, and spans of a book are dealt by it once."""
+    for name in ("src_01_page_text", "blk_05_typographic_titles", "src_22_dominant_font"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert len(re.findall(r"MapInArrow|MapInPandas|ArrowEvalPython", plan)) == 2, name
