@@ -15,3 +15,8 @@ def _part(spark, place, **tables):
 def test_completeness_of_lines_of_odd_length(spark, tmp_path):
     sf = _part(spark, tmp_path, documents="doc_id IN (1863, 2729, 4387, 8133)")
     assert_same(registry.QUERIES["aln_08_completeness"](spark, sf), connect(sf), registry.ORACLES["aln_08_completeness"])
+
+
+def test_negations_end_where_the_sql_ends_them(spark, tmp_path):
+    sf = _part(spark, tmp_path, documents="doc_id < 40", conversations="conv_id = 789")
+    assert_same(registry.QUERIES["s_18_checks"](spark, sf), connect(sf), registry.ORACLES["s_18_checks"])
