@@ -16,6 +16,8 @@ PLACED = "place long, id string, outcome string, ours array<string>, theirs arra
 CHANGES = "array<struct<kind:string,ours:string,theirs:string,before:string>>"
 #: Changes that a row shows; ``total`` counts all.
 SHOWN = 12
+#: Share of words that a modernised text keeps at least, but for their spelling.
+SAME = 0.93
 
 
 def place_editions(blocks: DataFrame, copies: DataFrame, key: str = "book") -> DataFrame:
@@ -80,4 +82,4 @@ def same_words(source: Column, out: Column) -> Column:
 
 def beyond_spelling(source: Column, out: Column) -> Column:
     """Whether a modernised text changed more than spelling: under 0.93 of the words' skeletons agree."""
-    return same_words(source, out) < 0.93
+    return same_words(source, out) < SAME

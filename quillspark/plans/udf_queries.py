@@ -293,9 +293,9 @@ def checks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_18_checks_same_language")
 def checks_same_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of spelling tasks, and whether more than spelling changed."""
-    found = frames.planted_pairs(spark, sf_dir)
-    alerts = checks.checks(F.col("src"), F.col("out"), "modernise", same_words=editions.same_words(F.col("src"), F.col("out")))
-    return found.select("conv_id", "turn", "type", F.array_join(alerts, "; ").alias("alerts"), editions.beyond_spelling(F.col("src"), F.col("out")).alias("beyond_spelling"))
+    found = frames.planted_pairs(spark, sf_dir).withColumn("_same", editions.same_words(F.col("src"), F.col("out")))
+    alerts = checks.checks(F.col("src"), F.col("out"), "modernise", same_words=F.col("_same"))
+    return found.select("conv_id", "turn", "type", F.array_join(alerts, "; ").alias("alerts"), (F.col("_same") < editions.SAME).alias("beyond_spelling"))
 
 
 @query("aln_01_edition_summary")

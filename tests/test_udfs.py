@@ -9,3 +9,10 @@ def test_equal_skeletons_are_not_aligned(monkeypatch):
     monkeypatch.setattr(align, "SequenceMatcher", None)
     assert align.combine("o  pharol,\nda", "o farol, da") == "o  farol,\nda"
     assert align.ratio(["a"], ["a"]) == 1.0
+
+
+def test_same_words_are_compared_once(spark):
+    from quillspark.plans import udf_queries
+
+    plan = udf_queries.checks_same_language(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[skeleton_ratio(") == 1 and plan.count("skeleton_ratio(") == 1
