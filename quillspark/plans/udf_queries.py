@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +19,34 @@ from quillspark.streaming import queue
 from quillspark.tables import table
 
 
+#: Arrow types of what a function of texts gives, and how many of a batch's values are Python objects at a time.
+_TYPES = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+_AT_ONCE = 256
+
+
+def _by_parts(kind: str, function, *columns: pa.Array) -> pa.Array:
+    """A function of columns' values, null where one of them is, a part of the rows after another: a batch's texts are not Python objects all at once."""
+    parts = []
+    for at in range(0, len(columns[0]), _AT_ONCE):
+        rows = zip(*(c.slice(at, _AT_ONCE).to_pylist() for c in columns))
+        parts.append(pa.array([None if any(v is None for v in row) else function(*row) for row in rows], _TYPES[kind]))
+    return pa.concat_arrays(parts) if parts else pa.array([], _TYPES[kind])
+
+
 def _column(kind: str, function):
-    """A function of one text as a pandas UDF; null in, null out."""
+    """A function of one text as an Arrow UDF; null in, null out."""
 
-    @F.pandas_udf(kind)
-    def udf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else function(v))
+    @F.arrow_udf(kind)
+    def udf(x: pa.Array) -> pa.Array:
+        return _by_parts(kind, function, x)
 
     return udf
 
 
 def _two(kind: str, function):
-    @F.pandas_udf(kind)
-    def udf(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else function(a, b) for a, b in zip(x, y)])
+    @F.arrow_udf(kind)
+    def udf(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _by_parts(kind, function, x, y)
 
     return udf
 
