@@ -1,6 +1,7 @@
 """Golden values and properties of the sequence functions."""
 
 import random
+from difflib import SequenceMatcher
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +66,24 @@ def test_editions_word_changed_block_cut_and_passage_added():
     assert edition(blocks[:2], "") == ({"b1": "absent", "b2": "absent"}, {}, []) and edition([], "a b c")[0] == {}
 
 
+def test_alignment_of_many_equal_words_is_difflibs(monkeypatch):
+    """Runs held as arrays give difflib's blocks, also where they are looked at in parts; a part's longest run is not looked for pair by pair."""
+    rng = random.Random(5)
+    monkeypatch.setattr(align, "MANY", 1)
+    for k in range(300):
+        monkeypatch.setattr(align, "PART", rng.choice([3, 50, 10**6]))
+        say = lambda n: [str(rng.randrange(1 + k % 9)) for _ in range(n)]
+        a = say(rng.randint(0, 40))
+        b = a[: rng.randint(0, 40)] + say(rng.randint(0, 9)) + a[rng.randint(0, 40) :]
+        own, other = align.Alignment(a, b), SequenceMatcher(None, a, b, autojunk=False)
+        assert own.get_matching_blocks() == other.get_matching_blocks() and own.ratio() == other.ratio()
+    monkeypatch.undo()
+    a = [rng.choice("abcdefghij") for _ in range(5000)]
+    b = [w for k, w in enumerate(a) if k % 10]
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", None)
+    assert align.ratio(a, b) > 0.9
+
+
 def test_words_and_markdown():
     assert align.words("suffe-\nring “Aspas” — fim.") == ["suffering", "aspas", "fim"] and align.words("‘hbd’ don't ' x") == ["hbd", "don't", "x"]
     plain = align.words(align.strip_markdown("1.  Um item. 2.  Outro, de 1930. 3.0 fica."))

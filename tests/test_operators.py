@@ -92,6 +92,17 @@ def test_editions(spark):
     assert [r[0] for r in pairs.select(editions.beyond_spelling(F.col("a"), F.col("b"))).collect()] == [False, True]
 
 
+def test_editions_are_placed_once(spark):
+    """A book's blocks and copies are dealt and read once for all outcomes; books without a copy have no rows, null names are a book, null texts no words."""
+    rows = [("x", "b0", 0, "one two three four five six seven"), ("x", "b1", 1, None), (None, "b0", 0, "one two three four five six seven"), ("y", "b0", 0, "lost")]
+    blocks = spark.createDataFrame(rows, "book string, id string, ord long, text string")
+    copies = spark.createDataFrame([("x", rows[0][3]), (None, rows[0][3]), ("z", "more")], "book string, text string")
+    compared = editions.compare_editions(blocks, copies)
+    assert sorted((r["book"] or "", r["id"], r["outcome"], r["total"]) for r in compared.collect()) == [("", "b0", "equal", 0), ("x", "b0", "equal", 0), ("x", "b1", "not compared", 0)]
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Group" not in plan
+
+
 def test_books_are_read_from_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "a.epub").write_bytes(epub.pack(["one & only", "two"]))
