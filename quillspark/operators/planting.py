@@ -11,8 +11,9 @@ from quillspark.functions.checks import sentences
 KINDS = ("clean", "omission", "addition", "number", "negation", "source language", "softening")
 
 
-def planted(pairs: DataFrame, key: list[str], order: list[str], source: str = "src", out: str = "out") -> DataFrame:
-    """Each pair as it is, and with one error of each type that its output allows: (columns of ``pairs``, type, planted).
+def planted(pairs: DataFrame, key: list[str], order: list[str], source: str = "src", out: str = "out", of_pair: dict[str, Column] | None = None) -> DataFrame:
+    """Each pair as it is, and with one error of each type that its output allows: (columns of ``pairs``, ``of_pair``, type, planted). What ``of_pair`` says of a pair's
+    columns is computed once for all its errors.
 
     ``key``: a book's pairs, ``order``: their order in it. An error is at sentence k (from 1 on, by the pair's number; outputs of one sentence have none there):
     that sentence goes, the first sentence of the pair five on comes before it, or the source's stands in its place (where both have as many). A number of
@@ -49,4 +50,6 @@ def planted(pairs: DataFrame, key: list[str], order: list[str], source: str = "s
         "softening": softer,
     }
     every = F.explode(F.array(*(F.struct(F.lit(kind).alias("type"), made[kind].alias("planted")) for kind in KINDS)))
-    return rows.select(*pairs.columns, every.alias("_x")).where("_x.planted IS NOT NULL").select(*pairs.columns, "_x.type", "_x.planted")
+    kept = [*pairs.columns, *(of_pair or {})]
+    rows = rows.withColumns(of_pair) if of_pair else rows
+    return rows.select(*kept, every.alias("_x")).where("_x.planted IS NOT NULL").select(*kept, "_x.type", "_x.planted")

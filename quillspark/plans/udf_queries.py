@@ -177,8 +177,8 @@ def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted errors by type: cases, those that the rules catch, that an auditor does (here: three of four, by number), that either does, and
     what stands after a judge, who upholds half of what is not locked."""
-    alerts = checks.checks(F.col("src"), F.col("out"), "translate")
-    found = frames.planted_pairs(spark, sf_dir).withColumn("alerts", alerts)
+    alerts = checks.checks(F.col("src"), F.col("out"), "translate", of_source=F.col("_of"))
+    found = frames.planted_pairs(spark, sf_dir, {"_of": checks.asked(F.col("src"))}).withColumn("alerts", alerts)
     rules, auditor = F.size("alerts") > 0, (F.col("type") != "clean") & ((F.col("conv_id") + F.col("turn")) % 4 > 0)
     stands = F.exists("alerts", checks.locked) | (rules | auditor) & (F.col("conv_id") % 2 == 0)
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("cases"), F.count_if(rules).alias("rules"), F.count_if(auditor).alias("auditor"), F.count_if(rules | auditor).alias("either"), F.count_if(stands).alias("standing"))
@@ -300,8 +300,9 @@ def atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_18_checks_messages")
 def checks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules with their messages, over planted errors; the glossary holds two terms."""
-    found = frames.planted_pairs(spark, sf_dir)
-    alerts = checks.checks(F.col("src"), F.col("out"), "translate", (("the", "anly"), ("tion", "shst")))
+    terms = (("the", "anly"), ("tion", "shst"))
+    found = frames.planted_pairs(spark, sf_dir, {"_of": checks.asked(F.col("src"), "translate", terms)})
+    alerts = checks.checks(F.col("src"), F.col("out"), "translate", terms, of_source=F.col("_of"))
     return found.select("conv_id", "turn", "type", F.posexplode(alerts).alias("nth", "message")).withColumn("locked", checks.locked(F.col("message")))
 
 

@@ -44,6 +44,18 @@ def test_rules(spark, source, out, task, starts):
     assert len(found) == len(starts) and all(f.startswith(s) for f, s in zip(found, starts)), found
 
 
+def test_rules_share_what_they_look_at(spark):
+    """A source's facts can be a column of its own, for all its outputs; sentences are split once for a text, whatever rules ask for them."""
+    outs = [GOOD, GOOD.replace("não ", ""), LONG, "", GOOD.replace("1912", "1919") + " Nota do tradutor"]
+    pairs = spark.createDataFrame([(LONG.replace("house", "damned house"), o) for o in outs], "s string, o string")
+    terms = (("house", "morada"),)
+    own = checks.checks(F.col("s"), F.col("o"), "translate", terms)
+    given = pairs.withColumn("f", checks.asked(F.col("s"), "translate", terms)).select(checks.checks(F.col("s"), F.col("o"), "translate", terms, of_source=F.col("f")).alias("c"))
+    assert [r["c"] for r in given.collect()] == [r["c"] for r in pairs.select(own.alias("c")).collect()]
+    plan = pairs.select(own.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(checks.BOUNDARY) == 2
+
+
 def test_glossary_counts_inflected_terms(spark):
     assert alerts(spark, LONG, GOOD, terms=(("house", "casa"),)) == []
     assert alerts(spark, LONG, GOOD, terms=(("house", "morada"),)) == ['glossary: "house" should be "morada"']
