@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.align import REFORMS
 from quillspark.functions.folding import accent_table
+from quillspark.operators.tables import kept
 
 # Regular changes of spelling, in the order in which they apply, as (pattern, replacement).
 RULES = (
@@ -115,7 +116,7 @@ def _accented(words: DataFrame, column: str, accents: DataFrame) -> DataFrame:
 
 
 def repairs(words: DataFrame, known: DataFrame, accents: DataFrame) -> DataFrame:
-    """Words (word) to (word, repaired) where one repair, or else two in a row, leads to known words, and to one alone."""
+    """Words (word) to (word, repaired) where one repair, or else two in a row, leads to known words, and to one alone. What one repair makes is written once, for both."""
     known = known.select(F.col("word").alias("candidate")).distinct()
 
     def step(rows: DataFrame, source: str) -> DataFrame:
@@ -125,7 +126,7 @@ def repairs(words: DataFrame, known: DataFrame, accents: DataFrame) -> DataFrame
     def valid(candidates: DataFrame) -> DataFrame:
         return candidates.join(known, "candidate").groupBy("word").agg(F.count(F.lit(1)).alias("ways"), F.min("candidate").alias("repaired"))
 
-    one = step(words.select("word"), "word")
+    one = kept(step(words.select("word"), "word"), "repaired")
     first = valid(one)
     second = valid(step(one.join(first, "word", "left_anti"), "candidate"))
     return first.unionByName(second).where("ways = 1").select("word", "repaired")
@@ -137,6 +138,8 @@ def modernise(words: DataFrame, lexicon: DataFrame, accents: DataFrame, known: D
     rows = words.select("word", F.lower("word").alias("low")).join(lexicon.select(F.col("old").alias("low"), "new"), "low", "left")
     name = F.col("word").rlike("^[A-ZÀ-ÖØ-Þ]") & (F.upper("word") != F.col("word"))
     rows = rows.withColumns({"name": name, "regular": _regular(F.col("low"))})
+    if known is not None:
+        rows = kept(rows, "regular")
     if known is None:
         rows = _accented(rows, "regular", accents)
         plain = F.regexp_replace(F.regexp_replace("regular", "(?<=[aeiou])ct(?=[aeiou])", "t"), "(?<![qg])ue$", "ui")

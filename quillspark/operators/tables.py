@@ -34,6 +34,13 @@ def own_place(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table that is computed and written once, however often a plan reads it."""
+    place = own_place(rows.sparkSession, name)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 class Conflict(Exception):
     """409: another writer has committed a version since the one that was read."""
 

@@ -143,8 +143,9 @@ LEXICON = {"annos": "anos", "elle": "ele", "ella": "ela", "pharmacia": "farmáci
 
 
 def _spelling_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Words with their counts; a lexicon; words of today (those of three texts or more); accented words whose plain form none of them is."""
-    words = run_sql(spark, sf_dir, f"SELECT word, count(*) AS times, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, explode(regexp_extract_all(text, {SPARK.lit(spelling.WORD)}, 0)) AS word FROM documents) q GROUP BY word")
+    """Words with their counts, of one pass over the texts; a lexicon; words of today (those of three texts or more); accented words whose plain form none of them is."""
+    counted = run_sql(spark, sf_dir, f"SELECT word, count(*) AS times, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id, explode(regexp_extract_all(text, {SPARK.lit(spelling.WORD)}, 0)) AS word FROM documents) q GROUP BY word")
+    words = tables.kept(counted, "words")
     lexicon = spark.createDataFrame(list(LEXICON.items()), "old string, new string")
     known = words.where("texts >= 3").select(F.lower("word").alias("word")).distinct()
     plain = known.select(F.col("word").alias("accented"), F.translate("word", "áâãàéêíóôõúüç", "aaaaeeiooouuc").alias("base"))

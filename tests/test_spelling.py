@@ -34,6 +34,15 @@ def test_repairs_need_just_one_known_word(spark):
     assert got == {"hontem": "ontem", "empreza": "empresa", "impacto": "impacto", "cousa": "cousa", "historia": "história", "xyzzy": "xizzi", "Hontem": "Hontem", "HONTEM": "ONTEM"}
 
 
+def test_words_are_counted_and_changed_once(spark):
+    """The texts are not read again, and no word is changed again, by the plan of the result."""
+    for name in ("s_21_modernise", "s_22_repairs"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents.parquet" not in plan and "regexp_extract_all" not in plan and plan.count("mpt, nt") == 0, name
+        assert found.count() > 0
+
+
 def test_leftovers(spark):
     text = spark.createDataFrame([("O programma politico de Thyssen, que possue philosophia.",), ("delle d'alma elle naturaes segue",)], "t string")
     assert [r[0] for r in text.select(spelling.leftovers(F.col("t"))).collect()] == [["philosophia", "possue", "programma"], ["d'alma", "delle", "elle", "naturaes"]]
