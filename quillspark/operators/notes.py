@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ ANCHORS = "place long, id string, target string, shown string, opens boolean"
 #: A call or a definition shows as many characters at most.
 SHOWN = 8
 _BLOCKS = ("p", "div", "li", "aside")
+#: Files of a batch whose texts and anchors are Python objects at a time.
+_AT_ONCE = 32
 
 
 class AnchorReader(HTMLParser):
@@ -50,19 +52,23 @@ class AnchorReader(HTMLParser):
 def anchors(files: DataFrame, key: list[str], html: str = "html") -> DataFrame:
     """The anchors of files (key, html), as ``AnchorReader`` has them. Null pages have none."""
     kinds = dict(files.dtypes)
-    fields = [f.split()[0] for f in ANCHORS.split(", ")]
+    fields = [f.split() for f in ANCHORS.split(", ")]
+    types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, _AT_ONCE) for batch in batches for at in range(0, batch.num_rows, _AT_ONCE)):
+            of, rows = [], []
+            for row, body in enumerate(part.column("_html").to_pylist()):
                 reader = AnchorReader()
-                reader.feed(row[-1] or "")
+                reader.feed(body or "")
                 reader.close()
-                rows += [(*row[:-1], k, i, t, " ".join(s.split()), o) for k, i, t, s, o in reader.rows]
-            yield pd.DataFrame(rows, columns=[*key, *fields])
+                of += [row] * len(reader.rows)
+                rows += [(k, i, t, " ".join(s.split()), o) for k, i, t, s, o in reader.rows]
+            take = pa.array(of, pa.int64())
+            values = [pa.array([r[n] for r in rows], types[kind]) for n, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in key), *values], [*key, *(name for name, _ in fields)])
 
-    return files.select(*key, html).mapInPandas(read, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), ANCHORS]))
+    return files.select(*key, F.col(html).alias("_html")).mapInArrow(read, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), ANCHORS]))
 
 
 def note_pairs(found: DataFrame, book: str, file: str) -> DataFrame:

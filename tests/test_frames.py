@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def brute_union(text, terms_):
     return list(zip(edges[::2], edges[1::2]))
 
 
+def test_texts_of_a_batch_are_read_in_parts(spark):
+    """What a task holds as Python objects follows a part of its batch: anchors of 32 files, places of a million letters (a longer text is a part)."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 600_000, None, "b" * 600_000, "c" * 3_000_000, "", "d"])], ["k", "t"])
+    parts = [p.column("k").to_pylist() for p in containment._parts(batch, "t")]
+    assert parts == [[0, 1], [2], [3], [4, 5]]
+    files = spark.createDataFrame([(k, f'<p><a id="x{k}" href="#y">{k}</a>' if k % 3 else None) for k in range(100)], "k long, page string")
+    found = notes.anchors(files.coalesce(1), ["k"], "page")
+    assert {(r["k"], r["place"], r["id"], r["target"], r["shown"], r["opens"]) for r in found.collect()} == {(k, 0, f"x{k}", "y", str(k), True) for k in range(100) if k % 3}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_highlights(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abAé .") for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", "aaaa", r"a\Eab"]
