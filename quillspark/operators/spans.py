@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -42,15 +43,30 @@ def union_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(KIND), step)
 
 
+def _terms(query: Column) -> Column:
+    return F.filter(F.split(F.trim(fold(query)), r"\s+"), lambda w: F.length(w) > 1)
+
+
+def _holds(plain: Column, words: Column) -> Column:
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.contains(plain, w))
+
+
+def holds(text: Column, query: Column) -> Column:
+    """Whether a text has something that ``highlights`` shows: all of the query's terms. A text is folded once, and no places are looked for."""
+    return bound(fold(text), lambda plain: _holds(plain, _terms(query)))
+
+
+def covered(terms: list[str]) -> str:
+    """A pattern of the stretches that the places of folded terms cover, overlapping and touching ones as one: each letter is one of a term's, with the rest of the term around it."""
+    at = [(f"(?<={re.escape(t[:k])})" if k else "") + f"(?={re.escape(t[k:])})" for t in terms for k in range(len(t))]
+    return f"(?s)(?:(?:{'|'.join(at)}).)+"
+
+
 def highlights(text: Column, query: Column) -> Column:
     """What a reader highlights of a text: the union of all places of the query's terms (of two letters or more; case and accents aside); null if a term is
     nowhere in it or the query has none."""
-    words = F.filter(F.split(F.trim(fold(query)), r"\s+"), lambda w: F.length(w) > 1)
-
-    def found(plain: Column) -> Column:
-        every = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(plain, w))
-        return F.when(every, union_spans(F.flatten(F.transform(words, lambda w: occurrences(plain, w)))))
-
+    words = _terms(query)
+    found = lambda plain: F.when(_holds(plain, words), union_spans(F.flatten(F.transform(words, lambda w: occurrences(plain, w)))))
     return bound(fold(text), found)
 
 

@@ -84,6 +84,22 @@ def test_texts_of_a_batch_are_read_in_parts(spark):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_covered_stretches_are_the_union_of_places(spark):
+    """The pattern finds what ``highlights`` does, and the query folds a line twice at most and looks for places by patterns alone."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aab.\n") for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for terms in (["ab", "aa"], ["aba", "bab"], ["a.", "ba"], ["aaa"]):
+        got = rows.select("t", spans.highlights(F.col("t"), F.lit(" ".join(terms))).alias("s"), spans.holds(F.col("t"), F.lit(" ".join(terms))).alias("h"), F.regexp_replace("t", F.lit(spans.covered(terms)), F.lit("«$0»")).alias("x")).collect()
+        for r in got:
+            assert r["h"] == (r["s"] is not None)
+            if r["h"]:
+                cuts = [0, *(e for x in r["s"] for e in (x.start, x.end)), len(r["t"])]
+                assert r["x"] == "".join(f"«{r['t'][a:b]}»" if k % 2 else r["t"][a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    plan = registry.QUERIES["flt_03_highlight_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 3 and "aggregate(" not in plan
+
+
 def test_highlights(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abAé .") for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", "aaaa", r"a\Eab"]
