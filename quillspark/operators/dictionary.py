@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons
 from quillspark.operators.search import fold
+from quillspark.operators.tables import kept
 
 MARK = r"</?[aib]\d+>|<n\d+/>|<br>"
 #: Bits of the filter for each form; with one hash, one of as many unknown words passes and is left to the join.
@@ -51,13 +52,14 @@ def may_hold(words: DataFrame, column: str, table: DataFrame, bits: int) -> Data
 
 
 def known_words(candidates: DataFrame, forms: DataFrame, column: str = "candidate") -> DataFrame:
-    """The rows of ``candidates`` that are forms: most others go by the filter, before the join deals anything. The filter is broadcast while it has
-    less than 32 MB (some 16 million forms), beyond that it is joined by bucket."""
-    n = forms.select("form").distinct().count()
+    """The rows of ``candidates`` that are forms: most others go by the filter, before the join deals anything. The forms are written once, as they are counted,
+    put in the filter and joined. The filter is broadcast while it has less than 32 MB (some 16 million forms), beyond that it is joined by bucket."""
+    forms = kept(forms.select("form").distinct(), "forms")
+    n = forms.count()
     bits = max(ROW_BITS, FILTER_BITS * n)
     table = form_filter(forms, bits)
     table = F.broadcast(table) if bits // 8 <= 32 << 20 else table
-    return may_hold(candidates, column, table, bits).join(forms.select(F.col("form").alias(column)).distinct(), column, "left_semi")
+    return may_hold(candidates, column, table, bits).join(forms.select(F.col("form").alias(column)), column, "left_semi")
 
 
 def _readings(word: Column) -> Column:
@@ -107,10 +109,10 @@ def unknown(texts: DataFrame, forms: DataFrame, key: list[str], text: str) -> Da
 def accent_pairs(words: DataFrame) -> DataFrame:
     """(base, accented) for words of today (word: lower-case letters; others are left out) that exist with accents alone: the base is no word, has just one accented
     form, four letters or more, is no function word and no form of a verb. Regular plurals and feminines of the pair follow, where they are as
-    safe (six letters or more); of several that lead to one base, the least. A few pairs hold by themselves."""
-    own = words.where(F.col("word").rlike("^[a-zà-ÿ]+$")).select("word").distinct()
+    safe (six letters or more); of several that lead to one base, the least. A few pairs hold by themselves. The words are written once, as all steps meet them."""
+    own = kept(words.where(F.col("word").rlike("^[a-zà-ÿ]+$")).select("word").distinct(), "words")
     based = own.withColumn("base", fold(F.col("word")))
-    marked = based.where("base != word AND length(base) > 2").groupBy("base").agg(F.min("word").alias("accented"), F.count(F.lit(1)).alias("ways"))
+    marked = kept(based.where("base != word AND length(base) > 2").groupBy("base").agg(F.min("word").alias("accented"), F.count(F.lit(1)).alias("ways")), "marked")
     functional = F.col("base").isin(*lexicons.FUNCTION_WORDS)
 
     def safe(rows: DataFrame, least: int) -> DataFrame:

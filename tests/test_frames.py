@@ -100,6 +100,13 @@ def test_covered_stretches_are_the_union_of_places(spark):
     assert plan.count("translate(") <= 3 and "aggregate(" not in plan
 
 
+def test_dictionaries_read_the_texts_once(spark):
+    """Words, stems and forms are tables by then: the plan of the result does not read the documents for each of its branches."""
+    for name in ("s_17_unknown_words", "s_24_accent_dictionary"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all(lower(text#" not in plan and "regexp_extract_all(text#" not in plan, name
+
+
 def test_highlights(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abAé .") for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", "aaaa", r"a\Eab"]
