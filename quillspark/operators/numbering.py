@@ -19,11 +19,13 @@ def number_marks(copies: DataFrame, key: str, most: DataFrame) -> DataFrame:
     is passed over. So the chain takes, of all marks in order of (n, place), each whose number is above the chain's last and whose line begins
     behind it: a fold over a copy's marks alone, which are few beside its text."""
     lines = copies.select(key, F.posexplode(F.split("text", r"\n", -1)).alias("_line", "_text"), F.length("text").alias("_len"))
-    before = Window.partitionBy(key).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("_at", F.coalesce(F.sum(F.length("_text") + 1).over(before), F.lit(0)))
+    # Lines are ordered by their lengths and marks alone: no text is dealt or sorted for it.
     whole = F.regexp_extract("_text", MARK, 0)
-    start = F.col("_at") + F.length(whole) + F.when(F.endswith(whole, F.lit(".")), 1).otherwise(0)
-    marks = lines.where(F.col("_text").rlike(MARK)).select(key, F.regexp_extract("_text", MARK, 1).cast("long").alias("n"), F.col("_at").cast("long").alias("at"), start.cast("long").alias("start"), "_len")
+    mark = F.length(whole) + F.when(F.endswith(whole, F.lit(".")), 1).otherwise(0)
+    sizes = lines.select(key, "_line", "_len", (F.length("_text") + 1).alias("_size"), F.when(F.col("_text").rlike(MARK), F.struct(F.regexp_extract("_text", MARK, 1).cast("long").alias("n"), mark.alias("mark"))).alias("_own"))
+    before = Window.partitionBy(key).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_at", F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("long")).where("_own IS NOT NULL")
+    marks = placed.select(key, "_own.n", F.col("_at").alias("at"), (F.col("_at") + F.col("_own.mark")).cast("long").alias("start"), "_len")
     marks = marks.where("start <= _len").join(most, key).where("n <= n_max")
     held = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "at", "start"))).alias("_all"))
 

@@ -107,6 +107,16 @@ def test_dictionaries_read_the_texts_once(spark):
         assert "regexp_extract_all(lower(text#" not in plan and "regexp_extract_all(text#" not in plan, name
 
 
+def test_marks_are_ordered_without_their_texts(spark):
+    """Lines are dealt and sorted by what they measure; a paragraph whose text is the copy's is not cut in words."""
+    copies = spark.createDataFrame([(1, "1. a\n\n2. b\n3.\n\n 5. c")], "k long, text string")
+    most = spark.createDataFrame([(1, 5)], "k long, n_max long")
+    found = numbering.number_marks(copies, "k", most)
+    assert sorted((r["n"], r["start"]) for r in found.collect()) == [(1, 3), (2, 9), (3, 14), (5, 19)]
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split("\n")[1]
+    assert "_size" in below and not re.search(r"[\[ ]_text#\d+[,\]]", below)
+
+
 def test_highlights(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abAé .") for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", "aaaa", r"a\Eab"]
