@@ -17,7 +17,10 @@ document's component under links.
 3. In a group a signature tree is built: its leaves hold sets, nodes the OR of their token bitmaps, the range of sizes and the
    least number of bits. Dual traversal of the tree with itself leaves out node pairs whose largest possible overlap is too small,
    and those already connected; what remains at the leaves is verified on the shingle hashes.
-4. Groups of more than ``BLOCK_SETS`` sets are cut in blocks. Each block is joined with itself and with ``PIVOTS`` sets of the
+4. Groups of more than ``BLOCK_SETS`` sets, of shingles of ``RARE_SIZE`` words or more, are parted anew before that, again without loss: a
+   popular passage joins very many sets that link with none of its other owners. In an order of shingles that has the popular ones last, sets
+   that link share one of the first ``1 - num / den`` and one more of each; sets that share such a one stay together.
+5. Groups that are still as large are cut in blocks. Each block is joined with itself and with ``PIVOTS`` sets of the
    group, which connects most of it; then all sets outside the group's largest component are held, block by block, against
    all its sets. So no pair between different components is left out, whatever the group's size.
 
@@ -30,7 +33,7 @@ task gets all copies of a text.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,8 @@ LEAF = 8
 CHUNK_ROWS = 500_000
 #: From this many words on, shingles are rare by themselves, and counting the shared ones pays.
 RARE_SIZE = 5
+#: Shingles of large groups that are known as popular to all tasks; of more, those of the most sets.
+POPULAR = 1 << 20
 #: Rows of prefixes that one shuffle takes; of more, each pass takes a share of the hashes.
 PASS_ROWS, PASSES = 20_000_000, 4
 _SEG = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -137,6 +142,18 @@ def prefix(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[: n - -(-n * num // den) + spare(n, num, den)]
 
 
+def rare_first(s: np.ndarray, often: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set (sorted) the first shingles that a partner may lack and one more, and which of them are popular. Shingles not in ``often`` (sorted) come first, by hash, then
+    those in it by ``rank``. So sets that link share one: the order is the same for all, and o common shingles leave |a| - o others of a."""
+    if len(often):
+        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        place = np.where(often[at] == s, rank[at], -1)
+    else:
+        place = np.full(len(s), -1)
+    first = np.lexsort((s, place))[: len(s) + 1 - -(-len(s) * num // den)]
+    return s[first], place[first] >= 0
+
+
 # --- signature tree ---
 
 
@@ -364,6 +381,60 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
+def _popular(texts: DataFrame, size: int, work: Workspace) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles (sorted) of more than one set, their places from the least popular one on, and whether these are all; ``POPULAR`` of them at most, those of the most sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+        parts, rows = [], 0
+        for batch in batches:
+            for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
+                parts.append(s)
+                rows += len(s)
+                if rows > CHUNK_ROWS:
+                    yield out(parts)
+                    parts, rows = [], 0
+        if rows:
+            yield out(parts)
+
+    counted = texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = work.keep(counted, "popular")
+    least, rows, whole = 0, 0, True
+    for n, shingles in sorted(counted.groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):
+        rows += shingles
+        whole = rows <= POPULAR
+        if not whole:
+            break
+        least = n
+    found = counted.where(F.col("n") >= least if least else F.lit(False)).toArrow()
+    h, n = (found.column(c).to_numpy() for c in ("hash", "n"))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(len(h))
+    return h[order], rank[order], whole
+
+
+def _rarely_shared(texts: DataFrame, size: int, num: int, den: int, signed: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], work: Workspace) -> DataFrame:
+    """Signatures (sig, set_id, other) of the sets of large groups (set_id, group, text): of each group's sets that link, two share one."""
+    often, rank, whole = _popular(texts, size, work)
+    sent = texts.sparkSession.sparkContext.broadcast((often, rank))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for batch in batches:
+            own, group = batch.column("set_id").to_numpy(), batch.column("group").to_numpy().view(np.uint64)
+            for row, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
+                if set_hash(s) == own[row]:
+                    first, known = rare_first(s, *sent.value, num, den)
+                    # If all shared shingles are known, no other set has one that is not.
+                    yield int(own[row]), kernels.mix((first[known] if whole else first) ^ kernels.mix(group[row : row + 1]))
+
+    return texts.select("set_id", "group", "text").mapInArrow(lambda batches: signed(rare(batches)), "sig long, set_id long, other long")
+
+
 def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Workspace) -> DataFrame:
     """doc_id, text_key, n, set_id, component (least doc_id) and group (a set of the component) for each row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -376,8 +447,8 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["doc_id", "text_key", "n", "set_id"]
             )
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures (sig, set_id), one a chunk: of sets that share one within a chunk, the least goes on for all, and the others
+    def signed(own_of: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Signatures (sig, set_id) of sets, one a chunk: of sets that share one within a chunk, the least goes on for all, and the others
         become links to it here. So a hot signature reaches the shuffle once a chunk."""
 
         def out(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -393,18 +464,31 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["sig", "set_id", "other"])
 
         parts, rows = [], 0
-        for batch in batches:
-            for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size):
-                own = signatures(s, num, den)
-                if len(own):
-                    parts.append((set_hash(s), own))
-                    rows += len(own)
-                if rows > CHUNK_ROWS:
-                    yield from out(parts)
-                    parts, rows = [], 0
+        for set_id, own in own_of:
+            if len(own):
+                parts.append((set_id, own))
+                rows += len(own)
+            if rows > CHUNK_ROWS:
+                yield from out(parts)
+                parts, rows = [], 0
         if parts:
             yield from out(parts)
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return signed((set_hash(s), signatures(s, num, den)) for batch in batches for _, s in shingle_sets(*kernels.text_buffers(batch.column("text")), size))
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        """set_id, group: components of sets that share a signature, of rows (sig, set_id, other)."""
+        near = rows.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_near, "a long, b long")
+        return components(near, work, name).select(F.col("node").alias("set_id"), F.col("comp").alias("group"))
+
+    def measured(groups: DataFrame) -> DataFrame:
+        """set_id, group, first, n, sets, shingles, blocks: groups' sets with their group's size."""
+        members = groups.join(firsts.select("set_id", "first", "n"), "set_id")
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+        cut = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+        return members.join(sizes, "group").withColumn("blocks", F.greatest(cut, F.lit(1)))
+
     keyed = slim.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     described = work.keep(keyed.mapInArrow(describe, f"doc_id {kind}, text_key long, n long, set_id long"), "sets")
     firsts = described.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -427,18 +511,18 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
         able = firsts.join(shared, "set_id").where(F.col("shared") >= F.greatest(least, F.lit(1))).select("set_id")
         able = work.keep(join_by(described, able, "set_id", hot).select(F.col("doc_id").alias("_id")).distinct(), "able")
         signing = work.keep(slim.join(small_side(able), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "candidates")
-    signed = signing.mapInArrow(sign, "sig long, set_id long, other long")
-    near = signed.repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_near, "a long, b long")
-    groups = components(near, work, "groups")
-    groups = groups.select(F.col("node").alias("set_id"), F.col("comp").alias("group"))
-
-    members = groups.join(firsts.select("set_id", "first", "n"), "set_id")
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    cut = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    members = work.keep(members.join(sizes, "group").withColumn("blocks", F.greatest(cut, F.lit(1))), "members")
+    groups = grouped(signing.mapInArrow(sign, "sig long, set_id long, other long"), "groups")
+    members = work.keep(measured(groups), "members")
     wanted = small_side(work.keep(members.select("set_id", "first", "group", "blocks", "n"), "wanted"))
     # A row of the id with another text is dropped in the block, where its set is known.
     texts = work.keep(signing.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "group", "blocks", "n", "text"), "texts")
+    large = texts.where("blocks > 1")
+    if size >= RARE_SIZE and not large.isEmpty():
+        rarer = work.keep(measured(grouped(_rarely_shared(large, size, num, den, signed, work), "rarer")), "rarer-members")
+        parted = work.keep(large.select("set_id", "text").join(small_side(rarer.select("set_id", "group", "blocks", "n")), "set_id").select(*texts.columns), "parted")
+        texts = texts.where("blocks = 1").unionByName(parted)
+        members = members.where("blocks = 1").unionByName(rarer)
+        large = parted.where("blocks > 1")
 
     def join(table: pa.Table) -> pa.Table:
         ids, known, side, sets, seen = [], [], [], [], set()
@@ -454,7 +538,6 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, block: int, work: Wo
 
     own_block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     rows = texts.select("group", own_block.alias("block"), "set_id", F.col("set_id").alias("known"), F.lit(0).alias("side"), "text")
-    large = texts.where("blocks > 1")
     if large.isEmpty():
         return _result(described, firsts, hot, work.keep(rows.groupBy("group", "block").applyInArrow(join, "a long, b long"), "links"), work)
     # Groups of several blocks: pivots go to every block of their group.
