@@ -194,6 +194,27 @@ def test_found_places(spark):
             assert checked[b, k] == (t in books[b], sum(c not in books[b] for c in chunks) <= 2)
 
 
+def test_parts_and_books_are_shuffled_once(spark):
+    """What is shuffled for a book are its letters and its parts', and no index of its places; sampled runs with what stands around them were some ten times the letters, twice."""
+    plan = registry.QUERIES["aln_08_completeness"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("MapInArrow") == 1
+    plan = containment.found_places(*(spark.createDataFrame([], s) for s in ("book long, part long, text string", "book long, text string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "context" not in plan and "hash" not in plan
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+def test_places_by_hashes_and_one_by_one(monkeypatch, direct):
+    monkeypatch.setattr(containment, "DIRECT", direct)
+    rng = random.Random(6)
+    for body in ["", "a", "ab" * 200, *("".join(rng.choice("abcé😀") for _ in range(n)) for n in (29, 30, 31, 90, 700, 700))]:
+        cut = {body[i : i + rng.choice([1, 2, 29, 30, 31, 60, 61, 140])] for i in range(0, len(body), 9)} | {"a", "b" * 30, "ab" * 40, "z" * 31}
+        parts = sorted(p for p in cut if p)
+        want = {(k, i) for k, p in enumerate(parts) for i in range(len(body)) if body.startswith(p, i)}
+        assert sorted(containment.places(body, parts)) == sorted(want)
+        some = list(containment.places(body, parts, first=True))
+        assert set(some) <= want and sorted(k for k, _ in some) == sorted({k for k, _ in want})
+
+
 def test_relocated_and_anchored(spark):
     lines = [(1, k, t) for k, t in enumerate(["alpha beta", "", "gamma beta", "delta " * 20, None, "beta"])] + [(2, 5, "x")]
     marks = [(1, "a", 2, "beta"), (1, "b", 1, "beta"), (1, "c", 0, "nowhere"), (1, "d", 0, "delta delta delta delta delta delta"), (1, "e", 9, ""), (1, "f", 2, ""), (1, "g", 2, None), (1, "h", 2, "a\nb"), (2, "i", 5, "beta")]
