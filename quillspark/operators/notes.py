@@ -74,12 +74,14 @@ def anchors(files: DataFrame, key: list[str], html: str = "html") -> DataFrame:
 def note_pairs(found: DataFrame, book: str, file: str) -> DataFrame:
     """(book, number, call_file, call, definition_file, definition) from anchors: two of ``SHOWN`` visible characters at most that point at each other, one of which opens a block:
     that is the definition. Calls are numbered in order of file and place; of anchors with one id in a book, the last one counts."""
-    small = found.where(F.col("id").isNotNull() & F.col("target").isNotNull() & (F.length("shown") <= SHOWN))
-    last = small.groupBy(book, "id").agg(F.max_by(F.struct(file, "place", "target"), F.struct(file, "place")).alias("_own"))
-    opening = found.where("opens AND id IS NOT NULL").select(book, "id").distinct().withColumn("opens", F.lit(True))
-    one = last.join(opening, [book, "id"], "left").select(book, "id", F.col(f"_own.{file}").alias(file), "_own.place", "_own.target", F.coalesce("opens", F.lit(False)).alias("opens"))
-    other = one.select(book, F.col("id").alias("target"), F.col("target").alias("id"), F.col(file).alias("_file"), F.col("opens").alias("_opens"))
-    pairs = one.join(other, [book, "id", "target"]).where("NOT opens AND _opens")
+    small = F.col("target").isNotNull() & (F.length("shown") <= SHOWN)
+    last = F.max_by(F.struct(file, "place", "target"), F.when(small, F.struct(file, "place"))).alias("_own")
+    one = found.where(F.col("id").isNotNull()).groupBy(book, "id").agg(last, F.bool_or("opens").alias("opens")).where("_own IS NOT NULL")
+    # Two anchors that point at each other are the rows of one pair of ids; grouping, unlike a join, keeps a null book's together.
+    row = F.struct(F.col(f"_own.{file}").alias(file), F.col("_own.place").alias("place"), "id")
+    ends = F.least("id", "_own.target").alias("_low"), F.greatest("id", "_own.target").alias("_high")
+    both = one.groupBy(book, *ends).agg(F.max(F.when(~F.col("opens"), row)).alias("_call"), F.max(F.when(F.col("opens"), row)).alias("_definition"))
+    pairs = both.where("_call IS NOT NULL AND _definition IS NOT NULL").select(book, F.col(f"_call.{file}").alias(file), "_call.place", "_call.id", F.col(f"_definition.{file}").alias("_file"), F.col("_definition.id").alias("target"))
     number = F.row_number().over(Window.partitionBy(book).orderBy(file, "place"))
     return pairs.select(book, number.cast("long").alias("number"), F.col(file).alias("call_file"), F.col("id").alias("call"), F.col("_file").alias("definition_file"), F.col("target").alias("definition"))
 
